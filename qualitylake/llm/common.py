@@ -42,21 +42,15 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], name:
 
     Rows are range-partitioned by the order; sums run inside each range and start from the totals of
     the ranges before it, so the only single task reads one row per range."""
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    kept = materialize(ranged, name)
-    return add_range_sums(kept, order, sums)
-
-
-def add_range_sums(kept: DataFrame, order: list[Column], sums: dict[str, str], key: str = "_range") -> DataFrame:
-    """As running_sums, for rows that already carry the number of their range in `key`."""
-    totals = kept.groupBy(key).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(key, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    inside = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = kept.join(F.broadcast(base), key)  # one row per range
+    kept = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    totals = kept.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = kept.join(F.broadcast(base), "_range")  # one row per range
     for n, c in sums.items():
         out = out.withColumn(n, F.col(f"_b_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return out.drop(key, *[f"_b_{n}" for n in sums])
+    return out.drop("_range", *[f"_b_{n}" for n in sums])
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: Column | str | list[str], rows: int, how: str = "inner", limit: int = 100_000) -> DataFrame:
