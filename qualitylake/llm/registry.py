@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_counts, token_files
+from . import mixing, packing, token_counts, token_files
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, token_files.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op5_mix_sources, op6_token_counts)}
+    return {f.__name__: f for f in (op1_token_files, op3_best_fit_packing, op5_mix_sources, op6_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -173,7 +173,7 @@ def transducer(name: str) -> CountTransducer:
 
 def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit: int = 4096, chunk: int = LONGEST) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each document's whole text."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.greatest(F.lit(1), F.ceil(F.char_length("text") / chunk)).cast("int").alias("chunks"), "text")
     part = F.when(F.col("chunks") == 1, F.col("text")).otherwise(F.expr(f"substring(text, chunk * {chunk} + 1, {chunk})"))
     rows = rows.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("text", part)
@@ -191,7 +191,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
                 heads.append(m[0]), counts.append(m[1]), tails.append(m[2])
             yield b[["row", "doc_id", "n_bytes", "chunks", "chunk"]].assign(head=heads, n=pd.array(counts, "Int64"), tail=tails)
 
-    mapped = materialize(rows.mapInPandas(maps, "row long, doc_id long, n_bytes long, chunks int, chunk int, head string, n long, tail string"), "counts")
+    mapped = materialize(rows.mapInPandas(maps, "row long, doc_id string, n_bytes long, chunks int, chunk int, head string, n long, tail string"), "counts")
 
     def scan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         t = transducer(tokenizer)
@@ -200,5 +200,5 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
         return g[["doc_id", "n_bytes"]].head(1).assign(n_tokens=t.finish(m))
 
     short = mapped.where("chunks = 1").select("doc_id", "n_bytes", F.col("n").alias("n_tokens"))
-    long = mapped.where("chunks > 1").groupBy("row").applyInPandas(scan, "doc_id long, n_bytes long, n_tokens long")
-    return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)
+    long = mapped.where("chunks > 1").groupBy("row").applyInPandas(scan, "doc_id string, n_bytes long, n_tokens long")
+    return short.unionByName(long).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("over_limit", F.col("n_tokens") > limit)

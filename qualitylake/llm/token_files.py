@@ -89,7 +89,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end
     path = path or shared_dir(spark, "tokens")
     dictionary = train_dictionary(docs, tokenizer)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), dictionary, tokenizer, end_id)], "sha256 string, dictionary binary, tokenizer string, end_id int").write.parquet(f"{path}/dictionary")
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("string").alias("doc_id"), "text")
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = word_encoder(tokenizer)
@@ -106,7 +106,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end
                     chars += len(texts[to])
                     to += 1
                 ids = [x + end for x in encoder.encode(texts[at:to])]
-                doc_ids = [None if pd.isna(x) else int(x) for x in names[at:to]]
+                doc_ids = [None if x is None else int(x) for x in names[at:to]]
                 yield pd.DataFrame({"part": [part], "shard": [number], "doc_ids": [doc_ids], "before": [before], "n_tokens": [n := sum(map(len, ids)) // width], "data": [pack_shard(ids, width, dictionary, packer.compress)]})
                 at, number, before = to, number + 1, before + n
 
