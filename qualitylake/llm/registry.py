@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_counts, token_files
+from . import mixing, packing, secret_scan, token_counts, token_files
 from .common import table
 
 
@@ -26,8 +26,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_best_fit_packing, op5_mix_sources, op6_token_counts)}
+    return {f.__name__: f for f in (op1_token_files, op3_best_fit_packing, op5_mix_sources, op6_token_counts, op7_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
