@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, secret_scan, token_counts, token_files
+from . import html_text, mixing, packing, secret_scan, token_counts, token_files
 from .common import table
 
 
@@ -30,8 +30,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_best_fit_packing, op5_mix_sources, op6_token_counts, op7_secret_scan)}
+    return {f.__name__: f for f in (op1_token_files, op3_best_fit_packing, op5_mix_sources, op6_token_counts, op7_secret_scan, op9_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
