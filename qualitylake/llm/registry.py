@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mixing, packing, secret_scan, token_counts, token_files
+from . import html_text, mixing, packing, quality, secret_scan, token_counts, token_files
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, token_files.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_best_fit_packing, op5_mix_sources, op6_token_counts, op7_secret_scan, op9_html_text)}
+    return {f.__name__: f for f in (op1_token_files, op2_quality, op3_best_fit_packing, op5_mix_sources, op6_token_counts, op7_secret_scan, op9_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
