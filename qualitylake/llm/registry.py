@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mixing, packing, quality, secret_scan, token_counts, token_files
+from . import html_text, mixing, near_dup, packing, quality, secret_scan, token_counts, token_files
 from .common import table
 
 
@@ -38,8 +38,12 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_quality, op3_best_fit_packing, op5_mix_sources, op6_token_counts, op7_secret_scan, op9_html_text)}
+    return {f.__name__: f for f in (op1_token_files, op2_quality, op3_best_fit_packing, op5_mix_sources, op6_token_counts, op7_secret_scan, op9_html_text, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
