@@ -175,7 +175,7 @@ def xml_attr(tag: str | Column, name: str) -> Column:
 # ------------------------------------------------------------------ colours
 
 # Named colours that rules know, and the least contrast.
-NAMED_COLORS = {"black": (0, 0, 0), "white": (255, 255, 255), "red": (255, 0, 0), "green": (0, 128, 0), "blue": (0, 0, 255)}
+NAMED_COLORS = {"black": (0, 0, 0), "gray": (128, 128, 128), "grey": (128, 128, 128), "white": (255, 255, 255), "red": (255, 0, 0)}
 LEAST_CONTRAST = 4.5
 # End of fixed values.
 
