@@ -33,8 +33,8 @@ from .common import shared_dir
 from .encoding import word_encoder
 
 MAGIC = b"QLT1"
-#: `before`: the tokens of the same part in earlier shards.
-SHARD = "part int, shard int, doc_ids array<long>, before long, n_tokens long, data binary"
+#: doc_ids: in text, which keeps large ids exact beside nulls; `before`: the tokens of the same part in earlier shards.
+SHARD = "part int, shard int, doc_ids array<string>, before long, n_tokens long, data binary"
 _HEAD = struct.Struct("<4sBI32s")
 
 
@@ -106,7 +106,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end
                     chars += len(texts[to])
                     to += 1
                 ids = [x + end for x in encoder.encode(texts[at:to])]
-                doc_ids = [None if x is None else int(x) for x in names[at:to]]
+                doc_ids = names[at:to]
                 yield pd.DataFrame({"part": [part], "shard": [number], "doc_ids": [doc_ids], "before": [before], "n_tokens": [n := sum(map(len, ids)) // width], "data": [pack_shard(ids, width, dictionary, packer.compress)]})
                 at, number, before = to, number + 1, before + n
 
@@ -128,16 +128,16 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 shard = Shard(bytes(data), dictionary)
                 counts = shard.counts.astype("i8")
                 crcs = [zlib.crc32(shard.ids(i).astype("<u4").tobytes()) for i in range(shard.n)]
-                yield pd.DataFrame({"doc_id": pd.array(names, "Int64"), "start": int(start) + np.cumsum(counts) - counts, "n_tokens": counts, "ids_crc32": np.array(crcs, "i8")})
+                yield pd.DataFrame({"doc_id": list(names), "start": int(start) + np.cumsum(counts) - counts, "n_tokens": counts, "ids_crc32": np.array(crcs, "i8")})
 
-    return placed.mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInPandas(documents, "doc_id string, start long, n_tokens long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """doc_id and ids of a few documents, each decompressed by its offset alone."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
-    wanted = set(doc_ids)
-    shards = spark.read.parquet(f"{path}/shards").where(F.arrays_overlap("doc_ids", F.array(*[F.lit(x).cast("long") for x in wanted])))
+    wanted = {str(x) for x in doc_ids}
+    shards = spark.read.parquet(f"{path}/shards").where(F.arrays_overlap("doc_ids", F.array(*[F.lit(x) for x in wanted])))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
