@@ -1,8 +1,8 @@
 """Quality scores by compression under dictionaries of good and bad text.
 
 Two zstandard dictionaries hold slices of labelled good and bad texts. A text is compressed under each; the
-difference of the two sizes per byte is its evidence, beside the log of their ratio and the size per byte under
-the good one. A logistic curve fitted on labelled texts that are in neither dictionary turns these into the
+difference of the two sizes per byte is its evidence, beside the log of their ratio and the size per byte without
+a dictionary, which tells repetition from likeness. A logistic curve fitted on labelled texts that are in neither dictionary turns these into the
 probability of label 1.
 
 The classifier is fitted on a sample of labelled rows of bounded size (`per_class` rows of each label, chosen by
@@ -50,15 +50,15 @@ class QualityModel:
 
 @lru_cache(maxsize=4)
 def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
-    data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
     return zstandard.ZstdCompressor(level, dict_data=data, write_content_size=False)
 
 
 def evidence(texts: list[str], good: bytes, bad: bytes, level: int) -> np.ndarray:
-    g, b = _compressor(good, level), _compressor(bad, level)
+    g, b, plain = _compressor(good, level), _compressor(bad, level), _compressor(b"", 1)
     data = [t.encode("utf-8", "replace") for t in texts]
-    sizes = np.array([[len(g.compress(d)), len(b.compress(d)), len(d) + 16] for d in data], float).reshape(-1, 3)
-    return np.stack([(sizes[:, 1] - sizes[:, 0]) / sizes[:, 2], np.log(sizes[:, 1] / sizes[:, 0]), sizes[:, 0] / sizes[:, 2]], axis=1)
+    sizes = np.array([[len(g.compress(d)), len(b.compress(d)), len(plain.compress(d)), len(d) + 16] for d in data], float).reshape(-1, 4)
+    return np.stack([(sizes[:, 1] - sizes[:, 0]) / sizes[:, 3], np.log(sizes[:, 1] / sizes[:, 0]), sizes[:, 2] / sizes[:, 3]], axis=1)
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
