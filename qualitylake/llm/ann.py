@@ -5,8 +5,9 @@ A Gaussian matrix projects them to `m` dimensions: the squared projected distanc
 chi-square with m degrees of freedom. Rows lie in blocks of bounded size, each with a kd-tree over its projected
 points. A query walks the tree's leaves from near to far, verifies the points that its test can't exclude by
 their true inner products, and stops when the next leaf is so far in the projection that, for a point better than
-the k-th best so far, so large a ratio has a chance below 1 - `confidence`. The k-th best starts from a bounded
-sample of vectors, so the test bites in the first leaf.
+the k-th best so far, so large a ratio has a chance below 1 - `confidence`. The k best of a bounded sample are
+computed outright: they are candidates themselves, their last one starts the test in every block, and blocks
+return only what is no worse.
 
 Every row is indexed. Vectors that take no part: see vectors.usable, and zero vectors. A table with fewer than k
 candidates gives what is found of them; an empty one gives no rows. Columns other than vec_id and embedding play
@@ -46,10 +47,10 @@ def chi_square_quantile(p: float, m: int) -> float:
 
 
 class KdTree:
-    """Median splits along the widest axis down to `leaf` points; leaves as runs of `order`, with their boxes."""
+    """Median splits along the widest axis down to `leaf` points; `order` lists the points leaf by leaf."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 64):
-        self.points, runs, stack = points, [], [np.arange(len(points))]
+    def __init__(self, points: np.ndarray, leaf: int = 128):
+        runs, stack = [], [np.arange(len(points))]
         while stack:
             at = stack.pop()
             if len(at) <= leaf:
@@ -59,38 +60,56 @@ class KdTree:
             half = len(at) // 2
             cut = np.argpartition(points[at, axis], half)
             stack += [at[cut[:half]], at[cut[half:]]]
-        self.leaves = runs
+        self.order = np.concatenate(runs)
+        self.starts = np.cumsum([0, *map(len, runs)])
         self.low = np.array([points[r].min(axis=0) for r in runs])
         self.high = np.array([points[r].max(axis=0) for r in runs])
+        self.points = points[self.order]
+        self.squares = (self.points * self.points).sum(axis=1)
 
     def distances(self, q: np.ndarray) -> np.ndarray:
-        """Squared distances from a point to all leaves' boxes."""
-        gap = np.maximum(0, np.maximum(self.low - q, q - self.high))
-        return (gap * gap).sum(axis=1)
+        """Squared distances from each point to each leaf's box."""
+        out = np.empty((len(q), len(self.low)))
+        for k, (low, high) in enumerate(zip(self.low, self.high)):
+            gap = np.maximum(0, np.maximum(low - q, q - high))
+            out[:, k] = (gap * gap).sum(axis=1)
+        return out
 
 
-def search(tree: KdTree, x: np.ndarray, ids: np.ndarray, lift: float, q: np.ndarray, q_id: int, q_low: np.ndarray, kth: float, k: int, stop: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the k best found in a block. lift: the common squared norm plus the query's."""
+def search(tree: KdTree, x: np.ndarray, ids: np.ndarray, lift: np.ndarray, q: np.ndarray, q_ids: np.ndarray, q_low: np.ndarray, kth: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a group of queries finds in a block: query places, places and scores, none below a query's k-th best.
+
+    x and ids are in the tree's order. lift: the common squared norm plus the query's, so that lift - 2 * score
+    is a squared distance. In round r each query is at its r-th nearest leaf; queries at the same leaf go
+    together. A query ends at the first leaf that its test excludes: all later ones are farther."""
     boxes = tree.distances(q_low)
-    order = np.argsort(boxes)
-    at, scores = np.zeros(0, int), np.zeros(0)
-    done, step = 0, 1
-    while done < len(order) and boxes[order[done]] < stop * max(0.0, lift - 2 * kth):
-        near = np.concatenate([tree.leaves[i] for i in order[done : done + step]])
-        gap = tree.points[near] - q_low
-        near = near[((gap * gap).sum(axis=1) < stop * max(0.0, lift - 2 * kth)) & (ids[near] != q_id)]
-        at, scores = np.concatenate([at, near]), np.concatenate([scores, x[near] @ q])
-        if len(at) > k:
-            top = best(scores, ids[at], k)
-            at, scores = at[top], scores[top]
-        if len(at) == k:
-            kth = max(kth, float(scores.min()))
-        done, step = done + step, min(2 * step, 16)
-    top = best(scores, ids[at], k)
-    return at[top], scores[top]
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 16, confidence: float = 0.97, sample: int = 2048, block: int = 2048, queries: int = 128, seed: int = 11) -> DataFrame:
+    order = np.argsort(boxes, axis=1, kind="stable")
+    kth, top = kth.copy(), np.full((len(q), k), -np.inf)
+    squares = (q_low * q_low).sum(axis=1)
+    live, found = np.arange(len(q)), []
+    for r in range(boxes.shape[1]):
+        leaf = order[live, r]
+        near = boxes[live, leaf] < stop * np.maximum(0, lift[live] - 2 * kth[live])
+        live, leaf = live[near], leaf[near]
+        if not len(live):
+            break
+        for n in np.unique(leaf):
+            rows, part = live[leaf == n], slice(tree.starts[n], tree.starts[n + 1])
+            gaps = squares[rows, None] - 2 * (q_low[rows] @ tree.points[part].T) + tree.squares[None, part]
+            fits = (gaps < (stop * np.maximum(0, lift[rows] - 2 * kth[rows]))[:, None]) & (ids[None, part] != q_ids[rows, None])
+            scores = np.where(fits, q[rows] @ x[part].T, -np.inf)
+            i, j = np.nonzero(scores >= np.maximum(kth[rows], -1e300)[:, None])
+            found.append((rows[i], part.start + j, scores[i, j]))
+            top[rows] = np.partition(np.concatenate([top[rows], scores], axis=1), -k, axis=1)[:, -k:]
+            kth[rows] = np.maximum(kth[rows], top[rows].min(axis=1))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    at, places, scores = (np.concatenate(c) for c in zip(*found))
+    keep = scores >= kth[at]
+    return at[keep], places[keep], scores[keep]
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 16, confidence: float = 0.95, sample: int = 8192, block: int = 8192, queries: int = 1024, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id and score: of each query the k nearest found among all rows but its own."""
     spark = vectors.sparkSession
     rows, dim = usable(vectors, zero=False)
@@ -103,7 +122,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 16, conf
     seen_ids, seen_x = np.array([r["vec_id"] for r in seen]), np.array([r["embedding"] for r in seen], float)
     onto = np.random.default_rng(seed).standard_normal((dim + 1, m))
     stop = chi_square_quantile(confidence, m)
-    n_blocks, n_groups = -(-n // block), max(1, -(-n // (20 * queries)))
+    n_blocks, n_groups = -(-n // block), max(1, -(-rows.where(is_query).count() // queries))
 
     def lifted(x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(0.0, longest - (x * x).sum(axis=1)))
@@ -115,15 +134,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 16, conf
 
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, rows binary")
 
+    def sampled(ids: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each query's k best of the sample: ids and scores."""
+        scores = q @ seen_x.T
+        scores[ids[:, None] == seen_ids[None, :]] = -np.inf
+        return [(seen_ids[at], row[at]) for row in scores for at in [best(row, seen_ids, k)]]
+
     def send(g: pd.DataFrame) -> pd.DataFrame:
         """A group of queries for every block, each query with the k-th best score of the sample."""
         ids, q = g.vec_id.to_numpy(), matrix(g.embedding, dim)
-        scores = q @ seen_x.T
-        scores[ids[:, None] == seen_ids[None, :]] = -np.inf
-        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
+        kth = np.array([s.min() if len(s) == k else -np.inf for _, s in sampled(ids, q)])
         return pd.DataFrame({"block": np.arange(n_blocks, dtype="i4")}).assign(q_ids=ids.astype("<i8").tobytes(), q_rows=q.tobytes(), kth=kth.tobytes())
 
-    asked = rows.where(is_query).withColumn("group", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(n_groups)))
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), queries):
+                ids, q = b.vec_id.to_numpy()[at : at + queries], matrix(b.embedding[at : at + queries], dim)
+                found = sampled(ids, q)
+                yield pd.DataFrame({"query_id": np.repeat(ids, [len(i) for i, _ in found]), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
+
+    chosen = rows.where(is_query)
+    asked = chosen.withColumn("group", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(n_groups)))
     sent = asked.groupBy("group").applyInPandas(send, "block int, q_ids binary, q_rows binary, kth binary")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,15 +165,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 16, conf
                 ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
                 if held[0] != name:
                     x = np.frombuffer(data).reshape(-1, dim)
-                    held = (name, (x, KdTree(lifted(x))))
-                x, tree = held[1]
+                    tree = KdTree(lifted(x))
+                    held = (name, (x[tree.order], ids[tree.order], tree))
+                x, ids, tree = held[1]
                 q = np.frombuffer(q_data).reshape(-1, dim)
-                low = q @ onto[:-1]
-                for i in range(len(q)):
-                    at, scores = search(tree, x, ids, longest + float(q[i] @ q[i]), q[i], q_ids[i], low[i], float(np.frombuffer(kths)[i]), k, stop)
-                    out.append(pd.DataFrame({"query_id": np.full(len(at), q_ids[i]), "vec_id": ids[at], "score": scores}))
+                at, places, scores = search(tree, x, ids, longest + (q * q).sum(axis=1), q, q_ids, q @ onto[:-1], np.frombuffer(kths), k, stop)
+                out.append(pd.DataFrame({"query_id": q_ids[at], "vec_id": ids[places], "score": scores}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
     met = sent.join(blocks, "block").sortWithinPartitions("block")
-    return ranked(met.mapInPandas(solve, "query_id long, vec_id long, score double"), k)
+    found = met.mapInPandas(solve, "query_id long, vec_id long, score double").unionByName(chosen.mapInPandas(first, "query_id long, vec_id long, score double"))
+    return ranked(found.dropDuplicates(["query_id", "vec_id"]), k)
