@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries when imported.
-_MODULES = ("findings", "coverage", "scope", "history", "deps", "pages")
+_MODULES = ("findings", "coverage", "scope", "history", "deps", "pages", "text")
 
 
 def query(sql: str | None = None, views: str = "") -> Callable[[Query], Query]:
