@@ -126,7 +126,7 @@ def percent(x: str | Column) -> Column:
 
 def brief(text: str | Column, lines: int = 4, limit: int = 400) -> Column:
     """The first non-empty lines, trimmed and joined, of limited length."""
-    parts = F.filter(F.transform(F.split(c(text), "\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return truncate_bytes(F.array_join(F.slice(parts, 1, lines), " "), limit)
 
 

@@ -32,7 +32,7 @@ def with_generated(files: DataFrame, header: int = 16 << 10) -> DataFrame:
     Lines are read as a fold over their array that stops at the first line of code."""
     text = F.lower(F.left("content", F.lit(header)))
     text = F.when((F.length("content") >= header) & ~text.endswith("\n"), F.regexp_replace(text, "[^\n]*$", "")).otherwise(text)
-    lines = F.transform(F.split(F.regexp_replace(text, "^﻿", ""), "\r?\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(text, "^﻿", ""), "\r?\n"), lambda x: F.trim(x))
     hash_comments = F.coalesce(F.lower(paths.extension("path")).isin("py", "pyi", "sh", "bash", "zsh", "fish", "rb", "r", "pl", "pm", "ps1", "php", "yaml", "yml", "toml"), F.lit(False))
 
     def body(line, pattern: str):

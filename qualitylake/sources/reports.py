@@ -27,7 +27,7 @@ def read_corpus(spark: SparkSession, path: str, root: str, exclude: list[str] |
 
 def with_text(files: DataFrame) -> DataFrame:
     """Content as text; bytes that are no UTF-8 become replacement characters."""
-    return files.withColumn("content", F.decode("content", "UTF-8"))
+    return files.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
