@@ -14,13 +14,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries when imported.
-_MODULES = ("findings", "coverage", "scope", "history", "deps", "pages", "text")
+_MODULES = ("findings", "coverage", "scope", "history", "deps", "pages", "text", "source")
 
 
 def query(sql: str | None = None, views: str = "") -> Callable[[Query], Query]:
     """Register a query under its function's name; `views` are the adapter views its SQL reads."""
 
     def register(f: Query) -> Query:
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = with_views(views.split(), sql)
