@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+T = TypeVar("T")
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,6 +66,18 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def one_per_worker(key: tuple, make: Callable[[], T]) -> T:
+    """What `make` builds for a key, kept for this Python worker's next batches. Only the last key's is kept:
+    workers serve one stage after another, and each stage's tables should not outlive it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file: a path as it stands, or a bare name among the installed public tokenizers."""
     if "/" in name:

@@ -9,11 +9,10 @@ differently goes there whole."""
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 
-from .common import tokenizer_path
+from .common import one_per_worker, tokenizer_path
 
 #: Anything for which lower-casing and the cut below might differ from the library's: what is not Latin-1, numbers beyond 0-9.
 _OTHER = re.compile(r"[^\t-\r\x20-\x7eß-öø-ÿÀ-ÖØ-Þ]|<\|")
@@ -36,7 +35,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """Encodes texts to little-endian unsigned ids; `limit` bounds the cuts kept, at about 200 bytes each."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -96,7 +95,6 @@ class WordEncoder:
         return [self._ids(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
 
 
-@lru_cache(maxsize=2)
 def word_encoder(name: str) -> WordEncoder:
     """This worker's encoder for a vocabulary."""
-    return WordEncoder(tokenizer_path(name))
+    return one_per_worker(("words", name), lambda: WordEncoder(tokenizer_path(name)))

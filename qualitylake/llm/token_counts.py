@@ -15,13 +15,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tokenizer_path
+from .common import materialize, one_per_worker, tokenizer_path
 
 SPACE = "▁"
 LONGEST = 1 << 16
@@ -165,10 +164,9 @@ class CountTransducer:
         return maps[0]
 
 
-@lru_cache(maxsize=2)
 def transducer(name: str) -> CountTransducer:
     """This worker's transducer for a vocabulary."""
-    return CountTransducer(tokenizer_path(name))
+    return one_per_worker(("counts", name), lambda: CountTransducer(tokenizer_path(name)))
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit: int = 4096, chunk: int = LONGEST) -> DataFrame:
