@@ -79,6 +79,6 @@ def inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All page rules, counted by rule."""
-    parsed = _parsed(spark, sf_dir)
+    """All page rules, counted by rule. Every rule reads the parse, so it is kept for them."""
+    parsed = _parsed(spark, sf_dir).persist()
     return ops.all_page_rules(parsed, source.page_elements(parsed)).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
