@@ -35,7 +35,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """Encodes texts to little-endian unsigned ids; `limit` bounds the cuts kept, at about 200 bytes each."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -95,6 +95,6 @@ class WordEncoder:
         return [self._ids(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
 
 
-def word_encoder(name: str) -> WordEncoder:
-    """This worker's encoder for a vocabulary."""
-    return one_per_worker(("words", name), lambda: WordEncoder(tokenizer_path(name)))
+def word_encoder(name: str, limit: int = 1_000_000) -> WordEncoder:
+    """This worker's encoder for a vocabulary, keeping up to `limit` cuts."""
+    return one_per_worker(("words", name, limit), lambda: WordEncoder(tokenizer_path(name), limit))

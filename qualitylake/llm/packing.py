@@ -168,11 +168,11 @@ class Places:
         return self.sequence[i] + nth // self.copies[i], self.offset[i] + nth % self.copies[i] * length
 
 
-def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, batch: int = 256) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, kept: int, batch: int = 256) -> DataFrame:
     """Each document's pieces with the part that made them and their rank among its pieces of the same length."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = word_encoder(tokenizer)
+        encoder = word_encoder(tokenizer, kept)
         end = np.array([end_id], encoder.dtype).tobytes()
         width, part, seen = encoder.dtype.itemsize, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
@@ -191,10 +191,11 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, batch: i
     return texts.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
-def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, rounds: int = 40) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
+def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, rounds: int = 40, kept: int = 1_000_000) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece. `kept`: words that a Python
+    worker keeps at most, about 200 bytes each."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, capacity, tokenizer, end_id), "pieces")
+    cut = materialize(pieces(docs, capacity, tokenizer, end_id, kept), "pieces")
     counts = materialize(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
