@@ -29,7 +29,7 @@ LONGEST = 1 << 16
 class CountTransducer:
     """Counts tokens of texts; states and words in memory are bounded and compiled anew when dropped."""
 
-    def __init__(self, path: str, states: int = 150_000, words: int = 600_000):
+    def __init__(self, path: str, states: int = 300_000, words: int = 1_000_000):
         import sentencepiece
 
         lib = sentencepiece.SentencePieceProcessor(model_file=path)
