@@ -4,8 +4,9 @@
 2. Texts with equal sets collapse into one class, represented by the smallest doc_id.
 3. Chosen paths: a tree's root holds all classes. A node chooses a few token positions by a hash of its path; each
    class goes to the child named by its token there. Nodes of at most `leaf` classes are compared exhaustively on
-   the tokens, larger ones branch on, and at `depth` they are compared with a few of their own members (pivots)
-   and inside blocks. Independent trees repeat this until a pair at the threshold meets with probability `recall`.
+   the tokens, larger ones branch on, and at `depth` they are compared inside blocks and with a few of their own
+   members (pivots); what is then not connected with the pivot of most members is compared with all of the
+   node, cell by cell, so that all pairs of a node meet whatever its size. Independent trees repeat this until a pair at the threshold meets with probability `recall`.
    Comparisons only need to tell which classes may belong together: they leave stars of edges, not all pairs.
 4. Connected edges give candidate groups; no pair that met lies across two of them. Inside a group links are
    confirmed on the full sets, by products of incidence matrices. Groups beyond `group` classes are dealt
@@ -323,32 +324,76 @@ def _whole_runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFr
         yield pd.concat(held, ignore_index=True)
 
 
-def _node_edges(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _block_parts(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Each class of a block with the smallest one it is connected to, and the smallest pivot, if any."""
+
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         g = group.drop_duplicates("id").sort_values("id")
         ids, t = g.id.to_numpy(), _bytes(g.bytes)
         a, b = alike(t, t, least)
         root = forest(len(ids), zip(*(x[a < b].tolist() for x in (a, b))))
+        pivot: dict[int, int] = {}
+        for i in np.flatnonzero(np.isin(ids, group.id[group.spread])):
+            pivot.setdefault(root[i], ids[i])
+        return pd.DataFrame(
+            {"path": g.path, "n": g.n, "id": ids, "root": ids[root], "pivot": pd.array([pivot.get(r) for r in root], dtype="Int64"), "own": np.isin(ids, group.id[~group.spread]), "bytes": g.bytes}
+        )
+
+    return compare
+
+
+def _cell_edges(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """All pairs between two cells of a node, or inside one, as stars."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.drop_duplicates("id").sort_values(["cell", "id"])
+        ids, t, first = g.id.to_numpy(), _bytes(g.bytes), int((g.cell == g.low).sum())
+        inside = bool((g.low == g.high).all())
+        a, b = alike(t[:first], t if inside else t[first:], least)
+        b = b if inside else b + first
+        order = np.argsort(ids)
+        place = np.empty(len(ids), int)
+        place[order] = np.arange(len(ids))
+        ids = ids[order]
+        root = forest(len(ids), zip(*(place[x[a < b]].tolist() for x in (a, b))))
         apart = np.flatnonzero(root != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[apart], "b": ids[root[apart]]})
 
     return compare
 
 
+def node_edges(large: DataFrame, tokens: DataFrame, least: int, leaf: int, pivots: int, cell: int) -> DataFrame:
+    """Edges that connect every pair of a large node (path, id, n) that shares `least` tokens.
+
+    All members lie in blocks, each beside the node's pivots, its members with the smallest hashes. Members that
+    are connected with the pivot of most members need no more comparisons among themselves; every other member
+    is then compared with all of the node, in tasks of two cells of about `cell` classes."""
+    blocks = F.ceil(F.col("n") / leaf)
+    seeds = large.groupBy("path").agg(F.first("n").alias("n"), *[F.min_by("id", F.xxhash64(F.lit(k), "id")).alias(f"p{k}") for k in range(pivots)])
+    spread = seeds.select("path", "n", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(pivots)]))).alias("id")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = large.select("path", "n", "id", F.pmod(F.xxhash64("id"), blocks).alias("block"), F.lit(False).alias("spread"))
+    dealt = own.unionByName(spread.withColumn("spread", F.lit(True))).join(tokens, "id")
+    held = dealt.groupBy("path", "block").applyInPandas(_block_parts(least), "path long, n long, id long, root long, pivot long, own boolean, bytes binary")
+    held = materialize(held, "parts")
+    most = held.where("own and pivot is not null").groupBy("path", "pivot").agg(F.count("*").alias("k")).groupBy("path").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("main"), F.max("k").alias("most"))
+    split = held.where("own").join(most, "path").where("n > most").withColumn("rest", F.coalesce(F.col("pivot") == F.col("main"), F.lit(False)))
+    # cells below `few` hold what lies apart, the others the rest; no task compares two cells of the rest
+    few, others = F.ceil((F.col("n") - F.col("most")) / cell), F.ceil(F.col("most") / cell)
+    h = F.xxhash64(F.lit("cell"), "id")
+    split = split.select("path", "id", "bytes", "rest", few.alias("few"), (few + others).alias("cells"), F.when(F.col("rest"), few + F.pmod(h, others)).otherwise(F.pmod(h, few)).alias("cell"))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("few")).otherwise(F.col("cells")) - 1)).alias("other")
+    tasks = split.select("path", "id", "bytes", "cell", other).withColumn("low", F.least("cell", "other")).withColumn("high", F.greatest("cell", "other")).drop("other")
+    across = tasks.groupBy("path", "low", "high").applyInPandas(_cell_edges(least), "a long, b long")
+    return held.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(across)
+
+
 def candidate_edges(classes: DataFrame, similarity: float, recall: float, depth: int, leaf: int, pivots: int, margin: float) -> DataFrame:
     """Edges whose components hold every pair of classes that met and may be as similar as asked."""
     least = math.floor(TOKENS * max(0.0, similarity - margin))
     leaves, large = chosen_paths(classes, similarity, recall, depth, leaf)
     tokens = classes.select("id", "bytes")
     edges = leaf_edges(leaves.join(tokens, "id"), least)
-    if large.isEmpty():
-        return edges
-    # large nodes: pivots are a node's members with the smallest hashes; all members lie in blocks beside them
-    blocks = F.ceil(F.col("n") / leaf)
-    seeds = large.groupBy("path").agg(F.first("n").alias("n"), *[F.min_by("id", F.xxhash64(F.lit(k), "id")).alias(f"p{k}") for k in range(pivots)])
-    spread = seeds.select("path", "n", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(pivots)]))).alias("id")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = large.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).select("path", "block", "id").unionByName(spread.select("path", "block", "id"))
-    return edges.unionByName(dealt.join(tokens, "id").groupBy("path", "block").applyInPandas(_node_edges(least), "a long, b long"))
+    return edges if large.isEmpty() else edges.unionByName(node_edges(large, tokens, least, leaf, pivots, 16 * leaf))
 
 
 def _set_groups(words: int, percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:

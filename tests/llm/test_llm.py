@@ -389,6 +389,21 @@ def test_components_of_long_paths(spark):
     assert {r["id"]: r["component"] for r in rows} == {i: 0 if i <= 100 else 101 for i in range(n + 1)}
 
 
+def test_near_copies_around_a_shared_passage_meet(spark):
+    """1,800 classes with half of their tokens from one passage fill nodes that no choice empties; 300 of them are
+    near copies that share 52 tokens and must meet there, too."""
+    r = np.random.default_rng(11)
+    t = r.integers(0, 2**32, (1800, near_dup.TOKENS), dtype=np.uint32)
+    t[:, ::2] = t[0, ::2]
+    for k in range(300):
+        own = r.choice(np.arange(1, near_dup.TOKENS, 2), 20, replace=False)
+        t[1500 + k, own] = t[k, own]
+    df = spark.createDataFrame([(k, x.tobytes(), x.astype(np.uint8).tobytes()) for k, x in enumerate(t)], "id long, tokens binary, bytes binary")
+    found = near_dup.components(df.select("id"), near_dup.candidate_edges(df, 0.8, 0.99, 1, 16, 2, 0.22))
+    by = {r["id"]: r["component"] for r in found.collect()}
+    assert sum(by[k] == by[1500 + k] for k in range(300)) >= 297 and len(set(by.values())) > 1400
+
+
 def test_recall_of_trees():
     assert 1 - (1 - near_dup.met(0.8, 3)) ** near_dup.trees_for(0.8, 3, 0.999) >= 0.999
 
