@@ -23,12 +23,19 @@ from pyspark.sql import functions as F
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|button|object|canvas|math|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|iframe)(?=[\s/>])[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>"""
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL | re.IGNORECASE,
 )
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that are dropped with their content where their end tag is found; comments and raw text hold no tags.
+DROPPED = frozenset("template svg select button canvas audio video".split())
+_ENDS = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|iframe)(?=[\s/>])[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)(" + "|".join(sorted(DROPPED)) + r")(?=[\s/>])[^>]*(?<!/)>",
+    re.DOTALL | re.IGNORECASE,
+)
+_MATH = "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mspace mstyle mpadded mphantom menclose mfenced mtable mtr mtd semantics annotation"
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object noscript".split()) | frozenset(_MATH.split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AREAS = frozenset("nav footer aside form menu dialog fieldset".split())
 ENCLOSING = AREAS | frozenset("div section article main header ul ol dl table tbody thead tfoot tr td th figure blockquote body head title details center".split())
@@ -42,6 +49,20 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "article", "around")
 
 
+def ends(page: str) -> dict[int, int]:
+    """Where each dropped element that is closed starts, and where its end tag ends."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _ENDS.finditer(page):
+        if m[3]:
+            starts = opened.setdefault(m[3].lower(), [])
+            if not m[2]:
+                starts.append(m.start())
+            elif starts:
+                found[starts.pop()] = m.end()
+    return found
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """Text, words, link density, heading, article and around of each block in page order."""
     out: list[tuple[str, int, float, int, int, int]] = []
@@ -68,10 +89,14 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if in_link:
                 linked.append(piece)
 
-    at = 0
-    for m in _TAG.finditer(page):
+    at, dropped = 0, ends(page)
+    while m := _TAG.search(page, at):
         take(page[at : m.start()])
         at = m.end()
+        if m.start() in dropped:
+            at = dropped[m.start()]
+            parts.append(" ")
+            continue
         name = (m[3] or m[6] or "").lower()
         if not name:
             if m[1]:
@@ -81,7 +106,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         if name == "a":
             in_link = not closing
         if name in INLINE:
-            if name == "br":
+            if name in ("br", "object", "noscript"):
                 parts.append(" ")
             continue
         close()

@@ -320,6 +320,17 @@ def test_html_text(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("odd", ["<svg width=1 />", "<object data=x>", "<button>", "<video-player src=x></video-player>", "<button-group>", "<select>", "<script src=x />", "<canvas><video>"])
+def test_html_open_elements_keep_the_rest(odd):
+    page = f"<article><p>one</p>{odd}<p>two</p><svg><svg></svg>no</svg><button>no</button><p>three</p></article>"
+    assert html_text.main_text(page, html_text.trained_tree()) == "one\ntwo\nthree"
+
+
+def test_html_keeps_math_object_and_noscript():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><object><p>in it</p></object><noscript><p>no js</p></noscript></article>"
+    assert html_text.main_text(page, html_text.trained_tree()) == "Let x=1 be.\nin it\nno js"
+
+
 def test_tree_fits_its_table():
     x, y = html_text.labelled_rows()
     assert sum(html_text.accepts(html_text.trained_tree(), tuple(r)) == t for r, t in zip(x, y)) >= 0.95 * len(y)
