@@ -45,10 +45,24 @@ _AROUND = re.compile(
     r"(?:^|[^a-z])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|widget|nav\w*|menu\w*|breadcrumbs?|header|masthead|topbar|footer|bottom|comments?|respond|replies|reply|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|toolbar|pagination|pager|copyright|legal|disclaimer|contentinfo|complementary|navigation)(?![a-z])"
 )
 _MAIN = re.compile(r"(?:^|[^a-z])(?:article|main|post-?body|entry-?content|story-?body|articlebody)(?![a-z])")
+#: Names of layout containers that tell which areas a page has, not that they are one.
+_LAYOUT = re.compile(r"^(?:with|has|no|without)[-_]|[-_](?:open|opened|closed|enabled|disabled|visible|hidden)$|(?:content|main|layout).*[-_]wrap(?:per)?$")
+#: Areas that hold articles which are not the main text.
+_OTHERS = re.compile(r"(?:^|[^a-z])(?:comments?|respond|replies|reply|disqus|related|recommend\w*|widget|promo\w*|sponsor\w*)(?![a-z])")
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "article", "around")
 
 
+def area(named: str) -> int:
+    """0 for names of no area around the main text, 1 where a part of a name is one, 2 where a whole name is one
+    or the area may hold articles of its own."""
+    level = 0
+    for name in named.split():
+        if (m := _AROUND.search(name)) and not _LAYOUT.search(name):
+            level = max(level, 2 if m[0] == name or _OTHERS.search(name) else 1)
+    return level
+
+
 def ends(page: str) -> dict[int, int]:
     """Where each dropped element that is closed starts, and where its end tag ends."""
     found: dict[int, int] = {}
@@ -68,7 +82,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     out: list[tuple[str, int, float, int, int, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    open_tags: list[tuple[str, int, int]] = []  # name, inside an article, inside an area around it
+    open_tags: list[tuple[str, int, int]] = []  # name, inside an article, inside an area around it (see area)
     in_link, heading, article, around = False, 0, 0, 0
 
     def close() -> None:
@@ -77,7 +91,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if text:
                 n = text.count(" ") + 1
                 k = len(" ".join(linked).split())
-                out.append((text, n, min(1.0, k / n), heading, article, around))
+                out.append((text, n, min(1.0, k / n), heading, article, int(around > 0)))
             parts.clear()
             linked.clear()
 
@@ -124,7 +138,13 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         else:
             named = " ".join(x.strip("\"'") for x in _NAMED.findall(m[4] or m[7] or "")).lower()
             art = int(article or name in ("article", "main") or (bool(named) and _MAIN.search(named) is not None))
-            out_of = int(around or name in AREAS or (name == "header" and not article) or name in ("head", "title") or (bool(named) and name not in ("body", "article", "main") and _AROUND.search(named) is not None))
+            own = 0 if name in ("body", "article", "main") else area(named)
+            main = name in ("article", "main") or _MAIN.search(named) is not None
+            if name in AREAS or (name == "header" and not article) or name in ("head", "title"):
+                own = 2
+            elif main and not own and (around < 2 or name == "main"):
+                around = 0
+            out_of = max(around, own)
             open_tags.append((name, art, out_of))
         article, around = open_tags[-1][1:] if open_tags else (0, 0)
     take(page[at:])
@@ -148,6 +168,7 @@ LABELLED = [
     ("<div class=menu>Start Shop Help</div><div class=sidebar><p>" + "A word about the author of this page, who lives by the sea with two cats. " * 2 + "</p></div><p>" + "The sea was calm that day and the boats lay still in the harbour. " * 3 + "</p><div class=social>Share this on all the networks you know</div>", "xxmx"),
     ("<main><p>A</p><h3>B c</h3><p>" + "d e f g h i j k l m n o p. " * 8 + "</p><p>" + "q r s t u v w x y z. " * 12 + "</p><p>Short line inside</p></main><p>Short line outside</p><p><a href=q>link only</a></p>", "mmmmmxx"),
     ("<p>Log in to comment</p><p>" + "All this is told in full by those who were there at the time. " * 9 + "</p><p>" + "It was not what they had hoped for when they set out in spring. " * 9 + "</p><p>" + "And still they would do it again if they had the chance to go. " * 9 + "</p><p>Print this page</p>", "xmmmx"),
+    ("<div class='layout with-sidebar'><div class=content-sidebar-wrap><article><h2>Of bread</h2><p>" + "Bread is made of flour and water and some salt. " * 4 + "</p></article></div><div class=sidebar><p>" + "More words on the one who wrote all this. " * 3 + "</p></div></div>", "mmx"),
     ("<article><h1>Alone</h1><p>Only this.</p><p>And the end of it</p></article>", "mmm"),
     ("<main><p>" + "One block is all the page has, and it is long. " * 9 + "</p></main>", "m"),
     ("<p>Home</p><p>" + "The page has no frame at all, just words in a row, to its very end. " * 9 + "</p>", "xm"),

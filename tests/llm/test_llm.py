@@ -331,6 +331,12 @@ def test_html_keeps_math_object_and_noscript():
     assert html_text.main_text(page, html_text.trained_tree()) == "Let x=1 be.\nin it\nno js"
 
 
+@pytest.mark.parametrize("names", ["layout with-sidebar", "content-sidebar-wrap", "has-comments", "page side-open", "header-box"])
+def test_html_layout_names_keep_the_article(names):
+    page = f"<div class='{names}'><article><h1>T</h1><p>{'a b c ' * 30}</p><div class=related><p>no</p></div></article><div id=comments><article><p>no</p></article></div></div><aside><article><p>no</p></article></aside>"
+    assert html_text.main_text(page, html_text.trained_tree()) == "T\n" + ("a b c " * 30).strip()
+
+
 def test_tree_fits_its_table():
     x, y = html_text.labelled_rows()
     assert sum(html_text.accepts(html_text.trained_tree(), tuple(r)) == t for r, t in zip(x, y)) >= 0.95 * len(y)
