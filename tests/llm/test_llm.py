@@ -305,6 +305,19 @@ def test_redaction(spark):
     assert out[3]["text"] == "[SECRET] AKIA" + "B" * 15
 
 
+@pytest.mark.parametrize("between", [" and then ", "\n" + "curl it again, please. " * 21, " x " * 200])
+def test_every_copy_of_a_novel_secret_is_found(between):
+    key = "kQ7x-Vb2_Zr9TmW4pLs8YdN3"
+    text = f"Authorization: Bearer {key}{between}Authorization: Bearer {key} once more: {key}."
+    assert [text[s:e] for kind, s, e, _ in secret_scan.spans(text) if kind == "novel"] == [key] * 3
+
+
+@pytest.mark.parametrize("key", ["4929384756102938", "kQxVbZrTmWpLsYdNabcRt"])
+def test_novel_secrets_of_digits_or_letters_alone(key):
+    assert [x[:3] for x in secret_scan.spans(f"bearer {key}")] == [("novel", 7, 7 + len(key))]
+    assert secret_scan.spans("the token " + "-" * 40) == []
+
+
 # ------------------------------------------------------------------ 9
 
 
