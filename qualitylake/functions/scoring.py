@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .paths import c, normalize
 
 # Salts of the hashes, rules and engines with a meaning, penalties and bounds.
-FINGERPRINT_SALT = b"scorecard-finding-v1\0"
+FINGERPRINT_SALT = b"qualitylake-finding-v1\0"
 GROUP_SALT = b"qualitylake-group-v1\0"
 ASK_RULES = ("engine.unavailable", "coverage.missing", "coverage.unmatched", "spec.llm_gap", "sca.hallucinated_import")
 UNSCORED_RULES = ("coverage.missing", "coverage.unmatched")

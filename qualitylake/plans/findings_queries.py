@@ -21,7 +21,7 @@ def _part(p: str) -> str:
     return f"unhex(lpad(to_hex(strlen({p})), 16, '0')) || ({p})::BLOB"
 
 
-FINGERPRINT = f"sha256('scorecard-finding-v1'::BLOB || unhex('00') || {_part('rule')} || {_part(PATH)} || {_part(chr(39).join(['coalesce(symbol, ', '', ')']))} || {_part(SQUEEZED)})"
+FINGERPRINT = f"sha256('qualitylake-finding-v1'::BLOB || unhex('00') || {_part('rule')} || {_part(PATH)} || {_part(chr(39).join(['coalesce(symbol, ', '', ')']))} || {_part(SQUEEZED)})"
 DISPOSITION = "CASE WHEN rule IN ('engine.unavailable', 'coverage.missing', 'coverage.unmatched', 'spec.llm_gap', 'sca.hallucinated_import') THEN 'ask' WHEN starts_with(rule, 'perf.') THEN 'ignore' WHEN severity = 'warning' THEN 'ask' ELSE 'fix' END"
 PENALTY = "CASE WHEN rule IN ('coverage.missing', 'coverage.unmatched') THEN 0 WHEN engine = 'sca' AND severity = 'warning' THEN 1 WHEN severity = 'error' THEN 25 WHEN severity = 'warning' THEN 5 ELSE 0 END"
 DIMENSION = "CASE WHEN engine IN ('compile', 'tests', 'config', 'lint', 'html') THEN 'correctness' WHEN engine = 'perf' THEN 'efficiency' WHEN engine IN ('secrets', 'sca') THEN 'security' WHEN engine = 'a11y' THEN 'a11y' ELSE 'maintainability' END"

@@ -13,7 +13,7 @@ def one(spark, column, **values):
 
 
 def test_golden_fingerprint(spark):
-    want = "7b1bf0c819bd34cb8d881e60d12bbfd0d56e9c901c9b6a2bc22678b2879a66c9"
+    want = "1a79e6f63cf6ee2917d8dec10245dbce2ebb09e93f55f115fa2823a1883ea1ff"
     message = "CRAP 156 (CC=12, cov=0%) exceeds threshold 30"
     for file, text in (("src/parse.rs", message), (".\\src//parse.rs", f"  {message.replace(' ', '  ')}\n")):
         assert one(spark, scoring.fingerprint(), rule="crap.over_threshold", file=file, symbol="parse_input", message=text) == want
@@ -69,7 +69,7 @@ def test_texts(spark):
     assert one(spark, scoring.safe_line("t"), t=" a\x00b \t c　d ") == "a b c d"
     assert one(spark, scoring.brief("t"), t="\n a \n\nb\nc\nd\ne") == "a b c d"
     assert one(spark, scoring.pep503("t"), t=" A__b.-C ") == "a-b-c"
-    for raw, want in (("a::b[12ab]::c", "a::b::c"), ("<Cc as Visit>::go", "Cc::go"), ("evaluate::<python::run>", "evaluate"), ("<Foo<T>>::new", "Foo::new"), ("plain", "plain")):
+    for raw, want in (("a::b[12ab]::c", "a::b::c"), ("<Cc as Visit>::go", "Cc::go"), ("parse::<u8::from>", "parse"), ("<Foo<T>>::new", "Foo::new"), ("plain", "plain")):
         assert one(spark, scoring.symbol_name("t"), t=raw) == want, raw
     assert one(spark, scoring.xml_attr("t", "name"), t='method name="&lt;a&amp;lt;" x="1"') == "<a<"
     for path, want in (("crates/x/src/a/b.rs", "a::b"), ("src/lib.rs", ""), ("src/a/mod.rs", "a")):
