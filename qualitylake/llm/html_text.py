@@ -1,9 +1,11 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page becomes blocks of text between block-level tags. A block's features are its word count and link density,
-those of its neighbours, whether it is a heading, and what encloses it: an article, or an area that by its tag,
-role, class or id is a menu, header, footer, sidebar, notice, advert, form or comment. The tree is grown from a
-small table of labelled pages below when the operator is called. Blocks that it accepts are joined in page order.
+those of the blocks beside it, and how many blocks away the next long block with few links stands on either side.
+A decision tree decides by these; where a leaf is still mixed it may also ask three hints: whether the block is a
+heading, whether it stands inside an article, and whether inside an area that by its tag or name is a menu,
+footer, sidebar, notice, advert, form or comment. The tree is grown from the labelled table in html_layouts.py
+when the operator is called. Blocks that it accepts are joined in page order.
 
 Null and empty pages, and pages without main text, give an empty text. Very long pages are read whole. Repeated
 rows and rows with null ids are kept one by one; an empty table gives an empty table; columns other than
@@ -21,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .html_layouts import filled_pages
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
     r"|<(script|style|textarea|iframe)(?=[\s/>])[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
@@ -37,20 +41,24 @@ _ENDS = re.compile(
 _MATH = "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mspace mstyle mpadded mphantom menclose mfenced mtable mtr mtd semantics annotation"
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object noscript".split()) | frozenset(_MATH.split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-AREAS = frozenset("nav footer aside form menu dialog fieldset".split())
-ENCLOSING = AREAS | frozenset("div section article main header ul ol dl table tbody thead tfoot tr td th figure blockquote body head title details center".split())
+AREAS = frozenset("nav footer aside menu dialog".split())
+ENCLOSING = AREAS | frozenset("form fieldset div section article main header ul ol dl table tbody thead tfoot tr td th figure blockquote body head title details center".split())
 _NAMED = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 #: Words in class, id or role names of areas around the main text.
 _AROUND = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|widget|nav\w*|menu\w*|breadcrumbs?|header|masthead|topbar|footer|bottom|comments?|respond|replies|reply|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|toolbar|pagination|pager|copyright|legal|disclaimer|contentinfo|complementary|navigation)(?![a-z])"
+    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|widget|nav|navigation|menu|breadcrumbs?|topbar|footer|comments?|respond|disqus|cookies?|consent|notice|popup|modal|share|social|related|newsletter|search|pagination|copyright|disclaimer|contentinfo|complementary)(?![a-z])"
 )
 _MAIN = re.compile(r"(?:^|[^a-z])(?:article|main|post-?body|entry-?content|story-?body|articlebody)(?![a-z])")
 #: Names of layout containers that tell which areas a page has, not that they are one.
-_LAYOUT = re.compile(r"^(?:with|has|no|without)[-_]|[-_](?:open|opened|closed|enabled|disabled|visible|hidden)$|(?:content|main|layout).*[-_]wrap(?:per)?$")
+_LAYOUT = re.compile(r"^(?:with|has|no|without)[-_]|[-_](?:open|opened|closed|enabled|disabled|visible|hidden|free)$|(?:content|main|layout).*[-_]wrap(?:per)?$")
 #: Areas that hold articles which are not the main text.
-_OTHERS = re.compile(r"(?:^|[^a-z])(?:comments?|respond|replies|reply|disqus|related|recommend\w*|widget|promo\w*|sponsor\w*)(?![a-z])")
+_OTHERS = re.compile(r"(?:^|[^a-z])(?:comments?|respond|disqus|related|widget|promo\w*|sponsor\w*)(?![a-z])")
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "article", "around")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "long_before", "long_after", "heading", "article", "around")
+#: How many of them are the method's own; the others are hints.
+TEXTUAL = 8
+#: What counts as a long block, and how far away it is looked for.
+LONG, LINKED, FAR = 15, 0.3, 9
 
 
 def area(named: str) -> int:
@@ -78,12 +86,13 @@ def ends(page: str) -> dict[int, int]:
 
 
 def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
-    """Text, words, link density, heading, article and around of each block in page order."""
-    out: list[tuple[str, int, float, int, int, int]] = []
+    """Text, words, link density, heading, article and around of each block in page order. A form is an area
+    around the main text unless more than half of the page's words stand in it."""
+    out: list[tuple[str, int, float, int, int, int, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    open_tags: list[tuple[str, int, int]] = []  # name, inside an article, inside an area around it (see area)
-    in_link, heading, article, around = False, 0, 0, 0
+    open_tags: list[tuple[str, int, int, int]] = []  # name, inside an article, inside an area around it (see area), form
+    in_link, heading, article, around, form, forms = False, 0, 0, 0, 0, 0
 
     def close() -> None:
         if parts:
@@ -91,7 +100,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if text:
                 n = text.count(" ") + 1
                 k = len(" ".join(linked).split())
-                out.append((text, n, min(1.0, k / n), heading, article, int(around > 0)))
+                out.append((text, n, min(1.0, k / n), heading, article, int(around > 0), form))
             parts.clear()
             linked.clear()
 
@@ -138,54 +147,49 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         else:
             named = " ".join(x.strip("\"'") for x in _NAMED.findall(m[4] or m[7] or "")).lower()
             art = int(article or name in ("article", "main") or (bool(named) and _MAIN.search(named) is not None))
-            own = 0 if name in ("body", "article", "main") else area(named)
+            own = 0 if name in ("body", "article", "main", "form") else area(named)
             main = name in ("article", "main") or _MAIN.search(named) is not None
             if name in AREAS or (name == "header" and not article) or name in ("head", "title"):
                 own = 2
             elif main and not own and (around < 2 or name == "main"):
                 around = 0
-            out_of = max(around, own)
-            open_tags.append((name, art, out_of))
-        article, around = open_tags[-1][1:] if open_tags else (0, 0)
+            if name == "form":
+                forms += 1
+                form = forms
+            open_tags.append((name, art, max(around, own), form))
+        article, around, form = open_tags[-1][1:] if open_tags else (0, 0, 0)
     take(page[at:])
     close()
-    return out
+    within = [0] * (forms + 1)
+    for b in out:
+        within[b[6]] += b[1]
+    small = [f > 0 and 2 * n <= sum(within) for f, n in enumerate(within)]
+    return [(*b[:5], int(b[5] or small[b[6]])) for b in out]
 
 
 def features(found: list[tuple]) -> list[tuple[float, ...]]:
+    """A row of FEATURES per block. Distances to long blocks end at FAR."""
     none = ("", 0, 0.0)
-    return [(b[1], b[2], p[1], p[2], n[1], n[2], b[3], b[4], b[5]) for p, b, n in zip([none, *found[:-1]], found, [*found[1:], none])]
-
-
-#: The labelled table: pages whose blocks are marked m (main text) or x (anything else), in page order.
-LABELLED = [
-    ("<head><title>The title</title></head><nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav><article><h1>The title of it</h1><p>One short line.</p><p>" + "A longer paragraph of running text. " * 6 + "</p><p>See <a href=c>this page</a> for more of the same story.</p></article><footer>&copy; Site 2020. All rights reserved by the owner of this site.</footer>", "xxxmmmmx"),
-    ("<header><a href=/>Site</a><p>The best site of them all since 1999</p></header><main><h2>On trees</h2><p>Trees grow.</p><ul><li>Oak</li><li>Beech and birch in the north</li></ul></main><aside><h3>Popular</h3><p>" + "People also read these stories about the woods. " * 4 + "</p></aside>", "xxmmmmxx"),
-    ("<div class=ad>Buy our new car today, it is the best car that was ever made, and cheap too.</div><article><p>Ok.</p><p><a href=x>A paragraph that is all link</a></p></article><div id=comments><p>First reader: I liked this very much, thank you for writing it down so well.</p><p>No.</p></div>", "xmmxx"),
-    ("<div id=cookie-notice>We use cookies to give you the best experience on our site. <a href=p>Read more</a></div><div class=content><h1>Bread at home</h1><p>" + "Mix the flour with water and salt and let it rest for a night. " * 3 + "</p><p>Bake it hot.</p><p>" + "Let it cool before you cut it, however hard that is for everybody. " * 2 + "</p></div><div class=footer>Contact Imprint Privacy</div>", "xmmmmx"),
-    ("<article><header><h1>Head in the article</h1></header><p>" + "Text under the head goes on for a while here. " * 3 + "</p><form><p>Subscribe to our letter and get news each week in your mail box.</p></form><div class=related><a href=1>Another story</a></div><section class=comments><p>" + "A long comment by a reader who knows better than all others. " * 3 + "</p></section></article>", "mmxxx"),
-    ("<p><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></p><p>" + "Old pages have no articles, only paragraphs with plain running text in them. " * 3 + "</p><p>" + "And they go on like this for some time until the page is at its end. " * 3 + "</p><p><a href=4>Back to the index of all the pages here</a></p>", "xmmx"),
-    ("<div class=menu>Start Shop Help</div><div class=sidebar><p>" + "A word about the author of this page, who lives by the sea with two cats. " * 2 + "</p></div><p>" + "The sea was calm that day and the boats lay still in the harbour. " * 3 + "</p><div class=social>Share this on all the networks you know</div>", "xxmx"),
-    ("<main><p>A</p><h3>B c</h3><p>" + "d e f g h i j k l m n o p. " * 8 + "</p><p>" + "q r s t u v w x y z. " * 12 + "</p><p>Short line inside</p></main><p>Short line outside</p><p><a href=q>link only</a></p>", "mmmmmxx"),
-    ("<p>Log in to comment</p><p>" + "All this is told in full by those who were there at the time. " * 9 + "</p><p>" + "It was not what they had hoped for when they set out in spring. " * 9 + "</p><p>" + "And still they would do it again if they had the chance to go. " * 9 + "</p><p>Print this page</p>", "xmmmx"),
-    ("<div class='layout with-sidebar'><div class=content-sidebar-wrap><article><h2>Of bread</h2><p>" + "Bread is made of flour and water and some salt. " * 4 + "</p></article></div><div class=sidebar><p>" + "More words on the one who wrote all this. " * 3 + "</p></div></div>", "mmx"),
-    ("<article><h1>Alone</h1><p>Only this.</p><p>And the end of it</p></article>", "mmm"),
-    ("<main><p>" + "One block is all the page has, and it is long. " * 9 + "</p></main>", "m"),
-    ("<p>Home</p><p>" + "The page has no frame at all, just words in a row, to its very end. " * 9 + "</p>", "xm"),
-    ("<p>" + "A page that starts with its text at once and has nothing before. " * 3 + "</p><p>" + "Then it goes on and ends here with these words, which are still part. " * 2 + "</p>", "mm"),
-    ("<p>Top</p><p>Up</p><article><p>In</p><p>Deep</p></article><p>Low</p><p>End</p>", "xxmmxx"),
-    ("<article><p><a href=1>A list</a></p><p><a href=2>of links</a></p><p><a href=3>in an article</a></p></article><p><a href=4>out</a></p><p><a href=5>side of it</a></p>", "mmmxx"),
-]
-
-
-def labelled_rows() -> tuple[np.ndarray, np.ndarray]:
+
+    def distances(run: list[tuple]) -> list[int]:
+        out, away = [], FAR
+        for b in run:
+            out.append(away)
+            away = 1 if b[1] >= LONG and b[2] < LINKED else min(FAR, away + 1)
+        return out
+
+    before, after = distances(found), distances(found[::-1])[::-1]
+    beside = zip([none, *found[:-1]], found, [*found[1:], none], before, after)
+    return [(b[1], b[2], p[1], p[2], n[1], n[2], u, v, b[3], b[4], b[5]) for p, b, n, u, v in beside]
+
+
+def labelled_rows(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of pages of the labelled table; text that starts with m is main text."""
     rows, marks = [], []
-    for page, labels in LABELLED:
-        found = features(blocks(page))
-        if len(found) != len(labels):
-            raise ValueError(f"{len(found)} blocks, {len(labels)} labels")
-        rows += found
-        marks += [x == "m" for x in labels]
+    for page in pages:
+        found = blocks(page)
+        rows += features(found)
+        marks += [b[0].startswith("m") for b in found]
     return np.array(rows, float), np.array(marks)
 
 
@@ -193,31 +197,49 @@ def labelled_rows() -> tuple[np.ndarray, np.ndarray]:
 Tree = bool | tuple
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tree:
-    """A decision tree by the largest decrease of Gini impurity; ties go to the first feature and lowest cut."""
-    if depth == 0 or y.all() or not y.any() or len(y) < 2 * least:
-        return bool(2 * y.sum() > len(y))
+def _best_cut(x: np.ndarray, y: np.ndarray, least: int) -> tuple[float, int, float] | None:
+    """Impurity, feature and threshold of the best cut that leaves `least` rows on each side."""
+    best, n = None, len(y)
+    for f in range(x.shape[1]):
+        order = np.argsort(x[:, f], kind="stable")
+        v, k = x[order, f], np.cumsum(y[order])
+        at = np.flatnonzero(v[1:] > v[:-1]) + 1
+        at = at[(at >= least) & (n - at >= least)]
+        if not len(at):
+            continue
+        low, high = k[at - 1] / at, (k[-1] - k[at - 1]) / (n - at)
+        impurity = 2 * (at * low * (1 - low) + (n - at) * high * (1 - high))
+        i = int(impurity.argmin())
+        if best is None or impurity[i] < best[0] - 1e-12:
+            best = float(impurity[i]), f, float((v[at[i]] + v[at[i] - 1]) / 2)
+    return best
 
-    def gini(v: np.ndarray) -> float:
-        p = v.mean()
-        return len(v) * 2 * p * (1 - p)
 
-    best: tuple | None = None
-    for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for cut in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] <= cut
-            if min(low.sum(), (~low).sum()) >= least and (best is None or gini(y[low]) + gini(y[~low]) < best[0] - 1e-12):
-                best = (gini(y[low]) + gini(y[~low]), f, float(cut), low)
-    if best is None or best[0] > gini(y) - 1e-12:
+def grow(x: np.ndarray, y: np.ndarray, textual: int = 4, hinted: int = 8, least: int = 10) -> Tree:
+    """A decision tree by the largest decrease of Gini impurity; ties go to the first feature and lowest cut.
+
+    Its first `textual` levels ask the textual features only, with `least` rows in a leaf; up to `hinted` levels
+    below them, where a leaf is still mixed, may ask everything."""
+    if y.all() or not y.any() or not textual + hinted:
         return bool(2 * y.sum() > len(y))
-    _, f, cut, low = best
-    return f, cut, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
+    p = y.mean()
+    if textual:
+        cut = _best_cut(x[:, :TEXTUAL], y, least)
+        if cut is None or cut[0] > 2 * len(y) * p * (1 - p) - 1e-9:
+            return grow(x, y, 0, hinted, 2)
+    else:
+        cut = _best_cut(x, y, 2)
+        if cut is None or cut[0] > 2 * len(y) * p * (1 - p) - 1e-9:
+            return bool(2 * y.sum() > len(y))
+    _, f, at = cut
+    low = x[:, f] <= at
+    deeper = (textual - 1, hinted) if textual else (0, hinted - 1)
+    return f, at, grow(x[low], y[low], *deeper, least), grow(x[~low], y[~low], *deeper, least)
 
 
 @lru_cache(maxsize=1)
 def trained_tree() -> Tree:
-    return grow(*labelled_rows())
+    return grow(*labelled_rows(filled_pages()))
 
 
 def accepts(tree: Tree, row: tuple[float, ...]) -> bool:

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from qualitylake.llm import ann, exact_topk, html_text, mixing, near_dup, packing, quality, secret_scan, token_counts, token_files
+from qualitylake.llm import ann, exact_topk, html_layouts, html_text, mixing, near_dup, packing, quality, secret_scan, token_counts, token_files
 from qualitylake.llm.common import tokenizer_path
 from qualitylake.llm.encoding import WordEncoder
 
@@ -350,9 +350,70 @@ def test_html_layout_names_keep_the_article(names):
     assert html_text.main_text(page, html_text.trained_tree()) == "T\n" + ("a b c " * 30).strip()
 
 
-def test_tree_fits_its_table():
-    x, y = html_text.labelled_rows()
-    assert sum(html_text.accepts(html_text.trained_tree(), tuple(r)) == t for r, t in zip(x, y)) >= 0.95 * len(y)
+LONG_A, LONG_B = "The boats lay still in the harbour that day and nobody went out. " * 3, "By noon the sea was calm again and the nets came back full. " * 3
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<p>{LONG_A}</p><p>It worked.</p><p>Then came the rain.</p><p>{LONG_B}</p>", [LONG_A, "It worked.", "Then came the rain.", LONG_B]),
+        ("<p>" + " ".join(f"<a href={k}>Place{k}</a>" for k in range(12)) + f"</p><p>{LONG_A}</p><p>{LONG_B}</p>", [LONG_A, LONG_B]),
+        (f"<form action=/><h1>Of boats</h1><p>{LONG_A}</p><p>{LONG_B}</p><input name=q></form>", ["Of boats", LONG_A, LONG_B]),
+        (f"<article><div class=header><h1>Of boats</h1></div><p>{LONG_A}</p><form><p>Send us your mail address</p></form></article>", ["Of boats", LONG_A]),
+    ],
+)
+def test_html_text_features_decide(page, want):
+    assert html_text.main_text(page, html_text.trained_tree()) == "\n".join(t.strip() for t in want)
+
+
+def test_html_edge_rows(spark):
+    page = "<article><h1>T</h1>" + "<p>a b c d e f g h i j k l m n o p q r s t</p>" * 20_000 + "</article>"
+    rows = [(1, "u", page), (1, "u", page), (None, None, "<article><p>x y</p></article>"), (None, "v", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(-1))
+    out = html_text.extract_text(df).collect()
+    assert sorted((str(r["page_id"]), r["n_chars"]) for r in out) == [("1", 1 + 40 * 20_000)] * 2 + [("None", 0), ("None", 3)]
+
+
+def test_tree_fits_its_table_and_asks_the_text_first():
+    x, y = html_text.labelled_rows(html_layouts.filled_pages())
+    tree = html_text.trained_tree()
+    assert len(y) > 500 and sum(html_text.accepts(tree, tuple(r)) == t for r, t in zip(x, y)) >= 0.99 * len(y)
+
+    def depths(t, d=0):
+        return {(t[0], d)} | depths(t[2], d + 1) | depths(t[3], d + 1) if isinstance(t, tuple) else set()
+
+    asked = depths(tree)
+    assert tree[0] == html_text.FEATURES.index("links")
+    assert all(f < html_text.TEXTUAL or d >= 3 for f, d in asked)
+    assert {"words", "words_before", "words_after", "links_before", "links_after"} <= {html_text.FEATURES[f] for f, _ in asked}
+
+
+def test_tree_on_layouts_it_has_not_seen():
+    each, hits, n = 4, 0, 0
+    pages = html_layouts.filled_pages(each)
+    for k in range(0, len(html_layouts.LAYOUTS), 3):
+        tree = html_text.grow(*html_text.labelled_rows(pages[: k * each] + pages[(k + 1) * each :]))
+        x, y = html_text.labelled_rows(pages[k * each : (k + 1) * each])
+        hits += sum(html_text.accepts(tree, tuple(r)) == t for r, t in zip(x, y))
+        n += len(y)
+    assert hits / n >= 0.95
+
+
+def test_html_random_articles():
+    """Blocks of any length inside an article are kept, and areas around it are not."""
+    r = random.Random(4)
+
+    def w(c, n):
+        return " ".join(c + "ab" * r.randrange(1, 4) for _ in range(n))
+
+    exact = 0
+    for _ in range(200):
+        inside = "".join(f"<{t}>{w('m', r.choice([1, 2, 3, 8, 20, 60]))}</{t}>" for t in [r.choice(["p", "h2", "li", "p"]) for _ in range(r.randrange(1, 9))])
+        tag = r.choice(["article", "main"])
+        around = f"<footer>{w('x', 12)}</footer><section class=comments><p>{w('x', r.choice([2, 30]))}</p></section>"
+        page = f"<nav><a href=1>{w('x', 1)}</a><a href=2>{w('x', 2)}</a></nav><div class=ad>{w('x', r.choice([3, 25]))}</div><{tag}><h1>{w('m', 4)}</h1>{inside}</{tag}>{around}"
+        exact += [b[0] for b in html_text.blocks(page) if b[0][0] == "m"] == html_text.main_text(page, html_text.trained_tree()).split("\n")
+    assert exact >= 198
 
 
 # ------------------------------------------------------------------ 10
