@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import TypeVar
 
@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session has no such setting (tests, local mode) one is made for it."""
+    Where a local session has no such setting one is made for it; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="qualitylake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/qualitylake/{name}-{uuid.uuid4().hex}"
@@ -78,6 +80,18 @@ def one_per_worker(key: tuple, make: Callable[[], T]) -> T:
     return _HELD[key]
 
 
+def runs(texts: list[str], count: int = 256, chars: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Starts and ends of runs of texts, of at most `count` texts and, but for single ones, `chars` characters."""
+    at = 0
+    while at < len(texts):
+        to, n = at + 1, len(texts[at])
+        while to < len(texts) and to - at < count and n + len(texts[to]) <= chars:
+            n += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file: a path as it stands, or a bare name among the installed public tokenizers."""
     if "/" in name:
@@ -85,10 +99,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def fresh_name(df: DataFrame, *wanted: str) -> None:
-    """Refuse frames whose columns clash with the columns an operator adds."""
-    clash = sorted(set(wanted) & set(df.columns))
-    if clash:
-        raise ValueError(f"columns {clash} would be overwritten")

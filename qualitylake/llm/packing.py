@@ -1,13 +1,12 @@
 """Best-fit packing of documents into fixed-length sequences by a configuration linear program.
 
 The program has a variable per configuration (a multiset of lengths that fits one sequence) and a covering
-constraint per length of the histogram. Multiplicative weights hold a price per length; each round prices
-configurations with one knapsack dynamic program over the capacity, which completes every length to its best
-configuration, takes whole multiples of them (the rounding: downwards, so no demand is exceeded) and lowers the
-prices of the lengths it used most. What is left after the rounds goes by best fit, decreasing. All of this
-sees the histogram only, at most `capacity` numbers whatever the data. Pieces then find their sequence by their
-rank among the pieces of the same length, which needs counts per written part and length and no ordering of
-all rows.
+constraint per length of the histogram. It starts from best fit's cover and is improved by multiplicative weights,
+with a knapsack dynamic program that prices all configurations at once and gives a dual bound (see fractional).
+The fractional amounts are rounded down, configurations with large rests are taken once more, and best fit packs
+what is left. All of this sees the histogram only, at most `capacity` numbers whatever the data. Pieces then find
+their sequence by their rank among the pieces of the same length, which needs counts per written part and length
+and no ordering of all rows.
 
 Null and empty texts hold the end id only. Documents longer than the capacity are cut into full pieces and a
 rest; no other is cut. Repeated rows are packed one by one; rows with null ids too; columns other than doc_id
@@ -18,6 +17,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,79 +26,172 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, runs
 from .encoding import word_encoder
 
 #: A configuration with how often it is used: ((length, copies), ...), times.
 Config = tuple[tuple[tuple[int, int], ...], int]
 
 
-def knapsack(prices: np.ndarray, capacity: int) -> np.ndarray:
-    """choice[c]: the length that the best filling of c ends with, 0 where none fits. prices[l] is -inf for absent lengths."""
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """best[c]: the highest price of a filling of c; choice[c]: the length that it ends with, 0 where the place
+    at c stays empty. prices[l] is -inf for absent lengths."""
     best = np.zeros(capacity + 1)
-    choice = np.zeros(capacity + 1, np.int32)
+    choice = np.zeros(capacity + 1, np.int64)
+    top = len(prices) - 1
+    back = np.zeros(capacity + 1)  # best, from the end, so that each step reads one run
     for c in range(1, capacity + 1):
-        top = min(c, len(prices) - 1)
-        values = best[c - 1 :: -1][:top] + prices[1 : top + 1]
-        k = int(values.argmax())
-        if values[k] > best[c - 1]:
-            best[c], choice[c] = values[k], k + 1
-        else:  # as good as leaving one place empty
-            best[c], choice[c] = best[c - 1], 0
-    return choice
-
-
-def _filled(choice: np.ndarray, first: int, capacity: int) -> dict[int, int]:
-    config, c = {first: 1}, capacity - first
-    while c > 0:
-        k = int(choice[c])
-        if k:
-            config[k] = config.get(k, 0) + 1
-        c -= k or 1
-    return config
-
-
-def solve(histogram: np.ndarray, capacity: int, rounds: int = 40, eta: float = 0.5, bend: float = 0.2) -> list[Config]:
-    """Configurations that cover histogram[l] pieces of each length l exactly.
-
-    First prices are a little more than proportional to the length (`bend`), so that long pieces go while short
-    ones can still fill up behind them."""
-    left = histogram.astype(np.int64).copy()
-    full = [(((capacity, 1),), int(left[capacity]))] if len(left) > capacity and left[capacity] else []
-    left = np.append(left, np.zeros(max(0, capacity + 1 - len(left)), np.int64))[: capacity + 1]
-    left[capacity] = 0
-    sizes = np.arange(capacity + 1, dtype=float)
-    weights = np.ones(capacity + 1)
-    found: dict[tuple, int] = {}
-    slack = 0
-    for turn in range(rounds):
-        present = np.flatnonzero(left)
-        if not len(present):
+        k = min(c, top)
+        values = back[capacity - c + 1 : capacity - c + 1 + k] + prices[1 : k + 1]
+        i = int(values.argmax())
+        if values[i] > best[c - 1]:
+            best[c], choice[c] = values[i], i + 1
+        else:
+            best[c] = best[c - 1]
+        back[capacity - c] = best[c]
+    return best, choice
+
+
+@dataclass
+class Fractional:
+    """A fractional cover: for each configuration (column) its lengths with copies, and how often it is used.
+
+    `value` is the sum of the amounts, a feasible value of the program; no cover has less than `bound`."""
+
+    column: np.ndarray
+    length: np.ndarray
+    copies: np.ndarray
+    amount: np.ndarray
+    value: float
+    bound: float
+    rounds: int
+
+
+def _fillings(first: np.ndarray, choice: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """column, length and copies of the dearest configurations that hold each of these lengths."""
+    down = np.maximum.accumulate(np.where(choice > 0, np.arange(capacity + 1), 0))  # the nearest place where a piece ends
+    cols, lengths = [np.arange(len(first))], [first]
+    at, room = cols[0], down[capacity - first]
+    while len(at):
+        k = choice[room]
+        at, room, k = at[k > 0], room[k > 0], k[k > 0]
+        cols.append(at)
+        lengths.append(k)
+        room = down[room - k]
+    key, copies = np.unique(np.concatenate(cols) * (capacity + 1) + np.concatenate(lengths), return_counts=True)
+    return key // (capacity + 1), key % (capacity + 1), copies
+
+
+def fractional(histogram: np.ndarray, capacity: int, rounds: int = 120, epsilon: float = 0.1, gap: float = 0.0005) -> Fractional:
+    """The configuration program solved by multiplicative weights.
+
+    Minimise the sum of x over configurations such that each length l is covered histogram[l] times. A weight per
+    length falls exponentially with the length's relative coverage; a length's price is its weight per piece.
+    Each round one knapsack program prices all configurations: the dearest one gives a dual bound, and each
+    length's dearest configuration that is within 1 - epsilon of it is raised. The step is bounded by its width:
+    no length's relative coverage grows by more than one in a round, so weights fall by exp(-epsilon) at most.
+    The cover starts from best fit's and grows by a step each round; scaled down, with lengths that fall short
+    filled up by sequences of one length, it is feasible. Rounds end when the best such cover is within `gap` of
+    the bound."""
+    present = np.flatnonzero(histogram)
+    none = np.zeros(0, np.int64)
+    if not len(present):
+        return Fractional(none, none, none, np.zeros(0), 0.0, 0.0, 0)
+    need = histogram[present].astype(float)
+    alone = 1.0 / (capacity // present)
+    start = best_fit(histogram, capacity)
+    column = np.repeat(np.arange(len(start)), [len(c) for c, _ in start])
+    length, copies = np.array([x for c, _ in start for x in c]).T
+    kept = [(column, length, copies, np.array([float(n) for _, n in start]))]
+    coverage, total = need.copy(), float(kept[0][3].sum())
+    value, scale, upto, bound, turn = total, 1.0, 1, 0.0, 0
+    weights = need * present / (need * present).sum()  # prices in proportion to lengths: the bound by volume
+    for turn in range(1, rounds + 1):
+        prices = np.full(capacity + 1, -np.inf)
+        prices[present] = weights / need
+        best, choice = knapsack(prices, capacity)
+        dearest = best[capacity]
+        bound = max(bound, float(weights.sum() / dearest))
+        if value <= max(bound * (1 + gap), np.ceil(bound - 1e-6)):
             break
-        prices = np.where(left > 0, sizes * (1 + bend * sizes / capacity) * weights, -np.inf)
-        choice = knapsack(prices, capacity)
-        before, used = left.copy(), np.zeros(capacity + 1)
-        share = max(1, rounds - turn) if turn < rounds - 1 else 1
-        for first in present[::-1].tolist():
-            if not left[first]:
-                continue
-            config = _filled(choice, first, capacity)
-            times = min(int(left[k]) // a for k, a in config.items())
-            times = min(times, -(-int(before[first]) * 4 // share) if share > 4 else times)
-            if times < 1 or capacity - sum(k * a for k, a in config.items()) > slack:
-                continue
-            for k, a in config.items():
-                left[k] -= a * times
-                used[k] += a * times
-            key = tuple(sorted(config.items(), reverse=True))
-            found[key] = found.get(key, 0) + times
-        share_used = np.divide(used, before, out=np.zeros_like(used), where=before > 0)
-        weights *= np.exp(-eta * (share_used - (used.sum() / max(1, before.sum()))) * 0.02)
-        if not used.any():
-            slack = 2 * slack + 1
-            if slack > capacity // 64:
-                break
-    return full + list(found.items()) + best_fit(left, capacity)
+        worth = prices[present] + best[capacity - present]
+        near = np.flatnonzero(worth >= (1 - epsilon) * dearest)
+        column, length, copies = _fillings(present[near], choice, capacity)
+        amount = need[near] * (worth[near] / dearest - (1 - epsilon) + 0.01)
+        gain = np.bincount(length, copies * amount[column], capacity + 1)[present]
+        step = 1.0 / (gain / need).max()
+        coverage += step * gain
+        total += step * amount.sum()
+        kept.append((column, length, copies, step * amount))
+        weights *= np.exp(-epsilon * step * gain / need)
+        weights /= weights.sum()
+        ratio = coverage / need
+        for s in np.unique(np.quantile(ratio, [0, 0.02, 0.1, 0.25, 0.5, 0.9])):
+            v = total / s + float((np.maximum(0, need - coverage / s) * alone).sum())
+            if v < value:
+                value, scale, upto = v, s, len(kept)
+    # equal configurations of all rounds become one; random marks of their lengths tell them apart
+    mark = np.random.default_rng(7).integers(0, 1 << 62, capacity + 1, dtype=np.uint64)
+    offsets = np.cumsum([0, *[len(k[3]) for k in kept[:upto]]])
+    column = np.concatenate([k[0] + o for k, o in zip(kept[:upto], offsets)])
+    length, copies, amount = (np.concatenate([k[i] for k in kept[:upto]]) for i in (1, 2, 3))
+    marks = np.zeros(offsets[-1], np.uint64)
+    np.add.at(marks, column, mark[length] * copies.astype(np.uint64))
+    _, first, same = np.unique(marks, return_index=True, return_inverse=True)
+    covered = np.bincount(length, copies * (amount / scale)[column], capacity + 1)[present]
+    short = np.flatnonzero(covered < need * (1 - 1e-12))
+    keep = np.isin(column, first)
+    return Fractional(
+        np.concatenate([same[column[keep]], len(first) + np.arange(len(short))]),
+        np.concatenate([length[keep], present[short]]),
+        np.concatenate([copies[keep], capacity // present[short]]),
+        np.concatenate([np.bincount(same, amount) / scale, (need - covered)[short] * alone[short]]),
+        value,
+        bound,
+        turn,
+    )
+
+
+def rounded(histogram: np.ndarray, capacity: int, solution: Fractional) -> list[Config]:
+    """Whole configurations for exactly histogram[l] pieces: amounts are rounded down, then configurations with a
+    large rest are taken once more while their pieces last, the largest rests first; best fit packs what is left.
+    Of a few cuts between large and small rests the one with the fewest sequences stands."""
+    order = np.argsort(solution.column, kind="stable")
+    ends = np.cumsum(np.bincount(solution.column, minlength=len(solution.amount)))
+    starts = ends - np.bincount(solution.column, minlength=len(solution.amount))
+    length, copies = solution.length[order].tolist(), solution.copies[order].tolist()
+    whole = np.floor(solution.amount + 1e-9).astype(np.int64)
+    rest = solution.amount - whole
+    by_rest = np.argsort(-rest, kind="stable")
+    configs = [tuple(zip(length[i:j], copies[i:j])) for i, j in zip(starts.tolist(), ends.tolist())]
+
+    def take(config: tuple, times: int, left: np.ndarray) -> int:
+        times = min([times, *[int(left[k]) // a for k, a in config]])
+        for k, a in config:
+            left[k] -= a * times
+        return times
+
+    found: list[list[Config]] = []
+    for least in (1.0, 0.5, 0.1, 0.0):
+        left = histogram.astype(np.int64).copy()
+        used: dict[int, int] = {}
+        for j in np.flatnonzero(whole).tolist():
+            if n := take(configs[j], int(whole[j]), left):
+                used[j] = n
+        for j in by_rest[rest[by_rest] > least].tolist():
+            if n := take(configs[j], 1, left):
+                used[j] = used.get(j, 0) + n
+        found.append([(configs[j], n) for j, n in used.items()] + best_fit(left, capacity))
+    return min(found, key=lambda c: sum(n for _, n in c))
+
+
+def solve(histogram: np.ndarray, capacity: int, rounds: int = 120) -> list[Config]:
+    """Configurations that hold histogram[l] pieces of each length l exactly."""
+    left = np.zeros(capacity + 1, np.int64)
+    left[: len(histogram)] = histogram
+    full = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    return full + rounded(left, capacity, fractional(left, capacity, rounds))
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[Config]:
@@ -168,7 +261,7 @@ class Places:
         return self.sequence[i] + nth // self.copies[i], self.offset[i] + nth % self.copies[i] * length
 
 
-def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, kept: int, batch: int = 256) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, kept: int) -> DataFrame:
     """Each document's pieces with the part that made them and their rank among its pieces of the same length."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,8 +271,8 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, kept: in
         for b in batches:
             names, texts = b.doc_id.tolist(), b.text.tolist()
             rows = []
-            for at in range(0, len(texts), batch):
-                for name, ids in zip(names[at : at + batch], encoder.encode(texts[at : at + batch])):
+            for at, to in runs(texts):
+                for name, ids in zip(names[at:to], encoder.encode(texts[at:to])):
                     ids = np.frombuffer(ids + end, encoder.dtype).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         piece = ids[start : start + capacity]
@@ -191,7 +284,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, kept: in
     return texts.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
-def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, rounds: int = 40, kept: int = 1_000_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, rounds: int = 120, kept: int = 1_000_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece. `kept`: words that a Python
     worker keeps at most, about 200 bytes each."""
     spark = docs.sparkSession
@@ -200,7 +293,7 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_49k.j
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         histogram[r["length"]] = r["n"]
-    places = spark.sparkContext.broadcast(Places(solve(histogram, capacity, rounds)))  # rounds * capacity runs at most
+    places = spark.sparkContext.broadcast(Places(solve(histogram, capacity, rounds)))  # some rows per configuration in use, rounds * capacity at most
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = cut.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))

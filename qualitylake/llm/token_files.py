@@ -8,7 +8,7 @@ A shard is one binary value: a header, an index with each document's frame offse
 
 The dictionary is trained on the serialized ids of a bounded sample and lies beside the shards, named by its
 hash, so a short document is read by its offset alone. Shards are Parquet values, which any store of Spark's
-takes, in ascending order of doc_id (null first, then by a hash of the text); `start` is a shard's first token
+takes, in ascending order of doc_id (null first, then by a hash of the text, equal rows in any order); `start` is a shard's first token
 among all tokens of the table.
 
 Null and empty texts have the end id only. Repeated rows are kept one by one. Very long texts are one frame. An
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir
+from .common import runs, shared_dir
 from .encoding import word_encoder
 
 MAGIC = b"QLT1"
@@ -89,7 +89,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end
     path = path or shared_dir(spark, "tokens")
     dictionary = train_dictionary(docs, tokenizer)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), dictionary, tokenizer, end_id)], "sha256 string, dictionary binary, tokenizer string, end_id int").write.parquet(f"{path}/dictionary")
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_h"), F.rand(7).alias("_salt")).repartitionByRange("doc_id", "_h", "_salt").sortWithinPartitions("doc_id", "_h", "_salt").select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("string").alias("doc_id"), "text")
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = word_encoder(tokenizer)
@@ -99,16 +99,11 @@ def write_token_files(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end
         number = before = 0
         for b in batches:
             texts, names, part = b.text.tolist(), b.doc_id.tolist(), int(b.part.iloc[0])
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and to - at < shard_docs and (to == at or chars + len(texts[to]) <= shard_bytes):
-                    chars += len(texts[to])
-                    to += 1
+            for at, to in runs(texts, shard_docs, shard_bytes):
                 ids = [x + end for x in encoder.encode(texts[at:to])]
                 doc_ids = names[at:to]
                 yield pd.DataFrame({"part": [part], "shard": [number], "doc_ids": [doc_ids], "before": [before], "n_tokens": [n := sum(map(len, ids)) // width], "data": [pack_shard(ids, width, dictionary, packer.compress)]})
-                at, number, before = to, number + 1, before + n
+                number, before = number + 1, before + n
 
     ranged.mapInPandas(shards, SHARD).write.option("compression", "none").parquet(f"{path}/shards")
     return path

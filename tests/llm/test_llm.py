@@ -143,17 +143,45 @@ def test_packing_is_gapless_and_near_the_bound(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def check_program(h, capacity):
+    """The fractional solution is a cover between its bounds, its rounding exact; how many sequences it takes."""
+    x = packing.fractional(h, capacity)
+    size = np.bincount(x.column, x.length * x.copies, len(x.amount)) if len(x.amount) else np.zeros(0)
+    assert (size <= capacity).all() and (x.amount >= 0).all()
+    covered = np.bincount(x.length, x.copies * x.amount[x.column], capacity + 1) if len(x.column) else np.zeros(capacity + 1)
+    assert (covered >= h * (1 - 1e-9)).all()
+    assert x.amount.sum() == pytest.approx(x.value) and x.bound <= x.value * (1 + 1e-9)
+    assert x.bound >= (h * np.arange(capacity + 1)).sum() / capacity * (1 - 1e-9)
+    found, seen = packing.rounded(h, capacity, x), np.zeros(capacity + 1, int)
+    for config, times in found:
+        assert times > 0 and sum(k * a for k, a in config) <= capacity
+        for k, a in config:
+            seen[k] += a * times
+    n = sum(t for _, t in found)
+    assert (seen == h).all() and x.bound <= n + 1e-6 and n <= x.value + len(x.amount) + 1
+    return n, x.value
+
+
 def test_configurations_cover_exactly():
     r = np.random.default_rng(3)
     for lengths in ([], [5], r.integers(1, 100, 500), np.full(300, 33), r.integers(30, 70, 400)):
-        h = np.bincount(lengths, minlength=101) if len(lengths) else np.zeros(101, int)
-        solved, seen = packing.solve(h, 100), np.zeros(101, int)
-        for config, times in solved:
-            assert times > 0 and sum(k * a for k, a in config) <= 100
-            for k, a in config:
-                seen[k] += a * times
-        assert (seen == h).all()
-        assert sum(t for _, t in solved) <= 1.02 * sum(t for _, t in packing.best_fit(h, 100)) + 1
+        h = np.bincount(np.array(lengths, int), minlength=101)
+        assert check_program(h, 100)[0] <= sum(t for _, t in packing.best_fit(h, 100))
+
+
+@pytest.mark.parametrize("lengths, counts, best", [((51, 27, 26, 23), (1000, 1000, 1000, 2000), 1500), ((45, 34, 33, 22, 21), (600, 300, 500, 700, 400), 775)])
+def test_the_program_beats_best_fit(lengths, counts, best):
+    h = np.zeros(101, int)
+    h[list(lengths)] = counts
+    n, value = check_program(h, 100)
+    assert value <= 1.01 * best and n <= 1.01 * best < 0.95 * sum(t for _, t in packing.best_fit(h, 100))
+
+
+def test_packing_very_long_and_clashing(spark):
+    docs = spark.createDataFrame([(1, "a b " * 50_000), (1, "a b " * 50_000), (None, None)], "doc_id long, text string").withColumn("part", F.lit("x")).withColumn("length", F.lit(0)).withColumn("rank", F.lit(0))
+    rows = packing.pack(docs).collect()
+    assert sorted(r["length"] for r in rows) == sorted([4096] * 48 + [100_001 - 24 * 4096] * 2 + [1])
+    assert len({r["sequence_id"] for r in rows}) == 49
 
 
 # ------------------------------------------------------------------ 4
