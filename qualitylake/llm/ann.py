@@ -2,16 +2,18 @@
 
 Vectors get one more component that makes all norms equal, so the largest inner product is the smallest distance.
 A Gaussian matrix projects them to `m` dimensions: the squared projected distance over the squared distance is
-chi-square with m degrees of freedom. Rows lie in blocks of bounded size, each with a kd-tree over its projected
-points. A query walks the tree's leaves from near to far, verifies the points that its test can't exclude by
-their true inner products, and stops when the next leaf is so far in the projection that, for a point better than
-the k-th best so far, so large a ratio has a chance below 1 - `confidence`. The k best of a bounded sample are
-computed outright: they are candidates themselves, their last one starts the test in every block, and blocks
-return only what is no worse.
+chi-square with m degrees of freedom. A kd-tree over a bounded sample's projected points cuts the space into cells;
+rows lie in blocks of their cell, each block with a kd-tree of its own. A query first searches a block of its own
+cell, then the blocks of all cells that its test can't exclude. In a block it takes the leaves from near to far,
+verifies the points that the test can't exclude by their true inner products, and stops when the next leaf is so
+far in the projection that, for a point better than the k-th best so far, so large a ratio has a chance below
+1 - `confidence`. The k best of the sample are candidates themselves and start the test.
 
-Every row is indexed. Vectors that take no part: see vectors.usable, and zero vectors. A table with fewer than k
-candidates gives what is found of them; an empty one gives no rows. Columns other than vec_id and embedding play
-no part."""
+Every row is indexed. Vectors that take no part: see vectors.usable, and zero vectors. Ties go to the smaller
+vec_id. Scores are sums over the original components in order, the same wherever a pair is met; components so large
+that products leave the range of doubles are scaled for the search, and their scores are as doubles give them. A
+table with fewer than k candidates gives what is found of them; an empty one gives no rows. Columns other than
+vec_id and embedding play no part."""
 
 from __future__ import annotations
 
@@ -49,7 +51,7 @@ def chi_square_quantile(p: float, m: int) -> float:
 class KdTree:
     """Median splits along the widest axis down to `leaf` points; `order` lists the points leaf by leaf."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 128):
+    def __init__(self, points: np.ndarray, leaf: int = 16):
         runs, stack = [], [np.arange(len(points))]
         while stack:
             at = stack.pop()
@@ -67,113 +69,193 @@ class KdTree:
         self.points = points[self.order]
         self.squares = (self.points * self.points).sum(axis=1)
 
-    def distances(self, q: np.ndarray) -> np.ndarray:
-        """Squared distances from each point to each leaf's box."""
-        out = np.empty((len(q), len(self.low)))
-        for k, (low, high) in enumerate(zip(self.low, self.high)):
-            gap = np.maximum(0, np.maximum(low - q, q - high))
-            out[:, k] = (gap * gap).sum(axis=1)
-        return out
 
+def box_distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances from each point to each box."""
+    out = np.zeros((len(q), len(low)))
+    for j in range(q.shape[1]):
+        gap = np.maximum(0, np.maximum(low[None, :, j] - q[:, None, j], q[:, None, j] - high[None, :, j]))
+        out += gap * gap
+    return out
 
-def search(tree: KdTree, x: np.ndarray, ids: np.ndarray, lift: np.ndarray, q: np.ndarray, q_ids: np.ndarray, q_low: np.ndarray, kth: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What a group of queries finds in a block: query places, places and scores, none below a query's k-th best.
+
+class Cells:
+    """The top of a kd-tree over a sample: `depth` median cuts, as arrays, so that any point finds its cell."""
+
+    def __init__(self, points: np.ndarray, depth: int):
+        self.depth, n = depth, (1 << depth) - 1
+        self.axis, self.cut = np.zeros(n, int), np.zeros(n)
+        held = {0: points}
+        for node in range(n):
+            p = held.pop(node)
+            if len(p):
+                self.axis[node] = int(np.ptp(p, axis=0).argmax())
+                self.cut[node] = np.median(p[:, self.axis[node]])
+            above = p[:, self.axis[node]] > self.cut[node]
+            if 2 * node + 1 < n:
+                held[2 * node + 1], held[2 * node + 2] = p[~above], p[above]
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(points), int)
+        for _ in range(self.depth):
+            at = 2 * at + 1 + (points[np.arange(len(points)), self.axis[at]] > self.cut[at])
+        return at - ((1 << self.depth) - 1)
+
+
+def pair_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows with rows, each summed in one order whatever stands beside it."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return (q * x).sum(axis=1)
+
+
+def search(tree: KdTree, x: np.ndarray, ids: np.ndarray, lift: np.ndarray, q: np.ndarray, q_ids: np.ndarray, q_low: np.ndarray, kth: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """What a group of queries finds in a block: query places, places, the queries' k-th best scores then, and the
+    share of (query, leaf) that was visited.
 
     x and ids are in the tree's order. lift: the common squared norm plus the query's, so that lift - 2 * score
-    is a squared distance. In round r each query is at its r-th nearest leaf; queries at the same leaf go
-    together. A query ends at the first leaf that its test excludes: all later ones are farther."""
-    boxes = tree.distances(q_low)
-    order = np.argsort(boxes, axis=1, kind="stable")
+    is a squared distance. A query takes its leaves from near to far in rounds of growing size; before each leaf
+    its test is made anew, so leaves beyond its stop are never opened."""
+    boxes = box_distances(q_low, tree.low, tree.high)
+    rank = np.argsort(np.argsort(boxes, axis=1, kind="stable"), axis=1)
     kth, top = kth.copy(), np.full((len(q), k), -np.inf)
     squares = (q_low * q_low).sum(axis=1)
-    live, found = np.arange(len(q)), []
-    for r in range(boxes.shape[1]):
-        leaf = order[live, r]
-        near = boxes[live, leaf] < stop * np.maximum(0, lift[live] - 2 * kth[live])
-        live, leaf = live[near], leaf[near]
-        if not len(live):
+    found, visited, first, n = [], 0, 0, boxes.shape[1]
+    while first < n:
+        last = min(n, 2 * first + 1)
+        due = (rank >= first) & (rank < last) & (boxes < (stop * np.maximum(0, lift - 2 * kth))[:, None])
+        if not due.any():  # all later leaves are farther
             break
-        for n in np.unique(leaf):
-            rows, part = live[leaf == n], slice(tree.starts[n], tree.starts[n + 1])
+        for leaf in np.flatnonzero(due.any(axis=0)):
+            rows, part = np.flatnonzero(due[:, leaf]), slice(tree.starts[leaf], tree.starts[leaf + 1])
+            reach = stop * np.maximum(0, lift[rows] - 2 * kth[rows])
+            near = boxes[rows, leaf] < reach
+            rows, reach = rows[near], reach[near]
+            visited += len(rows)
             gaps = squares[rows, None] - 2 * (q_low[rows] @ tree.points[part].T) + tree.squares[None, part]
-            fits = (gaps < (stop * np.maximum(0, lift[rows] - 2 * kth[rows]))[:, None]) & (ids[None, part] != q_ids[rows, None])
+            fits = (gaps < reach[:, None]) & (ids[None, part] != q_ids[rows, None])
             scores = np.where(fits, q[rows] @ x[part].T, -np.inf)
-            i, j = np.nonzero(scores >= np.maximum(kth[rows], -1e300)[:, None])
-            found.append((rows[i], part.start + j, scores[i, j]))
-            top[rows] = np.partition(np.concatenate([top[rows], scores], axis=1), -k, axis=1)[:, -k:]
-            kth[rows] = np.maximum(kth[rows], top[rows].min(axis=1))
+            # a little below the k-th best: what is kept is scored anew
+            i, j = np.nonzero(scores >= (kth[rows] - 1e-9 * lift[rows])[:, None])
+            i, j = i[scores[i, j] > -np.inf], j[scores[i, j] > -np.inf]
+            if len(i):
+                found.append((rows[i], part.start + j, scores[i, j]))
+                some = np.unique(i)
+                top[rows[some]] = np.partition(np.concatenate([top[rows[some]], scores[some]], axis=1), -k, axis=1)[:, -k:]
+                kth[rows[some]] = np.maximum(kth[rows[some]], top[rows[some]].min(axis=1))
+        first = last
     if not found:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        return np.zeros(0, int), np.zeros(0, int), kth, visited / max(1, boxes.size)
     at, places, scores = (np.concatenate(c) for c in zip(*found))
-    keep = scores >= kth[at]
-    return at[keep], places[keep], scores[keep]
+    keep = scores >= kth[at] - 1e-9 * lift[at]
+    return at[keep], places[keep], kth, visited / max(1, boxes.size)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 16, confidence: float = 0.95, sample: int = 8192, block: int = 8192, queries: int = 1024, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 6, confidence: float = 0.95, sample: int = 8192, block: int = 8192, queries: int = 1024, leaf: int = 16, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id and score: of each query the k nearest found among all rows but its own."""
     spark = vectors.sparkSession
     rows, dim = usable(vectors, zero=False)
     if not dim:
         return spark.createDataFrame([], RESULT)
     rows = materialize(rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "vectors")
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    largest = rows.agg(F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x))))).first()[0]
+    unit = 2.0 ** -max(-1000, min(1000, math.frexp(largest)[1]))  # searches see components of at most 1
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x * unit) * (x * unit))
     n, longest = rows.agg(F.count("*"), F.max(norm)).first()
     seen = rows.orderBy(F.xxhash64("vec_id")).limit(sample).collect()  # `sample` rows at most
     seen_ids, seen_x = np.array([r["vec_id"] for r in seen]), np.array([r["embedding"] for r in seen], float)
     onto = np.random.default_rng(seed).standard_normal((dim + 1, m))
     stop = chi_square_quantile(confidence, m)
-    n_blocks, n_groups = -(-n // block), max(1, -(-rows.where(is_query).count() // queries))
 
     def lifted(x: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(0.0, longest - (x * x).sum(axis=1)))
-        return x @ onto[:-1] + rest[:, None] * onto[-1]
+        """The projections of data rows, their added component included; queries have none."""
+        x = x * unit
+        return x @ onto[:-1] + np.sqrt(np.maximum(0.0, longest - (x * x).sum(axis=1)))[:, None] * onto[-1]
+
+    cells = Cells(lifted(seen_x), max(0, min(9, math.ceil(math.log2(n / block)))))
+    share = spark.sparkContext.broadcast(seen_x * unit)  # `sample` rows
+
+    def with_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            low = lifted(matrix(b.embedding, dim))
+            yield b.assign(cell=cells.of(low).astype("i4"), low=list(low))
+
+    placed = materialize(rows.withColumn("asked", F.coalesce(is_query, F.lit(False))).mapInPandas(with_cell, "vec_id long, embedding array<double>, asked boolean, cell int, low array<double>"), "cells")
+    box = [f(F.col("low")[j]).alias(f"{side}{j}") for side, f in (("low", F.min), ("high", F.max)) for j in range(m)]
+    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("asked").alias("q"), *box).collect()  # a row per cell, 512 at most
+    names = np.array([r["cell"] for r in summary])
+    low, high = (np.array([[r[f"{side}{j}"] for j in range(m)] for r in summary]) for side in ("low", "high"))
+    blocks_of = {r["cell"]: -(-r["n"] // block) for r in summary}
+    groups_of = {r["cell"]: max(1, -(-r["q"] // queries)) for r in summary}
+
+    def per_cell(counts: dict[int, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("cell"))
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vec_id")
-        return pd.DataFrame({"block": g.block.iloc[:1], "ids": [g.vec_id.to_numpy().astype("<i8").tobytes()], "rows": [matrix(g.embedding, dim).tobytes()]})
+        return pd.DataFrame({"cell": g.cell.iloc[:1], "block": g.block.iloc[:1], "ids": [g.vec_id.to_numpy().astype("<i8").tobytes()], "rows": [matrix(g.embedding, dim).tobytes()]})
 
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, rows binary")
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), per_cell(blocks_of)).cast("int"))
+    blocks = materialize(dealt.groupBy("cell", "block").applyInPandas(pack, "cell int, block int, ids binary, rows binary"), "blocks")
 
-    def sampled(ids: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Each query's k best of the sample: ids and scores."""
-        scores = q @ seen_x.T
-        scores[ids[:, None] == seen_ids[None, :]] = -np.inf
-        return [(seen_ids[at], row[at]) for row in scores for at in [best(row, seen_ids, k)]]
-
-    def send(g: pd.DataFrame) -> pd.DataFrame:
-        """A group of queries for every block, each query with the k-th best score of the sample."""
+    def group(g: pd.DataFrame) -> pd.DataFrame:
+        """A group of queries of one cell with their k-th best scores in the sample, for the first block of the cell."""
         ids, q = g.vec_id.to_numpy(), matrix(g.embedding, dim)
-        kth = np.array([s.min() if len(s) == k else -np.inf for _, s in sampled(ids, q)])
-        return pd.DataFrame({"block": np.arange(n_blocks, dtype="i4")}).assign(q_ids=ids.astype("<i8").tobytes(), q_rows=q.tobytes(), kth=kth.tobytes())
+        scores = (q * unit) @ share.value.T
+        scores[ids[:, None] == seen_ids[None, :]] = -np.inf
+        kth = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(q), -np.inf)
+        return pd.DataFrame({"cell": g.cell.iloc[:1], "block": np.zeros(1, "i4"), "q_ids": [ids.astype("<i8").tobytes()], "q_rows": [q.tobytes()], "kth": [kth.tobytes()]})
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query's k best of the sample."""
         for b in batches:
-            for at in range(0, len(b), queries):
-                ids, q = b.vec_id.to_numpy()[at : at + queries], matrix(b.embedding[at : at + queries], dim)
-                found = sampled(ids, q)
-                yield pd.DataFrame({"query_id": np.repeat(ids, [len(i) for i, _ in found]), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
+            for at in range(0, len(b), 256):
+                ids, q = b.vec_id.to_numpy()[at : at + 256], matrix(b.embedding[at : at + 256], dim)
+                scores = (q * unit) @ share.value.T
+                scores[ids[:, None] == seen_ids[None, :]] = -np.inf
+                hits = [best(row, seen_ids, k) for row in scores]
+                i, j = np.repeat(np.arange(len(q)), [len(h) for h in hits]), np.concatenate(hits)
+                yield pd.DataFrame({"query_id": ids[i], "vec_id": seen_ids[j], "score": pair_scores(q[i], seen_x[j])})
 
-    chosen = rows.where(is_query)
-    asked = chosen.withColumn("group", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(n_groups)))
-    sent = asked.groupBy("group").applyInPandas(send, "block int, q_ids binary, q_rows binary, kth binary")
+    asked = dealt.where("asked").withColumn("group", F.pmod(F.xxhash64(F.lit(1), "vec_id"), per_cell(groups_of)))
+    grouped = asked.groupBy("cell", "group").applyInPandas(group, "cell int, block int, q_ids binary, q_rows binary, kth binary")
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def searched(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """Each group that meets a block: the row, ids, queries and what search returns."""
         held: tuple = ("", None)
         for b in batches:
-            out = []
-            for name, ids, data, q_ids, q_data, kths in zip(b.block, b.ids, b["rows"], b.q_ids, b.q_rows, b.kth):
-                ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                if held[0] != name:
-                    x = np.frombuffer(data).reshape(-1, dim)
-                    tree = KdTree(lifted(x))
-                    held = (name, (x[tree.order], ids[tree.order], tree))
+            for r in b.itertuples(index=False):
+                if held[0] != (r.cell, r.block):
+                    x, ids = np.frombuffer(r.rows).reshape(-1, dim), np.frombuffer(r.ids, "<i8")
+                    tree = KdTree(lifted(x), leaf)
+                    held = ((r.cell, r.block), (x[tree.order], ids[tree.order], tree))
                 x, ids, tree = held[1]
-                q = np.frombuffer(q_data).reshape(-1, dim)
-                at, places, scores = search(tree, x, ids, longest + (q * q).sum(axis=1), q, q_ids, q @ onto[:-1], np.frombuffer(kths), k, stop)
-                out.append(pd.DataFrame({"query_id": q_ids[at], "vec_id": ids[places], "score": scores}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    met = sent.join(blocks, "block").sortWithinPartitions("block")
-    found = met.mapInPandas(solve, "query_id long, vec_id long, score double").unionByName(chosen.mapInPandas(first, "query_id long, vec_id long, score double"))
-    return ranked(found.dropDuplicates(["query_id", "vec_id"]), k)
+                q_ids, q = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.q_rows).reshape(-1, dim)
+                u = q * unit
+                yield r, q_ids, q, ids, x, search(tree, x * unit, ids, longest + (u * u).sum(axis=1), u, q_ids, u @ onto[:-1], np.frombuffer(r.kth), k, stop)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups with the k-th best scores that a block of their cell gives."""
+        for r, *_, (_, _, kth, _) in searched(batches):
+            yield pd.DataFrame({"q_ids": [r.q_ids], "q_rows": [r.q_rows], "kth": [kth.tobytes()]})
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Queries for the blocks of each cell that their test can't exclude."""
+        for b in batches:
+            for r in b.itertuples(index=False):
+                q_ids, q, kth = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.q_rows).reshape(-1, dim), np.frombuffer(r.kth)
+                u = q * unit
+                near = box_distances(u @ onto[:-1], low, high) < (stop * np.maximum(0, longest + (u * u).sum(axis=1) - 2 * kth))[:, None]
+                for c in np.flatnonzero(near.any(axis=0)):
+                    to, at = np.arange(blocks_of[names[c]], dtype="i4"), near[:, c]
+                    yield pd.DataFrame({"block": to}).assign(cell=names[c], q_ids=q_ids[at].tobytes(), q_rows=q[at].tobytes(), kth=kth[at].tobytes())[["cell", "block", "q_ids", "q_rows", "kth"]]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, q_ids, q, ids, x, (at, places, _, _) in searched(batches):
+            yield pd.DataFrame({"query_id": q_ids[at], "vec_id": ids[places], "score": pair_scores(q[at], x[places])})
+
+    keys = ["cell", "block"]
+    started = materialize(grouped.join(blocks, keys).sortWithinPartitions(*keys).mapInPandas(first, "q_ids binary, q_rows binary, kth binary"), "queries")
+    sent = started.mapInPandas(route, "cell int, block int, q_ids binary, q_rows binary, kth binary")
+    found = sent.join(blocks, keys).sortWithinPartitions(*keys).mapInPandas(solve, "query_id long, vec_id long, score double")
+    own = placed.where("asked").select("vec_id", "embedding").mapInPandas(sampled, "query_id long, vec_id long, score double")
+    return ranked(found.unionByName(own).dropDuplicates(["query_id", "vec_id"]), k)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,17 +12,17 @@ from pyspark.sql.window import Window
 def usable(vectors: DataFrame, zero: bool = True) -> tuple[DataFrame, int]:
     """vec_id and embedding of the vectors that take part, one row per id, and their dimension.
 
-    Null ids, null vectors, vectors that hold a null or non-finite component and, if asked, zero vectors take no
-    part; nor do vectors of another length than most (of the shorter, if two lengths are as common). Where an id
+    Null ids, null and empty vectors, vectors that hold a null or non-finite component and, if asked, zero vectors
+    take no part. The dimension is the longest vector's; a shorter one counts as if zeros followed. Where an id
     repeats, its smallest vector stands for it."""
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = vectors.where(F.col("vec_id").isNotNull() & e.isNotNull()).where(fine & (F.size(e) > 0))
     if not zero:
         whole = whole.where(F.exists(e, lambda x: x != 0))
-    top = whole.groupBy(F.size(e).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = top["d"] if top else 0
-    return whole.where(F.size(e) == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), dim
+    dim = whole.agg(F.max(F.size(e))).first()[0] or 0
+    wide = F.when(F.size(e) == dim, e).otherwise(F.concat(e, F.array_repeat(F.lit(0.0).cast(vectors.schema["embedding"].dataType.elementType), F.lit(dim) - F.size(e))))
+    return whole.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("vec_id", wide.alias("embedding")), dim
 
 
 def matrix(column: pd.Series, dim: int) -> np.ndarray:
@@ -59,7 +57,3 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best among what the blocks found."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def by_group(df: DataFrame, keys: list[str], pack: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.groupBy(*keys).applyInPandas(pack, schema)

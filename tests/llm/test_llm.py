@@ -199,12 +199,13 @@ def test_exact_topk_equals_brute_force(spark):
     rows, dirty = vectors_of(spark, 300)
     df = spark.createDataFrame(dirty, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1))
     got = [tuple(r) for r in exact_topk.exact_topk(df, F.col("vec_id") % 10 == 0, k=5, cells=7, sample=20, block=16, queries=4).orderBy("query_id", "rank").collect()]
-    v = np.floor(256 * np.array([x for _, x in rows])).astype(int)
-    want = []
+    v = np.floor(256 * np.array([*[x for _, x in rows], [0.0] * 8])).astype(int)
+    v[300, 0] = 256  # row 304, a short vector
+    names, want = [*range(300), 304], []
     for q in range(0, 300, 10):
         s = v @ v[q]
-        order = [i for i in np.lexsort((np.arange(300), -s)) if i != q][:5]
-        want += [(q, k + 1, int(i), int(s[i])) for k, i in enumerate(order)]
+        order = [names[i] for i in np.lexsort((names, -s)) if i != q][:5]
+        want += [(q, k + 1, int(i), int(s[names.index(i)])) for k, i in enumerate(order)]
     assert got == want
 
 
@@ -223,27 +224,66 @@ def test_chi_square():
     assert abs(ann.chi_square_quantile(0.95, 2) - 5.991464547) < 1e-6
 
 
+def check_nearest(rows, x, queries, k):
+    """Scores and order of a result; its recall against brute force."""
+    by, hits = {}, 0
+    for row in rows:
+        assert row["score"] == pytest.approx(float(x[row["query_id"]] @ x[row["vec_id"]]), rel=1e-12, abs=1e-12) and row["query_id"] != row["vec_id"]
+        by.setdefault(row["query_id"], {})[row["rank"]] = (row["score"], row["vec_id"])
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [by[q][i + 1] for i in range(k)] == sorted(by[q].values(), key=lambda t: (-t[0], t[1]))
+        hits += len({v for _, v in by[q].values()} & set(np.argsort(-s, kind="stable")[:k].tolist()))
+    return hits / (k * len(queries))
+
+
 def test_nearest_recall_and_scores(spark):
     r = np.random.default_rng(5)
     x = r.standard_normal((600, 24))
     x[:, :] /= np.linalg.norm(x, axis=1)[:, None] * r.uniform(0.5, 1, 600)[:, None] ** -1
     df = spark.createDataFrame([*[(i, x[i].tolist()) for i in range(600)], (600, [0.0] * 24), (601, None)], "vec_id long, embedding array<double>")
-    rows = ann.nearest(df, F.col("vec_id") % 20 == 0, k=10, sample=64, block=100).collect()
-    by = {}
-    for row in rows:
-        assert row["score"] == pytest.approx(float(x[row["query_id"]] @ x[row["vec_id"]]), abs=1e-12) and row["query_id"] != row["vec_id"]
-        by.setdefault(row["query_id"], {})[row["rank"]] = (row["score"], row["vec_id"])
-    hits = 0
-    for q in range(0, 600, 20):
-        s = x @ x[q]
-        s[q] = -9
-        assert [by[q][k + 1] for k in range(10)] == sorted(by[q].values(), key=lambda t: (-t[0], t[1]))
-        hits += len({v for _, v in by[q].values()} & set(np.argsort(-s)[:10].tolist()))
-    assert hits / 300 >= 0.9
+    rows = ann.nearest(df, F.col("vec_id") % 20 == 0, k=10, sample=64, block=100, queries=8).collect()
+    assert check_nearest(rows, x, range(0, 600, 20), 10) >= 0.9
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
     assert ann.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_nearest_ties_repeats_nulls_and_huge_norms(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((200, 6)).round(2)
+    x[60:140] = x[60]  # more than a third of all rows are one vector
+    x[7] = [1e200, 0, 0, 0, 0, 0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(3, rows[3][1]), (None, [1.0] * 6), (500, [float("nan")] * 6), (501, None), (502, []), (503, [0.0] * 6), (504, [1.0, None])]
+    df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>").withColumn("cell", F.lit("x")).withColumn("score", F.lit(0))
+    found = ann.nearest(df, F.col("vec_id").isin(60, 100, 199), k=5, sample=32, block=16, queries=2).collect()
+    by = {(f["query_id"], f["rank"]): (f["vec_id"], f["score"]) for f in found}
+    for q in (60, 100, 199):
+        s = np.array([float((x[q] * v).sum()) for v in x])
+        want = [i for i in np.lexsort((np.arange(200), -s)) if i != q][:5]
+        assert [by[q, k + 1] for k in range(5)] == [(i, s[i]) for i in want]
+
+
+def test_the_stop_fires_on_clusters():
+    """Half of the leaves and more stay closed on clustered rows; recall and share are those of one block."""
+    r = np.random.default_rng(8)
+    x = np.repeat(r.standard_normal((40, 32)), 50, axis=0) + 0.1 * r.standard_normal((2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    onto = r.standard_normal((33, 6))
+    tree = ann.KdTree(x @ onto[:-1], 16)
+    q = x[::20]
+    at, places, _, share = ann.search(tree, x[tree.order], tree.order, 1 + np.ones(100), q, np.arange(0, 2000, 20), q @ onto[:-1], np.full(100, -np.inf), 10, ann.chi_square_quantile(0.95, 6))
+    hits = 0
+    for k in range(100):
+        s = x @ q[k]
+        s[20 * k] = -9
+        mine = at == k
+        best = places[mine][np.argsort(-(x[tree.order[places[mine]]] @ q[k]))[:10]]
+        hits += len(set(tree.order[best].tolist()) & set(np.argsort(-s)[:10].tolist()))
+    assert share < 0.5 and hits / 1000 >= 0.9
+
+
 # ------------------------------------------------------------------ 5
 
 
