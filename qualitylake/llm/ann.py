@@ -150,7 +150,7 @@ def search(tree: KdTree, x: np.ndarray, ids: np.ndarray, lift: np.ndarray, q: np
     return at[keep], places[keep], kth, visited / max(1, boxes.size)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 6, confidence: float = 0.95, sample: int = 8192, block: int = 8192, queries: int = 1024, leaf: int = 16, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 6, confidence: float = 0.93, sample: int = 8192, block: int = 8192, queries: int = 1024, leaf: int = 64, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id and score: of each query the k nearest found among all rows but its own."""
     spark = vectors.sparkSession
     rows, dim = usable(vectors, zero=False)
