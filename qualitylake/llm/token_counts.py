@@ -4,15 +4,21 @@ A prefix's encoding is a chain of last tokens: it ends with the one piece whose
 survives the merges unchanged. So what the next character needs is only the longest suffix that starts some
 piece, with the last token and relative count at each place in it: a finite state. Transitions carry the change
 of the token count; states are compiled when first met. Where two neighbouring characters stand together in no
-piece the encoding always breaks and the state is the start again, so the map of a chunk (entry state to exit
-state and count) is a head up to its first such break, then constants. These maps compose associatively, which
-lets the chunks of one long text be read by different tasks and joined by a scan.
+piece the encoding always breaks and the state is the start again.
+
+A long text is cut into chunks that any task may read. A chunk's map takes an entry state to its exit state and
+the tokens emitted. The entry is known where the characters before the chunk hold a break, and else assumed to be
+what a run over them reaches from the start. Exits that the next chunk has not been entered by are entries still
+missing; they are run, all chunks at once, until none is missing. Then the maps of neighbours compose, by fixed
+numbers of chunks a level, to one map a text: a parallel prefix scan. States travel as text, so tasks need not
+share what they compiled.
 
 Null and empty texts have 0 tokens and 0 bytes. Rows are kept one by one, whatever repeats, with null ids too;
 columns other than doc_id and text play no part. An empty table gives an empty table."""
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -24,12 +30,13 @@ from .common import materialize, one_per_worker, tokenizer_path
 
 SPACE = "▁"
 LONGEST = 1 << 16
+BREAK = re.compile(f"[^{SPACE}\n][{SPACE}\n]")
 
 
 class CountTransducer:
-    """Counts tokens of texts; states and words in memory are bounded and compiled anew when dropped."""
+    """Counts tokens of texts; states, words and the characters in them are bounded, and compiled anew when dropped."""
 
-    def __init__(self, path: str, states: int = 300_000, words: int = 1_000_000):
+    def __init__(self, path: str, states: int = 300_000, words: int = 1_000_000, chars: int = 32_000_000):
         import sentencepiece
 
         lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -42,15 +49,19 @@ class CountTransducer:
             raise ValueError("pieces of this vocabulary go on after white space")
         self.units = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.max_states, self.max_words = states, words
+        self.max_states, self.max_words, self.max_chars = states, words, chars
         self._reset()
 
+    #: The name of the start state.
+    START = json.dumps(["", [["", 0]]])
+
     def _reset(self) -> None:
         #: A state: the suffix, and for each place in it, from its end, the last token there and the tokens since.
         self.keys: list[tuple] = [("", (("", 0),))]
         self.ids = {self.keys[0]: 0}
         self.next: list[dict[str, tuple[int, int]]] = [{}]
         self.word: dict[str, int] = {}
+        self.chars = 0
         self.pairs.clear()
 
     def merges(self, text: str) -> list[str]:
@@ -118,50 +129,50 @@ class CountTransducer:
         try:
             return sum(map(word.__getitem__, units))
         except KeyError:
-            for u in set(units).difference(word):
+            new = set(units).difference(word)
+            if max(map(len, new)) > 256:  # too long to keep
+                return sum(word[u] if u in word else self.run(u)[1] for u in units)
+            for u in new:
                 word[u] = self.run(u)[1]
+            self.chars += sum(map(len, new))
         return sum(map(word.__getitem__, units))
 
     def trim(self) -> None:
         """Drop what was compiled once it is too much."""
-        if len(self.keys) > self.max_states or len(self.word) > self.max_words:
+        if len(self.keys) > self.max_states or len(self.word) > self.max_words or self.chars > self.max_chars:
             self._reset()
 
-    def chunk_map(self, text: str) -> tuple[str, int | None, str]:
-        """A chunk's map: the head that still depends on the entry state, then, if it has a break, the tokens
-        between its first and last break and the tail behind the last one, which fixes the exit state."""
-        breaks = self._breaks(text)
-        first = next(breaks, None)
-        if first is None:
-            return text, None, ""
-        last = next(reversed([first, *self._breaks(text[-4096:], len(text) - min(len(text), 4096))]))
-        last = max(first, last)
-        return text[:first], self.count(text[first:last]), text[last:]
-
-    def _breaks(self, text: str, base: int = 0) -> Iterator[int]:
-        for i in range(1, len(text)):
-            if text[i] in (SPACE, "\n") and text[i - 1] not in (SPACE, "\n"):
-                yield base + i
-
-    def compose(self, a: tuple[str, int | None, str], b: tuple[str, int | None, str]) -> tuple[str, int | None, str]:
-        """The map of a chunk followed by another; associative. Cuts between chunks lie before a break's left
-        side or inside a word, so tail + head is read again as one piece of text."""
-        if a[1] is None and b[1] is None:
-            return a[0] + b[0], None, ""
-        if a[1] is None:
-            return a[0] + b[0], b[1], b[2]
-        if b[1] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self.count(a[2] + b[0]) + b[1], b[2]
-
-    def finish(self, m: tuple[str, int | None, str]) -> int:
-        return self.count(m[0]) + (0 if m[1] is None else m[1] + self.count(m[2]))
-
-    def scan(self, maps: list[tuple[str, int | None, str]]) -> tuple[str, int | None, str]:
-        """All maps composed, in rounds of neighbours."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
+    def name(self, state: int) -> str:
+        """A state as text that any worker can read."""
+        return json.dumps(self.keys[state], ensure_ascii=True)
+
+    def state(self, name: str) -> int:
+        suffix, places = json.loads(name)
+        key = (suffix, tuple(tuple(p) if p else None for p in places))
+        if key not in self.ids:
+            self.ids[key] = len(self.keys)
+            self.keys.append(key)
+            self.next.append({})
+        return self.ids[key]
+
+    def _breaks(self, text: str) -> tuple[int, int] | None:
+        """The places behind which the first and the last break of a text lie, if it has one."""
+        found = [m.start() + 1 for m in BREAK.finditer(text)]
+        return (found[0], found[-1]) if found else None
+
+    def entry(self, before: str) -> int:
+        """The state after the characters before a chunk: certain if they hold a break or are all there is."""
+        found = self._breaks(before)
+        return self.run(before[found[1] :] if found else before)[0]
+
+    def chunk_map(self, text: str, entries: list[int]) -> list[tuple[int, int]]:
+        """Exit state and tokens of a chunk for each entry state."""
+        found = self._breaks(text)
+        if found is None:
+            return [self.run(text, e) for e in entries]
+        exit_, tail = self.run(text[found[1] :])
+        rest = self.count(text[found[0] : found[1]]) + tail
+        return [(exit_, self.run(text[: found[0]], e)[1] + rest) for e in entries]
 
 
 def transducer(name: str) -> CountTransducer:
@@ -169,34 +180,81 @@ def transducer(name: str) -> CountTransducer:
     return one_per_worker(("counts", name), lambda: CountTransducer(tokenizer_path(name)))
 
 
-def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit: int = 4096, chunk: int = LONGEST) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of each document's whole text."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.greatest(F.lit(1), F.ceil(F.char_length("text") / chunk)).cast("int").alias("chunks"), "text")
-    part = F.when(F.col("chunks") == 1, F.col("text")).otherwise(F.expr(f"substring(text, chunk * {chunk} + 1, {chunk})"))
-    rows = rows.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("text", part)
+def compose(maps: list[dict[str, tuple[str, int]]]) -> dict[str, tuple[str, int]]:
+    """The map of chunks in a row: entry to exit and tokens; entries that no map goes on from are left out."""
+    out = {e: (e, 0) for e in maps[0]}
+    for m in maps:
+        out = {e: (m[x][0], n + m[x][1]) for e, (x, n) in out.items() if x in m}
+    return out
 
-    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit: int = 4096, chunk: int = LONGEST, before: int = 256, fan: int = 256) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of each document's whole text.
+
+    `chunk` characters are read at once, with `before` characters ahead of them to tell the entry state; `fan`
+    maps of neighbours compose in one step."""
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), (F.char_length("text") <= chunk).alias("short"), "text")
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = transducer(tokenizer)
         for b in batches:
-            heads, counts, tails = [], [], []
-            for text, n, k in zip(b.text, b.chunks, b.chunk):
+            out = []
+            for text in b.text:
                 t.trim()
                 text = text.replace(" ", SPACE)
-                if k == 0 and text:
-                    text = SPACE + text
-                m = ("", t.count(text), "") if n == 1 else t.chunk_map(text)
-                heads.append(m[0]), counts.append(m[1]), tails.append(m[2])
-            yield b[["row", "doc_id", "n_bytes", "chunks", "chunk"]].assign(head=heads, n=pd.array(counts, "Int64"), tail=tails)
+                out.append(t.count(SPACE + text if text else ""))
+            yield b[["doc_id", "n_bytes"]].assign(n_tokens=out)
 
-    mapped = materialize(rows.mapInPandas(maps, "row long, doc_id string, n_bytes long, chunks int, chunk int, head string, n long, tail string"), "counts")
+    counted = rows.where("short").select("doc_id", "n_bytes", "text").mapInPandas(counts, "doc_id string, n_bytes long, n_tokens long")
+    long = long_counts(rows.where("not short").select("doc_id", "n_bytes", "text"), tokenizer, chunk, before, fan)
+    out = counted if long is None else counted.unionByName(long)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("over_limit", F.col("n_tokens") > limit)
 
-    def scan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        t = transducer(tokenizer)
-        g = group.sort_values("chunk")
-        m = t.scan([(h, None if pd.isna(n) else int(n), x) for h, n, x in zip(g["head"], g["n"], g["tail"])])
-        return g[["doc_id", "n_bytes"]].head(1).assign(n_tokens=t.finish(m))
 
-    short = mapped.where("chunks = 1").select("doc_id", "n_bytes", F.col("n").alias("n_tokens"))
-    long = mapped.where("chunks > 1").groupBy("row").applyInPandas(scan, "doc_id string, n_bytes long, n_tokens long")
-    return short.unionByName(long).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("over_limit", F.col("n_tokens") > limit)
+def long_counts(texts: DataFrame, tokenizer: str, chunk: int, before: int, fan: int) -> DataFrame | None:
+    """doc_id, n_bytes and n_tokens of texts longer than a chunk; None without any."""
+    cut = f"explode(transform(sequence(0L, cast(ceil(char_length(text) / {chunk}) as long) - 1), i -> struct(i AS chunk, substring(text, cast(greatest(i * {chunk} - {before}, 0) as int) + 1, cast(i * {chunk} - greatest(i * {chunk} - {before}, 0) as int)) AS ahead, substring(text, cast(i * {chunk} as int) + 1, {chunk}) AS part))) AS c"
+    texts = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "long")
+    if texts.isEmpty():
+        return None
+    chunks = materialize(texts.selectExpr("row", cut).select("row", "c.*"), "chunks")
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Maps of chunks for an entry each: the one given, or where none is the one that `ahead` tells."""
+        t = transducer(tokenizer)
+        for b in batches:
+            out = []
+            for row, i, ahead, part, name in zip(b.row, b.chunk, b.ahead, b.part, b.entry):
+                t.trim()
+                ahead, part = ((SPACE if at == 0 else "") + x.replace(" ", SPACE) for x, at in ((ahead, i * chunk - len(ahead)), (part, i)))
+                entry = t.state(name) if name else t.entry(ahead) if i else 0
+                ((exit_, n),) = t.chunk_map(part, [entry])
+                out.append((row, i, t.name(entry), t.name(exit_), n))
+            yield pd.DataFrame(out, columns=["row", "chunk", "entry", "exit", "n"])
+
+    schema = "row long, chunk long, entry string, exit string, n long"
+    known = materialize(chunks.withColumn("entry", F.lit(None).cast("string")).mapInPandas(maps, schema), "maps")
+    fresh = known
+    while True:  # ends: a text's chunks have finitely many exits, and each round needs a new one
+        asked = fresh.select("row", (F.col("chunk") + 1).alias("chunk"), F.col("exit").alias("entry")).distinct()
+        missing = asked.join(known.select("row", "chunk", "entry"), ["row", "chunk", "entry"], "left_anti")
+        fresh = materialize(chunks.join(missing, ["row", "chunk"]).mapInPandas(maps, schema), "maps")
+        if fresh.isEmpty():
+            break
+        known = known.unionByName(fresh)
+
+    def step(group: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, dict] = {}
+        for i, e, x, n in zip(group.chunk, group.entry, group.exit, group.n):
+            held.setdefault(i, {})[e] = (x, n)
+        one = compose([held[i] for i in sorted(held)])
+        return pd.DataFrame([(group.row.iloc[0], group.chunk.iloc[0] // fan, e, x, n) for e, (x, n) in one.items()], columns=["row", "chunk", "entry", "exit", "n"])
+
+    last = known.agg(F.max("chunk")).first()[0]
+    while last:
+        known = materialize(known.groupBy("row", F.floor(F.col("chunk") / fan).alias("_g")).applyInPandas(step, schema), "maps")
+        last //= fan
+    start = CountTransducer.START
+    total = known.where(F.col("entry") == start).select("row", F.col("n").alias("n_tokens"))
+    return texts.select("row", "doc_id", "n_bytes").join(total, "row").select("doc_id", "n_bytes", "n_tokens")
