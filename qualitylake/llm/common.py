@@ -10,7 +10,6 @@ from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 T = TypeVar("T")
 
@@ -43,22 +42,6 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], name: str = "ordered") -> DataFrame:
-    """Exclusive running sums of columns (new name -> column) in one global order.
-
-    Rows are range-partitioned by the order; sums run inside each range and start from the totals of
-    the ranges before it, so the only single task reads one row per range."""
-    kept = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
-    totals = kept.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = kept.join(F.broadcast(base), "_range")  # one row per range
-    for n, c in sums.items():
-        out = out.withColumn(n, F.col(f"_b_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return out.drop("_range", *[f"_b_{n}" for n in sums])
-
-
 def join_checked(left: DataFrame, right: DataFrame, on: Column | str | list[str], rows: int, how: str = "inner", limit: int = 100_000) -> DataFrame:
     """Join to a side of `rows` rows: broadcast up to `limit` of them, else a shuffled join that AQE can split."""
     return left.join(F.broadcast(right) if rows <= limit else right, on, how)

@@ -1,14 +1,21 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Sizes are summed per source, weights become targets, target / size is a source's repetition rate, and each
-document is emitted floor(rate) times plus once more with probability frac(rate), drawn from a hash of its id."""
+document is emitted floor(rate) times plus once more by a Bernoulli draw: a number that is hashed from the seed and
+the document's source, id and text is below the source's threshold. The threshold is the fraction of the rate,
+moved to where the words drawn come closest to the target, so that small sources meet their targets, too.
+
+Null texts have size 0; null sources form a source of their own; null ids draw by source and text. Rows that equal
+in source, id and text share a draw, and count as often as they stand there. Sources without words take nothing.
+An empty table gives an empty table."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WORD, join_checked, materialize, running_sums
+from .common import WORD, join_checked, materialize
 
 
 def word_count(text: str | Column) -> Column:
@@ -16,58 +23,87 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_plan(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> tuple[DataFrame, int]:
-    """Per source its size, weight, target and rate; and the number of sources.
+def source_plan(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """Per source its size, weight, target and rate.
 
     `sized` has `source` and `size`. Sources in code-point order, null last, take the weights in turn. All
     targets add up to share * all sizes; none is above cap * its source's size, and what a source can't take
     goes to the others by weight. With caps c and weights w, target = min(c, w * level); walking sources by
-    c / w, the level is the largest of (total - caps before) / (weights left), so two running sums give it.
-    An empty table has no sources. Sources of size 0 have target and rate 0."""
+    c / w, the level is the largest of (total - caps before) / (weights left). Windows here see one row a source."""
     if share > cap:
         raise ValueError("the share can't be above the cap")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.lit(1).alias("_one"))
-    ranked = running_sums(sources, [F.col("source").asc_nulls_last()], {"_rank": "_one"}, "sources")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
-    weighed = ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("_cap"))
-    filled = running_sums(weighed, [F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last()], {"_caps": "_cap", "_weights": "weight"}, "levels")
-    filled = materialize(filled, "levels")
-    total = filled.agg(F.sum("source_size"), F.sum("weight"), F.count("*")).first()
-    if not total[2]:
-        return filled.select("source", "source_size", "weight", F.lit(0.0).alias("target"), F.lit(0.0).alias("rate")), 0
-    level = filled.agg(F.max((F.lit(share * total[0]) - F.col("_caps")) / (F.lit(total[1]) - F.col("_weights")))).first()[0]
-    target = F.least("_cap", F.col("weight") * F.lit(level))
-    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), target / F.col("source_size"))).otherwise(0.0)
-    return filled.select("source", "source_size", "weight", target.alias("target"), rate.alias("rate")), total[2]
-
-
-def hash_uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that depends on the values only, the same in each rerun and partitioning."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
-
-
-def with_copies(docs: DataFrame, plan: DataFrame, n_sources: int, seed: int = 17) -> DataFrame:
-    """Add the plan's columns and `copies` to documents that have doc_id and source."""
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((rank - 1) % len(weights) + 1).cast("int"))
+    weighed = sources.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("_cap"))
+    before = Window.orderBy(F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
+    caps, weights_before = (F.coalesce(F.sum(c).over(before), F.lit(0.0)) for c in ("_cap", "weight"))
+    levels = weighed.select("*", ((F.lit(share) * F.sum("source_size").over(every) - caps) / (F.sum("weight").over(every) - weights_before)).alias("_level"))
+    target = F.least("_cap", F.col("weight") * F.max("_level").over(every))
+    planned = levels.select("source", "source_size", "weight", target.alias("target"))
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    return planned.withColumn("rate", rate)
+
+
+def draw_of(seed: int) -> Column:
+    """A whole number below 2^32 from the seed and a row's source, id and text; the same in each rerun."""
+    key = F.concat_ws("|", F.lit(str(seed)), F.coalesce("source", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+
+def thresholds(sized: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
+    """The plan with each source's threshold: rows that draw below it are taken once more.
+
+    `sized` has source, size and draw. The threshold lies where the words below it come closest to what the
+    fraction asks for. Draws are summed in 2^16 bins per source, then the bin that holds the threshold is summed
+    again by single draws, so no task sees more than 2^16 sums of a source."""
+    p = plan.withColumn("_need", F.greatest(F.lit(0.0), F.col("target") - F.floor("rate") * F.col("source_size")))
+    names = p.select(F.col("source").alias("_s"), "_need")
+
+    def crossing(rows: DataFrame, keep: list[str]) -> DataFrame:
+        """Of each source the first bin whose sum reaches past the need, with the sum before it."""
+        upto = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = rows.groupBy("source", "_bin", *keep).agg(F.sum("size").alias("_w"))
+        run = sums.withColumn("_upto", F.sum("_w").over(upto) + (F.col("_base") if keep else F.lit(0)))
+        met = join_checked(run, names, run["source"].eqNullSafe(names["_s"]), n_sources).where(F.col("_upto") > F.col("_need"))
+        first = met.groupBy("source").agg(F.min_by(F.struct("_bin", "_w", "_upto", "_need"), "_bin").alias("_f"))
+        return first.select("source", F.col("_f._bin").alias("_bin"), (F.col("_f._upto") - F.col("_f._w")).alias("_base"), F.col("_f._upto").alias("_upto"), F.col("_f._need").alias("_need"))
+
+    coarse = materialize(crossing(sized.select("source", "size", F.shiftright("draw", 16).alias("_bin")), []).select(F.col("source").alias("_c"), F.col("_bin").alias("_coarse"), "_base"), "bins")
+    inside = join_checked(sized, coarse, sized["source"].eqNullSafe(coarse["_c"]) & (F.shiftright(sized["draw"], 16) == coarse["_coarse"]), n_sources)
+    fine = crossing(inside.select("source", "size", F.col("draw").alias("_bin"), "_base"), ["_base"])
+    # the draw that crosses is taken if that comes closer to the need
+    at = F.when(F.col("_need") == 0, 0).when(F.col("_base") + F.col("_upto") < 2 * F.col("_need"), F.col("_bin") + 1).otherwise(F.col("_bin"))
+    found = fine.select(F.col("source").alias("_t"), at.alias("threshold"))
+    # no bin reaches past the need where the fraction takes all words, or there are none
+    return p.join(found, p["source"].eqNullSafe(found["_t"]), "left").select(*plan.columns, F.coalesce("threshold", F.when(F.col("_need") > 0, F.lit(1 << 32)).otherwise(0)).cast("long").alias("threshold"))
+
+
+def planned(docs: DataFrame, weights, share: float, cap: float, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """The documents' numbers (doc_id, source, size, draw), written once, the plan with thresholds, and how many
+    sources it has."""
+    sized = materialize(docs.select("doc_id", "source", word_count("text").alias("size"), draw_of(seed).alias("draw")), "sizes")
+    plan = materialize(source_plan(sized, weights, share, cap), "plan")
+    n = plan.count()
+    return sized, materialize(thresholds(sized, plan, n), "plan"), n
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
+    """Add the plan's columns and `copies` to rows that have source and draw."""
     right = plan.withColumnRenamed("source", "_source")
-    joined = join_checked(docs, right, docs["source"].eqNullSafe(right["_source"]), n_sources).drop("_source")
-    whole = F.floor("rate")
-    extra = hash_uniform(F.lit(seed), F.col("doc_id")) < F.col("rate") - whole
-    return joined.withColumn("copies", (whole + extra.cast("int")).cast("long"))
+    joined = join_checked(rows, right, rows["source"].eqNullSafe(right["_source"]), n_sources).drop("_source")
+    return joined.withColumn("copies", (F.floor("rate") + (F.col("draw") < F.col("threshold")).cast("int")).cast("long"))
 
 
 def mix_report(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, source, rate, copies.
-
-    Null texts have size 0; null sources form a source of their own; repeated rows count as often as they
-    stand there and share one draw; other columns play no part."""
-    sized = materialize(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
-    plan, n = source_plan(sized, weights, share, cap)
-    return with_copies(sized, plan, n, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
+    """One row per document: doc_id, size, source_size, target, taken, source, rate, copies."""
+    sized, plan, n = planned(docs, weights, share, cap, seed)
+    return with_copies(sized, plan, n).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
 
 
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
     """The mixed corpus: each row of `docs` as often as the mix takes it, with the columns of `docs`."""
-    plan, n = source_plan(docs.select("source", word_count("text").alias("size")), weights, share, cap)
-    names = docs.columns
-    copied = with_copies(docs.select(F.struct(*names).alias("_row"), "doc_id", "source"), plan, n, seed)
+    _, plan, n = planned(docs, weights, share, cap, seed)
+    copied = with_copies(docs.select(F.struct(*docs.columns).alias("_row"), "source", draw_of(seed).alias("draw")), plan, n)
     return copied.select("_row", F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("_copy")).select("_row.*")

@@ -74,5 +74,24 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_nu
 """
 
 
+OP5_SQL = r"""
+WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    CAST('0x' || substr(md5('17|' || coalesce(source, '') || '|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 8) AS BIGINT) AS draw FROM documents),
+a AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM s GROUP BY source),
+w AS (SELECT source, source_size, CASE (n - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS cap FROM a),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN least(2.0::DOUBLE, target / source_size) ELSE 0.0::DOUBLE END AS rate FROM t),
+c AS (SELECT source, draw, sum(size) AS words FROM s GROUP BY source, draw),
+r AS (SELECT source, draw, words, sum(words) OVER (PARTITION BY source ORDER BY draw) AS upto FROM c),
+f AS (SELECT p.source, min_by(CASE WHEN r.upto - r.words + r.upto < 2 * (target - floor(rate) * source_size) THEN r.draw + 1 ELSE r.draw END, r.draw) AS threshold
+  FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source WHERE target - floor(rate) * source_size > 0 AND r.upto > target - floor(rate) * source_size GROUP BY p.source),
+k AS (SELECT s.doc_id, s.size, p.source_size, p.target, p.source, p.rate, (floor(p.rate) + CASE WHEN s.draw < coalesce(f.threshold, 0) THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN f ON s.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, rate, copies FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": OP4_SQL}
+    return {"op4_exact_topk": OP4_SQL, "op5_mix_sources": OP5_SQL}
