@@ -1,7 +1,7 @@
 """Near-duplicate documents by a chosen-path set-similarity join over minwise tokens.
 
 1. Each text's set of shingles becomes 64-bit hashes, a fingerprint of the whole set and `TOKENS` minwise tokens.
-2. Texts with equal sets collapse into one class, represented by the smallest doc_id.
+2. Texts with equal sets collapse into one class, represented by the text of the smallest doc_id.
 3. Chosen paths: a tree's root holds all classes. A node chooses a few token positions by a hash of its path; each
    class goes to the child named by its token there. Nodes of at most `leaf` classes are compared exhaustively on
    the tokens, larger ones branch on, and at `depth` they are compared inside blocks and with a few of their own
@@ -11,12 +11,14 @@
 4. Connected edges give candidate groups; no pair that met lies across two of them. Inside a group links are
    confirmed on the full sets, by products of incidence matrices. Groups beyond `group` classes are dealt
    in blocks, each with the group's pivots, and what is then outside its group's largest component is held
-   against all blocks of the group, so that no link is lost to a size limit.
+   against all blocks of the group, by tokens first and by whole sets where those agree, so that no link is lost
+   to a size limit.
 5. Confirmed links are closed to components by rounds of large-star and small-star joins.
 
 Texts with fewer words than a shingle are one shingle of all their words. Null texts and texts without words have
 an empty set and link with nothing, themselves included. Rows with a null id are kept, each unlinked, with a null
-component. Repeated rows share a doc_id and so a component; each is kept as its doc_id is. Very long texts are
+component. Rows may share a doc_id: equal texts share a component, different texts have their own ones; each row is
+kept as its doc_id is. Very long texts are
 read whole. An empty table gives an empty table. Columns other than doc_id and text play no part."""
 
 from __future__ import annotations
@@ -28,14 +30,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import join_checked, materialize, one_per_worker, union_all
 
 TOKENS = 64
-#: Ids to broadcast at most, 8 bytes each.
-IDS = 2_000_000
+#: Keys to broadcast at most, some 40 bytes each.
+IDS = 500_000
 #: Words are cut at the six ASCII white-space characters only.
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -183,14 +186,14 @@ def link_matrix(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.nd
 # ---------------------------------------------------------------------------------------------- components
 
 
-def components(vertices: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of each vertex, by alternating star joins.
 
-    Each round maps every edge to the smallest neighbour of one of its ends, so paths shorten by half; it ends
-    when a round changes nothing. Rounds are written tables; nothing is gathered on the driver but a count."""
+    Each round maps every edge to the smallest neighbour of one of its ends, so paths shorten by half and the sum of
+    the ends falls; it ends when a round changes nothing. Rounds are written tables; nothing is gathered on the driver but a count."""
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
@@ -203,8 +206,6 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 40) -> DataF
         # small star: smaller neighbours of a vertex, and itself, meet the smallest of them
         small = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         e = materialize(large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.groupBy("a").agg(F.min("b").alias("root"))
     return vertices.join(roots, vertices["id"] == roots["a"], "left").select("id", F.coalesce("root", "id").alias("component"))
 
@@ -212,8 +213,12 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 40) -> DataF
 # ---------------------------------------------------------------------------------------------- operator
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set, its minwise tokens and one byte of each."""
+    """doc_id, a hash of the text, n_shingles, a 128-bit fingerprint of the set, its minwise tokens and one byte of each."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shingler(words)
@@ -226,10 +231,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 t = minwise(x) if len(x) else np.zeros(0, np.uint32)
                 tokens.append(t.tobytes())
                 low.append(t.astype(np.uint8).tobytes())
-            yield pd.DataFrame({"doc_id": b.doc_id, "n_shingles": np.array(n, "i8"), "print": prints, "tokens": tokens, "bytes": low})
+            yield pd.DataFrame({"doc_id": b.doc_id, "text_hash": b.text_hash, "n_shingles": np.array(n, "i8"), "print": prints, "tokens": tokens, "bytes": low})
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = rows.mapInPandas(sketch, "doc_id string, n_shingles long, print binary, tokens binary, bytes binary")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_hash().alias("text_hash"), "text")
+    out = rows.mapInPandas(sketch, "doc_id string, text_hash long, n_shingles long, print binary, tokens binary, bytes binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -411,10 +416,12 @@ def _set_groups(words: int, percent: int) -> Callable[[pd.DataFrame], pd.DataFra
     return confirm
 
 
-def confirmed_links(groups: DataFrame, texts: DataFrame, words: int, percent: int, group: int, pivots: int) -> DataFrame:
+def confirmed_links(groups: DataFrame, texts: DataFrame, tokens: DataFrame, words: int, percent: int, least: int, group: int, pivots: int) -> DataFrame:
     """Links a, b, checked on whole sets, that connect all that is linked inside each candidate group.
 
-    `groups` has id and component for classes in groups of two or more, with the group's size n."""
+    `groups` has id and component for classes in groups of two or more, with the group's size n; `tokens` has id and
+    bytes. In groups beyond `group` classes, what lies outside the largest part meets all of the group by its tokens
+    first, and only texts with `least` equal ones move."""
     held = groups.join(texts, "id")
     small = held.where(F.col("n") <= group).groupBy("component").applyInPandas(_set_groups(words, percent), "a long, b long")
     many = materialize(groups.where(F.col("n") > group), "many")
@@ -437,6 +444,15 @@ def confirmed_links(groups: DataFrame, texts: DataFrame, words: int, percent: in
     foreign = split.where("part <> largest").select("component", "id", "part", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("foreign"))
     whole = split.select("component", "id", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), block.alias("block"), F.lit(False).alias("foreign"))
 
+    def screen(g: pd.DataFrame) -> pd.DataFrame:
+        """The members of a chunk and a block that may be linked with one of the other side."""
+        f, w = g[g.foreign], g[~g.foreign]
+        if not len(f) or not len(w):
+            return g[:0].drop(columns="bytes")
+        x, y = alike(_bytes(f.bytes), _bytes(w.bytes), least)
+        apart = f.part.to_numpy()[x] != w.part.to_numpy()[y]
+        return pd.concat([f.iloc[np.unique(x[apart])], w.iloc[np.unique(y[apart])]]).drop(columns="bytes")
+
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         s = shingler(words)
         f, w = g[g.foreign], g[~g.foreign]
@@ -447,31 +463,53 @@ def confirmed_links(groups: DataFrame, texts: DataFrame, words: int, percent: in
         pairs = pd.DataFrame({"u": f.part.to_numpy()[x], "v": w.part.to_numpy()[y]}).drop_duplicates()
         return pd.DataFrame({"a": pairs.u, "b": pairs.v})
 
-    second = foreign.unionByName(whole).join(texts, "id").groupBy("component", "chunk", "block").applyInPandas(compare, "a long, b long")
+    cell = ["component", "chunk", "block"]
+    met = foreign.unionByName(whole).join(tokens, "id")
+    kept = materialize(met.groupBy(*cell).applyInPandas(screen, "component long, id long, part long, chunk long, block long, foreign boolean"), "screened")
+    second = kept.join(texts, "id").groupBy(*cell).applyInPandas(compare, "a long, b long")
     return union_all([small, first, second])
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.999, depth: int = 3, leaf: int = 64, group: int = 128, pivots: int = 8, margin: float = 0.22) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document."""
+def _linked(docs: DataFrame, words: int, percent: int, recall: float, depth: int, leaf: int, group: int, pivots: int, margin: float) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component_id of each document."""
     sketched = materialize(sketches(docs, words), "sketches")
-    classes = materialize(sketched.where("doc_id is not null and n_shingles > 0").groupBy("print", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"), F.first("bytes").alias("bytes")), "classes")
+    one = F.min(F.struct("doc_id", "text_hash")).alias("one")
+    grouped = sketched.where("doc_id is not null and n_shingles > 0").groupBy("print", "n_shingles").agg(one, F.first("tokens").alias("tokens"), F.first("bytes").alias("bytes"))
+    # a class is named by its set, not by a doc_id, which several sets may share
+    classes = materialize(grouped.select(F.xxhash64("print", "n_shingles").alias("id"), "print", "n_shingles", "one.*", "tokens", "bytes"), "classes")
     edges = candidate_edges(classes, percent / 100, recall, depth, leaf, pivots, margin)
     groups = materialize(components(classes.select("id"), edges), "groups")
     sizes = materialize(groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     groups = materialize(groups.join(sizes, "component"), "groups")
-    ids = groups.select(F.col("id").alias("doc_id"))
-    # one row per class: repeated rows of a doc_id bring the same text
-    grouped = join_checked(docs.select("doc_id", "text"), ids, "doc_id", ids.count(), "left_semi", IDS)
-    texts = materialize(grouped.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
-    links = confirmed_links(groups, texts, words, percent, group, pivots)
-    found = components(classes.select("id"), links)
-    named = materialize(classes.join(found, "id").select("print", "n_shingles", "component"), "named")
+    wanted = materialize(classes.join(groups.select("id"), "id").select("id", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")), "wanted")
+    rows = docs.select("doc_id", "text", text_hash().alias("text_hash"))
+    met = join_checked(rows, wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), wanted.count(), limit=IDS)
+    texts = materialize(met.select("id", "text").dropDuplicates(["id"]), "texts")  # repeated rows bring the same text
+    least = math.floor(TOKENS * max(0.0, percent / 100 - margin))
+    links = confirmed_links(groups, texts, classes.select("id", "bytes"), words, percent, least, group, pivots)
+    parts = classes.select("id", "print", "n_shingles", "doc_id").join(components(classes.select("id"), links), "id")
+    smallest = materialize(parts.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
+    named = materialize(parts.join(smallest, "component").select("print", "n_shingles", "component_id"), "named")
     out = sketched.drop("tokens", "bytes").join(named, ["print", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near copies: of each group the one with the smallest doc_id, as it is."""
-    dropped = materialize(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct(), "dropped")
-    return join_checked(docs, dropped, "doc_id", dropped.count(), "left_anti", IDS).select(docs.columns)
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.999, depth: int = 3, leaf: int = 64, group: int = 128, pivots: int = 8, margin: float = 0.22) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each document."""
+    found = _linked(docs, words, percent, recall, depth, leaf, group, pivots, margin)
+    return found.drop("text_hash").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.999, depth: int = 3, leaf: int = 64, group: int = 128, pivots: int = 8, margin: float = 0.22) -> DataFrame:
+    """The documents without near copies: of each group one row with the smallest doc_id, as it is. Rows of null
+    ids and rows without words stay. Of rows that equal in doc_id and text one stays, whatever else they hold."""
+    found = materialize(_linked(docs, words, percent, recall, depth, leaf, group, pivots, margin).where("doc_id is not null and n_shingles > 0"), "linked")
+    texts = found.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct("doc_id", "text_hash")).over(Window.partitionBy("component_id"))
+    texts = texts.withColumn("stays", F.struct("doc_id", "text_hash") == first)
+    named = materialize(texts.where("not stays or n > 1").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "stays"), "named")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", text_hash().alias("_h"))
+    met = join_checked(rows, named, (F.col("doc_id") == F.col("_doc")) & (F.col("_h") == F.col("_hash")), named.count(), "left", IDS)
+    repeated = met.where("stays").dropDuplicates(["doc_id", "_h"])
+    return met.where("stays is null").select("_row.*").unionByName(repeated.select("_row.*"))
