@@ -15,23 +15,24 @@ def own_paths(report_paths: DataFrame, files: DataFrame) -> DataFrame:
     """repo, report_path and file: the project file that a path of a coverage report means.
 
     The longest file that the path equals or ends with (behind a slash); else the only file that ends with the
-    path; else the only file of that name. Distinct paths are resolved once, by an equi-join on the file name;
-    the suffix test filters its matches."""
-    p = report_paths.select("repo", "report_path").distinct().withColumn("norm", paths.normalize("report_path")).withColumn("base", paths.basename("norm"))
-    f = files.select("repo", "file").distinct().withColumn("base", paths.basename("file"))
-    same = p.join(f, ["repo", "base"])
-    ends = (F.col("norm") == F.col("file")) | F.col("norm").endswith(F.concat(F.lit("/"), F.col("file")))
-    starts = F.col("file").endswith(F.concat(F.lit("/"), F.col("norm")))
-    # one pass over the matches: the best file of each kind and how many there are
-    by = same.groupBy("repo", "report_path").agg(
-        F.max_by(F.when(ends, F.col("file")), F.when(ends, F.length("file"))).alias("whole"),
-        F.count_if(starts).alias("n_starts"),
-        F.max(F.when(starts, F.col("file"))).alias("reverse"),
-        F.count("*").alias("n"),
-        F.max("file").alias("name"),
-    )
-    owner = F.coalesce("whole", F.when(F.col("n_starts") == 1, F.col("reverse")), F.when((F.col("n_starts") == 0) & (F.col("n") == 1), F.col("name")))
-    return by.select("repo", "report_path", owner.alias("file")).where(F.col("file").isNotNull())
+    path; else the only file of that name. Distinct paths are resolved once, by equi-joins on whole suffixes: a
+    common file name such as `index.js` makes no group, as suffixes hold the directories, too."""
+    p = report_paths.select("repo", "report_path").distinct().withColumn("norm", paths.normalize("report_path"))
+    f = files.select("repo", "file").distinct()
+
+    def suffixes(path: str) -> Column:
+        parts = F.split(path, "/")
+        return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")))
+
+    ends = p.select("repo", "report_path", suffixes("norm").alias("file"))
+    whole = ends.join(f, ["repo", "file"]).groupBy("repo", "report_path").agg(F.max_by("file", F.length("file")).alias("whole"))
+    rest = p.join(whole.select("repo", "report_path"), ["repo", "report_path"], "left_anti")
+    # files that end with the path, counted once per suffix; then files of the path's name, counted once per name
+    longer = f.select("repo", "file", suffixes("file").alias("norm")).where("norm <> file").groupBy("repo", "norm").agg(F.count("*").alias("n_longer"), F.min("file").alias("longer"))
+    named = f.groupBy("repo", paths.basename("file").alias("base")).agg(F.count("*").alias("n_named"), F.min("file").alias("named"))
+    met = rest.withColumn("base", paths.basename("norm")).join(longer, ["repo", "norm"], "left").join(named, ["repo", "base"], "left")
+    owner = F.when(F.col("n_longer") == 1, F.col("longer")).when(F.col("n_longer").isNull() & (F.col("n_named") == 1), F.col("named"))
+    return whole.select("repo", "report_path", F.col("whole").alias("file")).unionByName(met.select("repo", "report_path", owner.alias("file")).where(F.col("file").isNotNull()))
 
 
 def function_coverage(functions: DataFrame, cov_lines: DataFrame, band: int = 512) -> DataFrame:
@@ -97,13 +98,16 @@ def crap_summary(functions: DataFrame, cov: DataFrame, threshold: int = 30, leas
 
 
 def crap_gate(summary: DataFrame, enforce: bool = True) -> DataFrame:
-    """A gate per repo: fails on functions over the threshold; incomplete coverage without failures is advisory."""
+    """A gate per repo: fails on functions over the threshold; incomplete coverage without failures is advisory, with
+    failures a note behind them. A failing gate that isn't enforced says so."""
 
     def some(n: str, noun: str) -> Column:
         return F.concat_ws(" ", F.col(n).cast("string"), F.when(F.col(n) == 1, noun).otherwise(noun + "s"))
 
     failed = (F.col("over") > 0) | (F.col("untested") > 0)
-    text = F.when(failed, F.concat_ws(", ", F.when(F.col("over") > 0, F.concat(some("over", "function"), F.lit(" over the threshold"))), F.when(F.col("untested") > 0, F.concat(some("untested", "complex function"), F.lit(" untested"))))).when(~F.col("coverage_complete"), F.concat(some("unmatched", "function"), F.lit(" without coverage")))
+    missing = F.when(~F.col("coverage_complete"), F.concat(some("unmatched", "function"), F.lit(" without coverage")))
+    faults = F.concat_ws(", ", F.when(F.col("over") > 0, F.concat(some("over", "function"), F.lit(" over the threshold"))), F.when(F.col("untested") > 0, F.concat(some("untested", "complex function"), F.lit(" untested"))))
+    text = F.when(failed, F.concat(F.concat_ws("; ", faults, missing), F.lit("" if enforce else " (advisory)"))).otherwise(missing)
     return summary.select("repo", F.lit("crap").alias("id"), (~failed & F.col("coverage_complete")).alias("pass"), (F.lit(enforce) & (failed | F.col("coverage_complete"))).alias("enforced"), text.alias("reason"))
 
 
@@ -147,16 +151,22 @@ def merge_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("repo").agg(F.sum("files").alias("files"), F.sum("loc").alias("loc"), F.sum("functions").alias("functions"), F.sum("coverage_changed").alias("coverage_changed"), F.max("crap_max").alias("crap_max"))
 
 
-def coverage_missing(repos: DataFrame, gates: DataFrame, runs: DataFrame, cov: DataFrame) -> DataFrame:
-    """A `coverage.missing` warning with its reason for each repo without coverage rows.
-
-    repos: repo, coverage_enabled, has_suite. runs: repo, engine, pos, exit_code."""
-    tests = gates.where(F.col("id") == "tests").groupBy("repo").agg(F.bool_and("pass").alias("tests_pass"))
-    last = runs.where((F.col("engine") == "tests") & (F.col("exit_code") != 0)).groupBy("repo").agg(F.max_by("exit_code", "pos").alias("code"))
-    none = repos.join(cov.select("repo").distinct(), "repo", "left_anti").join(tests, "repo", "left").join(last, "repo", "left")
-    failed = ~F.coalesce("tests_pass", F.lit(True))
-    reason = F.when(~F.col("coverage_enabled"), "coverage is disabled").when(~F.col("has_suite"), "no test suite was found").when(failed & F.col("code").isNotNull(), F.format_string("tests failed with exit code %d", "code")).when(failed, "tests failed").otherwise("no coverage report was written")
-    return none.select("repo", F.lit("coverage.missing").alias("rule"), F.lit("warning").alias("severity"), reason.alias("reason"))
+def coverage_missing(repos: DataFrame, functions: DataFrame, gates: DataFrame, runs: DataFrame, cov: DataFrame) -> DataFrame:
+    """A `coverage.missing` warning with its reason for each repo with functions that no coverage record names.
+
+    repos: repo, coverage_enabled, has_suite. runs: repo, engine, pos, exit_code. A repo without any record may
+    have failing tests: then the last failing run's exit code is the reason, if it has one, else the gate's own."""
+    tests = gates.where(F.col("id") == "tests").groupBy("repo").agg(F.bool_and("pass").alias("tests_pass"), F.min("reason").alias("said"))
+    last = runs.where((F.col("engine") == "tests") & ~F.col("exit_code").eqNullSafe(0)).groupBy("repo").agg(F.max_by("exit_code", "pos").alias("code"))
+    joined = functions.select("repo", "file", "symbol").join(cov.select("repo", "file", "symbol", F.lit(True).alias("_has")), ["repo", "file", "symbol"], "left")
+    counted = joined.groupBy("repo").agg(F.count_if(F.col("_has").isNull()).alias("n"), F.bool_and(F.col("_has").isNull()).alias("none"))
+    r = repos.join(counted, "repo").where("n > 0").join(tests, "repo", "left").join(last, "repo", "left")
+    failed = F.col("none") & ~F.coalesce("tests_pass", F.lit(True))
+    why = F.when(F.col("code").isNotNull(), F.format_string("exit code %d", "code")).otherwise(F.coalesce("said", F.lit("no test command was run")))
+    hint = F.when(~F.col("coverage_enabled"), "coverage is disabled").when(~F.col("has_suite"), "no test suite was found").when(F.col("none"), "no coverage report was written").otherwise("the report leaves them out")
+    count = F.concat_ws(" ", F.lit("no coverage data for"), F.col("n").cast("string"), F.when(F.col("n") == 1, "function").otherwise("functions"))
+    reason = F.when(failed, F.concat(F.lit("tests failed: "), why)).otherwise(F.concat(count, F.lit(": "), hint))
+    return r.select("repo", F.lit("coverage.missing").alias("rule"), F.lit("warning").alias("severity"), reason.alias("reason"))
 
 
 def source_dirs(functions: DataFrame) -> DataFrame:

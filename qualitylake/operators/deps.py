@@ -31,10 +31,12 @@ def undeclared_imports(imports: DataFrame, declared: DataFrame, local: DataFrame
 def classify_imports(imports: DataFrame, stdlib: DataFrame, declared: DataFrame, local: DataFrame, installed: DataFrame, index: DataFrame) -> DataFrame:
     """Imports that are neither standard, declared nor local, with class and distribution.
 
-    Installed ones are undeclared; of the rest, those on the index are undeclared, those absent from it
+    declared, local: repo, module; installed: repo, module, distribution (of several, the first in order). Installed ones are undeclared; of the rest, those on the index are undeclared, those absent from it
     hallucinated, and those it could not tell unresolved. The index is a table: module, distribution, state."""
-    rest = imports.join(stdlib.select("module"), "module", "left_anti").join(declared.select("module"), "module", "left_anti").join(local.select("repo", "module"), ["repo", "module"], "left_anti")
-    met = rest.join(installed.select("module", F.col("distribution").alias("_inst")).dropDuplicates(["module"]), "module", "left").join(index.select("module", F.col("distribution").alias("_dist"), "state").dropDuplicates(["module"]), "module", "left")
+    rest = imports.join(stdlib.select("module"), "module", "left_anti").join(declared.select("repo", "module"), ["repo", "module"], "left_anti").join(local.select("repo", "module"), ["repo", "module"], "left_anti")
+    here = installed.groupBy("repo", "module").agg(F.min("distribution").alias("_inst"))
+    known = index.groupBy("module").agg(F.min_by("distribution", F.struct("state", "distribution")).alias("_dist"), F.min("state").alias("state"))
+    met = rest.join(here, ["repo", "module"], "left").join(known, "module", "left")
     kind = F.when(F.col("_inst").isNotNull() | (F.col("state") == "present"), "undeclared").when(F.col("state") == "absent", "hallucinated").otherwise("unresolved")
     return met.select("repo", "file", "module", "line", kind.alias("kind"), F.coalesce("_inst", F.when(F.col("state") == "present", F.col("_dist"))).alias("distribution"))
 

@@ -237,7 +237,10 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
 
 def to_sarif(findings: DataFrame, gates: DataFrame, tool: str = "qualitylake") -> DataFrame:
-    """A SARIF 2.1.0 document per run, results in report order, rules in order of first use."""
+    """A SARIF 2.1.0 document per run, results in report order, rules in order of first use.
+
+    A run's document is one row, as the format asks: runs of more than some hundred thousand findings don't fit;
+    for those use the rows of sarif_results."""
     placed = ordered_findings(findings).where(scoring.disposition() != "ignore")
     region = F.when(F.col("start_line").isNotNull(), F.struct(F.greatest("start_line", F.lit(1)).alias("startLine"), F.lit(1).alias("startColumn")))
     place = F.struct(F.struct(F.struct(scoring.percent_encode("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
@@ -275,9 +278,10 @@ def reconcile(groups: DataFrame, tickets: DataFrame, prefix: str = "group-") ->
     """What to do per group: create, post (with the fingerprints not yet commented), unchanged, archived or error
     (more than one ticket carries the group's label).
 
-    tickets: id, archived, labels and comments (array of structs with `body`)."""
+    tickets: id, archived, labels and comments (array of structs with `body`). Of several tickets the smallest id
+    is named."""
     labelled = tickets.select("id", "archived", "comments", F.explode("labels").alias("label")).where(F.col("label").startswith(prefix))
-    seen = labelled.groupBy("label").agg(F.count("*").alias("tickets"), F.first("id").alias("ticket_id"), F.first("archived").alias("archived"), F.first(F.transform("comments", lambda x: x["body"])).alias("bodies"))
+    seen = labelled.groupBy("label").agg(F.count("*").alias("tickets"), F.min("id").alias("ticket_id"), F.min_by("archived", "id").alias("archived"), F.min_by(F.transform("comments", lambda x: x["body"]), "id").alias("bodies"))
     joined = groups.withColumn("label", F.concat(F.lit(prefix), "key")).join(seen, "label", "left")
     missing = F.filter("fingerprints", lambda f: ~F.exists(F.coalesce("bodies", F.array().cast("array<string>")), lambda b: F.contains(b, f)))
     action = F.when(F.col("tickets").isNull(), "create").when(F.col("tickets") > 1, "error").when(F.col("archived"), "archived").when(F.size(missing) > 0, "post").otherwise("unchanged")

@@ -31,49 +31,49 @@ def _filled(name: str) -> Column:
     return F.coalesce(F.trim(attr(name)) != "", F.lit(False))
 
 
+def _attr_of(x: Column, name: str) -> Column:
+    return F.get(F.filter(x["attrs"], lambda a: F.lower(a["k"]) == name), F.lit(0))["v"]
+
+
+def _met(df: DataFrame, rules: list[tuple[Column, str, str | Column]], disabled: list[str], engine: str, severity: str, line: str | Column = "line") -> DataFrame:
+    """Findings of several (condition, rule, message) in one pass over the rows."""
+    at = F.greatest(paths.c(line), F.lit(1)).cast("int")
+    hits = F.array(*[F.when(cond, F.struct(F.lit(f"{engine}.{rule}").alias("rule"), F.lit(message).alias("message"), (at if rule != "document-title" and rule != "landmark" else F.lit(1)).alias("line"))) for cond, rule, message in rules if rule not in disabled])
+    return df.select("page_id", F.inline(F.array_compact(hits))).select("page_id", "rule", F.lit(engine).alias("engine"), F.lit(severity).alias("severity"), "line", "message")
+
+
 def html_findings(parsed: DataFrame) -> DataFrame:
     """Doctype, viewport, unclosed and misnested findings, all errors."""
-    one = parsed.withColumn("line", F.lit(1))
     viewport = F.exists("elements", lambda e: (e["name"] == "meta") & F.exists(e["attrs"], lambda a: (F.lower(a["k"]) == "name") & (F.lower(a["v"]) == "viewport")) & F.exists(e["attrs"], lambda a: (F.lower(a["k"]) == "content") & (F.trim(a["v"]) != "")))
-    doctype = _rule(one.where(~F.col("has_doctype")), "doctype", "missing <!doctype html>", [], "html", "error")
-    missing = _rule(one.where(~viewport), "viewport", 'missing <meta name="viewport">', [], "html", "error")
+    page = _met(parsed, [(~F.col("has_doctype"), "doctype", "missing <!doctype html>"), (~viewport, "viewport", 'missing <meta name="viewport">')], [], "html", "error", F.lit(1))
     balance = parsed.select("page_id", F.inline("balance")).select("page_id", "rule", F.lit("html").alias("engine"), F.lit("error").alias("severity"), "line", "message")
-    return doctype.unionByName(missing).unionByName(balance)
+    return page.unionByName(balance)
 
 
 def document_rules(parsed: DataFrame, disabled: list[str] | None = None) -> DataFrame:
-    """html-lang, document-title and landmark, each from one look at a page's elements."""
-    off = disabled or []
+    """html-lang, document-title and landmark, from one look at a page's elements."""
     e = F.col("elements")
-
-    def attr_of(x: Column, name: str) -> Column:
-        return F.get(F.filter(x["attrs"], lambda a: F.lower(a["k"]) == name), F.lit(0))["v"]
-
-    lang = F.exists(e, lambda x: (x["name"] == "html") & F.coalesce(F.trim(attr_of(x, "lang")) != "", F.lit(False)))
+    lang = F.exists(e, lambda x: (x["name"] == "html") & F.coalesce(F.trim(_attr_of(x, "lang")) != "", F.lit(False)))
     title = F.exists(e, lambda x: (x["name"] == "title") & (F.trim(x["text"]) != ""))
-    landmark = F.exists(e, lambda x: x["name"].isin(*LANDMARKS) | F.coalesce(attr_of(x, "role").isin(*LANDMARK_ROLES), F.lit(False)))
+    landmark = F.exists(e, lambda x: x["name"].isin(*LANDMARKS) | F.coalesce(_attr_of(x, "role").isin(*LANDMARK_ROLES), F.lit(False)))
     html_line = F.coalesce(F.get(F.filter(e, lambda x: x["name"] == "html"), F.lit(0))["line"], F.lit(1))
-    page = parsed.withColumn("line", F.lit(1))
-    return (
-        _rule(page.where(~lang), "html-lang", "html element has no lang", off, line=html_line)
-        .unionByName(_rule(page.where(~title), "document-title", "page has no title", off))
-        .unionByName(_rule(page.where(~landmark), "landmark", "page has no landmark", off))
-    )
+    rules = [(~lang, "html-lang", "html element has no lang"), (~title, "document-title", "page has no title"), (~landmark, "landmark", "page has no landmark")]
+    return _met(parsed, rules, disabled or [], "a11y", "warning", html_line)
 
 
 def element_rules(elements: DataFrame, disabled: list[str] | None = None) -> DataFrame:
-    """img-alt, name, tabindex, autoplay and inline contrast: filters over elements, one row each."""
-    off = disabled or []
+    """img-alt, name, tabindex, autoplay and inline contrast, in one pass over elements."""
     name = F.col("name")
-    tab = F.expr("try_cast(trim(_tab) as int)")
+    tab = F.trim(attr("tabindex")).try_cast("int")
     colors = inline_colors(attr("style"))
-    return (
-        _rule(elements.where((name == "img") & attr("alt").isNull()), "img-alt", "img has no alt", off)
-        .unionByName(_rule(elements.where(name.isin("a", "button") & (F.trim("text") == "") & ~_filled("aria-label") & ~_filled("aria-labelledby")), "name", "link or button has no accessible name", off))
-        .unionByName(_rule(elements.withColumn("_tab", attr("tabindex")).where(tab > 0), "tabindex", "positive tabindex", off))
-        .unionByName(_rule(elements.where(name.isin("video", "audio") & attr("autoplay").isNotNull() & attr("controls").isNull()), "autoplay", "autoplay media has no controls", off))
-        .unionByName(_rule(elements.where(scoring.contrast(colors["fg"], colors["bg"]) < scoring.LEAST_CONTRAST), "contrast", "inline colors are below 4.5:1", off))
-    )
+    rules = [
+        ((name == "img") & attr("alt").isNull(), "img-alt", "img has no alt"),
+        (name.isin("a", "button") & (F.trim("text") == "") & ~_filled("aria-label") & ~_filled("aria-labelledby"), "name", "link or button has no accessible name"),
+        (tab > 0, "tabindex", "positive tabindex"),
+        (name.isin("video", "audio") & attr("autoplay").isNotNull() & attr("controls").isNull(), "autoplay", "autoplay media has no controls"),
+        (scoring.contrast(colors["fg"], colors["bg"]) < scoring.LEAST_CONTRAST, "contrast", "inline colors are below 4.5:1"),
+    ]
+    return _met(elements, rules, disabled or [], "a11y", "warning")
 
 
 def inline_colors(style: Column) -> Column:

@@ -90,6 +90,7 @@ def crap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""SELECT repo, 'crap' AS id, o = 0 AND untested = 0 AND coverage_complete AS pass, o > 0 OR untested > 0 OR coverage_complete AS enforced,
     CASE WHEN o > 0 OR untested > 0 THEN concat_ws(', ', CASE WHEN o > 0 THEN o || CASE WHEN o = 1 THEN ' function' ELSE ' functions' END || ' over the threshold' END, CASE WHEN untested > 0 THEN untested || CASE WHEN untested = 1 THEN ' complex function' ELSE ' complex functions' END || ' untested' END)
+    || CASE WHEN coverage_complete THEN '' ELSE '; ' || unmatched || CASE WHEN unmatched = 1 THEN ' function' ELSE ' functions' END || ' without coverage' END
     WHEN NOT coverage_complete THEN unmatched || CASE WHEN unmatched = 1 THEN ' function' ELSE ' functions' END || ' without coverage' END AS reason FROM {SUMMARY.replace("AS over", "AS o")}""",
     USED,
 )
@@ -143,15 +144,59 @@ def surviving_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.survivor_findings(view(spark, sf_dir, "v_mutants"))
 
 
-@query()
+CRAP_ROW = "repo, {rule} AS rule, 'crap' AS engine, 'error' AS severity, file, start_line, symbol, {message} AS message"
+
+
+@query(
+    "SELECT "
+    + CRAP_ROW.format(rule="'crap.over_threshold'", message="'CRAP ' || CAST(floor(crap + 0.5) AS BIGINT) || ' (CC=' || cc || ', cov=' || CAST(floor(coverage * 100 + 0.5) AS BIGINT) || '%) exceeds threshold 30'")
+    + f" FROM {SCORED} WHERE crap > 30 UNION ALL SELECT "
+    + CRAP_ROW.format(rule="'complexity.untested'", message="'CC=' || cc || ' without any covered line'")
+    + f" FROM {SCORED} WHERE cc >= 5 AND coverage = 0",
+    USED,
+)
 def crap_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.crap_findings(_scored(spark, sf_dir))
 
 
-@query()
+NUMBER = "CAST(substr(f.repo, 2) AS INT)"
+
+
+@query(
+    f"""SELECT repo, 'coverage.missing' AS rule, 'warning' AS severity, CASE WHEN alone AND NOT coalesce(tests_pass, true) THEN 'tests failed: ' || CASE WHEN code IS NOT NULL THEN 'exit code ' || code ELSE coalesce(said, 'no test command was run') END
+    ELSE 'no coverage data for ' || n || CASE WHEN n = 1 THEN ' function' ELSE ' functions' END || ': ' || CASE WHEN num % 4 = 0 THEN 'coverage is disabled' WHEN num % 7 = 0 THEN 'no test suite was found' WHEN alone THEN 'no coverage report was written' ELSE 'the report leaves them out' END END AS reason
+    FROM (SELECT f.repo, {NUMBER} AS num, count(CASE WHEN f.coverage IS NULL OR {NUMBER} > 8 AND {NUMBER} < 16 THEN 1 END) AS n, bool_and(f.coverage IS NULL OR {NUMBER} > 8 AND {NUMBER} < 16) AS alone FROM {ALL} f GROUP BY f.repo) c
+    LEFT JOIN (SELECT repo, bool_and(pass) AS tests_pass, min(reason) AS said FROM v_gates_20 WHERE id = 'tests' GROUP BY repo) t USING (repo)
+    LEFT JOIN (SELECT repo, arg_max_null(exit_code, pos) AS code FROM v_runs_20 WHERE engine = 'tests' AND exit_code IS DISTINCT FROM 0 GROUP BY repo) r USING (repo) WHERE n > 0""",
+    "v_functions v_cov_lines v_gates_20 v_runs_20",
+)
 def coverage_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gates, runs = view(spark, sf_dir, "v_gates"), view(spark, sf_dir, "v_engine_runs")
+    functions, cov = _covered(spark, sf_dir)
+    n = F.regexp_extract("repo", "([0-9]+)", 1).cast("int")
+    repos = functions.select("repo").distinct().select("repo", (n % 4 != 0).alias("coverage_enabled"), (n % 7 != 0).alias("has_suite"))
+    return ops.coverage_missing(repos, functions, view(spark, sf_dir, "v_gates_20"), view(spark, sf_dir, "v_runs_20"), cov.where((n <= 8) | (n >= 16)))
+
+
+@query(
+    f"""SELECT repo, 'crap' AS id, o = 0 AND untested = 0 AND coverage_complete AS pass, false AS enforced,
+    CASE WHEN o > 0 OR untested > 0 THEN concat_ws(', ', CASE WHEN o > 0 THEN o || CASE WHEN o = 1 THEN ' function' ELSE ' functions' END || ' over the threshold' END, CASE WHEN untested > 0 THEN untested || CASE WHEN untested = 1 THEN ' complex function' ELSE ' complex functions' END || ' untested' END) || ' (advisory)' END AS reason
+    FROM (SELECT repo, count(CASE WHEN crap > 30 THEN 1 END) AS o, count(CASE WHEN cc >= 5 AND coverage = 0 THEN 1 END) AS untested, true AS coverage_complete FROM {SCORED} GROUP BY repo)""",
+    USED,
+)
+def crap_gate_advisory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over the functions that have coverage, not enforced."""
+    functions, cov = _covered(spark, sf_dir)
+    return ops.crap_gate(ops.crap_summary(functions.join(cov.select("repo", "file", "symbol"), ["repo", "file", "symbol"], "left_semi"), cov), enforce=False)
+
+
+@query(
+    """SELECT m.repo, m.score, coalesce(w.findings, 0)::BIGINT AS findings, CASE WHEN m.status = 'failed' OR w.status = 'failed' THEN 'failed' WHEN coalesce(w.findings, 0) > 0 THEN 'weakened' WHEN m.status = 'ok' AND m.score < 1 THEN 'survivors' WHEN m.status = 'ok' OR w.status = 'ok' THEN 'ok' ELSE 'skipped' END AS status
+    FROM (SELECT repo, round(count(CASE WHEN summary = 'CaughtMutant' THEN 1 END) / count(*)::DOUBLE, 6) AS score, CASE CAST(substr(repo, 2) AS INT) % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'ok' END AS status FROM v_mutants GROUP BY repo) m
+    FULL JOIN (SELECT repo, count(CASE WHEN engine = 'perf' AND CAST(substr(repo, 2) AS INT) % 3 = 0 THEN 1 END) AS findings, CASE CAST(substr(repo, 2) AS INT) % 5 WHEN 0 THEN 'skipped' ELSE 'ok' END AS status FROM v_findings GROUP BY repo) w ON m.repo = w.repo""",
+    "v_mutants v_findings",
+)
+def test_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.regexp_extract("repo", "([0-9]+)", 1).cast("int")
-    repos = gates.select("repo").distinct().select("repo", (n % 4 != 0).alias("coverage_enabled"), (n % 5 != 0).alias("has_suite"))
-    cov = _covered(spark, sf_dir)[1].where(F.regexp_extract("repo", "([0-9]+)", 1).cast("int") > 8)
-    return ops.coverage_missing(repos, gates, runs, cov)
+    m = ops.mutation_summary(view(spark, sf_dir, "v_mutants")).select("repo", F.round("score", 6).alias("score"), F.when(n % 4 == 0, "failed").when(n % 4 == 1, "skipped").otherwise("ok").alias("status"))
+    w = view(spark, sf_dir, "v_findings").groupBy("repo").agg(F.count_if((F.col("engine") == "perf") & (n % 3 == 0)).alias("findings")).withColumn("status", F.when(n % 5 == 0, "skipped").otherwise("ok"))
+    return ops.test_value(m, w)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import scoring
 from ..operators import findings as ops
+from ..sources import reports
 from .adapters import view
 
 ENFORCED = {"tests": True, "secrets": True, "a11y": False, "sca": False, "perf": False}
@@ -206,9 +207,20 @@ def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.sarif_results(view(spark, sf_dir, "v_findings"))
 
 
-@query()
+@query(
+    f"""SELECT g.repo, g.run_id, '2.1.0' AS version, coalesce(f.n, 0)::BIGINT AS results, f.first_rule, f.last_message, coalesce(f.rules, 0)::BIGINT AS rules, g.n AS gates
+    FROM (SELECT repo, run_id, count(*) AS n FROM v_gates GROUP BY repo, run_id) g LEFT JOIN
+    (SELECT repo, run_id, count(*) AS n, arg_min(rule, place) AS first_rule, arg_max(message, place) AS last_message, count(DISTINCT rule) AS rules
+     FROM (SELECT *, row_number() OVER (PARTITION BY repo, run_id ORDER BY {ORDER}) AS place FROM v_findings WHERE {DISPOSITION} <> 'ignore') GROUP BY repo, run_id) f ON f.repo = g.repo AND f.run_id = g.run_id""",
+    "v_findings v_gates",
+)
 def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.to_sarif(view(spark, sf_dir, "v_findings"), view(spark, sf_dir, "v_gates"))
+    """The documents, read again as JSON."""
+    result = "struct<ruleId:string,message:struct<text:string>>"
+    schema = f"struct<version:string,runs:array<struct<results:array<{result}>,tool:struct<driver:struct<rules:array<struct<id:string>>>>,properties:struct<gates:array<struct<id:string>>>>>>"
+    d = ops.to_sarif(view(spark, sf_dir, "v_findings"), view(spark, sf_dir, "v_gates")).withColumn("j", F.from_json("sarif", schema)).withColumn("r", F.col("j.runs")[0])
+    results = F.col("r.results")
+    return d.select("repo", "run_id", "j.version", F.size(results).cast("long").alias("results"), F.get(results, F.lit(0))["ruleId"].alias("first_rule"), F.try_element_at(results, F.lit(-1))["message"]["text"].alias("last_message"), F.size("r.tool.driver.rules").cast("long").alias("rules"), F.size("r.properties.gates").cast("long").alias("gates"))
 
 
 GROUP_KEY = "sha256('qualitylake-group-v1'::BLOB || unhex('00') || " + _part("file") + " || " + _part("coalesce(symbol, '')") + ")"
@@ -223,14 +235,52 @@ def ticket_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ticket_groups(view(spark, sf_dir, "v_findings")).withColumn("fingerprints", F.array_join("fingerprints", ","))
 
 
-@query()
+@query(
+    f"""SELECT repo, file, symbol, {FINGERPRINT} AS fingerprint, 'Finding fingerprint: ' || {FINGERPRINT} || chr(10) || 'Rule: ' || rule || chr(10) || 'Engine: ' || engine || chr(10) || 'Severity: ' || severity || chr(10) || 'Location: ' || file || ':' || start_line
+    || CASE WHEN symbol IS NULL THEN '' ELSE chr(10) || 'Symbol: ' || symbol END || chr(10) || 'Finding: ' || message || chr(10) || 'Suggested action: ' || coalesce(suggested_action, 'No suggested action was included in the report.') AS body FROM v_findings""",
+    "v_findings",
+)
 def ticket_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ticket_comments(view(spark, sf_dir, "v_findings"))
 
 
-@query()
+@query(
+    f"""SELECT repo, file, symbol, key, CASE WHEN left(key, 1) < '5' THEN NULL ELSE key END AS ticket_id, action, CASE WHEN action IN ('create', 'post') THEN CASE WHEN action = 'create' THEN every ELSE rest END END AS to_post FROM (
+    SELECT *, CASE WHEN left(key, 1) < '5' THEN 'create' WHEN left(key, 1) = 'f' THEN 'error' WHEN substr(key, 2, 1) < '4' THEN 'archived' WHEN rest <> '' THEN 'post' ELSE 'unchanged' END AS action FROM (
+    SELECT repo, file, symbol, {GROUP_KEY} AS key, string_agg(fp, ',' ORDER BY fp) AS every, coalesce(string_agg(CASE WHEN fp <> lowest THEN fp END, ',' ORDER BY fp), '') AS rest
+    FROM (SELECT *, min(fp) OVER (PARTITION BY repo, file, symbol) AS lowest FROM (SELECT *, {FINGERPRINT} AS fp FROM v_findings)) GROUP BY repo, file, symbol))""",
+    "v_findings",
+)
 def ticket_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets hold the first fingerprint of their group; groups are known, doubled or archived by their keys."""
     groups = ops.ticket_groups(view(spark, sf_dir, "v_findings"))
-    known = groups.where(F.pmod(F.xxhash64("key"), F.lit(3)) > 0)
-    tickets = known.select(F.col("key").alias("id"), (F.pmod(F.xxhash64("key"), F.lit(5)) == 0).alias("archived"), F.array(F.concat(F.lit("group-"), "key")).alias("labels"), F.array(F.struct(F.element_at("fingerprints", 1).alias("body"))).alias("comments"))
-    return ops.reconcile(groups, tickets)
+    known = groups.where(F.left("key", F.lit(1)) >= "5").withColumn("copy", F.explode(F.when(F.left("key", F.lit(1)) == "f", F.array(F.lit(""), F.lit("x"))).otherwise(F.array(F.lit("")))))
+    tickets = known.select(F.concat("key", "copy").alias("id"), (F.substring("key", 2, 1) < "4").alias("archived"), F.array(F.concat(F.lit("group-"), "key")).alias("labels"), F.array(F.struct(F.element_at("fingerprints", 1).alias("body"))).alias("comments"))
+    return ops.reconcile(groups, tickets).withColumn("to_post", F.array_join("to_post", ","))
+
+
+RANK = ("compile", "tests", "secrets", "sca", "a11y")
+
+
+@query("SELECT repo, string_agg(engine, ',' ORDER BY CASE engine WHEN 'tests' THEN 2 WHEN 'secrets' THEN 3 WHEN 'sca' THEN 4 WHEN 'a11y' THEN 5 ELSE 6 END, engine) FILTER (engine <> 'a11y') AS ran FROM (SELECT DISTINCT repo, engine FROM v_engine_runs) GROUP BY repo", "v_engine_runs")
+def engines_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = view(spark, sf_dir, "v_engine_runs").groupBy("repo").agg(F.collect_set("engine").alias("engines"))
+    return g.select("repo", F.array_join(ops.engine_order(F.col("engines"), list(RANK), F.array(F.lit("a11y"))), ",").alias("ran"))
+
+
+@query(
+    """SELECT f.repo, f.run_id, f.findings, f.rules, f.lines, g.gates, g.enforced, '' AS disposition FROM
+    (SELECT repo, run_id, count(*) AS findings, count(DISTINCT rule) AS rules, CAST(sum(start_line) AS BIGINT) AS lines FROM v_findings GROUP BY repo, run_id) f JOIN
+    (SELECT repo, run_id, count(*) AS gates, count(*) AS enforced FROM v_gates GROUP BY repo, run_id) g ON f.repo = g.repo AND f.run_id = g.run_id""",
+    "v_findings v_gates",
+)
+def saved_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings and gates packed as reports of an old form, without enforcement and dispositions, and read again."""
+    f, g = view(spark, sf_dir, "v_findings"), view(spark, sf_dir, "v_gates")
+    findings = f.groupBy("repo", "run_id").agg(F.collect_list(F.struct("id", "rule", "engine", "severity", "file", "message", F.struct("start_line").alias("span"))).alias("findings"))
+    gates = g.groupBy("repo", "run_id").agg(F.collect_list(F.struct("id", "pass", "reason")).alias("gates"))
+    texts = findings.join(gates, ["repo", "run_id"]).select(F.to_json(F.struct("repo", "run_id", "findings", "gates")).alias("report"))
+    tables = reports.explode_reports(reports.parse_reports(texts))
+    a = tables["findings"].groupBy("repo", "run_id").agg(F.count("*").alias("findings"), F.count_distinct("rule").alias("rules"), F.sum("start_line").alias("lines"), F.max("disposition").alias("disposition"))
+    b = tables["gates"].groupBy("repo", "run_id").agg(F.count("*").alias("gates"), F.count_if("enforced").alias("enforced"))
+    return a.join(b, ["repo", "run_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import pages as ops
 from ..sources import pages as source
-from .adapters import view
+from .adapters import kept, view
 
 P = "v_pages_mut"
 
@@ -31,9 +31,14 @@ def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.html_findings(_parsed(spark, sf_dir)).where(F.col("rule").isin("html.viewport", "html.doctype")).select("page_id", "rule", "line")
 
 
-@query()
+BOLD = "len(regexp_extract_all(html, '<b>'))"
+
+
+@query(f"SELECT page_id, 'html.unclosed' AS rule, 'unclosed <b>' AS message, {BOLD} AS n FROM pages WHERE {BOLD} > 0 UNION ALL SELECT page_id, 'html.misnested', 'misnested </article>', 1 FROM pages WHERE {BOLD} > 0")
 def html_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.html_findings(_parsed(spark, sf_dir, "pages")).where(F.col("rule").isin("html.unclosed", "html.misnested"))
+    """Pages open bold text that they never close, so their article's end tag is misnested."""
+    found = ops.html_findings(_parsed(spark, sf_dir, "pages")).where(F.col("rule").isin("html.unclosed", "html.misnested"))
+    return found.groupBy("page_id", "rule", "message").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, 'a11y.html-lang' AS rule, 1 AS line FROM v_pages_mut WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'a11y.landmark', 1 FROM v_pages_mut WHERE page_id % 7 = 0", P)
@@ -44,11 +49,27 @@ def a11y_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE = "len(regexp_replace(split_part(html, '<img src=\"a.png\">', 1), '[^\\n]', '', 'g')) + 1"
 
 
-@query(f"SELECT page_id, 'a11y.img-alt' AS rule, CAST({LINE} AS INT) AS line FROM v_pages_mut WHERE page_id % 4 = 0", P)
+AFTER_H1 = "CAST(len(string_split(split_part(html, '<input id=', 1), chr(10))) AS INT)"
+
+
+@query(
+    f"SELECT page_id, 'a11y.img-alt' AS rule, CAST({LINE} AS INT) AS line FROM v_pages_mut WHERE page_id % 4 = 0 UNION ALL SELECT page_id, unnest(['a11y.name', 'a11y.tabindex', 'a11y.autoplay', 'a11y.contrast']), {AFTER_H1} FROM v_pages_mut WHERE page_id % 6 = 0",
+    P,
+)
 def a11y_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.element_rules(_elements(spark, sf_dir)).select("page_id", "rule", "line")
 
 
+@query(f"SELECT page_id, 'a11y.label' AS rule, {AFTER_H1} AS line FROM v_pages_mut WHERE page_id % 6 = 0", P)
+def unlabelled_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.unlabelled(_elements(spark, sf_dir)).select("page_id", "rule", "line")
+
+
+@query(f"SELECT page_id, 'a11y.contrast' AS rule, {AFTER_H1} AS line FROM v_pages_mut WHERE page_id % 6 = 0", P)
+def style_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.style_contrast(_elements(spark, sf_dir)).select("page_id", "rule", "line")
+
+
 @query(f"SELECT page_id, 'a11y.heading-order' AS rule, CAST({LINE} AS INT) AS line, 'heading jumps from h1 to h3' AS message FROM v_pages_mut WHERE page_id % 4 = 0", P)
 def heading_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.heading_skips(_elements(spark, sf_dir)).select("page_id", "rule", "line", "message")
@@ -77,8 +98,15 @@ def inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.inline_scripts(view(spark, sf_dir, "pages")).select("page_id", "line", "body")
 
 
-@query()
+REPORTED = [
+    ("html.viewport", "error", "1", "true"), ("html.unclosed", "error", BOLD, f"{BOLD} > 0"), ("html.misnested", "error", "1", f"{BOLD} > 0"), ("a11y.html-lang", "warning", "1", "page_id % 3 = 0"),
+    ("a11y.landmark", "warning", "1", "page_id % 7 = 0"), ("a11y.img-alt", "warning", "1", "page_id % 4 = 0"), ("a11y.heading-order", "warning", "1", "page_id % 4 = 0"), ("a11y.duplicate-id", "warning", "1", "page_id % 5 = 0"),
+    ("a11y.name", "warning", "1", "page_id % 6 = 0"), ("a11y.tabindex", "warning", "1", "page_id % 6 = 0"), ("a11y.autoplay", "warning", "1", "page_id % 6 = 0"), ("a11y.label", "warning", "1", "page_id % 6 = 0"), ("a11y.contrast", "warning", "2", "page_id % 6 = 0"),
+]
+
+
+@query("SELECT rule, severity, CAST(sum(n) AS BIGINT) AS n, count(*) AS pages FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, '{v}' AS severity, {n} AS n FROM v_pages_mut WHERE {w}" for r, v, n, w in REPORTED) + ") GROUP BY rule, severity", P)
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All page rules, counted by rule. Every rule reads the parse, so it is kept for them."""
-    parsed = _parsed(spark, sf_dir).persist()
+    """All page rules, counted by rule."""
+    parsed = kept(_parsed(spark, sf_dir))
     return ops.all_page_rules(parsed, source.page_elements(parsed)).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))

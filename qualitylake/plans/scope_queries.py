@@ -79,12 +79,12 @@ def other_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.other_paths(view(spark, sf_dir, "v_paths"), view(spark, sf_dir, "v_changed"))
 
 
-ROOTS = "(SELECT DISTINCT repo, CASE key % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'a/b' WHEN 2 THEN 'a/b/c' ELSE 'd/e' END AS root, CASE WHEN key % 3 = 0 THEN 'go' ELSE 'node' END AS pack FROM v_paths WHERE key < 20000)"
+ROOTS = "(SELECT DISTINCT repo, CASE key % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'a/b' WHEN 2 THEN 'a/b/c' ELSE 'd/e' END AS root, CASE WHEN key % 3 = 0 THEN 'go' ELSE 'node' END AS pack FROM v_paths)"
 
 
 @query(f"SELECT * FROM {ROOTS} r WHERE NOT EXISTS (SELECT 1 FROM {ROOTS} u WHERE u.repo = r.repo AND u.pack = r.pack AND starts_with(r.root, u.root || '/'))", "v_paths")
 def independent_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = view(spark, sf_dir, "v_paths").where("key < 20000")
+    p = view(spark, sf_dir, "v_paths")
     k = F.col("key") % 4
     roots = p.select("repo", F.when(k == 0, "a").when(k == 1, "a/b").when(k == 2, "a/b/c").otherwise("d/e").alias("root"), F.when(F.col("key") % 3 == 0, "go").otherwise("node").alias("pack")).distinct()
     return ops.independent_roots(roots)
@@ -103,14 +103,14 @@ def known_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.known_paths(p.where("path like '%.py'"), p)
 
 
-@query("SELECT DISTINCT repo, path FROM v_paths WHERE key % 2 = 0", "v_paths")
+@query("SELECT DISTINCT repo, path FROM v_paths", "v_paths")
 def scope_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.scope_paths(view(spark, sf_dir, "v_paths").where("key % 2 = 0"))
+    return ops.scope_paths(view(spark, sf_dir, "v_paths"))
 
 
-@query("SELECT repo, path FROM v_changed UNION SELECT repo, path FROM v_paths WHERE key % 6 = 0 AND trim(path) <> ''", "v_changed v_paths")
+@query("SELECT repo, path FROM v_changed UNION SELECT repo, path FROM v_paths WHERE size > 100000 AND trim(path) <> ''", "v_changed v_paths")
 def changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.changed_paths(view(spark, sf_dir, "v_changed"), view(spark, sf_dir, "v_paths").where("key % 6 = 0"))
+    return ops.changed_paths(view(spark, sf_dir, "v_changed"), view(spark, sf_dir, "v_paths").where("size > 100000"))
 
 
 @query("SELECT repo, string_agg(CASE WHEN n <= 3 THEN path END, ', ' ORDER BY path) || CASE WHEN count(*) > 3 THEN ' +' || (count(*) - 3) || ' more' ELSE '' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS n FROM (SELECT DISTINCT repo, path FROM v_changed)) GROUP BY repo", "v_changed")
@@ -146,21 +146,60 @@ def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("repo", "hash", F.col("file").alias("path"))
 
 
-@query()
+@query(
+    "SELECT repo, id, 3 AS line, split_part(message, chr(10), 3) AS text FROM v_commits WHERE regexp_matches(lower(split_part(message, chr(10), 3)), '^(signed|co-authored|reviewed)-by:')",
+    "v_commits",
+)
 def attribution_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = view(spark, sf_dir, "conversations").select("role", F.col("conv_id").cast("string").alias("id"), F.col("text").alias("message")).withColumnRenamed("role", "repo")
-    return ops.attribution_hits(c, r"\b(signed|co-authored|reviewed)-by:")
+    return ops.attribution_hits(view(spark, sf_dir, "v_commits"), r"\b(signed|co-authored|reviewed)-by:")
 
 
-@query()
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as binary files; some start as objects do, and sizes of some are beyond what is scanned."""
+    d = view(spark, sf_dir, "documents")
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    head = F.when(n % 5 == 0, F.unhex(F.lit("7F454C46"))).when(n % 5 == 1, F.unhex(F.lit("FFD8FFE0"))).otherwise(F.lit(b""))
+    content = F.concat(head, F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return d.select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), content.alias("content"), F.when(n % 7 == 0, F.lit(65 << 20)).otherwise(n).alias("size"))
+
+
+SIZES = "(SELECT source AS repo, doc_id::VARCHAR AS path, CASE WHEN coalesce(length(text), 0) % 5 = 0 THEN 'object' WHEN coalesce(length(text), 0) % 7 = 0 THEN 'partial' ELSE 'scan' END AS route FROM documents)"
+
+
+@query(f"SELECT repo, route, count(*) AS n FROM {SIZES} GROUP BY repo, route")
 def file_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = view(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.octet_length("text").cast("long").alias("size"))
-    return ops.route_files(d).groupBy("repo", "route").agg(F.count("*").alias("n"))
+    return ops.route_files(_bodies(spark, sf_dir)).groupBy("repo", "route").agg(F.count("*").alias("n"))
+
 
+@query(f"SELECT repo, 'secrets.partial' AS rule, 'error' AS severity, string_agg(path, ', ' ORDER BY path) AS paths FROM {SIZES} WHERE route = 'partial' GROUP BY repo")
+def partial_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.partial_scan(ops.route_files(_bodies(spark, sf_dir)))
 
-@query()
+
+@query("SELECT repo, 'scope.generated' AS rule, 'warning' AS severity, count(*) AS n, string_agg(CASE WHEN k <= 5 THEN path END, ', ' ORDER BY path) AS first FROM (SELECT source AS repo, 'd' || doc_id || '.py' AS path, row_number() OVER (PARTITION BY source ORDER BY 'd' || doc_id || '.py') AS k FROM documents WHERE coalesce(length(text), 0) % 9 IN (0, 1)) GROUP BY repo")
 def generated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = view(spark, sf_dir, "documents")
-    head = F.when(F.col("doc_id") % 9 == 0, F.lit("# @generated by a tool\n")).when(F.col("doc_id") % 9 == 1, F.lit("/* header\n * Code generated by x. DO NOT EDIT.\n */\n")).otherwise(F.lit(""))
+    n = F.coalesce(F.length("text"), F.lit(0)) % 9
+    head = F.when(n == 0, F.lit("# @generated by a tool\n")).when(n == 1, F.lit("/* header\n * Code generated by x. DO NOT EDIT.\n */\n")).when(n == 2, F.lit("x = 1\n# @generated too late\n")).otherwise(F.lit(""))
     files = d.select(F.col("source").alias("repo"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("content"))
     return ops.generated_warning(files)
+
+
+MARKED = """(SELECT repo, max(CASE WHEN n % 5 IN (0, 1) THEN 1 ELSE 0 END) AS cargo, max(CASE WHEN n % 5 IN (1, 2) THEN 1 ELSE 0 END) AS go, bool_or(ends_with(path, '.rs')) AS rust_lang, bool_or(ends_with(path, '.go')) AS go_lang, bool_or(ends_with(path, '.sh')) AS sh
+    FROM (SELECT concat(repo, '/', split_part(path, '/', 1)) AS repo, path, o % 41 AS n FROM (SELECT repo, path, CAST(substr(repo, 2) AS INT) * 7 + length(split_part(path, '/', 1)) AS o FROM v_paths WHERE contains(path, '/'))) GROUP BY repo)"""
+
+
+@query(
+    f"""SELECT repo, CASE WHEN cargo + go = 1 THEN CASE WHEN cargo = 1 THEN 'rust' ELSE 'go' END WHEN cargo + go = 2 AND rust_lang AND NOT go_lang THEN 'rust' WHEN cargo + go = 2 AND go_lang AND NOT rust_lang THEN 'go' WHEN cargo + go = 2 THEN 'ambiguous' WHEN sh THEN 'bash' ELSE 'unknown' END AS pack,
+    concat_ws(',', CASE WHEN go = 1 THEN 'go' END, CASE WHEN cargo = 1 THEN 'rust' END) AS markers FROM {MARKED}""",
+    "v_paths",
+)
+def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top directories as roots, with marker files by their names and repositories."""
+    top = F.split("path", "/")[0]
+    p = view(spark, sf_dir, "v_paths").where("path like '%/%'").select("repo", "path", top.alias("top"))
+    n = (F.substring("repo", 2, 9).cast("int") * 7 + F.length("top")) % 41 % 5
+    roots = p.select(F.concat_ws("/", "repo", "top").alias("repo"), F.substring_index("path", "/", -1).alias("path"), n.alias("n"))
+    marks = roots.select("repo", "n").distinct()
+    more = marks.where("n in (0, 1)").select("repo", F.lit("Cargo.toml").alias("path")).unionByName(marks.where("n in (1, 2)").select("repo", F.lit("go.mod").alias("path")))
+    return ops.detect_packs(roots.select("repo", "path").unionByName(more), {"Cargo.toml": "rust", "go.mod": "go"})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import scoring
 from ..sources import code, coverage_reports, diffs, logs
 from .adapters import view
 
@@ -93,7 +94,8 @@ def mutant_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = view(spark, sf_dir, "v_mutants")
     mutant = F.struct(F.concat(F.lit("m"), F.col("pos").cast("string")).alias("name"), "file", F.struct(F.struct(F.col("pos").alias("line")).alias("start")).alias("span"))
     outcome = F.struct("summary", F.struct(mutant.alias("Mutant")).alias("scenario"))
-    r = m.groupBy("repo", "file").agg(F.to_json(F.struct(F.collect_list(outcome).alias("outcomes"))).alias("text"))
+    # reports of bounded length, whatever a file's mutants
+    r = m.groupBy("repo", "file", F.floor(F.col("pos") / 20_000)).agg(F.to_json(F.struct(F.collect_list(outcome).alias("outcomes"))).alias("text"))
     return logs.mutants(r)
 
 
@@ -109,7 +111,7 @@ def compiler_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def test_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = view(spark, sf_dir, "v_findings").where("engine = 'tests'")
     text = F.format_string("test t::%s ... FAILED\ntest t::ok ... ok\nthread 't::%s' panicked at src/%s.rs:%d:1:\n%s\n", "id", "id", "id", "start_line", "message")
-    r = f.groupBy("repo", F.col("run_id").alias("log")).agg(F.array_join(F.collect_list(text), "").alias("text"))
+    r = f.groupBy("repo", F.concat_ws("/", "run_id", F.crc32("id") % 64).alias("log")).agg(F.array_join(F.collect_list(text), "").alias("text"))
     return logs.test_failures(r).select("repo", "name", "file", "start_line", "detail")
 
 
@@ -154,3 +156,98 @@ def python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.format_string("def %s(x):\n    if x%s:\n        return 1\n    return 2", "symbol", F.when(F.col("cc") > 25, F.lit(" and x > 1")).otherwise(""))
     g = f.groupBy("repo", F.col("file").alias("path")).agg(F.array_join(F.array_sort(F.collect_list(body)), "\n").alias("content"))
     return code.functions(g)
+
+
+@query(
+    """SELECT repo, 'test_value.' || kind AS rule, 'warning' AS severity, 'tests/o' || pos || '.rs' AS file, CAST(CASE WHEN kind = 'ignore_added' THEN 2 ELSE 1 END AS INT) AS line FROM (
+    SELECT repo, pos, CASE summary WHEN 'CaughtMutant' THEN 'assert_loosened' WHEN 'MissedMutant' THEN 'ignore_added' ELSE 'assertion_removed' END AS kind FROM v_mutants)""",
+    "v_mutants",
+)
+def weakened_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A patch per order that changes a source file and weakens a test in one of three ways."""
+    m = view(spark, sf_dir, "v_mutants")
+    loosened, ignored, removed = "-    assert_eq!(f(), 1);\n+    assert!(f().is_ok());\n", " #[test]\n+#[ignore]\n", "-    assert!(f() == 1);\n+    f();\n"
+    hunk = F.when(F.col("summary") == "CaughtMutant", loosened).when(F.col("summary") == "MissedMutant", ignored).otherwise(removed)
+    head = F.format_string("--- a/src/o%d.rs\n+++ b/src/o%d.rs\n@@ -1 +1 @@\n-old\n+new\n--- a/tests/o%d.rs\n+++ b/tests/o%d.rs\n@@ -1,2 +1,2 @@\n", "pos", "pos", "pos", "pos")
+    patches = m.select("repo", F.col("pos").cast("string").alias("patch"), F.concat(head, hunk).alias("text"))
+    return diffs.weakening(diffs.parse_diffs(patches)).withColumn("line", F.col("line").cast("int"))
+
+
+@query(
+    """SELECT repo, 't::' || id AS name, CASE WHEN start_line % 3 = 0 THEN CASE WHEN start_line % 2 = 0 THEN 'tests/t.rs' ELSE '.' END ELSE 'src/' || id || '.rs' END AS at_file,
+    CAST(CASE WHEN start_line % 3 = 0 THEN CASE WHEN start_line % 2 = 0 THEN 7 END ELSE start_line END AS INT) AS at_line, CASE WHEN start_line % 3 = 0 THEN '/rustc/' || id || '.rs' ELSE 'src/' || id || '.rs' END || ':' || start_line AS panic_at FROM v_findings WHERE engine = 'tests'""",
+    "v_findings",
+)
+def panic_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third failure panics outside the project; half of those have a test function of their name."""
+    f = view(spark, sf_dir, "v_findings").where("engine = 'tests'")
+    outside = F.col("start_line") % 3 == 0
+    failures = f.select("repo", F.concat(F.lit("t::"), "id").alias("name"), F.col("message").alias("detail"), F.concat(F.when(outside, "/rustc/").otherwise("src/"), "id", F.lit(".rs")).alias("file"), "start_line")
+    tests = f.where("start_line % 6 = 0").select("repo", F.lit("tests/t.rs").alias("file"), F.col("id").alias("symbol"), F.lit(7).alias("start_line"))
+    return logs.attribute_panics(failures, tests).select("repo", "name", "at_file", "at_line", "panic_at")
+
+
+def _rust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Rust file per order: an import of its own, one that is built in, one of its own module, and public items."""
+    m = view(spark, sf_dir, "v_mutants")
+    text = F.format_string("use k%d::a::b;\npub use std::fmt;\nuse inner::x;\nextern crate e%d;\nmod inner;\npub async fn run_%d() {}\npub struct S%d;\nfn own() {}\n", "pos", "pos", "pos", "pos")
+    return m.select("repo", F.concat(F.lit("src/o"), F.col("pos").cast("string"), F.lit(".rs")).alias("path"), text.alias("content"))
+
+
+@query("SELECT repo, 'src/o' || pos || '.rs' AS file, 'k' || pos AS module, 1 AS line FROM v_mutants UNION ALL SELECT repo, 'src/o' || pos || '.rs', 'e' || pos, 4 FROM v_mutants", "v_mutants")
+def rust_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.imports_of_rust(_rust(spark, sf_dir))
+
+
+@query("SELECT repo, 'src/o' || pos || '.rs' AS file, 'fn' AS kind, 'run_' || pos AS name FROM v_mutants UNION ALL SELECT repo, 'src/o' || pos || '.rs', 'struct', 'S' || pos FROM v_mutants", "v_mutants")
+def rust_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.pub_items(_rust(spark, sf_dir))
+
+
+@query(
+    "SELECT repo, 'bin/o' || pos || '.sh' AS file, 'go_' || pos AS symbol, 2 AS start_line, 5 AS end_line, CASE WHEN summary = 'Timeout' THEN 4 ELSE 2 END AS cc FROM v_mutants UNION ALL SELECT repo, 'bin/o' || pos || '.sh', 'last', 6, 8, 1 FROM v_mutants",
+    "v_mutants",
+)
+def shell_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = view(spark, sf_dir, "v_mutants")
+    more = F.when(F.col("summary") == "Timeout", F.lit("  a && b || c # && no\n")).otherwise(F.lit("  a\n"))
+    text = F.concat(F.format_string("#!/bin/sh\ngo_%d() {\n  if x; then y; fi\n", "pos"), more, F.lit("}\nfunction last {\n  z\n}\n"))
+    return code.shell_functions(m.select("repo", F.concat(F.lit("bin/o"), F.col("pos").cast("string"), F.lit(".sh")).alias("path"), text.alias("content")))
+
+
+@query(
+    """SELECT DISTINCT repo, 'd' || pos AS dir, unnest(CASE pos % 4 WHEN 0 THEN ['a_' || pos, 'b'] WHEN 1 THEN ['c_d', 'e' || pos] WHEN 2 THEN ['f' || pos] ELSE ['g_h', 'i' || pos] END) AS module FROM v_mutants""",
+    "v_mutants",
+)
+def declared_in_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cargo, pyproject, setup.cfg and setup.py manifests, one per order."""
+    m = view(spark, sf_dir, "v_mutants")
+    k, n = F.col("pos") % 4, F.col("pos").cast("string")
+    cargo = F.concat(F.lit('[package]\nname = "x"\n[dependencies]\na-'), n, F.lit(' = "1"\n[dev-dependencies.b]\nversion = "2"\n'))
+    pyproject = F.concat(F.lit('[project]\ndependencies = ["c-d>=1", "e'), n, F.lit('"]\n'))
+    cfg = F.concat(F.lit("[metadata]\nname = x\n[options]\ninstall_requires =\n    f"), n, F.lit("<2\n"))
+    setup = F.concat(F.lit('setup(install_requires=["g-h", "i'), n, F.lit('"],\n)\n'))
+    text = F.when(k == 0, cargo).when(k == 1, pyproject).when(k == 2, cfg).otherwise(setup)
+    name = F.when(k == 0, "Cargo.toml").when(k == 1, "pyproject.toml").when(k == 2, "setup.cfg").otherwise("setup.py")
+    return code.declared_deps(m.select("repo", F.concat(F.lit("d"), n, F.lit("/"), name).alias("path"), text.alias("content")))
+
+
+LINEAR = "(CASE WHEN v / 255.0::DOUBLE <= 0.04045 THEN v / 255.0::DOUBLE / 12.92 ELSE pow((v / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END)"
+
+
+@query(
+    f"""SELECT repo, file, symbol, 'some-' || symbol || '-' || cc AS pep, 'a::' || symbol || '::go' AS plain, 'T' || symbol || '::go' AS cast_name, 'a::' || symbol AS prefix, '<' || symbol || '&' AS attr, cc * 2 || '%' AS share,
+    CASE WHEN length(repeat(symbol, cc)) <= 20 THEN repeat(symbol, cc) ELSE left(repeat(symbol, cc), 17) || '…' END AS cut, symbol || ' ' || cc AS brief, round(1.05 / ({LINEAR} * 0.2126 + {LINEAR} * 0.7152 + {LINEAR} * 0.0722 + 0.05), 6) AS contrast
+    FROM (SELECT *, cc * 5 AS v FROM v_functions)""",
+    "v_functions",
+)
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column expressions over names, tags, texts and colours, on texts made of functions' names."""
+    s, n = F.col("symbol"), F.col("cc").cast("string")
+    shade = F.lower(F.lpad(F.hex(F.col("cc") * 5), 2, "0"))
+    return view(spark, sf_dir, "v_functions").select(
+        "repo", "file", "symbol", scoring.pep503(F.concat(F.lit("  Some_"), s, F.lit(".-"), n, F.lit(" "))).alias("pep"), scoring.symbol_name(F.concat(F.lit("a::"), s, F.lit("[1f]::go"))).alias("plain"),
+        scoring.symbol_name(F.concat(F.lit("<T"), s, F.lit(" as Visit>::go"))).alias("cast_name"), scoring.module_prefix(F.concat(F.lit("crates/x/src/a/"), s, F.lit(".rs"))).alias("prefix"), scoring.xml_attr(F.concat(F.lit('line name="&lt;'), s, F.lit('&amp;" x="1"')), "name").alias("attr"),
+        scoring.percent(F.col("cc") / 50).alias("share"), scoring.truncate_bytes(F.repeat(s, F.col("cc")), 20).alias("cut"), scoring.brief(F.concat(F.lit(" "), s, F.lit("\n\n  "), n, F.lit(" "))).alias("brief"),
+        F.round(scoring.contrast(scoring.color(F.lit("#fff")), scoring.color(F.concat(F.lit("#"), shade, shade, shade))), 6).alias("contrast"),
+    )

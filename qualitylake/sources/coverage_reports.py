@@ -51,7 +51,7 @@ def cov_clover(reports: DataFrame) -> DataFrame:
     """Clover XML: reports that have Cobertura's shape as such, the others by file and line elements."""
     first = cov_cobertura(reports)
     rest = reports.join(first.select(*KEYS).distinct(), KEYS, "left_anti")
-    return first.unionByName(_xml_lines(rest, "file", "(?:path|name)", "num", "count"))
+    return first.unionByName(_xml_lines(rest, "file", "name", "num", "count"))
 
 
 def cov_lcov(reports: DataFrame) -> DataFrame:

@@ -29,13 +29,14 @@ class _Reader(HTMLParser):
         self.balance: list[dict] = []
         self.doctype = False
         self.stack: list[tuple[str, int, int, dict]] = []
+        self.open_texts: list[dict] = []
 
     def handle_decl(self, decl: str) -> None:
         self.doctype = self.doctype or decl.lower().startswith("doctype html") or decl.lower().startswith("doctype")
 
     def _element(self, tag: str, attrs: list) -> dict:
         line, col = self.getpos()
-        e = {"pos": len(self.elements), "name": tag, "line": line, "col": col + 1, "attrs": [{"k": k, "v": v or ""} for k, v in attrs], "text": ""}
+        e = {"pos": len(self.elements), "name": tag, "line": line, "col": col + 1, "attrs": [{"k": k, "v": v or ""} for k, v in attrs] if attrs else [], "text": []}
         self.elements.append(e)
         return e
 
@@ -43,6 +44,8 @@ class _Reader(HTMLParser):
         e = self._element(tag, attrs)
         if tag not in VOID:
             self.stack.append((tag, e["line"], e["col"], e))
+            if tag in WITH_TEXT:
+                self.open_texts.append(e)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -51,11 +54,16 @@ class _Reader(HTMLParser):
         top = self.stack[-1][0] if self.stack else ""
         if top in ("script", "style"):
             if top == "style":
-                self.stack[-1][3]["text"] += data
+                self.stack[-1][3]["text"].append(data)
             return
-        for name, _, _, e in self.stack:
-            if name in WITH_TEXT:
-                e["text"] += data
+        for e in self.open_texts:
+            e["text"].append(data)
+
+    def _pop(self) -> tuple:
+        entry = self.stack.pop()
+        if entry[0] in WITH_TEXT:
+            self.open_texts.pop()
+        return entry
 
     def _report(self, rule: str, line: int, col: int, message: str) -> None:
         self.balance.append({"rule": rule, "line": line, "col": col, "message": message})
@@ -66,19 +74,21 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.stack and self.stack[-1][0] == tag:
-            self.stack.pop()
+            self._pop()
             return
         line, col = self.getpos()
         if any(entry[0] == tag for entry in self.stack):
             while self.stack[-1][0] != tag:
-                self._unclosed(self.stack.pop())
-            self.stack.pop()
+                self._unclosed(self._pop())
+            self._pop()
         self._report("html.misnested", line, col + 1, f"misnested </{tag}>")
 
     def finish(self) -> None:
         self.close()
         for entry in self.stack:
             self._unclosed(entry)
+        for e in self.elements:
+            e["text"] = "".join(e["text"])
 
 
 def parse_page(html: str | None) -> tuple[bool, list[dict], list[dict]]:
@@ -126,8 +136,10 @@ def page_elements(parsed: DataFrame) -> DataFrame:
 def inline_scripts(pages: DataFrame) -> DataFrame:
     """page_id, line and body of scripts without a source, by splitting text; no parse is needed."""
     found = F.regexp_extract_all("html", F.lit(r"(?is)(<script(?![^>]*src=)[^>]*>.*?)(?:</script>|$)"), F.lit(1))
-    rows = pages.select("page_id", "html", F.posexplode(found).alias("n", "whole"))
+    # each script is looked for behind the one before it, so equal scripts have their own places
+    places = F.expr("aggregate(found, named_struct('next', 1, 'at', cast(array() as array<int>)), (s, x) -> named_struct('next', locate(x, html, s.next) + char_length(x), 'at', array_append(s.at, locate(x, html, s.next))), s -> s.at)")
+    placed = pages.select("page_id", "html", found.alias("found")).withColumn("places", places)
+    rows = placed.select("page_id", "html", F.posexplode(F.arrays_zip("found", "places")).alias("n", "z")).select("page_id", "html", "n", F.col("z.found").alias("whole"), F.col("z.places").alias("at"))
     body = F.regexp_replace("whole", "(?s)^[^>]*>", "")
-    at = F.expr("instr(html, whole)")
-    line = F.length(F.regexp_replace(F.left("html", at), "[^\n]", "")) + 1
+    line = F.length(F.regexp_replace(F.left("html", F.col("at")), "[^\n]", "")) + 1
     return rows.select("page_id", "n", line.cast("int").alias("line"), body.alias("body")).where(F.trim("body") != "")

@@ -32,10 +32,18 @@ def with_text(files: DataFrame) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Saved reports, one row each; what old ones lack has its default: enforced gates, a11y 1, no disposition."""
-    r = spark.read.schema(REPORT).json(path, multiLine=True)
+    return with_defaults(spark.read.schema(REPORT).json(path, multiLine=True))
+
+
+def parse_reports(texts: DataFrame) -> DataFrame:
+    """Reports held as JSON text in a column `report`."""
+    return with_defaults(texts.select(F.from_json("report", REPORT).alias("r")).select("r.*"))
+
+
+def with_defaults(reports: DataFrame) -> DataFrame:
     s = F.col("scores")
     return (
-        r.withColumn("scores", F.when(s.isNotNull(), s.withField("a11y", F.coalesce(s["a11y"], F.lit(1.0)))))
+        reports.withColumn("scores", F.when(s.isNotNull(), s.withField("a11y", F.coalesce(s["a11y"], F.lit(1.0)))))
         .withColumn("gates", F.transform("gates", lambda g: g.withField("enforced", F.coalesce(g["enforced"], F.lit(True)))))
         .withColumn("findings", F.transform("findings", lambda f: f.withField("disposition", F.coalesce(f["disposition"], F.lit("")))))
         .withColumn("analyzer_error", F.coalesce("analyzer_error", F.lit(False)))
