@@ -56,28 +56,22 @@ def thresholds(sized: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
     """The plan with each source's threshold: rows that draw below it are taken once more.
 
     `sized` has source, size and draw. The threshold lies where the words below it come closest to what the
-    fraction asks for. Draws are summed in 2^16 bins per source, then the bin that holds the threshold is summed
-    again by single draws, so no task sees more than 2^16 sums of a source."""
+    fraction asks for. It is found eight bits at a time: draws of the bins that hold the thresholds so far are summed
+    in 256 bins, so that no task sees more than 256 sums of a source, however many rows it has."""
     p = plan.withColumn("_need", F.greatest(F.lit(0.0), F.col("target") - F.floor("rate") * F.col("source_size")))
-    names = p.select(F.col("source").alias("_s"), "_need")
-
-    def crossing(rows: DataFrame, keep: list[str]) -> DataFrame:
-        """Of each source the first bin whose sum reaches past the need, with the sum before it."""
-        upto = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        sums = rows.groupBy("source", "_bin", *keep).agg(F.sum("size").alias("_w"))
-        run = sums.withColumn("_upto", F.sum("_w").over(upto) + (F.col("_base") if keep else F.lit(0)))
-        met = join_checked(run, names, run["source"].eqNullSafe(names["_s"]), n_sources).where(F.col("_upto") > F.col("_need"))
-        first = met.groupBy("source").agg(F.min_by(F.struct("_bin", "_w", "_upto", "_need"), "_bin").alias("_f"))
-        return first.select("source", F.col("_f._bin").alias("_bin"), (F.col("_f._upto") - F.col("_f._w")).alias("_base"), F.col("_f._upto").alias("_upto"), F.col("_f._need").alias("_need"))
-
-    coarse = materialize(crossing(sized.select("source", "size", F.shiftright("draw", 16).alias("_bin")), []).select(F.col("source").alias("_c"), F.col("_bin").alias("_coarse"), "_base"), "bins")
-    inside = join_checked(sized, coarse, sized["source"].eqNullSafe(coarse["_c"]) & (F.shiftright(sized["draw"], 16) == coarse["_coarse"]), n_sources)
-    fine = crossing(inside.select("source", "size", F.col("draw").alias("_bin"), "_base"), ["_base"])
+    found = materialize(p.select(F.col("source").alias("_s"), "_need", F.lit(0).cast("long").alias("_high"), F.lit(0).cast("long").alias("_before"), F.lit(0).cast("long").alias("_words")), "bins")
+    upto = Window.partitionBy("_s").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for shift in (24, 16, 8, 0):
+        met = join_checked(sized.select("source", "size", "draw"), found, sized["source"].eqNullSafe(found["_s"]) & (F.shiftright(sized["draw"], shift + 8) == found["_high"]), n_sources)
+        sums = met.groupBy("_s", "_need", "_before", F.shiftright("draw", shift).alias("_bin")).agg(F.sum("size").alias("_words"))
+        run = sums.withColumn("_upto", F.col("_before") + F.sum("_words").over(upto)).where(F.col("_upto") > F.col("_need"))
+        first = run.groupBy("_s", "_need").agg(F.min_by(F.struct(F.col("_bin").alias("_high"), (F.col("_upto") - F.col("_words")).alias("_before"), "_words"), "_bin").alias("_f"))
+        found = materialize(first.select("_s", "_need", "_f.*"), "bins")
     # the draw that crosses is taken if that comes closer to the need
-    at = F.when(F.col("_need") == 0, 0).when(F.col("_base") + F.col("_upto") < 2 * F.col("_need"), F.col("_bin") + 1).otherwise(F.col("_bin"))
-    found = fine.select(F.col("source").alias("_t"), at.alias("threshold"))
+    at = F.when(F.col("_need") == 0, 0).when(2 * F.col("_before") + F.col("_words") < 2 * F.col("_need"), F.col("_high") + 1).otherwise(F.col("_high"))
+    at = found.select(F.col("_s").alias("_t"), at.alias("threshold"))
     # no bin reaches past the need where the fraction takes all words, or there are none
-    return p.join(found, p["source"].eqNullSafe(found["_t"]), "left").select(*plan.columns, F.coalesce("threshold", F.when(F.col("_need") > 0, F.lit(1 << 32)).otherwise(0)).cast("long").alias("threshold"))
+    return p.join(at, p["source"].eqNullSafe(at["_t"]), "left").select(*plan.columns, F.coalesce("threshold", F.when(F.col("_need") > 0, F.lit(1 << 32)).otherwise(0)).cast("long").alias("threshold"))
 
 
 def planned(docs: DataFrame, weights, share: float, cap: float, seed: int) -> tuple[DataFrame, DataFrame, int]:
