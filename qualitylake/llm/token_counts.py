@@ -130,11 +130,12 @@ class CountTransducer:
             return sum(map(word.__getitem__, units))
         except KeyError:
             new = set(units).difference(word)
-            if max(map(len, new)) > 256:  # too long to keep
-                return sum(word[u] if u in word else self.run(u)[1] for u in units)
-            for u in new:
+            long = {u: self.run(u)[1] for u in new if len(u) > 256}  # too long to keep
+            for u in new.difference(long):
                 word[u] = self.run(u)[1]
-            self.chars += sum(map(len, new))
+                self.chars += len(u)
+            if long:
+                return sum(long[u] if u in long else word[u] for u in units)
         return sum(map(word.__getitem__, units))
 
     def trim(self) -> None:
