@@ -15,22 +15,31 @@ from qualitylake.llm.common import materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 and more. Null texts score as empty ones; repeated rows and null ids are each scored
+    for themselves; without labels nothing goes; an empty table gives an empty one."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group. Null and empty texts and null ids stay; of rows equal in id and text one stays; an
+    empty table gives an empty one."""
     return near_dup.keep_one(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, secrets in their texts marked; null and empty texts as they are; an empty table gives an empty one."""
     return secret_scan.redact(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them. Null sources are one source; null and empty texts have no words and stay
+    or go with their source's draws; rows equal in source, id and text share a draw; an empty table gives an empty one."""
     return mixing.mix(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows, repeated ones each for itself; null and empty texts are their end id; an empty table gives
+    no pieces."""
     return packing.pack(docs, kept=300_000)  # executors still hold memory of the stages before
 
 
