@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import coverage as ops
-from .adapters import view
+from .adapters import kept, view
 
 OWNED = "(SELECT c.repo, f.file, c.line, c.hits FROM v_cov_lines c JOIN (SELECT DISTINCT repo, file FROM v_functions) f ON c.repo = f.repo AND c.report_path = '/ci/build/' || f.file)"
 COV = f"(SELECT f.repo, f.file, f.symbol, count(CASE WHEN hits > 0 THEN 1 END) AS covered, count(*) AS lines, count(CASE WHEN hits > 0 THEN 1 END) / count(*)::DOUBLE AS coverage FROM v_functions f JOIN {OWNED} c ON c.repo = f.repo AND c.file = f.file AND c.line BETWEEN f.start_line AND f.end_line GROUP BY f.repo, f.file, f.symbol)"
@@ -17,9 +17,9 @@ USED = "v_functions v_cov_lines"
 
 
 def _covered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    functions, lines = view(spark, sf_dir, "v_functions"), view(spark, sf_dir, "v_cov_lines")
+    functions, lines = kept(view(spark, sf_dir, "v_functions")), kept(view(spark, sf_dir, "v_cov_lines"))
     owned = lines.join(ops.own_paths(lines, functions), ["repo", "report_path"])
-    return functions, ops.function_coverage(functions, owned)
+    return functions, kept(ops.function_coverage(functions, owned))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
