@@ -31,7 +31,8 @@ def matrix(column: pd.Series, dim: int) -> np.ndarray:
 
 
 def pack_rows(rows: np.ndarray) -> list[bytes]:
-    """Each row as little-endian bytes: two per whole number where they all fit, else eight."""
+    """Each row as little-endian bytes: two per whole number where they all fit, else eight. Beyond 2^62 numbers end."""
+    rows = np.clip(rows, -(2.0**62), 2.0**62)
     small = (np.abs(rows) < 1 << 15).all(axis=1)
     return [(r.astype("<i2") if s else r.astype("<i8")).tobytes() for r, s in zip(rows, small)]
 
