@@ -1,13 +1,13 @@
 """Quality scores by compression under dictionaries of good and bad text.
 
 Two zstandard dictionaries hold slices of labelled good and bad texts. A text is compressed under each; the
-difference of the two sizes per byte is its evidence, beside the log of their ratio and the size per byte without
-a dictionary, which tells repetition from likeness. A logistic curve fitted on labelled texts that are in neither dictionary turns these into the
+difference of the two sizes per byte is its evidence, beside the log of their ratio. The size per byte without a
+dictionary calibrates them, as it tells repetition from likeness. A logistic curve fitted on labelled texts that are in neither dictionary turns these into the
 probability of label 1.
 
 The classifier is fitted on a sample of labelled rows of bounded size (`per_class` rows of each label, chosen by
 a hash of doc_id, `chars` characters of each); scores read whole texts. Rows whose label or id is null teach
-nothing; repeated labels count as often as they stand there. Null texts score as empty ones. Where one label is
+nothing; repeated labels count once, and of the texts of a repeated doc_id the smallest teaches. Null texts score as empty ones. Where one label is
 missing, every score is the share of label 1, or 0.5 without labels. Other columns play no part; an empty table
 gives an empty table."""
 
@@ -93,7 +93,7 @@ def _slices(texts: list[tuple[int, str]], size: int, each: int = 400) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, chars: int = 20_000, dictionary: int = 800_000) -> QualityModel:
     """A model from labelled documents outside fold 0."""
-    known = labels.where("doc_id is not null and quality in (0, 1)").where(fold("doc_id") != 0).select("doc_id", "quality")
+    known = labels.where("doc_id is not null and quality in (0, 1)").where(fold("doc_id") != 0).select("doc_id", "quality").distinct()
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
@@ -104,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, chars: int =
         keep = keep | ((F.col("quality") == q) & (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, per_class / n))))
     # the sample is bounded: about per_class rows of either label
     sample = known.where(keep).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).collect()
+    met = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    rows = met.groupBy("doc_id", "quality").agg(F.min(F.substring(F.coalesce("text", F.lit("")), 1, chars)).alias("text")).collect()  # one row per sampled label
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode() + b"o"), r["text"]))
     part = {(q, h): [(r["doc_id"], r["text"]) for k, r in enumerate(x for x in rows if x["quality"] == q) if k % 2 == h] for q in (0, 1) for h in (0, 1)}
     if not (part[0, 0] and part[1, 0] and part[0, 1] and part[1, 1]):
