@@ -33,9 +33,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Encodes texts to little-endian unsigned ids; `limit` bounds the cuts kept, at about 200 bytes each."""
+    """Encodes texts to little-endian unsigned ids. `limit` bounds the cuts kept, at about 200 bytes each, and
+    `chars` the characters and ids in them; what is beyond is dropped before the next texts."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 1_000_000, chars: int = 32_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -49,7 +50,7 @@ class WordEncoder:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items() if chr(b) != " "})
         self.known: dict[str, bytes] = {}
-        self.limit = limit
+        self.limit, self.chars, self.held = limit, chars, 0
 
     def _parts(self, text: str) -> list[str] | None:
         """Keys of the cache whose ids in a row are the text's: lower-cased words, or words for the library as they are."""
@@ -82,11 +83,13 @@ class WordEncoder:
             self.known.update(zip(cuts, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
         get = self.known.__getitem__
         self.known.update([(w, b"".join(map(get, found))) for w, found in words if len(found) != 1])
+        self.held += sum(map(len, new)) + sum(map(len, cuts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without added ids, as bytes of self.dtype."""
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.held > self.chars:
             self.known.clear()
+            self.held = 0
         parts = [self._parts(t) for t in texts]
         new = set().union(*filter(None, parts)).difference(self.known)
         if new:

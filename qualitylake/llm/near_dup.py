@@ -55,10 +55,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of word-shingle hashes; keeps the hashes of words it has met, up to `limit`."""
+    """Sets of word-shingle hashes; keeps the hashes of words it has met, up to `limit` and `chars` characters."""
 
-    def __init__(self, words: int, limit: int = 200_000):
-        self.words, self.limit = words, limit
+    def __init__(self, words: int, limit: int = 200_000, chars: int = 16_000_000):
+        self.words, self.limit, self.chars, self.held = words, limit, chars, 0
         self.known: dict[str, int] = {}
 
     def set_of(self, text: str) -> np.ndarray:
@@ -68,10 +68,12 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > self.limit:
+        if len(known) > self.limit or self.held > self.chars:
             known.clear()
+            self.held = 0
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
+            self.held += len(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(h) - self.words + 1)
         out = np.full(n, min(len(h), self.words), np.uint64)
