@@ -93,5 +93,23 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, sour
 """
 
 
+#: For the layout of the given pages only: SQL has no parser; other layouts are tested on their own pages.
+OP9_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:h1|p|div|ul|li)>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM a)
+SELECT page_id, url, coalesce(array_to_string(blocks, chr(10)), '') AS text, length(coalesce(array_to_string(blocks, chr(10)), ''))::BIGINT AS n_chars FROM b
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS shingles FROM w),
+u AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT i, j FROM p UNION ALL SELECT j, i FROM p),
+r AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, e.j FROM r JOIN e ON e.i = r.other)
+SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": OP4_SQL, "op5_mix_sources": OP5_SQL}
+    return {"op4_exact_topk": OP4_SQL, "op5_mix_sources": OP5_SQL, "op9_html_text": OP9_SQL, "op10_near_duplicates": OP10_SQL}

@@ -117,6 +117,27 @@ def test_quality_without_one_label(spark):
     assert {r["score"] for r in quality.quality_report(docs, ones).collect()} == {1.0}
 
 
+def test_quality_is_calibrated(spark):
+    """On held-out documents scores are close to the share of label 1 among them, and beat a constant by far."""
+    texts, marks = quality_rows(400)
+    labels = spark.createDataFrame([*enumerate(marks), *enumerate(marks)], "doc_id long, quality int")
+    rows = [r for r in quality.quality_report(docs_of(spark, texts), labels).collect() if r["held_out"]]
+    y = np.array([marks[r["doc_id"]] for r in rows])
+    p = np.array([r["score"] for r in rows])
+    assert abs(p.mean() - y.mean()) < 0.05 and ((p - y) ** 2).mean() < 0.05
+
+
+def test_quality_edge_rows(spark):
+    texts, marks = quality_rows(120)
+    rows = [*zip(range(120), texts), (None, "a b"), (5, texts[5]), (5, "other"), (7, None), (400, "x " * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("quality", F.lit(9)).withColumn("_row", F.lit(1))
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, quality int").withColumn("text", F.lit("clash"))
+    out = quality.quality_report(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out) and [r["held_out"] for r in out if r["doc_id"] is None] == [False]
+    assert quality.quality_report(docs.limit(0), labels).count() == 0 and quality.keep_good(docs.limit(0), labels).count() == 0
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
 # ------------------------------------------------------------------ 3
 
 
@@ -209,6 +230,36 @@ def test_exact_topk_equals_brute_force(spark):
     assert got == want
 
 
+def test_bounds_exclude_cells_on_clusters():
+    """Of forty clusters a query needs few; whatever it doesn't need holds none of its best."""
+    r = np.random.default_rng(4)
+    x = np.floor(256 * (np.repeat(10 * r.standard_normal((40, 16)), 30, axis=0) + 0.1 * r.standard_normal((1200, 16)))).astype(np.int64)
+    pivots = exact_topk.choose_pivots(x[::7].astype(float), 40)
+    d = ((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2)
+    cell = d.argmin(axis=1)
+    summary = exact_topk.Summary(pivots, np.bincount(cell, minlength=len(pivots)), np.array([np.sqrt(d[cell == c, c].max(initial=0)) for c in range(len(pivots))]))
+    q, scores = x[::50], x[::50] @ x.T
+    scores[np.arange(len(q)), np.arange(0, 1200, 50)] = np.iinfo(np.int64).min
+    needed = summary.needed(q, np.full(len(q), -np.inf), 5)
+    assert needed.mean() < 0.3
+    for k, row in enumerate(scores):
+        assert needed[k, cell[np.argsort(-row)[:5]]].all()
+
+
+def test_top_pairs_and_large_numbers():
+    scores = np.array([[5, 5, 5, 9], [1, 2, 3, 4]])
+    i, j = exact_topk.top_pairs(scores, np.array([10, 11, 12, 13]), np.array([13, 10]), 2, np.array([-np.inf, 3.0]))
+    assert list(zip(i, j)) == [(0, 0), (0, 1), (1, 3), (1, 2)]
+    big = np.array([[2**40, 1]]), np.array([[2**40, 0], [2**20, 7]])
+    assert exact_topk.products(*big).tolist() == [[2**63 - 1, 2**60 + 7]]
+
+
+def test_exact_topk_huge_components(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [1e300]), (2, [-1e300]), (3, [2.0])], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"]) for r in exact_topk.exact_topk(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(0, 1), (0, 3), (0, 2)]
+
+
 def test_exact_topk_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.5, 2.0e6])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in exact_topk.exact_topk(df, F.col("vec_id") % 50 == 0).orderBy("query_id").collect()]
@@ -612,6 +663,34 @@ def test_near_duplicates_edge_tables(spark):
     assert near_dup.near_duplicates(df.limit(0), words=2).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Each text is linked for itself, whatever its id's other texts are; keep_one keeps one row of equal ones."""
+    a, b, c = words(1, 60), words(2, 60), words(3, 60)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (4, c), (5, c), (None, a), (None, a), (6, ""), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("stays", F.lit(0))
+    out = near_dup.near_duplicates(df).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in out) == sorted([("1", "1"), ("1", "1"), ("2", "1"), ("3", "1"), ("4", "4"), ("4", "4"), ("5", "4"), ("None", "None"), ("None", "None"), ("6", "6"), ("6", "6")])
+    kept = near_dup.keep_one(df)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in kept.collect())
+    assert kept.columns == df.columns and got == sorted([("1", a), ("1", b), ("4", c), ("None", a), ("None", a), ("6", ""), ("6", "")])
+
+
+def test_near_duplicates_in_a_boilerplate_group(spark):
+    """1,500 texts share most of a passage, so that their tokens are often alike, and few of them are linked."""
+    r, base = random.Random(8), words(9, 60).split()
+    texts = [" ".join(base + [f"w{r.randrange(10**9)}" for _ in range(22)]) for _ in range(1500)]
+    texts += [t + " end" for t in texts[:150]]
+    rows = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(docs_of(spark, texts), words=1).collect()}
+    sets = [set(t.split()) for t in texts]
+    for i in range(150):
+        assert rows[1500 + i] == rows[i]
+    some = r.sample(range(1500), 40)
+    for i in some:
+        for j in some:
+            if i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                assert rows[i] == rows[j]
+
+
 def test_components_of_long_paths(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n) if i != 100], "a long, b long")
@@ -641,6 +720,23 @@ def test_recall_of_trees():
 # ------------------------------------------------------------------ pipeline
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    texts, marks = quality_rows(60)
+    spark.createDataFrame([*enumerate(marks), (None, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i, t, "en", "a", None) for i, t in enumerate(texts)] + [(None, None, None, None, None), (None, "x y z", None, None, 5), (3, texts[3], "en", "a", None), (90, "", "en", "b", 0), (91, "long words " * 60_000, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("clash")).withColumn("component", F.lit(0)).withColumn("found", F.lit("x")).withColumn("piece", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        n = out.count()
+        assert n > 0 and (name == "pack" or out.columns == docs.columns)
+        assert name != "secrets" or n == len(rows)
+        assert name != "near_dups" or out.where("doc_id = 3").count() == 1 and out.where("doc_id is null").count() == 2
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0 and empty.columns == out.columns
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
