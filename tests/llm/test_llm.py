@@ -434,6 +434,15 @@ def test_long_texts_without_a_break(spark, before, fan):
     assert rows == {i: len(lib.encode(t)) for i, t in enumerate(texts)}
 
 
+def test_ten_million_characters_without_a_break(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    text = "abcdefghij" * 1_000_000
+    (row,) = token_counts.token_counts(docs_of(spark, [text])).collect()
+    assert (row["n_bytes"], row["n_tokens"], row["over_limit"]) == (10_000_000, len(lib.encode(text)), True)
+
+
 def test_token_counts_null_ids_and_repeats(spark):
     rows = [(None, "a b"), (None, "a b"), (5, None), (5, "x" * 70_000), (5, "x" * 70_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("entry", F.lit(1))
