@@ -118,4 +118,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def kept(df: DataFrame) -> DataFrame:
     """A frame that several branches of a query read: written once where the session names a shared checkpoint
     folder, else computed wherever it is read."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df
