@@ -72,7 +72,7 @@ LAYOUTS = [
 #: Parts that stand before, inside and after the main text of mixed pages.
 BEFORE = [
     "", f"<nav>{_NAV}</nav>", "<div class=ad>x9</div>", "<header><a href=/>x1</a><p>x6</p></header>", "<div id=cookie-notice>x14 <a href=p>x2</a></div>", "<div class=menu>x3</div>",
-    "<p><a href=1>x1</a> <a href=2>x1</a> <a href=3>x1</a></p>", "<div class=banner>x20</div>", "<div><a href=1>x2</a></div>", "<div class=sidebar><p>x18</p></div>",
+    "<p><a href=1>x1</a> <a href=2>x1</a> <a href=3>x1</a></p>", "<div class=banner>x20</div>", "<div><a href=1>x2</a></div>", "<div class=site-header>x5 <p>x7</p></div>", "<div class=header><p>x18</p></div>", "<div class=alert>x26</div>", "<div class=sidebar><p>x18</p></div>",
 ]
 INSIDE = ["<p>m40</p>", "<p>m2</p>", "<p>m1</p>", "<h2>m3</h2>", "<p>m17</p>", "<ul><li>m1</li><li>m6</li></ul>", "<p>m20 <a href=1>m2</a> m5</p>", "<blockquote>m12</blockquote>", "<p>m5</p>", "<p>m70</p>", "<p>m4 <a href=1>m2</a> m2</p>", "<p>m1 <a href=1>m1</a> m9</p>", "<div class=header><h3>m4</h3></div>"]
 WITHIN = ["", "", "<div class=ad>x8</div>", "<aside><p>x15</p></aside>", "<form><p>x6</p></form>", "<div class=share>x2</div>"]

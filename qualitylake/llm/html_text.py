@@ -46,8 +46,10 @@ ENCLOSING = AREAS | frozenset("form fieldset div section article main header ul
 _NAMED = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 #: Words in class, id or role names of areas around the main text.
 _AROUND = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|widget|nav|navigation|menu|breadcrumbs?|topbar|footer|comments?|respond|disqus|cookies?|consent|notice|popup|modal|share|social|related|newsletter|search|pagination|copyright|disclaimer|contentinfo|complementary)(?![a-z])"
+    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|widget|nav|navbar|navigation|menu|breadcrumbs?|toolbar|topbar|footer|comments?|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|share|sharing|social|related|newsletter|subscribe|signup|login|search|pagination|pager|copyright|disclaimer|contentinfo|complementary)(?![a-z])"
 )
+#: Names of page heads, which are areas outside of articles only; headings in them may be the article's.
+_HEADER = re.compile(r"(?:^|[^a-z])(?:header|masthead)(?![a-z])")
 _MAIN = re.compile(r"(?:^|[^a-z])(?:article|main|post-?body|entry-?content|story-?body|articlebody)(?![a-z])")
 #: Names of layout containers that tell which areas a page has, not that they are one.
 _LAYOUT = re.compile(r"^(?:with|has|no|without)[-_]|[-_](?:open|opened|closed|enabled|disabled|visible|hidden|free)$|(?:content|main|layout).*[-_]wrap(?:per)?$")
@@ -62,12 +64,16 @@ LONG, LINKED, FAR = 15, 0.3, 9
 
 
 def area(named: str) -> int:
-    """0 for names of no area around the main text, 1 where a part of a name is one, 2 where a whole name is one
-    or the area may hold articles of its own."""
+    """0 for names of no area around the main text, 1 for a page head, 2 where a part of a name is an area, 3 where a
+    whole name is one or the area may hold articles of its own."""
     level = 0
     for name in named.split():
-        if (m := _AROUND.search(name)) and not _LAYOUT.search(name):
-            level = max(level, 2 if m[0] == name or _OTHERS.search(name) else 1)
+        if _LAYOUT.search(name):
+            continue
+        if m := _AROUND.search(name):
+            level = max(level, 3 if m[0] == name or _OTHERS.search(name) else 2)
+        elif _HEADER.search(name):
+            level = max(level, 1)
     return level
 
 
@@ -87,7 +93,7 @@ def ends(page: str) -> dict[int, int]:
 
 def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """Text, words, link density, heading, article and around of each block in page order. A form is an area
-    around the main text unless more than half of the page's words stand in it."""
+    around the main text unless it is outside of an article and holds more than half of the page's words."""
     out: list[tuple[str, int, float, int, int, int, int]] = []
     parts: list[str] = []
     linked: list[str] = []
@@ -100,7 +106,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if text:
                 n = text.count(" ") + 1
                 k = len(" ".join(linked).split())
-                out.append((text, n, min(1.0, k / n), heading, article, int(around > 0), form))
+                out.append((text, n, min(1.0, k / n), heading, article, int(around > heading), form))
             parts.clear()
             linked.clear()
 
@@ -149,9 +155,11 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             art = int(article or name in ("article", "main") or (bool(named) and _MAIN.search(named) is not None))
             own = 0 if name in ("body", "article", "main", "form") else area(named)
             main = name in ("article", "main") or _MAIN.search(named) is not None
-            if name in AREAS or (name == "header" and not article) or name in ("head", "title"):
-                own = 2
-            elif main and not own and (around < 2 or name == "main"):
+            if name in AREAS or (name == "header" and not article) or (name == "form" and article) or name in ("head", "title"):
+                own = 3
+            elif own == 1 and article:
+                own = 0
+            elif main and not own and (around < 3 or name == "main"):
                 around = 0
             if name == "form":
                 forms += 1
