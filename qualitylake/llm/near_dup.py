@@ -472,7 +472,7 @@ def confirmed_links(groups: DataFrame, texts: DataFrame, tokens: DataFrame, word
 
 
 def _linked(docs: DataFrame, words: int, percent: int, recall: float, depth: int, leaf: int, group: int, pivots: int, margin: float) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component (a name of its own) and component_id of each document."""
+    """doc_id, text_hash and n_shingles of each document, and `first`: doc_id and text_hash of its component's first row."""
     sketched = materialize(sketches(docs, words), "sketches")
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
     grouped = sketched.where("doc_id is not null and n_shingles > 0").groupBy("print", "n_shingles").agg(one, F.first("tokens").alias("tokens"), F.first("bytes").alias("bytes"))
@@ -488,27 +488,26 @@ def _linked(docs: DataFrame, words: int, percent: int, recall: float, depth: int
     texts = materialize(met.select("id", "text").dropDuplicates(["id"]), "texts")  # repeated rows bring the same text
     least = math.floor(TOKENS * max(0.0, percent / 100 - margin))
     links = confirmed_links(groups, texts, classes.select("id", "bytes"), words, percent, least, group, pivots)
-    parts = classes.select("id", "print", "n_shingles", "doc_id").join(components(classes.select("id"), links), "id")
-    smallest = materialize(parts.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
-    named = materialize(parts.join(smallest, "component").select("print", "n_shingles", "component", "component_id"), "named")
+    parts = classes.select("id", "print", "n_shingles", "doc_id", "text_hash").join(components(classes.select("id"), links), "id")
+    smallest = materialize(parts.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")), "smallest")
+    named = materialize(parts.join(smallest, "component").select("print", "n_shingles", "first"), "named")
     out = sketched.drop("tokens", "bytes").join(named, ["print", "n_shingles"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return out.select("doc_id", "text_hash", "n_shingles", "component", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(linked, F.col("first")).otherwise(F.struct("doc_id", "text_hash")).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.999, depth: int = 3, leaf: int = 64, group: int = 128, pivots: int = 8, margin: float = 0.22) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     found = _linked(docs, words, percent, recall, depth, leaf, group, pivots, margin)
-    return found.drop("text_hash", "component").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = found.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.999, depth: int = 3, leaf: int = 64, group: int = 128, pivots: int = 8, margin: float = 0.22) -> DataFrame:
     """The documents without near copies: of each group one row with the smallest doc_id, as it is. Rows of null
     ids and rows without words stay. Of rows that equal in doc_id and text one stays, whatever else they hold."""
     found = materialize(_linked(docs, words, percent, recall, depth, leaf, group, pivots, margin).where("doc_id is not null and n_shingles > 0"), "linked")
-    texts = found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    first = texts.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    texts = texts.join(first, "component").withColumn("stays", F.struct("doc_id", "text_hash") == F.col("first"))
+    texts = found.groupBy("doc_id", "text_hash", "first").agg(F.count("*").alias("n")).withColumn("stays", F.struct("doc_id", "text_hash") == F.col("first"))
     named = materialize(texts.where("not stays or n > 1").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "stays"), "named")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", text_hash().alias("_h"))
     met = join_checked(rows, named, (F.col("doc_id") == F.col("_doc")) & (F.col("_h") == F.col("_hash")), named.count(), "left", IDS)
