@@ -56,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of word-shingle hashes; keeps the hashes of words it has met, up to `limit` and `chars` characters."""
 
-    def __init__(self, words: int, limit: int = 200_000, chars: int = 16_000_000):
+    def __init__(self, words: int, limit: int = 100_000, chars: int = 8_000_000):
         self.words, self.limit, self.chars, self.held = words, limit, chars, 0
         self.known: dict[str, int] = {}
 

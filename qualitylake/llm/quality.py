@@ -56,7 +56,7 @@ def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
 
 def evidence(texts: list[str], good: bytes, bad: bytes, level: int) -> np.ndarray:
     g, b, plain = _compressor(good, level), _compressor(bad, level), _compressor(b"", 1)
-    data = [t.encode("utf-8", "replace") for t in texts]
+    data = (t.encode("utf-8", "replace") for t in texts)  # one at a time
     sizes = np.array([[len(g.compress(d)), len(b.compress(d)), len(plain.compress(d)), len(d) + 16] for d in data], float).reshape(-1, 4)
     return np.stack([(sizes[:, 1] - sizes[:, 0]) / sizes[:, 3], np.log(sizes[:, 1] / sizes[:, 0]), sizes[:, 2] / sizes[:, 3]], axis=1)
 
