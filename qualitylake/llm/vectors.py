@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def usable(vectors: DataFrame, zero: bool = True) -> tuple[DataFrame, int]:
+def usable(vectors: DataFrame, zero: bool = True, beside: str | None = None) -> tuple[DataFrame, int]:
     """vec_id and embedding of the vectors that take part, one row per id, and their dimension.
 
     Null ids, null and empty vectors, vectors that hold a null or non-finite component and, if asked, zero vectors
     take no part. The dimension is the longest vector's; a shorter one counts as if zeros followed. Where an id
-    repeats, its smallest vector stands for it."""
+    repeats, its smallest vector stands for it. A column `beside` the vector goes with it, the smallest of equal vectors'."""
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = vectors.where(F.col("vec_id").isNotNull() & e.isNotNull()).where(fine & (F.size(e) > 0))
@@ -22,6 +22,9 @@ def usable(vectors: DataFrame, zero: bool = True) -> tuple[DataFrame, int]:
         whole = whole.where(F.exists(e, lambda x: x != 0))
     dim = whole.agg(F.max(F.size(e))).first()[0] or 0
     wide = F.when(F.size(e) == dim, e).otherwise(F.concat(e, F.array_repeat(F.lit(0.0).cast(vectors.schema["embedding"].dataType.elementType), F.lit(dim) - F.size(e))))
+    if beside:
+        whole = whole.groupBy("vec_id").agg(F.min(F.struct("embedding", beside)).alias("least")).select("vec_id", "least.*")
+        return whole.select("vec_id", wide.alias("embedding"), beside), dim
     return whole.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("vec_id", wide.alias("embedding")), dim
 
 
