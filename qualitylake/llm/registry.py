@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_topk, html_text, mixing, near_dup, packing, quality, secret_scan, token_counts, token_files
+from . import alignment, ann, exact_topk, hard_negatives, html_text, mixing, near_dup, packing, quality, secret_scan, substring_dedup, token_counts, token_files
 from .common import table
 
 
@@ -51,6 +51,19 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_token_files,
@@ -63,6 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_nearest,
         op9_html_text,
         op10_near_duplicates,
+        op11_hard_negatives,
+        op12_alignment,
+        op13_substring_dedup,
     )
     return {f.__name__: f for f in named}
 
@@ -111,5 +127,35 @@ SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, c.component_id, s.doc_id =
 """
 
 
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same, CAST(list_inner_product(a.e, x.e) AS BIGINT) AS score FROM v a JOIN v x ON a.vec_id <> x.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+OP13_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(generate_series(1, len(words) - 19)) AS i, words FROM w WHERE len(words) >= 20),
+k AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS seq FROM p),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY seq ORDER BY doc_id, i) AS n FROM k),
+c AS (SELECT doc_id, list_distinct(flatten(list(generate_series(i, i + 19)))) AS gone FROM r WHERE n > 1 GROUP BY doc_id),
+o AS (SELECT w.doc_id, words, coalesce(gone, []) AS gone FROM w LEFT JOIN c ON w.doc_id = c.doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(generate_series(1, len(words)), lambda x: NOT list_contains(gone, x)), lambda x: words[x]), ' ')) AS kept_sha256 FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": OP4_SQL, "op5_mix_sources": OP5_SQL, "op9_html_text": OP9_SQL, "op10_near_duplicates": OP10_SQL}
+    return {
+        "op4_exact_topk": OP4_SQL,
+        "op5_mix_sources": OP5_SQL,
+        "op9_html_text": OP9_SQL,
+        "op10_near_duplicates": OP10_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op13_substring_dedup": OP13_SQL,
+    }
