@@ -51,6 +51,7 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.space = [self.b.piece_to_id("▁")]
         to_byte = {c: b for b, c in _byte_letters().items()}
         vocabulary = self.a.get_vocab()
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -60,6 +61,8 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any("▁" in p.lstrip("▁") or "\n" in p for i, p in enumerate(pieces) if not self.b.is_byte(i)):
             raise ValueError("pieces of this vocabulary go on after white space")
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.shown = np.array([f"{i}{c}" for i in range(len(self.a_bytes)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.b_bytes)) for c in ",;\0"], dtype=object)
         self.limit, self.chars, self.held = limit, chars, 0
         self._forget()
 
@@ -75,40 +78,50 @@ class Aligner:
         return self._encode([part])[0]
 
     def _encode(self, new: list[str]) -> list[tuple[list[int], list[int]]]:
-        """A space opens every B text by itself; before a new line it is one token more, which goes."""
+        """A space opens every B text that is not empty by itself; before a new line it is one token more, which goes."""
         by_a = self.a.encode_batch_fast(new, add_special_tokens=False)
         by_b = self.b.encode([p[1:] if p[0] == " " else p for p in new], num_threads=1)
-        return [(a.ids, b if p[0] == " " else b[1:]) for p, a, b in zip(new, by_a, by_b)]
+        return [(a.ids, self.space if p == " " else b if p[0] == " " else b[1:]) for p, a, b in zip(new, by_a, by_b)]
+
+    def _valid(self, new: list[str], ids: list[tuple[list[int], list[int]]]) -> np.ndarray:
+        """Whether both tokenizers give each part back byte by byte."""
+        return np.array([b"".join([self.a_bytes[i] for i in a]) == part.encode() == b"".join([self.b_bytes[i] for i in b]) for part, (a, b) in zip(new, ids)], bool)
 
     def _learn(self, new: list[str]) -> None:
-        a_bytes, b_bytes, found, rows = self.a_bytes, self.b_bytes, [], []
+        ids = self._encode(new)
+        valid = self._valid(new, ids)
+        fine = [x for x, ok in zip(ids, valid) if ok]
+        n_a, n_b = (np.array([len(x[k]) for x in fine], np.int64) for k in (0, 1))
+        a, b = (np.fromiter((i for x in fine for i in x[k]), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
+        # ends of tokens in all parts in a row; parts end together, so groups never cross from one to the next
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        of_b = np.searchsorted(b_ends, a_ends)
+        a_shared = b_ends[of_b] == a_ends
+        b_shared = np.zeros(len(b), bool)
+        b_shared[of_b[a_shared]] = True
+        links = a[a_shared] << _ID | b[b_shared]
+        a_group, b_group = np.cumsum(a_shared) - a_shared, np.cumsum(b_shared) - b_shared
+        # each id with what follows it in the text of groups: , or | after ids of a, and , or ; or the part's end after ids of b
+        after = b_shared.astype(int)
+        after[np.cumsum(n_b) - 1] = 2
+        keys = np.concatenate([a * 2 + a_shared, 2 * len(self.a_bytes) + b * 3 + after])
+        order = np.argsort(np.concatenate([a_group * 2, b_group * 2 + 1]), kind="stable")
+        texts = iter("".join(self.shown[keys[order]].tolist()).split("\0"))
+        groups = np.diff(np.searchsorted(np.flatnonzero(a_shared), np.concatenate([[0], np.cumsum(n_a)])))
+        rows = np.zeros((len(new), 4), np.int64)
+        rows[~valid, 0] = -1
+        rows[valid, :3] = np.stack([n_a, n_b, groups], axis=1)
         at = int(self.counts[len(self.text) - 1, 3]) if self.text else 0
-        for part, (a, b) in zip(new, self._encode(new)):
-            data = part.encode()
-            ok = b"".join([a_bytes[i] for i in a]) == data and b"".join([b_bytes[i] for i in b]) == data
-            groups, i, j, to_a, to_b, from_a, from_b = [], 0, 0, 0, 0, 0, 0
-            while ok and i < len(a):
-                if to_a <= to_b:
-                    to_a += len(a_bytes[a[i]])
-                    i += 1
-                while to_b < to_a:
-                    to_b += len(b_bytes[b[j]])
-                    j += 1
-                if to_a == to_b:
-                    groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                    found.append(a[i - 1] << _ID | b[j - 1])
-                    from_a, from_b = i, j
-            self.text.append(";".join(groups))
-            at += len(groups)
-            rows.append((len(a) if ok else -1, len(b), len(groups), at))
-            self.held += len(part)
-        n = len(self.text)
+        rows[:, 3] = at + np.cumsum(rows[:, 2])
+        self.text += [next(texts) if ok else "" for ok in valid.tolist()]
+        n, at = len(self.text), at + len(links)
         while len(self.counts) < n:
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
         self.counts[n - len(new) : n] = rows
         while len(self.links) < at:
             self.links = np.concatenate([self.links, np.zeros_like(self.links)])
-        self.links[at - len(found) : at] = found
+        self.links[at - len(links) : at] = links
+        self.held += sum(map(len, new))
         self.known.update(zip(new, range(n - len(new), n)))
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
@@ -116,7 +129,7 @@ class Aligner:
         if len(self.known) > self.limit or self.held > self.chars:
             self._forget()
         parts = [parts_of(" " + t) if t else [] for t in texts]
-        new = list(dict.fromkeys(p for some in parts for p in some if p not in self.known))
+        new = list(set().union(*parts).difference(self.known))
         if new:
             self._learn(new)
         get, counts, digests, kept, of = self.known.__getitem__, np.zeros((len(texts), 3), np.int64), [], [], []

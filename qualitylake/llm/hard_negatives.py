@@ -99,7 +99,8 @@ def search(block: Block, ids: np.ndarray, labels: np.ndarray, anchors: np.ndarra
         reach = np.sqrt(edge @ edge) * block.far
         low, high = (moved - reach, moved + reach) if p < 0 else (lows[p] + moved - reach, highs[p] + moved + reach)
         slack = 1e-6 * (1 + np.abs(moved) + reach + np.sqrt(x[a] @ x[a]) * norms)
-        lows[a], highs[a] = low - slack, high + slack
+        # scores end at the range of a long, and so do their bounds
+        lows[a], highs[a] = np.minimum(low - slack, 2.0**63), np.maximum(high + slack, -(2.0**63))
         fits = (block.labels == labels[a]) == same
         fits &= block.ids != ids[a]
         asked = np.zeros(len(fits), bool)
