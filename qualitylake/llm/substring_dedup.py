@@ -215,11 +215,11 @@ def _texts(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[list[str]]]]:
         yield part, [words_of(t) for t in part.text]
 
 
-def place_of(docs: DataFrame) -> dict[str, Column]:
-    """A document's place in the order: none, id, text_hash. The hash is 0 where ids tell all rows apart."""
+def place_of(docs: DataFrame) -> tuple[dict[str, Column], bool]:
+    """A document's place in the order: none, id, text_hash; and whether ids tell all rows apart: then the hash is 0."""
     once = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     text_hash = F.lit(0).cast("long") if once else F.xxhash64(F.coalesce("text", F.lit("")))
-    return {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)).cast("long"), "text_hash": text_hash}
+    return {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)).cast("long"), "text_hash": text_hash}, once
 
 
 def keyed(docs: DataFrame, own: dict[str, Column]) -> DataFrame:
@@ -227,7 +227,8 @@ def keyed(docs: DataFrame, own: dict[str, Column]) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """none, id, text_hash and places: of each keyed document that has some, the runs of windows that start earlier, too."""
+    """none, id, text_hash and places: of each document that has some, the runs of windows that start earlier, too.
+    `rows` are keyed documents, each once."""
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -313,8 +314,9 @@ def repeats_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pd.DataFrame({"none": b.none, "id": b.id, "n_words": n, "n_removed": removed, "kept_sha256": digest})
 
     own = ["none", "id", "text_hash"]
-    rows = keyed(docs, place_of(docs))
-    rows = rows.join(repeated_windows(rows, window), own, "left")
+    columns, once = place_of(docs)
+    rows = keyed(docs, columns)
+    rows = rows.join(repeated_windows(rows if once else rows.dropDuplicates(own), window), own, "left")
     rows = rows.mapInPandas(report, "none boolean, id long, n_words long, n_removed long, kept_sha256 string")
     return rows.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
@@ -326,8 +328,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def cleaned(text: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([t if p is None or t is None else " ".join(_kept(words_of(t), p, window)) for t, p in zip(text, places)], dtype=object)
 
-    own = place_of(docs)
+    own, once = place_of(docs)
+    rows = keyed(docs, own)
     named = {c: f"_{c}_of_row" for c in (*own, "places")}
-    found = repeated_windows(keyed(docs, own), window).withColumnsRenamed(named)
+    found = repeated_windows(rows if once else rows.dropDuplicates(list(own)), window).withColumnsRenamed(named)
     rows = docs.withColumns({named[c]: value for c, value in own.items()}).join(found, [named[c] for c in own], "left")
     return rows.withColumn("text", cleaned("text", named["places"])).select(*docs.columns)
