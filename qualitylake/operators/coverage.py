@@ -190,9 +190,14 @@ def survivor_findings(mutants: DataFrame) -> DataFrame:
 
 
 def test_value(mutation: DataFrame, weakening: DataFrame) -> DataFrame:
-    """Status per repo of what its tests are worth, from mutation score and weakening findings.
-
-    mutation: repo, status (ok, failed, skipped), score; weakening: repo, status, findings."""
-    joined = mutation.select("repo", F.col("status").alias("m"), "score").join(weakening.select("repo", F.col("status").alias("w"), "findings"), "repo", "full_outer")
-    status = F.when((F.col("m") == "failed") | (F.col("w") == "failed"), "failed").when(F.coalesce("findings", F.lit(0)) > 0, "weakened").when((F.col("m") == "ok") & (F.col("score") < 1), "survivors").when((F.col("m") == "ok") | (F.col("w") == "ok"), "ok").otherwise("skipped")
+    """Per repo how much of the check of its tests' worth ran: ran where both parts did, partial where a part was
+    skipped or went wrong, skipped where neither ran or went wrong; and the score and findings of the parts.
+
+    mutation: repo, status (ran, skipped, or anything else that went wrong), score; weakening: repo, status, findings.
+    A repo that one of them lacks counts as skipped there."""
+    joined = mutation.select("repo", F.coalesce("status", F.lit("skipped")).alias("m"), "score").join(weakening.select("repo", F.coalesce("status", F.lit("skipped")).alias("w"), "findings"), "repo", "full_outer")
+    parts = [F.coalesce(c, F.lit("skipped")) for c in ("m", "w")]
+    idle = [(p == "skipped").cast("int") for p in parts]
+    ran = [(p == "ran").cast("int") for p in parts]
+    status = F.when(ran[0] + ran[1] == 2, "ran").when(idle[0] + idle[1] == 2, "skipped").otherwise("partial")
     return joined.select("repo", "score", F.coalesce("findings", F.lit(0)).alias("findings"), status.alias("status"))

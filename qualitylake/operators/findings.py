@@ -105,23 +105,46 @@ def badges(cards: DataFrame, name: str = "quality") -> DataFrame:
 # ------------------------------------------------------------------ gates
 
 
-def count_gates(findings: DataFrame, enforced: dict[str, bool], warnings_fail: tuple[str, ...] = ("a11y", "html", "links")) -> DataFrame:
-    """A gate per engine of `enforced` and run with findings: it passes without errors, and for some engines
-    without warnings too."""
-    counts = [F.count_if((F.col("engine") == e) & ((F.col("severity") == "error") | F.lit(e in warnings_fail))).alias(e) for e in enforced]
-    wide = findings.groupBy(*RUN).agg(*counts)
-    rows = F.array(*[F.struct(F.lit(e).alias("id"), F.col(e).alias("n"), F.lit(on).alias("enforced")) for e, on in enforced.items()])
-    long = wide.select(*RUN, F.inline(rows))
-    return long.select(*RUN, "id", (F.col("n") == 0).alias("pass"), "enforced", F.when(F.col("n") > 0, F.concat_ws(" ", F.col("n").cast("string"), "id", F.when(F.col("n") == 1, "finding").otherwise("findings"))).alias("reason"))
-
-
-def verdicts(gates: DataFrame, fail_on: list[str] | None = None, errors: DataFrame | None = None) -> DataFrame:
+# What gates count, and what they add where a failure does not count
+GATE_NOUNS = {"html": "markup findings", "a11y": "accessibility findings", "links": "missing files", "secrets": "secrets", "sca": "undeclared dependencies"}
+ADVISORY = " (advisory; does not fail the process)"
+
+
+def count_gates(findings: DataFrame, enforced: dict[str, bool], warnings_fail: tuple[str, ...] = ("a11y", "links", "sca"), runs: DataFrame | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    """A gate per engine of `enforced` and run: it passes without errors, and for some engines without warnings too.
+
+    Runs (repo, run_id) without findings pass; without `runs`, those with findings are all. `links` counts the rule
+    links.missing. `lint` is always enforced: it fails on the rule lint.failed, and, where it is `required`, on an
+    unavailable linter. The reason of a gate that fails and is not enforced says so."""
+    counts = []
+    for e in enforced:
+        one = F.col("rule") == "links.missing" if e == "links" else F.col("rule") == "lint.failed" if e == "lint" else (F.col("engine") == e) & ((F.col("severity") == "error") | F.lit(e in warnings_fail))
+        counts.append(F.count_if(one).alias(e))
+    missing = F.count_if((F.col("engine") == "lint") & (F.col("rule") == "engine.unavailable")).alias("_missing")
+    wide = findings.groupBy(*RUN).agg(*counts, missing)
+    if runs is not None:
+        wide = runs.select(*RUN).distinct().join(wide, RUN, "left").na.fill(0, [*enforced, "_missing"])
+    noun = lambda e, n: F.lit(GATE_NOUNS[e]) if e in GATE_NOUNS else F.concat_ws(" ", F.lit(e), F.when(n == 1, "finding").otherwise("findings"))
+    rows = []
+    for e, on in enforced.items():
+        n = F.col(e)
+        if e == "lint":
+            away = (F.col("_missing") > 0) & F.lit("lint" in required)
+            rows.append(F.struct(F.lit(e).alias("id"), ((n == 0) & ~away).alias("pass"), F.lit(True).alias("enforced"), F.when(n > 0, "lint failed").when(away, "lint unavailable").alias("reason")))
+        else:
+            rows.append(F.struct(F.lit(e).alias("id"), (n == 0).alias("pass"), F.lit(on).alias("enforced"), F.when(n > 0, F.concat(n.cast("string"), F.lit(" "), noun(e, n), F.lit("" if on else ADVISORY))).alias("reason")))
+    return wide.select(*RUN, F.inline(F.array(*rows)))
+
+
+def verdicts(gates: DataFrame, fail_on: list[str] | None = None, errors: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """Per run: whether any enforced gate failed, and whether that fails the exit code (only gates in fail_on).
 
-    Runs of `errors` (repo, run_id) had an analyzer error and fail both."""
+    Runs of `errors` (repo, run_id) had an analyzer error and fail both; those of `runs` without a gate fail neither."""
     failed = F.col("enforced") & ~F.col("pass")
     exits = failed if fail_on is None else failed & F.col("id").isin(*fail_on)
     out = gates.groupBy(*RUN).agg(F.bool_or(failed).alias("verdict_fails"), F.bool_or(exits).alias("exit_fails"))
+    if runs is not None:
+        out = runs.select(*RUN).distinct().join(out, RUN, "left").na.fill(False, ["verdict_fails", "exit_fails"])
     if errors is not None:
         broken = errors.select(*RUN).distinct().withColumn("_broken", F.lit(True))
         out = out.join(broken, RUN, "full_outer").select(*RUN, (F.coalesce("verdict_fails", F.lit(False)) | F.col("_broken").isNotNull()).alias("verdict_fails"), (F.coalesce("exit_fails", F.lit(False)) | F.col("_broken").isNotNull()).alias("exit_fails"))

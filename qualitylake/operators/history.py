@@ -54,17 +54,17 @@ def gates_failing_on_new(gates: DataFrame, findings: DataFrame, baseline: DataFr
 def trend(scores: DataFrame, findings: DataFrame, names: list[str]) -> DataFrame:
     """Each run against the run before it in the same repo: changed scores, new and resolved fingerprints.
 
-    scores: repo, run_id and the named scores; runs are ordered by run_id. First runs have no row. Each fingerprint
-    is grouped once, with the numbers of the runs that have it: it is new where the run before lacks it, and
-    resolved in the run behind where that one lacks it."""
+    scores: repo, run_id and the named scores; runs are ordered by run_id. First runs have no row. The runs that have
+    a fingerprint are islands in the order of runs: it is new where one begins, and resolved in the run behind its end."""
     w = Window.partitionBy("repo").orderBy("run_id")
     runs = scores.select("repo", "run_id", F.row_number().over(w).alias("n"), *names, *[F.lag(s).over(w).alias(f"_was_{s}") for s in names])
     changed = F.array_join(F.filter(F.array(*[F.when(F.col(s) != F.col(f"_was_{s}"), F.lit(s)) for s in names]), lambda x: x.isNotNull()), ",")
     prints = findings.select("repo", "run_id", scoring.fingerprint().alias("fp")).join(runs.select("repo", "run_id", "n"), ["repo", "run_id"])
-    held = prints.groupBy("repo", "fp").agg(F.collect_set("n").alias("ns"))
-    came = F.transform(F.filter("ns", lambda n: ~F.array_contains("ns", n - 1)), lambda n: F.struct(n.alias("n"), F.lit(True).alias("new")))
-    gone = F.transform(F.filter("ns", lambda n: ~F.array_contains("ns", n + 1)), lambda n: F.struct((n + 1).alias("n"), F.lit(False).alias("new")))
-    moves = held.select("repo", F.inline(F.concat(came, gone)).alias("n", "is_new"))
+    # equal ones of a run first, so a frequent fingerprint is a row a run before runs meet
+    island = Window.partitionBy("repo", "fp").orderBy("n")
+    held = prints.select("repo", "fp", "n").distinct().withColumns({"came": F.coalesce(F.lag("n").over(island) < F.col("n") - 1, F.lit(True)), "went": F.coalesce(F.lead("n").over(island) > F.col("n") + 1, F.lit(True))})
+    came, went = F.when(F.col("came"), F.struct("n", F.lit(True).alias("is_new"))), F.when(F.col("went"), F.struct((F.col("n") + 1).alias("n"), F.lit(False).alias("is_new")))
+    moves = held.where("came or went").select("repo", F.inline(F.filter(F.array(came, went), lambda x: x.isNotNull())))
     moved = moves.groupBy("repo", "n").agg(F.count_if("is_new").alias("new"), F.count_if(~F.col("is_new")).alias("resolved"))
     out = runs.where("n > 1").join(moved, ["repo", "n"], "left")
     return out.select("repo", "run_id", changed.alias("changed"), F.coalesce("new", F.lit(0)).alias("new"), F.coalesce("resolved", F.lit(0)).alias("resolved"))

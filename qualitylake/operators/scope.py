@@ -1,6 +1,6 @@
 """Which files, functions and findings are in scope, and incremental scans.
 
-paths: repo, path. deltas: repo, path, is_new_file (and changed_lines ARRAY<INT> where lines matter)."""
+paths: repo, path. deltas: repo, path, is_new_file."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths
+from ..sources.lines import PART, highest
 
 #: Leading bytes of object files: ELF, Mach-O (both orders, 32 and 64 bit, universal), PE, WebAssembly, archives.
 OBJECT_MAGIC = ("7F454C46", "FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE", "CAFEBABE", "0061736D", "213C6172")
@@ -90,12 +91,20 @@ def changed_files(files: DataFrame, deltas: DataFrame) -> DataFrame:
     return files.join(deltas.select("repo", "path"), ["repo", "path"], "left_semi")
 
 
-def changed_functions(functions: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Functions that overlap a changed line; in new files all of them."""
-    d = deltas.select("repo", F.col("path").alias("file"), "is_new_file", "changed_lines")
-    met = functions.join(d, ["repo", "file"])
-    touched = F.col("is_new_file") | F.exists(F.coalesce("changed_lines", F.array().cast("array<int>")), lambda n: (n >= F.col("start_line")) & (n <= F.col("end_line")))
-    return met.where(touched).select(functions.columns).distinct()
+def changed_functions(functions: DataFrame, ranges: DataFrame, new_files: DataFrame | None = None) -> DataFrame:
+    """Functions that overlap a range of changed lines (repo, path, first, last); in new files (repo, path) all of them.
+
+    Ranges and functions of a file stand in one order of lines: a function is touched where a range that starts by
+    its end reaches its start. The furthest end of the ranges so far is handed on from part to part of the file, so
+    neither long ranges nor large files make groups of pairs."""
+    own = F.struct(*functions.columns)
+    at = lambda pos: [F.floor(pos / (2 * PART)).alias("part"), F.lit(True).alias("split"), pos.alias("pos")]
+    starts = ranges.select("repo", F.col("path").alias("file"), *at(2 * F.col("first")), F.col("last").cast("long").alias("to"), F.lit(None).cast(functions.select(own.alias("f")).schema["f"].dataType).alias("f"))
+    ends = functions.select("repo", "file", *at(2 * F.col("end_line") + 1), F.lit(None).cast("long").alias("to"), own.alias("f"))
+    met = highest(starts.unionByName(ends), ["repo", "file"], reached=F.col("to")).where("f is not null and reached >= f.start_line").select("f.*")
+    if new_files is not None:
+        met = met.unionByName(functions.join(new_files.select("repo", F.col("path").alias("file")).distinct(), ["repo", "file"], "left_semi").select(functions.columns))
+    return met.distinct()
 
 
 def new_symbols(head: DataFrame, base: DataFrame) -> DataFrame:
@@ -151,19 +160,68 @@ def added_lines(numstat: DataFrame, files: DataFrame, scope: DataFrame) -> DataF
     return stat.unionByName(new).groupBy("repo").agg(F.sum("n").alias("added"))
 
 
-def detect_packs(files: DataFrame, markers: dict[str, str]) -> DataFrame:
-    """The pack of each repo root from its marker files (name -> pack).
-
-    One marker decides. Of several, the one pack with sources of its language decides, else the pack is
-    ambiguous. Without markers: web if it has pages, bash if it has scripts, else unknown."""
-    root = ~F.col("path").contains("/")
-    packs = sorted(set(markers.values()))
-    marker = F.create_map(*[F.lit(x) for kv in markers.items() for x in kv])
-    named = files.withColumn("marker", F.when(root, F.try_element_at(marker, F.col("path")))).withColumn("lang", paths.language_of("path"))
-    g = named.groupBy("repo").agg(F.array_sort(F.collect_set("marker")).alias("marked"), F.array_sort(F.collect_set(F.when(F.col("lang").isin(*packs), F.col("lang")))).alias("langs"), F.count_if(F.lower(paths.extension("path")).isin("html", "htm")).alias("pages"), F.count_if(F.col("lang") == "bash").alias("scripts"))
-    both = F.array_intersect("marked", "langs")
-    pack = F.when(F.size("marked") == 1, F.element_at("marked", 1)).when((F.size("marked") > 1) & (F.size(both) == 1), F.try_element_at(both, F.lit(1))).when(F.size("marked") > 1, "ambiguous").when(F.col("pages") > 0, "web").when(F.col("scripts") > 0, "bash").otherwise("unknown")
-    return g.select("repo", pack.alias("pack"), F.array_join("marked", ",").alias("markers"))
+# What names a pack
+#: Files that make their folder a root of a pack.
+PACK_MARKERS = {
+    "Cargo.toml": "rust", "package.json": "node", "pyproject.toml": "python", "requirements.txt": "python", "setup.py": "python", "Pipfile": "python", "go.mod": "go",
+    "pom.xml": "java", "build.gradle": "java", "build.gradle.kts": "java", "composer.json": "php", "CMakeLists.txt": "cpp",
+}
+#: Extensions that do so, in any letter case.
+PACK_MARKER_EXTENSIONS = {"csproj": "csharp", "sln": "csharp"}
+#: Build files that do so beside sources of C.
+C_BUILD = ["Makefile", "makefile", "GNUmakefile", "configure", "configure.ac"]
+PACK_SOURCES = {
+    "rs": "rust", "js": "node", "jsx": "node", "mjs": "node", "cjs": "node", "ts": "node", "tsx": "node", "py": "python", "go": "go", "java": "java", "cs": "csharp", "php": "php",
+    "c": "cpp", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "sh": "bash", "bash": "bash",
+}
+
+
+def pack_roots(files: DataFrame) -> DataFrame:
+    """repo and root: each folder with a marker file or a C build file, and each repository's own root, `.`."""
+    d = paths.dirname("path")
+    marks = paths.basename("path").isin(*PACK_MARKERS, *C_BUILD) | F.lower(paths.extension("path")).isin(*PACK_MARKER_EXTENSIONS)
+    return files.where(marks).select("repo", F.when(d == "", ".").otherwise(d).alias("root")).unionByName(files.select("repo", F.lit(".").alias("root"))).distinct()
+
+
+def owned_files(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """repo, root and below (the path in it) of each file: its root is the nearest one at or above its folder."""
+    up = files.select("repo", "path", F.explode(F.array_distinct(F.concat(F.array(F.lit(".")), paths.ancestors("path")))).alias("root"))
+    near = up.join(roots.select("repo", "root"), ["repo", "root"]).groupBy("repo", "path").agg(F.max_by("root", F.when(F.col("root") == ".", 0).otherwise(F.length("root"))).alias("root"))
+    return near.select("repo", "root", F.when(F.col("root") == ".", F.col("path")).otherwise(F.substr("path", F.length("root") + 2)).alias("below"))
+
+
+def detect_packs(files: DataFrame) -> DataFrame:
+    """repo, root, pack and markers (the packs that markers name) of each root, by the files whose nearest root it is.
+
+    A package.json beside shell scripts only names no pack, a Makefile or configure script one where there are sources
+    of C. One named pack decides. Of several, the only one with sources decides, else the pack is ambiguous. Without
+    one: web with pages in the root, bash with scripts in it or in its scripts or bin folder, else unknown; nested
+    roots that no marker names in the end give no row, and their files count for the root above."""
+    base, d = paths.basename("below"), paths.dirname("below")
+    ext = F.lower(paths.extension("below"))
+    at_root = d == ""
+    of = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+    def found(owned: DataFrame) -> DataFrame:
+        shell = ext.isin("sh", "bash") & d.isin("", "scripts", "bin")
+        g = owned.groupBy("repo", "root").agg(
+            F.collect_set(F.when(at_root, of(PACK_MARKERS, base))).alias("named"),
+            F.bool_or(ext.isin(*PACK_MARKER_EXTENSIONS)).alias("csharp"),
+            F.bool_or(at_root & base.isin(*C_BUILD)).alias("build"),
+            F.collect_set(of(PACK_SOURCES, paths.extension("below"))).alias("sources"),
+            F.bool_or(ext.isin("js", "jsx", "mjs", "cjs", "ts", "tsx")).alias("scripted"), F.bool_or(ext.isin("c", "cc", "cpp", "cxx")).alias("compiled"),
+            F.bool_or(shell).alias("shell"), F.bool_or(at_root & ext.isin("html", "htm")).alias("pages"),
+        )
+        named = F.filter("named", lambda p: (p != "node") | F.col("scripted") | ~F.col("shell"))
+        more = F.filter(F.array(F.when(F.col("csharp"), F.lit("csharp")), F.when(F.col("build") & F.col("compiled"), F.lit("cpp"))), lambda p: p.isNotNull())
+        return g.withColumn("marked", F.array_sort(F.array_distinct(F.concat(named, more))))
+
+    roots = pack_roots(files)
+    firm = found(owned_files(files, roots)).where("root = '.' or size(marked) > 0").select("repo", "root")
+    g = found(owned_files(files, firm))
+    owners = F.array_intersect("marked", "sources")
+    pack = F.when(F.size("marked") == 1, F.try_element_at("marked", F.lit(1))).when((F.size("marked") > 1) & (F.size(owners) == 1), F.try_element_at(owners, F.lit(1))).when(F.size("marked") > 1, "ambiguous").when(F.col("pages"), "web").when(F.col("shell"), "bash").otherwise("unknown")
+    return g.select("repo", "root", pack.alias("pack"), F.array_join("marked", ",").alias("markers"))
 
 
 def missing_license_header(files: DataFrame, header: str, column: str = "content") -> DataFrame:

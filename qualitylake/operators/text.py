@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lines import lines_of
+
 #: Rule, pattern and the group that holds the secret's body. Reconstructed from documented token formats.
 SECRET_RULES = [
     ("secrets.aws_access_key", r"\b((?:AKIA|ASIA)[A-Z0-9]{16})\b"),
@@ -35,22 +37,33 @@ def is_sequential(text: Column) -> Column:
 
 
 def secret_findings(files: DataFrame, rules: list[tuple[str, str]] | None = None, least: float = LEAST_ENTROPY) -> DataFrame:
-    """repo, rule, severity, file, line and body of secrets in files (repo, path, content).
-
-    Bodies that say EXAMPLE, repeat filler, run in sequence or hold little entropy are dropped. Private keys are
-    found behind string quotes, line joins and escaped line ends, and only with key material."""
-    found = None
-    for rule, pattern in rules or SECRET_RULES:
-        hits = files.where(F.col("content").rlike(pattern)).select("repo", F.col("path").alias("file"), "content", F.lit(rule).alias("rule"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))).alias("body"))
-        found = hits if found is None else found.unionByName(hits)
+    """repo, rule, severity, file, line and body of every place of a secret in files (repo, path, content).
+
+    One pass: only texts and then lines that any rule's pattern meets go on, and each such line is read by all rules.
+    A value stands on the line of its name. Bodies that say EXAMPLE, repeat filler, run in sequence or hold little
+    entropy are dropped. Private keys are found behind string quotes, line joins and escaped line ends, and only with
+    key material; each stands at the line of its own begin mark."""
+    rules = rules or SECRET_RULES
+    any_rule = "|".join(f"(?:{p})" for _, p in rules)
+    texts = files.where(F.col("content").rlike(any_rule)).select("repo", F.col("path").alias("file"), "content")
+    lines = lines_of(texts, "content", ["repo", "file"], sep="\n").where(F.col("line").rlike(any_rule))
+
+    def bodies(rule: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda body: F.struct(F.lit(rule).alias("rule"), body.alias("body")))
+
+    found = lines.select("repo", "file", "pos", F.inline(F.concat(*[bodies(*r) for r in rules])))
     filler = F.col("body").rlike(r"(?i)example|x{6,}|\*{4,}|0{12,}|placeholder|changeme")
     real = found.where(~filler & ~is_sequential(F.col("body")) & (entropy(F.col("body")) >= least))
-    line = F.length(F.regexp_replace(F.left("content", F.expr("instr(content, body)")), "[^\n]", "")) + 1
-    out = real.select("repo", "rule", F.lit("secrets").alias("engine"), F.lit("error").alias("severity"), "file", line.cast("int").alias("line"), "body")
-    pem = files.where(F.contains("content", F.lit("PRIVATE KEY-----"))).withColumn("flat", F.regexp_replace("content", r"""\\n|["'+\s]*[\r\n]+\s*["'+|]*|(?<=-----)["'+\s]+""", ""))
-    keys = pem.select("repo", F.col("path").alias("file"), "content", F.explode(F.regexp_extract_all("flat", F.lit(PEM), F.lit(1))).alias("body"))
-    at = F.length(F.regexp_replace(F.left("content", F.expr("instr(content, '-----BEGIN')")), "[^\n]", "")) + 1
-    return out.unionByName(keys.select("repo", F.lit("secrets.private_key").alias("rule"), F.lit("secrets").alias("engine"), F.lit("error").alias("severity"), "file", at.cast("int").alias("line"), F.left("body", F.lit(16)).alias("body")))
+    head = [F.lit("secrets").alias("engine"), F.lit("error").alias("severity"), "file"]
+    out = real.select("repo", "rule", *head, (F.col("pos") + 1).cast("int").alias("line"), "body")
+    # what follows each begin mark, up to the next, with the line ends before it
+    pem = files.where(F.contains("content", F.lit("PRIVATE KEY-----"))).select("repo", F.col("path").alias("file"), F.split("content", "(?=-----BEGIN )").alias("parts"))
+    ends = F.transform("parts", lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
+    each = pem.select("repo", "file", F.posexplode(F.arrays_zip("parts", ends.alias("ends"))).alias("n", "x"), ends.alias("all"))
+    at = F.aggregate(F.slice("all", F.lit(1), F.col("n")), F.lit(1), lambda a, b: a + b)
+    flat = F.regexp_replace("x.parts", r"""\\n|["'+\s]*[\r\n]+\s*["'+|]*|(?<=-----)["'+\s]+""", "")
+    keys = each.select("repo", "file", at.alias("line"), F.explode(F.regexp_extract_all(flat, F.lit(PEM), F.lit(1))).alias("body"))
+    return out.unionByName(keys.select("repo", F.lit("secrets.private_key").alias("rule"), *head, "line", F.left("body", F.lit(16)).alias("body")))
 
 
 def spec_mentions(specs: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ VIEWS: dict[str, str] = {
                concat('issue ', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 5 AS VARCHAR(20))) AS message,
                CASE WHEN event_type IN ('error', 'purchase') THEN concat('fix ', event_type) ELSE CAST(NULL AS VARCHAR(20)) END AS suggested_action
         FROM events""",
+    # runs with findings, and runs of other days that have none
+    "v_runs": "SELECT repo, run_id FROM v_findings UNION SELECT concat('r', CAST(o_custkey % 10 AS VARCHAR(20))) AS repo, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) AS run_id FROM orders",
     "v_engine_runs": """
         SELECT concat('r', CAST(user_id % 10 AS VARCHAR(20))) AS repo, event_id AS pos,
                CASE event_type WHEN 'error' THEN 'tests' WHEN 'purchase' THEN 'secrets' WHEN 'click' THEN 'a11y' WHEN 'view' THEN 'sca' ELSE 'perf' END AS engine,

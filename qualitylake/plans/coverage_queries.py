@@ -190,13 +190,14 @@ def crap_gate_advisory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT m.repo, m.score, coalesce(w.findings, 0)::BIGINT AS findings, CASE WHEN m.status = 'failed' OR w.status = 'failed' THEN 'failed' WHEN coalesce(w.findings, 0) > 0 THEN 'weakened' WHEN m.status = 'ok' AND m.score < 1 THEN 'survivors' WHEN m.status = 'ok' OR w.status = 'ok' THEN 'ok' ELSE 'skipped' END AS status
-    FROM (SELECT repo, round(count(CASE WHEN summary = 'CaughtMutant' THEN 1 END) / count(*)::DOUBLE, 6) AS score, CASE CAST(substr(repo, 2) AS INT) % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'ok' END AS status FROM v_mutants GROUP BY repo) m
-    FULL JOIN (SELECT repo, count(CASE WHEN engine = 'perf' AND CAST(substr(repo, 2) AS INT) % 3 = 0 THEN 1 END) AS findings, CASE CAST(substr(repo, 2) AS INT) % 5 WHEN 0 THEN 'skipped' ELSE 'ok' END AS status FROM v_findings GROUP BY repo) w ON m.repo = w.repo""",
+    """SELECT repo, score, coalesce(findings, 0)::BIGINT AS findings, CASE WHEN ms = 'ran' AND ws = 'ran' THEN 'ran' WHEN ms = 'skipped' AND ws = 'skipped' THEN 'skipped' ELSE 'partial' END AS status
+    FROM (SELECT coalesce(m.repo, w.repo) AS repo, score, findings, coalesce(m.status, 'skipped') AS ms, coalesce(w.status, 'skipped') AS ws
+    FROM (SELECT repo, round(count(CASE WHEN summary = 'CaughtMutant' THEN 1 END) / count(*)::DOUBLE, 6) AS score, CASE CAST(substr(repo, 2) AS INT) % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'ran' END AS status FROM v_mutants WHERE repo <> 'r7' GROUP BY repo) m
+    FULL JOIN (SELECT repo, count(CASE WHEN engine = 'perf' AND CAST(substr(repo, 2) AS INT) % 3 = 0 THEN 1 END) AS findings, CASE CAST(substr(repo, 2) AS INT) % 5 WHEN 0 THEN 'skipped' ELSE 'ran' END AS status FROM v_findings GROUP BY repo) w ON m.repo = w.repo)""",
     "v_mutants v_findings",
 )
 def test_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.regexp_extract("repo", "([0-9]+)", 1).cast("int")
-    m = ops.mutation_summary(view(spark, sf_dir, "v_mutants")).select("repo", F.round("score", 6).alias("score"), F.when(n % 4 == 0, "failed").when(n % 4 == 1, "skipped").otherwise("ok").alias("status"))
-    w = view(spark, sf_dir, "v_findings").groupBy("repo").agg(F.count_if((F.col("engine") == "perf") & (n % 3 == 0)).alias("findings")).withColumn("status", F.when(n % 5 == 0, "skipped").otherwise("ok"))
+    m = ops.mutation_summary(view(spark, sf_dir, "v_mutants").where("repo <> 'r7'")).select("repo", F.round("score", 6).alias("score"), F.when(n % 4 == 0, "failed").when(n % 4 == 1, "skipped").otherwise("ran").alias("status"))
+    w = view(spark, sf_dir, "v_findings").groupBy("repo").agg(F.count_if((F.col("engine") == "perf") & (n % 3 == 0)).alias("findings")).withColumn("status", F.when(n % 5 == 0, "skipped").otherwise("ran"))
     return ops.test_value(m, w)

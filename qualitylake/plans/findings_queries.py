@@ -108,12 +108,36 @@ def badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.badges(cards)
 
 
-GATES = "SELECT repo, run_id, g.id, n = 0 AS pass, g.enforced, CASE WHEN n = 1 THEN '1 ' || g.id || ' finding' WHEN n > 1 THEN n || ' ' || g.id || ' findings' END AS reason FROM (SELECT repo, run_id, g.id, g.enforced, count(CASE WHEN engine = g.id AND (severity = 'error' OR g.id = 'a11y') THEN 1 END) AS n FROM v_findings, (VALUES ('tests', true), ('secrets', true), ('a11y', false), ('sca', false), ('perf', false)) g(id, enforced) GROUP BY ALL) g"
+COUNTED = f"""(SELECT r.repo, r.run_id, g.id, g.enforced, g.noun, count(CASE WHEN f.engine = g.id AND (f.severity = 'error' OR g.id IN ('a11y', 'sca')) THEN 1 END) AS n
+    FROM v_runs r CROSS JOIN (VALUES ('tests', true, NULL), ('secrets', true, 'secrets'), ('a11y', false, 'accessibility findings'), ('sca', false, 'undeclared dependencies'), ('perf', false, NULL)) g(id, enforced, noun)
+    LEFT JOIN v_findings f ON f.repo = r.repo AND f.run_id = r.run_id GROUP BY ALL)"""
+GATES = f"""SELECT repo, run_id, id, n = 0 AS pass, enforced, CASE WHEN n > 0 THEN n || ' ' || coalesce(noun, CASE WHEN n = 1 THEN id || ' finding' ELSE id || ' findings' END) || CASE WHEN enforced THEN '' ELSE ' (advisory; does not fail the process)' END END AS reason FROM {COUNTED}
+    UNION ALL SELECT repo, run_id, 'lint', true, true, NULL FROM v_runs"""
 
 
-@query(GATES, "v_findings")
+@query(GATES, "v_findings v_runs")
 def counting_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.count_gates(view(spark, sf_dir, "v_findings"), ENFORCED)
+    """Gates of all runs, those without findings included; no run has a linter's findings."""
+    return ops.count_gates(view(spark, sf_dir, "v_findings"), {**ENFORCED, "lint": True}, runs=view(spark, sf_dir, "v_runs"))
+
+
+@query(
+    """SELECT repo, run_id, id, pass, enforced, reason FROM (SELECT r.repo, r.run_id, 'lint' AS id, coalesce(bad, 0) = 0 AND coalesce(away, 0) = 0 AS pass, true AS enforced, CASE WHEN bad > 0 THEN 'lint failed' WHEN away > 0 THEN 'lint unavailable' END AS reason
+    FROM v_runs r LEFT JOIN (SELECT repo, run_id, count(CASE WHEN engine = 'perf' AND start_line < 20 THEN 1 END) AS bad, count(CASE WHEN engine = 'perf' AND start_line > 380 THEN 1 END) AS away FROM v_findings GROUP BY repo, run_id) f ON f.repo = r.repo AND f.run_id = r.run_id)""",
+    "v_findings v_runs",
+)
+def lint_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The required linter's gate, with some of the performance findings as what it says."""
+    f = view(spark, sf_dir, "v_findings").where("engine = 'perf' and (start_line < 20 or start_line > 380)")
+    said = f.withColumns({"engine": F.lit("lint"), "rule": F.when(F.col("start_line") < 20, "lint.failed").otherwise("engine.unavailable")})
+    return ops.count_gates(said, {"lint": True}, runs=view(spark, sf_dir, "v_runs"), required=("lint",))
+
+
+@query(f"SELECT repo, run_id, bool_or(enforced AND n > 0) AS verdict_fails, bool_or(enforced AND n > 0 AND id = 'secrets') AS exit_fails FROM {COUNTED} GROUP BY repo, run_id", "v_findings v_runs")
+def verdicts_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all runs, clean ones included."""
+    runs = view(spark, sf_dir, "v_runs")
+    return ops.verdicts(ops.count_gates(view(spark, sf_dir, "v_findings"), ENFORCED, runs=runs), ["secrets"], runs=runs)
 
 
 @query("SELECT repo, run_id, bool_or(enforced AND NOT pass) AS verdict_fails, bool_or(enforced AND NOT pass AND id = 'tests') AS exit_fails FROM v_gates GROUP BY repo, run_id", "v_gates")

@@ -64,8 +64,9 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def changed_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = view(spark, sf_dir, "v_cov_lines").withColumn("path", F.replace("report_path", F.lit("/ci/build/"), F.lit("")))
-    deltas = lines.groupBy("repo", "path").agg(F.array(F.min("line"), F.max("line")).alias("changed_lines"), F.bool_or(F.col("hits") > 0).alias("is_new_file"), F.count("*").alias("n")).where("n < 4")
-    return ops.changed_functions(view(spark, sf_dir, "v_functions"), deltas)
+    few = lines.groupBy("repo", "path").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.bool_or(F.col("hits") > 0).alias("is_new_file"), F.count("*").alias("n")).where("n < 4")
+    ranges = few.select("repo", "path", F.explode(F.array("low", "high")).alias("first")).withColumn("last", F.col("first"))
+    return ops.changed_functions(view(spark, sf_dir, "v_functions"), ranges, few.where("is_new_file"))
 
 
 @query("SELECT repo, file, symbol FROM v_functions WHERE NOT (cc < 20)", "v_functions")
@@ -185,21 +186,25 @@ def generated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.generated_warning(files)
 
 
-MARKED = """(SELECT repo, max(CASE WHEN n % 5 IN (0, 1) THEN 1 ELSE 0 END) AS cargo, max(CASE WHEN n % 5 IN (1, 2) THEN 1 ELSE 0 END) AS go, bool_or(ends_with(path, '.rs')) AS rust_lang, bool_or(ends_with(path, '.go')) AS go_lang, bool_or(ends_with(path, '.sh')) AS sh
-    FROM (SELECT concat(repo, '/', split_part(path, '/', 1)) AS repo, path, o % 41 AS n FROM (SELECT repo, path, CAST(substr(repo, 2) AS INT) * 7 + length(split_part(path, '/', 1)) AS o FROM v_paths WHERE contains(path, '/'))) GROUP BY repo)"""
+MARKED = """(SELECT repo, split_part(path, '/', 1) AS root, (CAST(substr(repo, 2) AS INT) * 7 + length(split_part(path, '/', 1))) % 41 % 6 AS n, bool_or(ends_with(path, '.rs')) AS rust_lang, bool_or(ends_with(path, '.go')) AS go_lang, bool_or(ends_with(path, '.ts')) AS node_lang,
+    bool_or(regexp_matches(path, '^[^/]*/f[0-9]*[.]sh$')) AS sh FROM v_paths WHERE contains(path, '/') GROUP BY 1, 2, 3)"""
 
 
 @query(
-    f"""SELECT repo, CASE WHEN cargo + go = 1 THEN CASE WHEN cargo = 1 THEN 'rust' ELSE 'go' END WHEN cargo + go = 2 AND rust_lang AND NOT go_lang THEN 'rust' WHEN cargo + go = 2 AND go_lang AND NOT rust_lang THEN 'go' WHEN cargo + go = 2 THEN 'ambiguous' WHEN sh THEN 'bash' ELSE 'unknown' END AS pack,
-    concat_ws(',', CASE WHEN go = 1 THEN 'go' END, CASE WHEN cargo = 1 THEN 'rust' END) AS markers FROM {MARKED}""",
+    f"""SELECT repo, root, CASE WHEN len(marked) = 1 THEN marked[1] WHEN rust_lang AND NOT go_lang THEN 'rust' WHEN go_lang AND NOT rust_lang THEN 'go' ELSE 'ambiguous' END AS pack, array_to_string(list_sort(marked), ',') AS markers
+    FROM (SELECT repo, root, [x for x in [CASE WHEN n IN (1, 2) THEN 'go' END, CASE WHEN n = 3 THEN 'csharp' END, CASE WHEN n = 4 AND (node_lang OR NOT sh) THEN 'node' END, CASE WHEN n IN (0, 1) THEN 'rust' END] if x IS NOT NULL] AS marked,
+      rust_lang, go_lang FROM {MARKED}) m WHERE len(marked) > 0
+    UNION ALL SELECT repo, '.', 'web', '' FROM v_paths GROUP BY repo""",
     "v_paths",
 )
 def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top directories as roots, with marker files by their names and repositories."""
+    """Top directories as roots by marker files, a project file or a build file that their names and repositories
+    choose, below a repository root with a page."""
     top = F.split("path", "/")[0]
-    p = view(spark, sf_dir, "v_paths").where("path like '%/%'").select("repo", "path", top.alias("top"))
-    n = (F.substring("repo", 2, 9).cast("int") * 7 + F.length("top")) % 41 % 5
-    roots = p.select(F.concat_ws("/", "repo", "top").alias("repo"), F.substring_index("path", "/", -1).alias("path"), n.alias("n"))
-    marks = roots.select("repo", "n").distinct()
-    more = marks.where("n in (0, 1)").select("repo", F.lit("Cargo.toml").alias("path")).unionByName(marks.where("n in (1, 2)").select("repo", F.lit("go.mod").alias("path")))
-    return ops.detect_packs(roots.select("repo", "path").unionByName(more), {"Cargo.toml": "rust", "go.mod": "go"})
+    p = view(spark, sf_dir, "v_paths").select("repo", "path")
+    nested = p.where("path like '%/%'").select("repo", top.alias("top")).distinct().withColumn("n", (F.substring("repo", 2, 9).cast("int") * 7 + F.length("top")) % 41 % 6)
+    names = {0: ["Cargo.toml"], 1: ["Cargo.toml", "go.mod"], 2: ["go.mod"], 3: ["App.csproj"], 4: ["package.json"], 5: ["Makefile"]}
+    chosen = F.try_element_at(F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("n"))
+    marks = nested.select("repo", "top", F.explode(chosen).alias("name")).select("repo", F.concat_ws("/", "top", "name").alias("path"))
+    index = p.select("repo", F.lit("index.html").alias("path")).distinct()
+    return ops.detect_packs(p.unionByName(marks).unionByName(index))

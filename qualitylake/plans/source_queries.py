@@ -159,18 +159,46 @@ def python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT repo, 'test_value.' || kind AS rule, 'warning' AS severity, 'tests/o' || pos || '.rs' AS file, CAST(CASE WHEN kind = 'ignore_added' THEN 2 ELSE 1 END AS INT) AS line FROM (
-    SELECT repo, pos, CASE summary WHEN 'CaughtMutant' THEN 'assert_loosened' WHEN 'MissedMutant' THEN 'ignore_added' ELSE 'assertion_removed' END AS kind FROM v_mutants)""",
+    """SELECT repo, 'test_value.weakening' AS rule, 'warning' AS severity, CASE WHEN k = 3 THEN 'src/o' ELSE 'tests/o' END || pos || '.rs' AS file, CAST(CASE k WHEN 3 THEN 40 WHEN 5 THEN 1 ELSE 7 END AS INT) AS line, kind FROM (
+    SELECT repo, pos, k, unnest(CASE k WHEN 0 THEN ['assert_loosened'] WHEN 1 THEN ['assert_loosened', 'assert_loosened'] WHEN 2 THEN ['test_removed', 'test_removed', 'test_removed', 'assertion_removed']
+      WHEN 3 THEN ['ignore_added', 'should_panic_added'] WHEN 5 THEN ['test_file_deleted'] ELSE [] END) AS kind FROM (SELECT repo, pos, pos % 6 AS k, summary FROM v_mutants) WHERE summary <> 'Timeout' OR k = 3)""",
     "v_mutants",
 )
 def weakened_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A patch per order that changes a source file and weakens a test in one of three ways."""
+    """A patch per order that changes a source file, of Rust but for timed-out ones, and in one of six ways a test: a
+    loose assertion, one on contents, tests and an assertion that go, test code in a source file, an assertion of
+    product code that goes (no finding), a test file that goes."""
     m = view(spark, sf_dir, "v_mutants")
-    loosened, ignored, removed = "-    assert_eq!(f(), 1);\n+    assert!(f().is_ok());\n", " #[test]\n+#[ignore]\n", "-    assert!(f() == 1);\n+    f();\n"
-    hunk = F.when(F.col("summary") == "CaughtMutant", loosened).when(F.col("summary") == "MissedMutant", ignored).otherwise(removed)
-    head = F.format_string("--- a/src/o%d.rs\n+++ b/src/o%d.rs\n@@ -1 +1 @@\n-old\n+new\n--- a/tests/o%d.rs\n+++ b/tests/o%d.rs\n@@ -1,2 +1,2 @@\n", "pos", "pos", "pos", "pos")
-    patches = m.select("repo", F.col("pos").cast("string").alias("patch"), F.concat(head, hunk).alias("text"))
-    return diffs.weakening(diffs.parse_diffs(patches)).withColumn("line", F.col("line").cast("int"))
+    body = [
+        "@@ -5,2 +7,2 @@ fn t() {\n-    assert_eq!(f(), 1);\n+    assert!(f() > 0);\n",
+        '@@ -5,2 +7,2 @@ fn t() {\n-    assert_eq!(f(), "one");\n+    assert!(f().contains("one"));\n',
+        "@@ -5,6 +7,2 @@\n-#[test]\n-fn test_one() {\n-    assert_matches!(f(), One);\n-}\n-#[test]\n fn two() {\n",
+        "@@ -38,2 +40,4 @@ mod tests {\n mod tests {\n+#[ignore]\n+#[should_panic(expected = 1)]\n",
+        "@@ -5,2 +7,1 @@\n-    debug_assert!(x);\n fn run() {\n",
+        "@@ -1,2 +0,0 @@\n-#[test]\n-fn test_gone() {}\n",
+    ]
+    k, n = F.col("pos") % 6, F.col("pos").cast("string")
+    hunk = F.element_at(F.array(*[F.lit(x) for x in body]), (k + 1).cast("int"))
+    product = F.concat(F.lit("src/p"), n, F.when(F.col("summary") == "Timeout", ".py").otherwise(".rs"))
+    other = F.concat(F.when(k.isin(3, 4), "src/o").otherwise("tests/o"), n, F.lit(".rs"))
+    # where nothing else is Rust, the file of the fifth way is none either
+    other = F.when((k == 4) & (F.col("summary") == "Timeout"), F.concat(F.lit("src/o"), n, F.lit(".c"))).otherwise(other)
+    head = lambda path, new: F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ "), new, F.lit("\n"))
+    at = lambda path: F.concat(F.lit("b/"), path)
+    text = F.concat(head(product, at(product)), F.lit("@@ -1 +1 @@\n-old\n+new\n"), head(other, F.when(k == 5, "/dev/null").otherwise(at(other))), hunk)
+    patches = m.select("repo", n.alias("patch"), text.alias("text"))
+    return diffs.weakening(diffs.parse_diffs(patches)).select("repo", "rule", "severity", "file", F.col("line").cast("int").alias("line"), "kind")
+
+
+@query(
+    """SELECT repo, path, min(line) AS first, max(line) + 1 AS last FROM (SELECT *, sum(apart) OVER (PARTITION BY repo, path ORDER BY line) AS n FROM (
+    SELECT repo, report_path AS path, line, CASE WHEN line - lag(line) OVER (PARTITION BY repo, report_path ORDER BY line) <= 2 THEN 0 ELSE 1 END AS apart FROM v_cov_lines)) GROUP BY repo, path, n""",
+    "v_cov_lines",
+)
+def changed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hunks of two lines each; those that meet or touch are one range."""
+    r = _reports(spark, sf_dir, F.concat(F.lit("--- a/x\n+++ b/"), "report_path", F.lit("\n")), F.format_string("@@ -1,1 +%d,2 @@ f\n+a\n b\n@@ -9 +7,0 @@", "line"), "\n", "\n")
+    return diffs.changed_ranges(r.withColumnRenamed("report", "patch"))
 
 
 @query(

@@ -13,10 +13,10 @@ from .adapters import view
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files; each 17th ends with a token of a known format."""
+    """Documents as files; each 17th ends with a token of a known format, some of them with three places of one."""
     d = view(spark, sf_dir, "documents")
     h = F.sha2(F.col("doc_id").cast("string"), 256)
-    token = F.when(F.col("doc_id") % 34 == 0, F.concat(F.lit("\nghp_"), F.left(h, F.lit(36)))).when(F.col("doc_id") % 51 == 0, F.concat(F.lit("\nkey AKIA"), F.upper(F.left(h, F.lit(16))))).when(F.col("doc_id") % 17 == 0, F.concat(F.lit("\nsk_live_"), F.left(h, F.lit(24)))).otherwise("")
+    token = F.when(F.col("doc_id") % 34 == 0, F.concat(F.lit("\nghp_"), F.left(h, F.lit(36)), F.lit("\nagain ghp_"), F.left(h, F.lit(36)), F.lit(" and ghp_"), F.left(h, F.lit(36)))).when(F.col("doc_id") % 51 == 0, F.concat(F.lit("\nkey AKIA"), F.upper(F.left(h, F.lit(16))))).when(F.col("doc_id") % 17 == 0, F.concat(F.lit("\nsk_live_"), F.left(h, F.lit(24)))).otherwise("")
     return d.select(F.col("source").alias("repo"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.coalesce("text", F.lit("")), token).alias("content"), "doc_id")
 
 
@@ -36,11 +36,12 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-FILES = """(SELECT source AS repo, 'doc_' || doc_id || '.md' AS file, coalesce(text, '') || CASE WHEN doc_id % 34 = 0 THEN chr(10) || 'ghp_' || left(sha256(doc_id::VARCHAR), 36) WHEN doc_id % 51 = 0 THEN chr(10) || 'key AKIA' || upper(left(sha256(doc_id::VARCHAR), 16))
+FILES = """(SELECT source AS repo, 'doc_' || doc_id || '.md' AS file, coalesce(text, '') || CASE WHEN doc_id % 34 = 0 THEN chr(10) || 'ghp_' || left(sha256(doc_id::VARCHAR), 36) || chr(10) || 'again ghp_' || left(sha256(doc_id::VARCHAR), 36) || ' and ghp_' || left(sha256(doc_id::VARCHAR), 36) WHEN doc_id % 51 = 0 THEN chr(10) || 'key AKIA' || upper(left(sha256(doc_id::VARCHAR), 16))
     WHEN doc_id % 17 = 0 THEN chr(10) || 'sk_live_' || left(sha256(doc_id::VARCHAR), 24) ELSE '' END AS content FROM documents)"""
 STEPS = "list_transform(range(1, greatest(length(body), 2)), lambda i: ascii(substr(body, i + 1, 1)) - ascii(substr(body, i, 1)))"
-SECRETS = f"""(SELECT repo, rule, file, content, body FROM (
-    {" UNION ALL ".join(f"SELECT repo, {_quoted(r)} AS rule, file, content, unnest(list_distinct(regexp_extract_all(content, {_quoted(p)}, 1))) AS body FROM {FILES}" for r, p in SQL_RULES)}) s
+LINES = f"(SELECT repo, file, unnest(string_split(content, chr(10))) AS content, CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INT) AS line FROM {FILES})"
+SECRETS = f"""(SELECT repo, rule, file, line, body FROM (
+    {" UNION ALL ".join(f"SELECT repo, {_quoted(r)} AS rule, file, line, unnest(regexp_extract_all(content, {_quoted(p)}, 1)) AS body FROM {LINES}" for r, p in SQL_RULES)}) s
     WHERE NOT (rule = 'secrets.aws_secret_key' AND length(body) <> 40) AND NOT regexp_matches(body, '(?i)example|x{{6,}}|[*]{{4,}}|0{{12,}}|placeholder|changeme')
     AND NOT len(list_filter({STEPS}, lambda d: d IN (0, 1))) * 2 > greatest(length(body) - 1, 1)
     AND list_sum(list_transform(list_distinct(string_split(body, '')), lambda c: -((length(body) - length(replace(body, c, ''))) / length(body)::DOUBLE) * log2((length(body) - length(replace(body, c, ''))) / length(body)::DOUBLE))) >= 3.0)"""
@@ -52,7 +53,7 @@ def planted_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.secret_findings(_files(spark, sf_dir)).select("file", "rule").distinct()
 
 
-@query(f"SELECT repo, rule, 'error' AS severity, file, CAST(len(string_split(left(content, strpos(content, body)), chr(10))) AS INT) AS line FROM {SECRETS}")
+@query(f"SELECT repo, rule, 'error' AS severity, file, line FROM {SECRETS}")
 def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.secret_findings(_files(spark, sf_dir)).select("repo", "rule", "severity", "file", "line")
 

@@ -1,6 +1,7 @@
 """Coverage reports of several tools as rows of report, file, line and hits.
 
-reports: repo, report (its own path or name), text."""
+reports: repo, report (its own path or name), text; or, for formats of lines and XML, the frames of
+lines.read_lines with a repo beside them."""
 
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ def cov_istanbul(reports: DataFrame) -> DataFrame:
 
 def _tags(reports: DataFrame) -> DataFrame:
     """One row per XML tag, in order; a tag's text starts behind its bracket."""
-    return reports.select(*KEYS, F.posexplode(F.split("text", "<")).alias("pos", "line"))
+    return lines_of(reports, keys=KEYS, sep="<")
 
 
 def cov_jacoco(reports: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def cov_clover(reports: DataFrame) -> DataFrame:
 
 
 def cov_lcov(reports: DataFrame) -> DataFrame:
-    lines = carry(lines_of(reports.select(*KEYS, "text")), KEYS, file=found("line", "^SF:(.*?)\\s*$"))
+    lines = carry(lines_of(reports, keys=KEYS), KEYS, file=found("line", "^SF:(.*?)\\s*$"))
     da = lines.where(F.col("line").rlike(r"^DA:\d+,\d+"))
     return da.select(*KEYS, "file", F.regexp_extract("line", r"^DA:(\d+),", 1).cast("int").alias("line"), F.regexp_extract("line", r"^DA:\d+,(\d+)", 1).cast("bigint").alias("hits"))
 
@@ -63,7 +64,7 @@ def cov_lcov(reports: DataFrame) -> DataFrame:
 def cov_go(reports: DataFrame) -> DataFrame:
     """Blocks of Go cover profiles: file, start and end line, statements and count."""
     p = r"^(.+):(\d+)\.\d+,(\d+)\.\d+ (\d+) (\d+)\s*$"
-    rows = lines_of(reports.select(*KEYS, "text")).where(F.col("line").rlike(p) & ~F.col("line").startswith("mode:"))
+    rows = lines_of(reports, keys=KEYS).where(F.col("line").rlike(p) & ~F.col("line").startswith("mode:"))
     g = lambda i: F.regexp_extract("line", p, i)
     return rows.select(*KEYS, g(1).alias("file"), g(2).cast("int").alias("start_line"), g(3).cast("int").alias("end_line"), g(4).cast("bigint").alias("statements"), g(5).cast("bigint").alias("hits"))
 

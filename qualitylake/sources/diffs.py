@@ -4,11 +4,12 @@ patches: repo, patch (its number or name), text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import paths
 from .lines import carry, found, lines_of, running
 
 KEYS = ["repo", "patch"]
@@ -16,57 +17,93 @@ HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
 
 def parse_diffs(patches: DataFrame) -> DataFrame:
-    """repo, patch, path, deleted, hunk, pos, kind (context, added, removed), text and new_line of all hunk lines.
+    """repo, patch, path, deleted, hunk, hunk_start, pos, kind (context, added, removed), text and new_line of all hunk lines.
 
-    The path is the new one, or the old one of a deleted file."""
-    l = running(lines_of(patches.select(*KEYS, "text")), KEYS, hunk=F.col("line").rlike(HUNK), file=F.col("line").startswith("diff --git ") | (F.col("line").startswith("--- ") & ~F.col("line").startswith("--- a/ ")))
-    l = carry(l, [*KEYS, "file"], old=found("line", r"^--- a/(.*?)\t?$"), new=found("line", r"^\+\+\+ (?:b/)?(.*?)\t?$"), at=found("line", HUNK).cast("int"), of_file=F.when(F.col("line").rlike(HUNK), F.col("hunk")))
-    body = l.where(F.col("of_file").isNotNull() & ~F.col("line").rlike(HUNK) & F.col("line").rlike(r"^[ +\-]"))
-    kind = F.when(F.col("line").startswith("+"), "added").when(F.col("line").startswith("-"), "removed").otherwise("context")
+    The path is the new one, or the old one of a deleted file; hunk_start is the new line that the hunk's header names."""
+    line = F.col("line")
+    l = running(lines_of(patches, keys=KEYS), KEYS, hunk=line.rlike(HUNK), file=line.startswith("diff --git ") | (line.startswith("--- ") & ~line.startswith("--- a/ ")))
+    l = carry(l, [*KEYS, "file"], old=found("line", r"^--- a/(.*?)\t?$"), new=found("line", r"^\+\+\+ (?:b/)?(.*?)\t?$"), at=found("line", HUNK).cast("int"), of_file=F.when(line.rlike(HUNK), F.col("hunk")))
+    body = l.where(F.col("of_file").isNotNull() & ~line.rlike(HUNK) & line.rlike(r"^[ +\-]"))
+    kind = F.when(line.startswith("+"), "added").when(line.startswith("-"), "removed").otherwise("context")
+    body = running(body, [*KEYS, "file", "hunk"], kept=kind != "removed")
     deleted = F.col("new") == "/dev/null"
-    w = Window.partitionBy(*KEYS, "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum((kind != "removed").cast("int")).over(w), F.lit(0))
-    return body.select(*KEYS, F.when(deleted, F.col("old")).otherwise(F.col("new")).alias("path"), deleted.alias("deleted"), "hunk", "pos", kind.alias("kind"), F.substring(F.col("line"), 2, 1 << 30).alias("text"), F.when(kind != "removed", F.col("at") + before).alias("new_line"))
+    return body.select(*KEYS, F.when(deleted, F.col("old")).otherwise(F.col("new")).alias("path"), deleted.alias("deleted"), "hunk", F.col("at").alias("hunk_start"), "pos", kind.alias("kind"), F.substring(line, 2, 1 << 30).alias("text"), F.when(kind != "removed", F.col("at") + F.col("kept").cast("int") - 1).alias("new_line"))
 
 
-def changed_lines(patches: DataFrame) -> DataFrame:
-    """path and the sorted distinct new line numbers that hunk headers name, per file."""
-    l = running(lines_of(patches.select(*KEYS, "text")), KEYS, file=F.col("line").startswith("+++ "))
+def _hunks(patches: DataFrame) -> DataFrame:
+    """repo, path, first and last new line of each hunk of a file that stays; last is before first where none is left."""
+    l = running(lines_of(patches, keys=KEYS), KEYS, file=F.col("line").startswith("+++ "))
     l = carry(l, [*KEYS, "file"], path=found("line", r"^\+\+\+ (?:b/)?(.*?)\t?$")).where(F.col("line").rlike(HUNK) & (F.col("path") != "/dev/null"))
-    start, n = F.regexp_extract("line", HUNK, 1).cast("int"), F.regexp_extract("line", HUNK, 2)
-    count = F.when(n == "", F.lit(1)).otherwise(n.cast("int"))
-    each = l.select("repo", "path", F.when(count > 0, F.sequence(start, start + count - 1)).otherwise(F.array().cast("array<int>")).alias("ls"))
-    return each.groupBy("repo", "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ls")))).alias("changed_lines"))
+    n = F.regexp_extract("line", HUNK, 2)
+    first = F.regexp_extract("line", HUNK, 1).cast("int")
+    return l.select("repo", "path", first.alias("first"), (first + F.when(n == "", F.lit(1)).otherwise(n.cast("int")) - 1).alias("last"))
+
+
+def changed_ranges(patches: DataFrame) -> DataFrame:
+    """repo, path, first and last of the runs of new lines that hunk headers name: hunks that meet or touch are one."""
+    w = Window.partitionBy("repo", "path").orderBy("first", "last")
+    apart = F.coalesce(F.col("first") > F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    marked = _hunks(patches).where("last >= first").withColumn("apart", apart.cast("int"))
+    return marked.withColumn("n", F.sum("apart").over(w)).groupBy("repo", "path", "n").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("n")
+
+
+def changed_lines(patches: DataFrame) -> DataFrame:
+    """path and the sorted distinct new line numbers that hunk headers name, per file; none for a file that only loses
+    lines. For joins take `changed_ranges`, which has a row a run whatever its length."""
+    files = _hunks(patches).select("repo", "path").distinct()
+    runs = changed_ranges(patches).groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    numbers = F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))
+    return files.join(runs, ["repo", "path"], "left").select("repo", "path", F.coalesce(numbers, F.array().cast("array<int>")).alias("changed_lines"))
+
+
+# What marks test code, removed and added tests, and assertions in lines of a diff
+TEST_MARKS = ["#[test]", "#[tokio::test]", "mod tests", "fn test_"]
+REMOVED_TESTS = ["#[test]", "fn test_"]
+ASSERTIONS = ["assert_eq!", "assert_ne!", "assert_matches!", "assert!(", "debug_assert_eq!", "debug_assert_ne!", "debug_assert!("]
+#: What each kind of weakening says.
+WEAKENED = {
+    "test_file_deleted": "a test file went in a change of product code",
+    "test_removed": "a test went in a change of product code",
+    "ignore_added": "a test is ignored since a change of product code",
+    "should_panic_added": "a test may panic since a change of product code",
+    "assert_loosened": "an exact assertion gave way to a looser one in a change of product code",
+    "assertion_removed": "an assertion went in a change of product code",
+}
 
 
-ASSERT = r"\b(assert|assert_eq|assert_ne|debug_assert\w*)!"
-STRICT = r"\bassert_(eq|ne)!"
-LOOSE = r"\bassert!\s*\(.*(is_ok|is_some|is_err|is_none|contains|starts_with|>=|<=|matches!|true)"
+def _any_of(text: Column, parts: list[str]) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(p)) for p in parts])
+
+
+def is_test_rust(path: str | Column) -> Column:
+    """Whether a path is one of tests or benchmarks to the rules of weakening."""
+    p = F.col(path) if isinstance(path, str) else path
+    return p.startswith("tests/") | p.contains("/tests/") | p.endswith("_test.rs") | p.contains("/benches/")
 
 
 def weakening(diff_lines: DataFrame) -> DataFrame:
-    """Findings where a change to tests makes them weaker; only of patches that change product Rust too.
-
-    Per hunk: tests removed, assertions removed without any in return, strict ones replaced by loose ones. Per
-    line: ignore and should_panic attributes added. Per file: a test file deleted."""
-    is_rust = F.col("path").endswith(".rs")
-    d = diff_lines.where(is_rust).withColumn("is_test", paths.is_test_path("path"))
-    product = d.where(~F.col("is_test") & F.col("kind").isin("added", "removed")).select(*KEYS).distinct()
-    d = d.join(product, KEYS, "left_semi")
-    line = F.col("text")
-    add, rem = F.col("kind") == "added", F.col("kind") == "removed"
-    hunk = d.where(~F.col("deleted")).groupBy(*KEYS, "path", "hunk").agg(
-        F.count_if(rem & line.rlike(r"#\[(\w+::)?test\]")).alias("tests_gone"), F.count_if(add & line.rlike(r"#\[(\w+::)?test\]")).alias("tests_new"),
-        F.count_if(rem & line.rlike(ASSERT)).alias("gone"), F.count_if(add & line.rlike(ASSERT)).alias("new"),
-        F.bool_or(rem & line.rlike(STRICT)).alias("strict_gone"), F.bool_or(add & line.rlike(LOOSE)).alias("loose_new"), F.bool_or(add & line.rlike(STRICT)).alias("strict_new"),
-        F.min("new_line").alias("line"),
+    """Findings where a change to tests makes them weaker, of patches that change product Rust, too.
+
+    Files count that are tests by their path, or of which a hunk shows test code. A deleted one is one finding. Else
+    each hunk is read by itself: every removed line that opens a test, every added one that ignores a test or lets
+    it panic; an exact assertion that goes while a loose one, or one on contents, comes (both may be reported);
+    assertions that go without one in return. Findings stand at the line where the hunk starts."""
+    own = [*KEYS, "path"]
+    product = diff_lines.where(F.col("path").endswith(".rs") & ~is_test_rust("path")).select(*KEYS).distinct()
+    text, add, rem = F.col("text"), F.col("kind") == "added", F.col("kind") == "removed"
+    n = lambda *when: F.count_if(reduce(Column.__and__, when))
+    has = lambda *parts: _any_of(text, list(parts))
+    hunks = diff_lines.join(product, KEYS, "left_semi").groupBy(*own, "deleted", "hunk", "hunk_start").agg(
+        n(_any_of(text, TEST_MARKS)).alias("marks"), n(rem, _any_of(text, REMOVED_TESTS)).alias("test_removed"), n(add, has("#[ignore]")).alias("ignore_added"), n(add, has("#[should_panic")).alias("should_panic_added"),
+        n(rem, has("assert_eq!")).alias("exact"), n(add, has("assert!("), ~has("assert_eq!")).alias("loose"), n(add, has(".contains(", "contains(&")).alias("contents"),
+        n(rem, _any_of(text, ASSERTIONS)).alias("gone"), n(add, _any_of(text, ASSERTIONS)).alias("new"),
     )
-    kinds = F.filter(F.array(
-        F.when(F.col("tests_gone") > F.col("tests_new"), F.lit("test_removed")),
-        F.when(F.col("strict_gone") & F.col("loose_new") & ~F.col("strict_new"), F.lit("assert_loosened")),
-        F.when((F.col("gone") > 0) & (F.col("new") == 0) & (F.col("tests_gone") == F.col("tests_new")), F.lit("assertion_removed")),
-    ), lambda x: x.isNotNull())
-    by_hunk = hunk.select("repo", "path", "line", F.explode(kinds).alias("kind"))
-    by_line = d.where(add & ~F.col("deleted")).select("repo", "path", F.col("new_line").alias("line"), F.when(line.rlike(r"#\[ignore"), "ignore_added").when(line.rlike(r"#\[should_panic"), "should_panic_added").alias("kind")).where("kind is not null")
-    by_file = d.where("deleted and is_test").groupBy("repo", "path").agg(F.lit(1).alias("line"), F.lit("test_file_deleted").alias("kind"))
-    return by_hunk.unionByName(by_line).unionByName(by_file).select("repo", F.concat(F.lit("test_value."), "kind").alias("rule"), F.lit("warning").alias("severity"), F.col("path").alias("file"), "line")
+    touching = hunks.withColumn("touches", F.max(is_test_rust("path") | (F.col("marks") > 0)).over(Window.partitionBy(*own))).where("touches")
+    loosened = F.when(F.col("exact") > 0, (F.col("loose") > 0).cast("int") + (F.col("contents") > 0).cast("int")).otherwise(0)
+    lost = ((loosened == 0) & (F.col("gone") > 0) & (F.col("new") == 0)).cast("int")
+    # one row a kind with how often it stands there
+    times = F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("int").alias("n")) for k, v in (*((k, F.col(k)) for k in ("test_removed", "ignore_added", "should_panic_added")), ("assert_loosened", loosened), ("assertion_removed", lost))])
+    by_hunk = touching.where("not deleted").select("repo", "path", F.col("hunk_start").alias("line"), F.inline(times)).where("n > 0").select("repo", "path", "line", "kind", F.explode(F.array_repeat(F.lit(0), F.col("n")))).drop("col")
+    by_file = touching.where("deleted").select(*own).distinct().select("repo", "path", F.lit(1).alias("line"), F.lit("test_file_deleted").alias("kind"))
+    says = F.create_map(*[F.lit(x) for kv in WEAKENED.items() for x in kv])
+    return by_hunk.unionByName(by_file).select("repo", F.lit("test_value.weakening").alias("rule"), F.lit("test_value").alias("engine"), F.lit("warning").alias("severity"), F.col("path").alias("file"), "line", "kind", says[F.col("kind")].alias("message"))

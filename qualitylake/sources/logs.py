@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lines import found, lines_of, running
+from .lines import following, found, lines_of, running
 
 SPAN = "struct<file_name:string,line_start:int,column_start:int,line_end:int,column_end:int,is_primary:boolean>"
 
@@ -23,22 +23,22 @@ def lint_first_diagnostic(logs: DataFrame) -> DataFrame:
     """Of each linter log (repo, log, text) its first located error, else its first located warning."""
     head = r"^(error|warning)(?:\[[^\]]*\])?: (.*)$"
     at = r"^\s*--> (.+?):(\d+):(\d+)\s*$"
-    l = running(lines_of(logs.select("repo", "log", "text")), ["repo", "log"], block=F.col("line").rlike(head)).where("block > 0")
-    b = l.groupBy("repo", "log", "block").agg(F.min("pos").alias("pos"), F.min_by("line", "pos").alias("head"), F.min_by(F.when(F.col("line").rlike(at), F.col("line")), F.when(F.col("line").rlike(at), F.col("pos"))).alias("loc")).where("loc is not null")
-    d = b.select("repo", "log", "pos", F.regexp_extract("head", head, 1).alias("severity"), F.regexp_extract("head", head, 2).alias("message"), F.regexp_extract("loc", at, 1).alias("file"), F.regexp_extract("loc", at, 2).cast("int").alias("start_line"))
-    w = Window.partitionBy("repo", "log").orderBy(F.col("severity") != "error", "pos")
-    return d.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "pos")
+    l = running(lines_of(logs, keys=["repo", "log"]), ["repo", "log"], block=F.col("line").rlike(head)).where("block > 0")
+    place = F.struct("part", "pos")
+    b = l.groupBy("repo", "log", "block").agg(F.min_by("line", place).alias("head"), F.min_by(F.when(F.col("line").rlike(at), F.col("line")), F.when(F.col("line").rlike(at), place)).alias("loc")).where("loc is not null")
+    d = b.select("repo", "log", "block", F.regexp_extract("head", head, 1).alias("severity"), F.regexp_extract("head", head, 2).alias("message"), F.regexp_extract("loc", at, 1).alias("file"), F.regexp_extract("loc", at, 2).cast("int").alias("start_line"))
+    w = Window.partitionBy("repo", "log").orderBy(F.col("severity") != "error", "block")
+    return d.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "block")
 
 
 def test_failures(logs: DataFrame) -> DataFrame:
     """Failed tests of test logs (repo, log, text) with the place and text of their panic, if it was logged; logs
     that name no failed test give their panics."""
     keys = ["repo", "log"]
-    l = lines_of(logs.select(*keys, "text"))
-    after = F.lead("line").over(Window.partitionBy(*keys).orderBy("pos"))
+    l = following(lines_of(logs, keys=keys), keys, "detail")
     panic = r"^thread '([^']+)'.* panicked at (.+?):(\d+):(\d+):?\s*$"
-    panics = l.withColumn("detail", after).where(F.col("line").rlike(panic)).select(*keys, "pos", F.regexp_extract("line", panic, 1).alias("name"), F.regexp_extract("line", panic, 2).alias("file"), F.regexp_extract("line", panic, 3).cast("int").alias("start_line"), "detail")
-    first = panics.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "name").orderBy("pos"))).where("_n = 1").drop("_n", "pos")
+    panics = l.where(F.col("line").rlike(panic)).select(*keys, "pos", F.regexp_extract("line", panic, 1).alias("name"), F.regexp_extract("line", panic, 2).alias("file"), F.regexp_extract("line", panic, 3).cast("int").alias("start_line"), "detail", "part")
+    first = panics.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "name").orderBy("part", "pos"))).where("_n = 1").drop("_n", "part", "pos")
     names = l.select(*keys, found("line", r"^test (\S+) \.\.\. FAILED\s*$").alias("name")).where("name is not null").distinct()
     named = names.join(first, [*keys, "name"], "left")
     rest = first.join(names.select(*keys).distinct(), keys, "left_anti")

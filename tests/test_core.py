@@ -138,9 +138,31 @@ def test_incremental_roots_and_labels(spark):
 
 
 def test_test_value(spark):
-    m = spark.createDataFrame([("a", "ok", 1.0), ("b", "ok", 0.5), ("c", "failed", None)], "repo string, status string, score double")
-    w = spark.createDataFrame([("a", "ok", 2), ("b", "ok", 0), ("d", "ok", 0)], "repo string, status string, findings int")
-    assert {r["repo"]: r["status"] for r in coverage.test_value(m, w).collect()} == {"a": "weakened", "b": "survivors", "c": "failed", "d": "ok"}
+    m = spark.createDataFrame([("a", "ran", 1.0), ("b", "ran", 0.5), ("c", "failed", None), ("e", "skipped", None), ("f", "skipped", None), ("g", "failed", None)], "repo string, status string, score double")
+    w = spark.createDataFrame([("a", "ran", 2), ("b", "skipped", 0), ("d", "ran", 0), ("e", "skipped", None), ("g", "ran", 1)], "repo string, status string, findings int")
+    assert {r["repo"]: r["status"] for r in coverage.test_value(m, w).collect()} == {"a": "ran", "b": "partial", "c": "partial", "d": "partial", "e": "skipped", "f": "skipped", "g": "partial"}
+
+
+def test_gates_of_runs(spark):
+    f = spark.createDataFrame([("r", "1", "secrets", "error", "secrets.x"), ("r", "1", "sca", "warning", "sca.x"), ("r", "1", "lint", "warning", "engine.unavailable"), ("r", "2", "lint", "warning", "lint.failed"), ("r", "2", "html", "warning", "html.x"), ("r", "2", "links", "warning", "links.missing")], "repo string, run_id string, engine string, severity string, rule string")
+    runs = spark.createDataFrame([("r", "1"), ("r", "2"), ("r", "3")], "repo string, run_id string")
+    on = {"secrets": True, "sca": False, "html": False, "links": False, "lint": True}
+    gates = findings.count_gates(f, on, runs=runs, required=("lint",))
+    failed = {(r["run_id"], r["id"]): r["reason"] for r in gates.where("not pass").collect()}
+    late = " (advisory; does not fail the process)"
+    assert gates.count() == 15 and failed == {("1", "secrets"): "1 secrets", ("1", "sca"): "1 undeclared dependencies" + late, ("1", "lint"): "lint unavailable", ("2", "lint"): "lint failed", ("2", "links"): "1 missing files" + late}
+    assert {r["run_id"]: r["verdict_fails"] for r in findings.verdicts(gates).collect()} == {"1": True, "2": True, "3": False}
+    none = findings.verdicts(gates.limit(0), runs=runs).collect()
+    assert len(none) == 3 and not any(r["verdict_fails"] or r["exit_fails"] for r in none)
+
+
+def test_trend_of_many_runs(spark):
+    """A finding that comes and goes is new and resolved each time; one that stays is neither."""
+    row = "repo string, run_id string, rule string, file string, symbol string, message string, engine string, severity string"
+    rows = [("r", f"{n:03}", f"on{n % 3}", "a.py", None, "m", "tests", "error") for n in range(60)] * 2 + [("r", f"{n:03}", "stays", "a.py", None, "m", "tests", "error") for n in range(60)]
+    f = spark.createDataFrame(rows, row)
+    out = history.trend(findings.scores(f, f), f, ["correctness"]).collect()
+    assert len(out) == 59 and {(r["new"], r["resolved"]) for r in out} == {(1, 1)}
 
 
 def test_entries():

@@ -1,7 +1,9 @@
 """Readers and text jobs on small fixtures, with the rows that each must give."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,9 +125,82 @@ def test_diffs(spark):
     assert rows(d.select("path", "pos", "kind", "new_line", "deleted"), "pos")[:5] == [("src/lib.rs", 4, "context", 1, False), ("src/lib.rs", 5, "added", 2, False), ("src/lib.rs", 6, "removed", None, False), ("src/lib.rs", 7, "added", 3, False), ("tests/t.rs", 12, "context", 10, False)]
     assert rows(d.where("deleted").select("path").distinct()) == [("tests/old.rs",)]
     assert rows(diffs.changed_lines(patches)) == [("r", "src/lib.rs", [1, 2, 3]), ("r", "tests/t.rs", [10, 11, 12])]
-    kinds = [r[0] for r in rows(diffs.weakening(d).select("rule"))]
-    assert kinds == ["test_value.assert_loosened", "test_value.ignore_added", "test_value.test_file_deleted"]
+    kinds = [tuple(r) for r in rows(diffs.weakening(d).select("kind", "line"))]
+    assert kinds == [("assert_loosened", 10), ("ignore_added", 10), ("test_file_deleted", 1)]
     assert diffs.weakening(d.where("path <> 'src/lib.rs'")).count() == 0
+    assert rows(diffs.changed_ranges(patches)) == [("r", "src/lib.rs", 1, 3), ("r", "tests/t.rs", 10, 12)]
+
+
+def weak(spark, path, *lines, product="src/lib.rs", deleted=False):
+    """Kinds that a hunk over a file gives, in a patch that also changes a product file."""
+    text = f"diff --git a/{product} b/{product}\n--- a/{product}\n+++ b/{product}\n@@ -1 +1 @@\n-a\n+b\n"
+    text += f"diff --git a/{path} b/{path}\n--- a/{path}\n+++ {'/dev/null' if deleted else 'b/' + path}\n@@ -3,9 +4,9 @@ x\n" + "\n".join(lines) + "\n"
+    d = diffs.weakening(diffs.parse_diffs(spark.createDataFrame([("r", "p", text)], "repo string, patch string, text string")))
+    assert all(r["rule"] == "test_value.weakening" and r["line"] == (1 if deleted else 4) for r in d.collect())
+    return sorted(r["kind"] for r in d.collect())
+
+
+def test_weakening_rules(spark):
+    assert weak(spark, "tests/a.rs", "-#[test]", "-fn test_x() {", "+#[test]", "+fn test_y() {") == ["test_removed", "test_removed"]
+    assert weak(spark, "tests/a.rs", "-assert_eq!(a, b);", "+assert!(a.contains(b));") == ["assert_loosened", "assert_loosened"]
+    assert weak(spark, "tests/a.rs", "-assert_eq!(a, b);", "+assert_eq!(a, c);") == []
+    assert weak(spark, "tests/a.rs", "-assert_eq!(a, b);", "+let x = s.contains(&b);") == ["assert_loosened"]
+    assert weak(spark, "tests/a.rs", "-assert_matches!(a, B);", " x") == ["assertion_removed"]
+    assert weak(spark, "tests/a.rs", "-debug_assert_ne!(a, b);", "+#[ignore]", "+#[ignore]") == ["assertion_removed", "ignore_added", "ignore_added"]
+    assert weak(spark, "src/a.rs", "-debug_assert!(a);", " x") == []
+    assert weak(spark, "src/a.rs", " mod tests {", "-debug_assert!(a);") == ["assertion_removed"]
+    assert weak(spark, "benches/a.rs", "-assert!(a);") == [] and weak(spark, "x/benches/a.rs", "-assert!(a);") == ["assertion_removed"]
+    assert weak(spark, "a_test.rs", "-assert!(a);", deleted=True) == ["test_file_deleted"]
+    assert weak(spark, "tests/a.py", "-assert_eq!(a)", "-fn test_a", product="src/a.py") == []
+    assert weak(spark, "tests/a.rs", "-assert!(a);", product="tests/b.rs") == []
+
+
+def test_long_hunks_are_one_range(spark):
+    text = "--- a/x.rs\n+++ b/x.rs\n@@ -0,0 +1,1000000 @@\n+a\n@@ -0,0 +1000001,5 @@\n+b\n@@ -9 +2000000,0 @@\n@@ -9 +3000000 @@\n"
+    ranges = diffs.changed_ranges(spark.createDataFrame([("r", "p", text)], "repo string, patch string, text string"))
+    assert rows(ranges) == [("r", "x.rs", 1, 1000005), ("r", "x.rs", 3000000, 3000000)]
+    functions = spark.createDataFrame([("r", "x.rs", f"f{s}", s, e, 1) for s, e in ((1, 5), (700000, 800000), (1000005, 1000010), (1000006, 1000010), (2999990, 3000000), (3000001, 3000002), (2000000, 2000000))] + [("r", "new.rs", "g", 1, 2, 1), ("s", "x.rs", "f1", 1, 5, 1)], "repo string, file string, symbol string, start_line int, end_line int, cc int")
+    fresh = spark.createDataFrame([("r", "new.rs")], "repo string, path string")
+    assert [r[2] for r in rows(scope.changed_functions(functions, ranges, fresh))] == ["g", "f1", "f1000005", "f2999990", "f700000"]
+
+
+def test_scans_across_parts(spark, tmp_path, monkeypatch):
+    """Texts of many parts, and files in blocks, give what one task over the whole text gives."""
+    from qualitylake.sources import coverage_reports, lines
+
+    rng = random.Random(4)
+    body = ["TN:"]
+    for n in range(300):
+        if rng.random() < 0.1:
+            body.append(f"SF:src/f{n}.rs")
+        body += [f"DA:{k},{rng.randrange(3)}" for k in range(1, rng.randrange(2, 20))]
+    want, file = [], None
+    for l in body:
+        file = l[3:] if l.startswith("SF:") else file
+        if l.startswith("DA:"):
+            want.append((file, *map(int, l[3:].split(","))))
+    key = lambda r: (r[0] or "", *r[1:])
+    text = spark.createDataFrame([("r", "a", "\n".join(body)), ("r", "b", "SF:one\nDA:1,1\n"), ("r", None, None)], "repo string, report string, text string")
+    monkeypatch.setattr(lines, "PART", 7)
+    got = coverage_reports.cov_lcov(text).where("report = 'a'").select("file", "line", "hits")
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
+    counted = lines.running(lines.lines_of(text, keys=["report"]), ["report"], n=F.col("line").startswith("SF:"))
+    most = lines.highest(counted, ["report"], m=F.when(F.col("line").startswith("DA:"), F.col("pos")))
+    last = lines.following(most, ["report"], "next").where("report = 'a'").orderBy("pos").collect()
+    assert [r["n"] for r in last] == list(np.cumsum([l.startswith("SF:") for l in body])) and [r["next"] for r in last] == [*body[1:], None]
+    assert [r["m"] for r in last][-1] == max(i for i, l in enumerate(body) if l.startswith("DA:"))
+    (tmp_path / "x.info").write_text("\n".join(body))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        read = lines.read_lines(spark, f"file://{tmp_path}/x.info").withColumn("repo", F.lit("r"))
+        assert read.select("part").distinct().count() > 10
+        assert sorted((tuple(r) for r in coverage_reports.cov_lcov(read).select("file", "line", "hits").collect()), key=key) == sorted(want, key=key)
+        xml = "<coverage>" + "".join(f'<class name="c" filename="f{n}">' + "".join(f'<line number="{k}" hits="{n}"/>' for k in range(1, 9)) + "</class>" for n in range(90)) + "</coverage>"
+        (tmp_path / "x.xml").write_text(xml)
+        tags = lines.read_lines(spark, f"file://{tmp_path}/x.xml", "<").withColumn("repo", F.lit("r"))
+        assert sorted(tuple(r) for r in coverage_reports.cov_cobertura(tags).select("file", "line", "hits").collect()) == sorted((f"f{n}", k, n) for n in range(90) for k in range(1, 9))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_reports_round_trip(spark, tmp_path):
@@ -233,10 +308,22 @@ def test_generated_and_routes(spark):
 
 
 def test_packs(spark):
-    f = [("a", "Cargo.toml"), ("a", "src/m.rs"), ("b", "go.mod"), ("b", "package.json"), ("b", "x.go"), ("c", "go.mod"), ("c", "package.json"), ("d", "i.html"), ("e", "run.sh"), ("f", "README")]
-    df = spark.createDataFrame(f, "repo string, path string")
-    got = rows(scope.detect_packs(df, {"Cargo.toml": "rust", "go.mod": "go", "package.json": "node"}).select("repo", "pack"))
-    assert got == [("a", "rust"), ("b", "go"), ("c", "ambiguous"), ("d", "web"), ("e", "bash"), ("f", "unknown")]
+    def packs(*files):
+        df = spark.createDataFrame([("r", f) for f in files], "repo string, path string")
+        return {r["root"]: (r["pack"], r["markers"]) for r in scope.detect_packs(df).collect()}
+
+    assert packs("Cargo.toml", "src/m.rs") == {".": ("rust", "rust")}
+    assert packs("go.mod", "package.json", "x.go") == {".": ("go", "go,node")}
+    assert packs("go.mod", "package.json") == {".": ("ambiguous", "go,node")}
+    assert packs("go.mod", "package.json", "a.go", "b/c.ts") == {".": ("ambiguous", "go,node")}
+    assert packs("i.html") == {".": ("web", "")} and packs("docs/i.html") == {".": ("unknown", "")}
+    assert packs("run.sh") == packs("bin/run.bash") == packs("scripts/a.sh") == {".": ("bash", "")} and packs("x/run.sh", "README") == {".": ("unknown", "")}
+    assert packs("package.json", "run.sh") == {".": ("bash", "")} and packs("package.json", "run.sh", "a.mjs") == {".": ("node", "node")} and packs("package.json") == {".": ("node", "node")}
+    assert packs("App.CSPROJ", "a.cs") == {".": ("csharp", "csharp")} and packs("x/App.sln", "README") == {"x": ("csharp", "csharp"), ".": ("unknown", "")}
+    assert packs("Makefile", "a.c") == packs("Makefile", "src/a.cxx") == packs("CMakeLists.txt") == {".": ("cpp", "cpp")} and packs("Makefile", "a.py") == {".": ("unknown", "")}
+    nested = packs("Cargo.toml", "src/m.rs", "web/package.json", "web/a/b.ts", "web/a/go.mod", "web/a/c.go", "tools/Makefile", "tools/x.py", "lib/Makefile", "lib/deep/x.cc")
+    assert nested == {".": ("rust", "rust"), "web": ("node", "node"), "web/a": ("go", "go"), "lib": ("cpp", "cpp")}
+    assert scope.detect_packs(spark.createDataFrame([], "repo string, path string")).count() == 0
 
 
 def test_attribution(spark):
@@ -267,6 +354,19 @@ def test_incremental_and_stream(spark, tmp_path):
     assert [r["file"] for r in spark.read.parquet(f"{at}/found").collect()] == ["b"]
 
 
+def test_stream_state(spark, tmp_path):
+    """Clean files are scanned once, others until they are clean; repeats in a batch and late ones are met by the state."""
+    shape, at = "repo string, path string, content string", f"file://{tmp_path}"
+    scan = lambda df: df.where("content like 'bad%'").select("repo", F.col("path").alias("file"))
+    stream = lambda: spark.readStream.schema(shape).parquet(f"{at}/in")
+    for part in ([("r", "a", "clean"), ("r", "b", "bad"), ("r", "b", "bad")], [("r", "a", "clean"), ("r", "b", "bad"), ("r", "c", "good")], [("r", "b", "fixed"), ("r", "a", "bad now"), ("r", "d", None)], [("r", "b", "bad"), ("r", "a", "clean"), ("r", "d", None)]):
+        spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        scan_stream(stream(), scan, f"{at}/found", f"{at}/clean", f"{at}/check", once=True).awaitTermination(60)
+    read = lambda what, name: sorted((r["batch"], r[name]) for r in spark.read.parquet(f"{at}/{what}").collect())
+    assert read("found", "file") == [(0, "b"), (1, "b"), (2, "a"), (3, "b")]
+    assert read("clean", "path") == [(0, "a"), (1, "c"), (2, "b"), (2, "d")]
+
+
 def test_tickets(spark):
     f = spark.createDataFrame([("r", "1", "a", "x.rs", "s", "m", "e", "error", 3, None), ("r", "1", "b", "x.rs", "s", "m", "e", "error", None, "do"), ("r", "1", "b", "../x", None, "m", "e", "error", 1, None)], "repo string, run_id string, rule string, file string, symbol string, message string, engine string, severity string, start_line int, suggested_action string")
     groups = findings.ticket_groups(f)
