@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.code import test_functions
 from ..sources.lines import lines_of
 
 #: Rule, pattern and the group that holds the secret's body. Reconstructed from documented token formats.
@@ -83,8 +84,11 @@ def spec_gaps(specs: DataFrame, files: DataFrame, pub_items: DataFrame) -> DataF
 
 
 def targeted_tests(test_files: DataFrame, symbols: DataFrame, most: int = 8, least: int = 3) -> DataFrame:
-    """Per repo the tests (repo, path, content, tests ARRAY) of files that mention a changed symbol's last segment;
-    more than `most` mean the full suite, an empty list."""
+    """Per repo the tests of files (repo, path, content) that mention a changed symbol's last segment; more than `most`
+    mean the full suite, an empty list. The tests are those that the files hold, or those of a column `tests`, an array."""
+    if "tests" not in test_files.columns:
+        held = test_functions(test_files).groupBy("repo", F.col("file").alias("path")).agg(F.collect_set("symbol").alias("tests"))
+        test_files = test_files.join(held, ["repo", "path"])
     last = symbols.select("repo", F.element_at(F.split("symbol", "::"), -1).alias("word")).where(F.length("word") >= least).distinct()
     words = test_files.select("repo", "path", "tests", F.explode(F.array_distinct(F.split("content", r"\W+"))).alias("word"))
     hit = words.join(last, ["repo", "word"], "left_semi").select("repo", F.explode("tests").alias("test")).distinct()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..catalog import query
 from ..functions import scoring
+from ..operators import text
 from ..sources import code, coverage_reports, diffs, logs
 from .adapters import view
 
@@ -260,6 +262,58 @@ def declared_in_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.declared_deps(m.select("repo", F.concat(F.lit("d"), n, F.lit("/"), name).alias("path"), text.alias("content")))
 
 
+def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Rust test file per order, with attributes that name a test and some that name none."""
+    m = view(spark, sf_dir, "v_mutants")
+    texts = [
+        "#[test]\nfn t_%d() { run_%d(); }\n",
+        "mod tests {\n    #[test]\n    #[ignore]\n\n    // why\n    fn t_%d() {\n        run_%d()\n    }\n}\n",
+        "#[test]\n\n\n\n\nfn late_%d() { run_%d() }\n",
+        "#[test]\nlet x = 1;\nfn no() {}\n#[test(threads = 2)]\nfn t_%d() { run_%d() }\n#[test]\npub fn hidden() {}\n",
+    ]
+    text = F.element_at(F.array(*[F.format_string(t, "pos", "pos") for t in texts]), (F.col("pos") % 4 + 1).cast("int"))
+    return m.select("repo", "pos", F.concat(F.lit("tests/o"), F.col("pos").cast("string"), F.lit(".rs")).alias("path"), text.alias("content"))
+
+
+@query("SELECT repo, 'tests/o' || pos || '.rs' AS file, 't_' || pos AS symbol, CAST(CASE pos % 4 WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 5 END AS INT) AS start_line FROM v_mutants WHERE pos % 4 <> 2", "v_mutants")
+def test_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.test_functions(_tests(spark, sf_dir))
+
+
+@query(
+    """SELECT repo, count(*) > 8 AS every, CASE WHEN count(*) > 8 THEN '' ELSE string_agg('t_' || pos, ',' ORDER BY 't_' || pos) END AS tests FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo ORDER BY pos) AS n FROM v_mutants WHERE pos % 4 <> 2 AND summary <> 'Timeout') WHERE n <= CASE WHEN repo = 'r3' THEN 9 ELSE 8 END GROUP BY repo""",
+    "v_mutants",
+)
+def targeted_rust_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests that the files themselves hold, for the functions that the first eight or nine orders of a repository changed."""
+    files = _tests(spark, sf_dir)
+    w = Window.partitionBy("repo").orderBy("pos")
+    first = view(spark, sf_dir, "v_mutants").where("pos % 4 <> 2 and summary <> 'Timeout'").withColumn("n", F.row_number().over(w)).where(F.col("n") <= F.when(F.col("repo") == "r3", 9).otherwise(8))
+    out = text.targeted_tests(files.drop("pos"), first.select("repo", F.format_string("m::run_%d", "pos").alias("symbol")))
+    return out.select("repo", (F.size("tests") == 0).alias("every"), F.array_join("tests", ",").alias("tests"))
+
+
+@query(
+    """SELECT repo, 'src/o' || pos || CASE k WHEN 0 THEN '.rs' WHEN 1 THEN '.go' WHEN 2 THEN '.java' WHEN 3 THEN '.php' ELSE '.cpp' END AS file, CASE k WHEN 4 THEN 'f_' || pos WHEN 1 THEN 'F' || pos ELSE 'f' || pos END AS symbol,
+    CAST(CASE k WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 1 END AS INT) AS start_line, CAST(CASE k WHEN 0 THEN 6 WHEN 1 THEN 6 WHEN 2 THEN 9 WHEN 3 THEN 11 ELSE 6 END AS INT) AS end_line, CAST(CASE k WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 4 END AS INT) AS cc FROM (SELECT *, pos % 5 AS k FROM v_mutants)""",
+    "v_mutants",
+)
+def brace_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file per order in Rust, Go, Java, PHP or C++, with braces and decisions in texts, characters and comments."""
+    texts = [
+        "pub fn f%d<'a>(x: &'a str) -> &'static str {\n    if x == \"if {\" { /* } /* if */ } */ }\n    let c = '{'; let q = '\\''; if c != q {}\n    let r = r#\"\" } if \"#;\n    match r { _ if c == 'x' => x, _ => \"\\u{7d}\" }\n}\n",
+        "func (t *T) F%d(n int) int {\n\ts := `if {\n }`\n\tif n > 1 && s != \"{\" { // {\n\t\treturn '}' }\n\treturn 2 }\n",
+        'class A {\n  public int f%d(int n) {\n    String s = """\n      if (a) { "x"\n      """;\n    if (n > 1) { return \'{\'; }\n    for (;;) { /* { */ }\n    // }\n  }\n}\n',
+        "<?php\nfunction f%d($n) {\n  # if {\n  $s = <<<END\n if { \" '\n END;\n  $t = 'a\n}';\n  foreach ($n as $x) { while ($x) { } }\n  if ($t) { } #[Attr]\n}\n",
+        "static int f_%d(int n) {\n  int k = 1'000'000;\n  auto s = R\"x(if { )\" )x\";\n  if (n > k || n == '{') { return 1; }\n  while (n) { /* { */ n--; }\n}\n",
+    ]
+    k = (F.col("pos") % 5 + 1).cast("int")
+    m = view(spark, sf_dir, "v_mutants")
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".rs", ".go", ".java", ".php", ".cpp")]), k)
+    return code.functions(m.select("repo", F.concat(F.lit("src/o"), F.col("pos").cast("string"), ending).alias("path"), F.element_at(F.array(*[F.format_string(t, "pos") for t in texts]), k).alias("content")))
+
+
 LINEAR = "(CASE WHEN v / 255.0::DOUBLE <= 0.04045 THEN v / 255.0::DOUBLE / 12.92 ELSE pow((v / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END)"
 
 

@@ -24,15 +24,47 @@ _HEADERS = {
 _C_LIKE = r"^\s*(?!(?:if|for|while|switch|catch|return|else|do|new|throw)\b)(?:[\w:<>,\[\]*&~?]+\s+)+[*&]*(~?\w+(?:::~?\w+)*)\s*\([^;{}]*\)\s*(?:const\s*)?(?:throws\s+[\w.,\s]+)?\{?\s*$"
 
 
-def _plain(code: str) -> str:
-    """Comments and strings blanked, line ends kept."""
-    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    return re.sub(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", blank, code, flags=re.DOTALL)
+_BLOCK, _LINE, _DOUBLE = r"/\*.*?\*/", r"//[^\n]*", r'"(?:\\.|[^"\\])*"'
+_QUOTED = r"'(?:\\.|[^'\\\n])*'"
+#: What holds no code, by language, in the order in which a place is tried: comments, texts and characters.
+_NO_CODE = {
+    # a quote before a name without one behind is a lifetime and stays
+    "rust": [_LINE, r"/\*", r'\b(?:br|cr|r)(#*)".*?"\1', _DOUBLE, r"'(?:\\(?:u\{[^}']*\}|x..|.)|[^\\'\n])'"],
+    "go": [_LINE, _BLOCK, _DOUBLE, r"`[^`]*`", _QUOTED],
+    "java": [_LINE, _BLOCK, r'""".*?"""', _DOUBLE, _QUOTED],
+    "php": [_LINE, r"#(?!\[)[^\n]*", _BLOCK, r"<<<\s*([\"']?)(\w+)\1\n.*?\n\s*\2\b", _DOUBLE, r"'(?:\\.|[^'\\])*'"],
+    "node": [_LINE, _BLOCK, _DOUBLE, _QUOTED, r"`(?:\\.|[^`\\])*`"],
+}
+#: C and its kin: a quote inside a number parts its digits.
+_NO_CODE_C = [_LINE, _BLOCK, r'\bu?8?[LU]?R"([^()\s\\]*)\(.*?\)\1"', _DOUBLE, r"(?<![0-9a-fA-F])'(?:\\.|[^'\\\n])*'"]
+_LEXERS = {k: re.compile("|".join(f"(?:{p})" for p in v), re.DOTALL) for k, v in {**{k: v for k, v in _NO_CODE.items() if k != "php"}, "": _NO_CODE_C}.items()}
+# the groups of a heredoc stand in the whole pattern
+_LEXERS["php"] = re.compile("|".join(_NO_CODE["php"]), re.DOTALL)
+
+
+def _plain(code: str, language: str) -> str:
+    """Comments, texts and characters blanked, line ends kept."""
+    lexer, out, at = _LEXERS.get(language, _LEXERS[""]), [], 0
+    while m := lexer.search(code, at):
+        end = m.end()
+        if m[0] == "/*":
+            # comments of Rust may hold others; one that stays open runs to the end
+            depth = 0
+            for x in re.compile(r"/\*|\*/").finditer(code, m.start()):
+                depth += 1 if x[0] == "/*" else -1
+                if not depth:
+                    end = x.end()
+                    break
+            else:
+                end = len(code)
+        out += [code[at : m.start()], re.sub(r"[^\n]", " ", code[m.start() : end])]
+        at = end
+    return "".join([*out, code[at:]])
 
 
 def brace_functions(code: str, language: str) -> list[tuple[str, int, int, int]]:
     """(symbol, first line, last line, complexity) of functions with a body in braces."""
-    lines = _plain(code).split("\n")
+    lines = _plain(code, language).split("\n")
     header = re.compile(_HEADERS.get(language, _C_LIKE))
     out, open_at, depth = [], [], 0
     for n, line in enumerate(lines, 1):
@@ -144,6 +176,18 @@ def shell_functions(files: DataFrame) -> DataFrame:
     return g.select(*keys, "symbol", "start_line", "end_line", "cc")
 
 
+def test_functions(files: DataFrame) -> DataFrame:
+    """repo, file, symbol and start_line of the test functions of Rust files (repo, path, content): the `fn` in the four
+    lines behind a test attribute, with nothing but blank lines, attributes and comments before it."""
+    rust = files.where(F.col("path").endswith(".rs") & F.contains("content", F.lit("#[test"))).select("repo", F.col("path").alias("file"), F.transform(F.split("content", "\r?\n"), lambda x: F.trim(x)).alias("lines"))
+    marked = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (F.element_at("lines", i) == "#[test]") | F.element_at("lines", i).startswith("#[test("))
+    each = rust.select("repo", "file", "lines", F.explode(marked).alias("at"))
+    behind = F.transform(F.slice("lines", F.col("at") + 1, F.lit(4)), lambda x, i: F.struct(x.alias("line"), (i + F.col("at") + 1).alias("n")))
+    first = F.get(F.filter(behind, lambda x: (x["line"] != "") & ~x["line"].startswith("#") & ~x["line"].startswith("//")), F.lit(0))
+    named = each.select("repo", "file", first.alias("x")).select("repo", "file", found("x.line", r"^fn ([A-Za-z0-9_]+)").alias("symbol"), F.col("x.n").cast("int").alias("start_line"))
+    return named.where("symbol is not null")
+
+
 def script_functions(scripts: DataFrame) -> DataFrame:
     """Functions of inline scripts (repo, path, line, body) at their lines of the page."""
     files = scripts.select("repo", F.concat_ws("#", "path", F.col("line").cast("string"), F.lit("x.js")).alias("path"), F.col("body").alias("content"))

@@ -377,3 +377,36 @@ def test_tickets(spark):
     for tickets, want in (([("t", False, ["x"], [])], "create"), ([("t", False, mark, [(prints[0],)])], "post"), ([("t", False, mark, [(p,) for p in prints])], "unchanged"), ([("t", True, mark, [])], "archived"), ([("t", False, mark, []), ("u", False, mark, [])], "error")):
         assert findings.reconcile(groups, ticket(*tickets)).first()["action"] == want
     assert findings.ticket_comments(f, 60).select(F.max(F.octet_length("body"))).first()[0] <= 60
+
+
+@pytest.mark.parametrize(
+    "language,source,want",
+    [
+        ("rust", "fn m(x: &'static str) { if a { } let c = 'x'; if b {} }", [("m", 1, 1, 3)]),
+        ("rust", "/* a /* b */ fn no() {} */\nfn f() { let s = r##\"\"# } if \"##; g('\"'); if x { } }", [("f", 2, 2, 2)]),
+        ("rust", "fn open() {\n  /* never closed }\n}", []),
+        ("go", "func F() {\n\ts := `a\n}`\n\tr := '{'\n}", [("F", 1, 5, 1)]),
+        ("php", "<?php\nfunction f() {\n  $x = <<<'E'\n  }\n  E;\n  if ($x) { }\n}", [("f", 2, 7, 2)]),
+        ("node", "function f(a) {\n  const s = `{ ${a} if`;\n  return a ? 1 : 2;\n}", [("f", 1, 4, 2)]),
+        ("java", "class A {\n int f() {\n  return \"\"\"\n } if\n \"\"\".length();\n }\n}", [("f", 2, 6, 1)]),
+        ("c", "int f(int n) {\n  return 1'0 + '}' + n;\n}", [("f", 1, 3, 1)]),
+    ],
+)
+def test_braces_outside_of_code(language, source, want):
+    assert code.brace_functions(source, language) == want
+
+
+def test_discovered_tests(spark):
+    content = "#[test]\nfn a_1() {}\n  #[test]\n#[x]\n\n// y\nfn b() {}\n#[test]\n\n\n\n\nfn late() {}\n#[test]\nasync fn c() {}\n#[test(x)]\nfn d<T>() {}\n#[tested]\nfn e() {}\n#[test]"
+    df = spark.createDataFrame([("r", "t.rs", content), ("r", "t.py", "#[test]\nfn x() {}"), ("r", "u.rs", None)], "repo string, path string, content string")
+    assert rows(code.test_functions(df).select("symbol", "start_line"), "start_line") == [("a_1", 2), ("b", 7), ("d", 17)]
+    symbols = spark.createDataFrame([("r", "m::a_1")], "repo string, symbol string")
+    assert rows(text.targeted_tests(df, symbols)) == [("r", ["a_1", "b", "d"])]
+
+
+def test_every_place_of_a_secret(spark):
+    key, begin = "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8", "-----BEGIN RSA PRIVATE " + "KEY-----"
+    body = "MIIEowIBAAKCAQEA0Z3VS5J4Ab3kQm9ZnR4pLx7wMIIEowIBAAKCAQEA0Z3VS5J4Ab3kQm9Z"
+    content = f"{key}\nx\n{key} {key}\n{begin}\n{body}\ny\n{begin}\n{body}\n"
+    found = text.secret_findings(spark.createDataFrame([("r", "f", content)], "repo string, path string, content string"))
+    assert rows(found.select("line", "rule")) == [(1, "secrets.github_token"), (3, "secrets.github_token"), (3, "secrets.github_token"), (4, "secrets.private_key"), (7, "secrets.private_key")]
