@@ -7,7 +7,8 @@ rows lie in blocks of their cell, each block with a kd-tree of its own. A query
 cell, then the blocks of all cells that its test can't exclude. In a block it takes the leaves from near to far,
 verifies the points that the test can't exclude by their true inner products, and stops when the next leaf is so
 far in the projection that, for a point better than the k-th best so far, so large a ratio has a chance below
-1 - `confidence`. The k best of the sample are candidates themselves and start the test.
+1 - `confidence`. A sample of at most a quarter of the rows gives the score that the test starts with, and no results:
+all that is returned was found by the index, by either of a query's two searches.
 
 Every row is indexed. Vectors that take no part: see vectors.usable, and zero vectors. Ties go to the smaller
 vec_id. Scores are sums over the original components in order, the same wherever a pair is met; components so large
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import best, matrix, ranked, usable
+from .vectors import matrix, ranked, usable
 
 RESULT = "query_id long, rank int, vec_id long, score double"
 
@@ -161,7 +162,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 6, confi
     unit = 2.0 ** -max(-1000, min(1000, math.frexp(largest)[1]))  # searches see components of at most 1
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x * unit) * (x * unit))
     n, longest = rows.agg(F.count("*"), F.max(norm)).first()
-    seen = rows.orderBy(F.xxhash64("vec_id")).limit(sample).collect()  # `sample` rows at most
+    seen = rows.orderBy(F.xxhash64("vec_id")).limit(max(1, min(sample, n // 4))).collect()  # `sample` rows at most
     seen_ids, seen_x = np.array([r["vec_id"] for r in seen]), np.array([r["embedding"] for r in seen], float)
     onto = np.random.default_rng(seed).standard_normal((dim + 1, m))
     stop = chi_square_quantile(confidence, m)
@@ -205,17 +206,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 6, confi
         kth = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(q), -np.inf)
         return pd.DataFrame({"cell": g.cell.iloc[:1], "block": np.zeros(1, "i4"), "q_ids": [ids.astype("<i8").tobytes()], "q_rows": [q.tobytes()], "kth": [kth.tobytes()]})
 
-    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each query's k best of the sample."""
-        for b in batches:
-            for at in range(0, len(b), 256):
-                ids, q = b.vec_id.to_numpy()[at : at + 256], matrix(b.embedding[at : at + 256], dim)
-                scores = (q * unit) @ share.value.T
-                scores[ids[:, None] == seen_ids[None, :]] = -np.inf
-                hits = [best(row, seen_ids, k) for row in scores]
-                i, j = np.repeat(np.arange(len(q)), [len(h) for h in hits]), np.concatenate(hits)
-                yield pd.DataFrame({"query_id": ids[i], "vec_id": seen_ids[j], "score": pair_scores(q[i], seen_x[j])})
-
     asked = dealt.where("asked").withColumn("group", F.pmod(F.xxhash64(F.lit(1), "vec_id"), per_cell(groups_of)))
     grouped = asked.groupBy("cell", "group").applyInPandas(group, "cell int, block int, q_ids binary, q_rows binary, kth binary")
 
@@ -234,9 +224,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 6, confi
                 yield r, q_ids, q, ids, x, search(tree, x * unit, ids, longest + (u * u).sum(axis=1), u, q_ids, u @ onto[:-1], np.frombuffer(r.kth), k, stop)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Groups with the k-th best scores that a block of their cell gives."""
-        for r, *_, (_, _, kth, _) in searched(batches):
-            yield pd.DataFrame({"q_ids": [r.q_ids], "q_rows": [r.q_rows], "kth": [kth.tobytes()]})
+        """Groups with the k-th best scores that a block of their cell gives, and what was found there."""
+        for r, q_ids, q, ids, x, (at, places, kth, _) in searched(batches):
+            hits = (q_ids[at].astype("<i8"), ids[places].astype("<i8"), pair_scores(q[at], x[places]).astype("<f8"))
+            yield pd.DataFrame({"q_ids": [r.q_ids], "q_rows": [r.q_rows], "kth": [kth.tobytes()], **{c: [v.tobytes()] for c, v in zip(("query_id", "vec_id", "score"), hits)}})
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What the first blocks gave: the test with a higher score to reach may pass over some of it."""
+        for b in batches:
+            for r in b.itertuples(index=False):
+                yield pd.DataFrame({"query_id": np.frombuffer(r.query_id, "<i8"), "vec_id": np.frombuffer(r.vec_id, "<i8"), "score": np.frombuffer(r.score, "<f8")})
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Queries for the blocks of each cell that their test can't exclude."""
@@ -254,8 +251,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, m: int = 6, confi
             yield pd.DataFrame({"query_id": q_ids[at], "vec_id": ids[places], "score": pair_scores(q[at], x[places])})
 
     keys = ["cell", "block"]
-    started = materialize(grouped.join(blocks, keys).sortWithinPartitions(*keys).mapInPandas(first, "q_ids binary, q_rows binary, kth binary"), "queries")
-    sent = started.mapInPandas(route, "cell int, block int, q_ids binary, q_rows binary, kth binary")
+    started = materialize(grouped.join(blocks, keys).sortWithinPartitions(*keys).mapInPandas(first, "q_ids binary, q_rows binary, kth binary, query_id binary, vec_id binary, score binary"), "queries")
+    sent = started.select("q_ids", "q_rows", "kth").mapInPandas(route, "cell int, block int, q_ids binary, q_rows binary, kth binary")
     found = sent.join(blocks, keys).sortWithinPartitions(*keys).mapInPandas(solve, "query_id long, vec_id long, score double")
-    own = placed.where("asked").select("vec_id", "embedding").mapInPandas(sampled, "query_id long, vec_id long, score double")
+    own = started.select("query_id", "vec_id", "score").mapInPandas(met, "query_id long, vec_id long, score double")
     return ranked(found.unionByName(own).dropDuplicates(["query_id", "vec_id"]), k)
