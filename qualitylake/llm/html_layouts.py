@@ -66,6 +66,18 @@ LAYOUTS = [
     "<p>x1</p><p>x1</p><p>x2</p>",
     "<div>x1</div><p>x2</p>",
     "<aside><article><p>x25</p></article><article><p>x31</p></article></aside><article><h1>m8</h1><p>m25</p><p>m31</p></article>",
+    # nothing behind the main text
+    f"<nav>{_NAV}</nav><article><h1>m5</h1><p>m40</p><p>m3</p></article>",
+    "<div class=ad>x7</div><article><h1>m3</h1><p>m30</p><p>m22</p><p>m2</p></article>",
+    "<article><h1>m6</h1><p>m45</p><ul><li><a href=1>m4</a></li><li><a href=2>m5</a></li><li><a href=3>m3</a></li></ul></article>",
+    f"<nav>{_NAV}</nav><main><p>m33</p><ul><li><a href=1>m2</a></li><li><a href=2>m6</a></li></ul></main>",
+    "<article><h1>m4</h1><p>m28</p><pre>m9</pre></article>",
+    "<article><p>m50</p><pre>m3</pre></article>",
+    "<main><h1>m5</h1><p>m37</p><h2>m2</h2><pre>m20</pre><p>m4</p></main>",
+    f"<div>{_NAV}</div><article><p>m26</p><p>m1</p></article>",
+    "<div><h1>m1</h1><p>m4</p></div>",
+    "<div><h1>m3</h1><p>m5</p></div>",
+    "<body><h1>m2</h1><p>m6</p><p>m3</p></body>",
 ]
 
 

@@ -46,7 +46,7 @@ ENCLOSING = AREAS | frozenset("form fieldset div section article main header ul
 _NAMED = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 #: Words in class, id or role names of areas around the main text.
 _AROUND = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|widget|nav|navbar|navigation|menu|breadcrumbs?|toolbar|topbar|footer|comments?|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|share|sharing|social|related|newsletter|subscribe|signup|login|search|pagination|pager|copyright|disclaimer|contentinfo|complementary)(?![a-z])"
+    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|widget|nav|navbar|navigation|menu|breadcrumbs?|toolbar|topbar|footer|comments?(?:list|area|form|section|thread|body|box|wrap)?|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|share|sharing|social|related|newsletter|subscribe|signup|login|search|pagination|pager|copyright|disclaimer|contentinfo|complementary)(?![a-z])"
 )
 #: Names of page heads, which are areas outside of articles only; headings in them may be the article's.
 _HEADER = re.compile(r"(?:^|[^a-z])(?:header|masthead)(?![a-z])")
@@ -54,13 +54,19 @@ _MAIN = re.compile(r"(?:^|[^a-z])(?:article|main|post-?body|entry-?content|story
 #: Names of layout containers that tell which areas a page has, not that they are one.
 _LAYOUT = re.compile(r"^(?:with|has|no|without)[-_]|[-_](?:open|opened|closed|enabled|disabled|visible|hidden|free)$|(?:content|main|layout).*[-_]wrap(?:per)?$")
 #: Areas that hold articles which are not the main text.
-_OTHERS = re.compile(r"(?:^|[^a-z])(?:comments?|respond|disqus|related|widget|promo\w*|sponsor\w*)(?![a-z])")
+_OTHERS = re.compile(r"(?:^|[^a-z])(?:comments?(?:list|area|form|section|thread|body|box|wrap)?|respond|disqus|related|widget|promo\w*|sponsor\w*)(?![a-z])")
+#: Names of areas that hold links and fields, not prose.
+_FIELDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs toolbar topbar search login signup pagination pager share sharing social".split())
+#: Areas that hold prose of readers or advertisers, whatever else is in their name.
+_FOREIGN = re.compile(r"(?:^|[^a-z])(?:comments?(?:list|area|form|section|thread|body|box|wrap)?|respond|disqus|promo\w*|sponsor\w*|ads?|advert\w*)(?![a-z])")
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "long_before", "long_after", "heading", "article", "around")
 #: How many of them are the method's own; the others are hints.
 TEXTUAL = 8
 #: What counts as a long block, and how far away it is looked for.
 LONG, LINKED, FAR = 15, 0.3, 9
+#: The level of an area inside of an article that its name alone makes, and not firmly; see soft.
+SOFT = 1.5
 
 
 def area(named: str) -> int:
@@ -77,6 +83,13 @@ def area(named: str) -> int:
     return level
 
 
+def soft(named: str) -> bool:
+    """Whether names speak of areas only in part, or of areas that hold no prose: inside of an article that is no
+    reason against a long block with few links."""
+    names = [n for n in named.split() if _AROUND.search(n) and not _LAYOUT.search(n)]
+    return all(n in _FIELDS or (_AROUND.search(n)[0] != n and not _FOREIGN.search(n)) for n in names)
+
+
 def ends(page: str) -> dict[int, int]:
     """Where each dropped element that is closed starts, and where its end tag ends."""
     found: dict[int, int] = {}
@@ -97,7 +110,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     out: list[tuple[str, int, float, int, int, int, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    open_tags: list[tuple[str, int, int, int]] = []  # name, inside an article, inside an area around it (see area), form
+    open_tags: list[tuple[str, int, float, int]] = []  # name, inside an article, inside an area around it (see area), form
     in_link, heading, article, around, form, forms = False, 0, 0, 0, 0, 0
 
     def close() -> None:
@@ -106,7 +119,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if text:
                 n = text.count(" ") + 1
                 k = len(" ".join(linked).split())
-                out.append((text, n, min(1.0, k / n), heading, article, int(around > heading), form))
+                beside = around > heading and not (around == SOFT and n >= LONG and k < LINKED * n)
+                out.append((text, n, min(1.0, k / n), heading, article, int(beside), form))
             parts.clear()
             linked.clear()
 
@@ -159,6 +173,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                 own = 3
             elif own == 1 and article:
                 own = 0
+            elif own > 1 and article and soft(named):
+                own = SOFT
             elif main and not own and (around < 3 or name == "main"):
                 around = 0
             if name == "form":

@@ -300,6 +300,16 @@ def test_nearest_recall_and_scores(spark):
     assert ann.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_nearest_is_found_by_the_index(spark):
+    """With a sample as large as allowed the result has all its rows, though the sample is at most a quarter of them."""
+    r = np.random.default_rng(9)
+    x = r.standard_normal((900, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.nearest(df, F.col("vec_id") % 30 == 0, k=20, block=200).collect()
+    assert len(rows) == 600 and check_nearest(rows, x, range(0, 900, 30), 20) >= 0.9
+
+
 def test_nearest_ties_repeats_nulls_and_huge_norms(spark):
     r = np.random.default_rng(6)
     x = r.standard_normal((200, 6)).round(2)
@@ -565,6 +575,29 @@ def test_html_text_features_decide(page, want):
     assert html_text.main_text(page, html_text.trained_tree()) == "\n".join(t.strip() for t in want)
 
 
+LONG_TEXT = " ".join(f"word{i}" for i in range(40))
+
+
+@pytest.mark.parametrize(
+    "page,kept,dropped",
+    [
+        (f"<nav><a href=1>a</a></nav><article><h1>Title here</h1><p>{LONG_TEXT}</p><p>See you soon.</p></article>", "See you soon.", None),
+        (f"<article><h1>Title here</h1><p>{LONG_TEXT}</p><ul><li><a href=1>One link text</a></li><li><a href=2>Last link</a></li></ul></article>", "Last link", None),
+        (f"<article><h1>Title here</h1><p>{LONG_TEXT}</p><pre>x = 1 + 2</pre></article>", "x = 1 + 2", None),
+        (f"<article><h1>T</h1><p>{LONG_TEXT}</p><section id='related-work'><p>prior {LONG_TEXT}</p></section></article>", "prior", None),
+        (f"<article><h1>T</h1><p>{LONG_TEXT}</p><section id=search><p>prior {LONG_TEXT}</p></section></article>", "prior", None),
+        (f"<article><h1>T</h1><p>{LONG_TEXT}</p><div class='menu-of-the-day'><p>prior {LONG_TEXT}</p></div></article>", "prior", None),
+        ("<div><h1>Title</h1><p>One short line here.</p></div>", "One short line here.", None),
+        (f"<article><h1>T</h1><p>{LONG_TEXT}</p></article><ol class=commentlist><li><p>reader {LONG_TEXT}</p></li></ol>", "word39", "reader"),
+        (f"<article><h1>T</h1><p>{LONG_TEXT}</p><div class='comments-area'><p>reader {LONG_TEXT}</p></div></article>", "word39", "reader"),
+        (f"<article><h1>T</h1><p>{LONG_TEXT}</p><div class=ad>buy {LONG_TEXT}</div><p>{LONG_TEXT}</p></article>", "word39", "buy"),
+    ],
+)
+def test_html_last_blocks_and_names_inside_articles(page, kept, dropped):
+    text = html_text.main_text(page, html_text.trained_tree())
+    assert kept in text and (dropped is None or dropped not in text)
+
+
 def test_html_edge_rows(spark):
     page = "<article><h1>T</h1>" + "<p>a b c d e f g h i j k l m n o p q r s t</p>" * 20_000 + "</article>"
     rows = [(1, "u", page), (1, "u", page), (None, None, "<article><p>x y</p></article>"), (None, "v", None)]
