@@ -78,6 +78,8 @@ LAYOUTS = [
     "<div><h1>m1</h1><p>m4</p></div>",
     "<div><h1>m3</h1><p>m5</p></div>",
     "<body><h1>m2</h1><p>m6</p><p>m3</p></body>",
+    "<p>m36</p><p>m2</p><p>m4</p><p>m41</p>",
+    "<p>m55</p><p>m30</p><p>m3</p><p>m6</p><p>m28</p>",
 ]
 
 
