@@ -281,6 +281,33 @@ def test_exact_topk_small_and_empty(spark):
     assert exact_topk.exact_topk(df.limit(0), F.lit(True)).count() == 0
 
 
+PROSE = "Keep the password of each member of the staff in a safe place, and never send it by mail to people who ask. "
+
+
+def test_words_paths_and_addresses_are_no_secrets():
+    """Long plain words, paths and addresses behind a sensitive word; what zstandard alone took for novel."""
+    for before, plain in (("your password ", "characteristically"), ("cookie policies and ", "misunderstandings"), ("token ", "internationalization"), ("private ", "responsibilities"), ("secret ", "src/main/java/com/example/Foo"), ("auth ", "//github.com/apache/spark/pulls"), ("token ", "getAuthenticatedUserSession"), ("password ", "reset_password_confirmation_email")):
+        for words in ((), ("member", "staff", "people", "place", "keep")):
+            text = PROSE * 3 + before + plain + " " + PROSE
+            assert secret_scan.spans(text, words=words) == [], plain
+
+
+def test_planted_keys_are_novel():
+    """At least nine of ten random keys of each kind behind a sensitive word are found."""
+    r = np.random.default_rng(2)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet in (upper + lower + digits, upper + lower + digits + "+/", upper + "234567", digits + "ABCDEF"):
+        keys = ["".join(r.choice(list(alphabet), n)) for n in r.integers(20, 41, 100)]
+        found = [any(s[0] == "novel" for s in secret_scan.spans(PROSE * 2 + "the bearer " + k + " is old. " + PROSE)) for k in keys]
+        assert np.mean(found) >= 0.9, alphabet
+
+
+def test_dictionary_words_stand_in_two_texts(spark):
+    docs = docs_of(spark, ["alpha beta key9 " * 3, "beta gamma", "beta gamma", None, "", "gamma Delta-delta x" + " word" * 5000])
+    assert secret_scan.corpus_words(docs) == ("beta", "gamma")
+    assert secret_scan.corpus_words(docs.limit(0)) == ()
+
+
 # ------------------------------------------------------------------ 8
 
 
