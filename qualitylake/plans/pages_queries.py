@@ -14,7 +14,7 @@ P = "v_pages_mut"
 
 
 def _parsed(spark: SparkSession, sf_dir: str, name: str = P) -> DataFrame:
-    return source.parse_pages(view(spark, sf_dir, name))
+    return source.parse_pages(view(spark, sf_dir, name), text_of=source.RULE_TEXT)
 
 
 def _elements(spark: SparkSession, sf_dir: str, name: str = P) -> DataFrame:

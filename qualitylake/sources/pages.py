@@ -14,8 +14,8 @@ OPTIONAL_END = frozenset("html head body li dt dd p rt rp optgroup option colgro
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # End of fixed values.
 
-#: Elements whose text rules read; that of others is left empty, so a page's rows stay as small as the page.
-WITH_TEXT = frozenset("a button title style label option h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text the rules read; a parse for rules alone may leave that of others empty.
+RULE_TEXT = frozenset("a button title style label option h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset(("script", "style", "textarea", "title"))
 
 ELEMENT = "struct<pos:int,name:string,line:int,col:int,attrs:array<struct<k:string,v:string>>,text:string>"
@@ -23,8 +23,9 @@ BALANCE = "struct<rule:string,line:int,col:int,message:string>"
 
 
 class _Reader(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, text_of: frozenset[str] | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.text_of = text_of
         self.elements: list[dict] = []
         self.balance: list[dict] = []
         self.doctype = False
@@ -34,6 +35,9 @@ class _Reader(HTMLParser):
     def handle_decl(self, decl: str) -> None:
         self.doctype = self.doctype or decl.lower().startswith("doctype html") or decl.lower().startswith("doctype")
 
+    def _has_text(self, tag: str) -> bool:
+        return self.text_of is None or tag in self.text_of
+
     def _element(self, tag: str, attrs: list) -> dict:
         line, col = self.getpos()
         e = {"pos": len(self.elements), "name": tag, "line": line, "col": col + 1, "attrs": [{"k": k, "v": v or ""} for k, v in attrs] if attrs else [], "text": []}
@@ -44,7 +48,7 @@ class _Reader(HTMLParser):
         e = self._element(tag, attrs)
         if tag not in VOID:
             self.stack.append((tag, e["line"], e["col"], e))
-            if tag in WITH_TEXT:
+            if self._has_text(tag):
                 self.open_texts.append(e)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -61,7 +65,7 @@ class _Reader(HTMLParser):
 
     def _pop(self) -> tuple:
         entry = self.stack.pop()
-        if entry[0] in WITH_TEXT:
+        if self._has_text(entry[0]):
             self.open_texts.pop()
         return entry
 
@@ -91,8 +95,8 @@ class _Reader(HTMLParser):
             e["text"] = "".join(e["text"])
 
 
-def parse_page(html: str | None) -> tuple[bool, list[dict], list[dict]]:
-    reader = _Reader()
+def parse_page(html: str | None, text_of: frozenset[str] | None = None) -> tuple[bool, list[dict], list[dict]]:
+    reader = _Reader(text_of)
     reader.feed(html or "")
     reader.finish()
     return reader.doctype, reader.elements, reader.balance
@@ -117,12 +121,13 @@ def mask_jsx(code: str) -> str:
     return "".join(out)
 
 
-def parse_pages(pages: DataFrame, jsx: bool = False) -> DataFrame:
-    """page_id, url, has_doctype, elements and balance of pages (page_id, url, html)."""
+def parse_pages(pages: DataFrame, jsx: bool = False, text_of: frozenset[str] | None = None) -> DataFrame:
+    """page_id, url, has_doctype, elements and balance of pages (page_id, url, html). Every element holds its visible
+    text, that of elements inside it too; with `text_of` only these elements hold theirs, so rows stay as small as pages."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [parse_page(mask_jsx(h or "") if jsx else h) for h in b.html]
+            found = [parse_page(mask_jsx(h or "") if jsx else h, text_of) for h in b.html]
             yield pd.DataFrame({"page_id": b.page_id, "url": b.url, "has_doctype": [x[0] for x in found], "elements": [x[1] for x in found], "balance": [x[2] for x in found]})
 
     return pages.select("page_id", "url", "html").mapInPandas(parse, f"page_id long, url string, has_doctype boolean, elements array<{ELEMENT}>, balance array<{BALANCE}>")

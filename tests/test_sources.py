@@ -275,6 +275,11 @@ def test_pages(spark):
     site = spark.createDataFrame([(1, "s", "docs/p.html")], "page_id long, repo string, path string")
     files = spark.createDataFrame([("s", "docs/x")], "repo string, path string")
     assert rows(pages.missing_links(elements, site, files).select("target")) == [("gone.html",)]
+    nested = spark.createDataFrame([(9, "n", "<div>a<p>b <b>c</b></p><script>no</script><br>d</div><p>e")], "page_id long, url string, html string")
+    texts = {(r["name"], r["text"]) for r in page_source.page_elements(page_source.parse_pages(nested)).collect()}
+    assert texts >= {("div", "ab cd"), ("p", "b c"), ("b", "c"), ("p", "e"), ("br", ""), ("script", "")}
+    few = {(r["name"], r["text"]) for r in page_source.page_elements(page_source.parse_pages(nested, text_of=frozenset(["b"]))).collect()}
+    assert ("b", "c") in few and ("div", "") in few
     jsx = page_source.page_elements(page_source.parse_pages(spark.createDataFrame([(3, "w", "<img src={a > 1 ? x : y} /><button>{label}</button>")], "page_id long, url string, html string"), jsx=True))
     assert rows(pages.jsx_rules(jsx).select("rule")) == [("a11y.img-alt",)]
 
