@@ -175,7 +175,7 @@ def check_program(h, capacity):
             covered[k] += a * n
     lengths = np.flatnonzero(h)
     filled = (np.maximum(0, h - covered)[lengths] / (capacity // lengths)).sum()
-    assert amount.sum() + filled >= x.value * (1 - 1e-9) - 0.01 * len(lengths) and x.bound <= x.value * (1 + 1e-9)
+    assert abs(amount.sum() + filled - x.value) <= 1e-6 * x.value + 0.01 * len(lengths) and x.bound <= x.value * (1 + 1e-9)
     found, seen = packing.rounded(h, capacity), np.zeros(capacity + 1, int)
     for config, times in found.configs:
         assert times > 0 and sum(k * a for k, a in config) <= capacity
