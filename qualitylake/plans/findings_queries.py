@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import scoring
+from ..operators import documents
 from ..operators import findings as ops
 from ..sources import reports
 from .adapters import view
@@ -247,6 +248,37 @@ def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("repo", "run_id", "j.version", F.size(results).cast("long").alias("results"), F.get(results, F.lit(0))["ruleId"].alias("first_rule"), F.try_element_at(results, F.lit(-1))["message"]["text"].alias("last_message"), F.size("r.tool.driver.rules").cast("long").alias("rules"), F.size("r.properties.gates").cast("long").alias("gates"))
 
 
+@query(
+    f"""SELECT repo, run_id, row_number() OVER (PARTITION BY repo, run_id ORDER BY {ORDER}) AS place, rule AS rule_id, CASE WHEN engine = 'secrets' AND severity IN ('error', 'warning') THEN severity WHEN severity IN ('error', 'warning') THEN 'warning' ELSE 'note' END AS level,
+    file AS uri, greatest(start_line, 1) AS start_line, message, {FINGERPRINT} AS fingerprint FROM v_findings WHERE {DISPOSITION} <> 'ignore'""",
+    "v_findings",
+)
+def sarif_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written in small parts, joined and read again: every result with its place."""
+    result = "struct<ruleId:string,level:string,message:struct<text:string>,partialFingerprints:struct<primaryLocationLineHash:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>"
+    parts = documents.sarif_parts(view(spark, sf_dir, "v_findings"), view(spark, sf_dir, "v_gates"), limit=2048)
+    read = documents.joined(parts).withColumn("j", F.from_json("text", f"struct<runs:array<struct<results:array<{result}>>>>"))
+    each = read.select("repo", "run_id", F.posexplode(F.col("j.runs")[0]["results"]).alias("pos", "r"))
+    where = F.col("r.locations")[0]["physicalLocation"]
+    return each.select("repo", "run_id", (F.col("pos") + 1).cast("long").alias("place"), F.col("r.ruleId").alias("rule_id"), "r.level", where["artifactLocation"]["uri"].alias("uri"), where["region"]["startLine"].alias("start_line"), F.col("r.message.text").alias("message"), F.col("r.partialFingerprints.primaryLocationLineHash").alias("fingerprint"))
+
+
+@query(
+    """SELECT r.repo, r.run_id, CASE WHEN coalesce(g.fails, false) THEN 'fail' ELSE 'pass' END AS verdict, coalesce(g.n, 0)::BIGINT AS gates, coalesce(f.n, 0)::BIGINT AS findings, f.lines, coalesce(e.n, 0)::BIGINT AS engine_runs, e.slowest FROM v_runs r
+    LEFT JOIN (SELECT repo, run_id, count(*) AS n, bool_or(enforced AND NOT pass) AS fails FROM v_gates GROUP BY repo, run_id) g ON g.repo = r.repo AND g.run_id = r.run_id
+    LEFT JOIN (SELECT repo, run_id, count(*) AS n, CAST(sum(start_line) AS BIGINT) AS lines FROM v_findings GROUP BY repo, run_id) f ON f.repo = r.repo AND f.run_id = r.run_id
+    LEFT JOIN (SELECT concat('r', CAST(user_id % 10 AS VARCHAR)) AS repo, CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, count(*) AS n, max(CAST(floor(value * 100) AS BIGINT)) AS slowest FROM events GROUP BY 1, 2) e ON e.repo = r.repo AND e.run_id = r.run_id""",
+    "v_findings v_gates v_runs",
+)
+def report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all runs, those without findings too, written in parts, joined and read again."""
+    engine_runs = view(spark, sf_dir, "events").select(F.concat(F.lit("r"), (F.col("user_id") % 10).cast("string")).alias("repo"), F.col("ts").cast("date").cast("string").alias("run_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("engine"), F.floor(F.col("value") * 100).alias("duration_ms"))
+    parts = documents.report_parts(view(spark, sf_dir, "v_runs"), view(spark, sf_dir, "v_gates"), view(spark, sf_dir, "v_findings"), engine_runs, limit=2048)
+    read = reports.parse_reports(documents.joined(parts, "report"))
+    lines = F.when(F.size("findings") > 0, F.aggregate("findings", F.lit(0).cast("long"), lambda n, f: n + f["span"]["start_line"]))
+    return read.select("repo", "run_id", "verdict", F.size("gates").cast("long").alias("gates"), F.size("findings").cast("long").alias("findings"), lines.alias("lines"), F.size("runs").cast("long").alias("engine_runs"), F.array_max(F.transform("runs", lambda r: r["duration_ms"])).alias("slowest"))
+
+
 GROUP_KEY = "sha256('qualitylake-group-v1'::BLOB || unhex('00') || " + _part("file") + " || " + _part("coalesce(symbol, '')") + ")"
 
 

@@ -1,5 +1,7 @@
 """Scores, fingerprints, paths, joins and history on fixed values and small fixtures."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,53 @@ def test_entries():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and "worst_crap" in queries
     assert callable(entry.entry)
+
+
+FOUND = "repo string, run_id string, id string, rule string, engine string, severity string, file string, start_line int, symbol string, message string, suggested_action string"
+GATE = "repo string, run_id string, id string, pass boolean, enforced boolean, reason string"
+
+
+def _found(spark, n):
+    k = F.col("id")
+    # two runs, the first with nine tenths of the findings; some rows repeat wholly
+    f = spark.range(n).select(
+        F.lit("r").alias("repo"), F.when(k % 10 == 0, "2").otherwise("1").alias("run_id"), (k % 17).cast("string").alias("id"), F.concat(F.lit("rule."), (k % 3).cast("string")).alias("rule"), F.lit("tests").alias("engine"), F.lit("error").alias("severity"),
+        F.concat(F.lit("src/ü "), (k % 5).cast("string")).alias("file"), F.when(k % 4 > 0, (k % 7).cast("int")).alias("start_line"), F.when(k % 2 == 0, F.lit("s")).alias("symbol"), F.concat(F.lit('a "quoted", [text]\n'), (k % 11).cast("string")).alias("message"), F.lit(None).cast("string").alias("suggested_action"), F.lit(1).alias("key"), F.lit("x").alias("text"))
+    return f.unionByName(f.where("message like '%\n3'"))
+
+
+def test_documents_in_parts(spark):
+    from qualitylake.operators import documents
+
+    f, g = _found(spark, 500), spark.createDataFrame([("r", "1", "tests", False, True, "x"), ("r", "1", "a11y", True, False, None), ("r", "2", "tests", True, True, None), ("r", "3", "tests", True, True, None)], GATE)
+    whole = {(r.repo, r.run_id): json.loads(r.sarif) for r in findings.to_sarif(f, g).collect()}
+    for limit in (1, 700, 1 << 20):
+        parts = documents.sarif_parts(f, g, limit=limit)
+        assert parts.agg(F.max(F.octet_length("text"))).first()[0] < limit + 500
+        got = {(r.repo, r.run_id): json.loads(r.text) for r in documents.joined(parts).collect()}
+        assert set(got) == {("r", "1"), ("r", "2"), ("r", "3")}
+        for run, d in got.items():
+            a, b = d["runs"][0], whole[run]["runs"][0]
+            assert a["results"] == b["results"] and a["tool"] == b["tool"], (run, limit)
+            assert sorted(map(str, a["properties"]["gates"])) == sorted(map(str, b["properties"]["gates"]))
+    # no tables, no rows; null runs and messages are kept
+    assert documents.sarif_parts(spark.createDataFrame([], FOUND), spark.createDataFrame([], GATE)).count() == 0
+    odd = spark.createDataFrame([(None, None, None, None, "tests", "error", "a", None, None, None, None)], FOUND)
+    one = documents.joined(documents.sarif_parts(odd, spark.createDataFrame([], GATE))).collect()
+    assert len(one) == 1 and len(json.loads(one[0].text)["runs"][0]["results"]) == 1
+
+
+def test_reports_in_parts(spark, tmp_path):
+    from qualitylake.operators import documents
+    from qualitylake.sources import reports
+
+    f, g = _found(spark, 300), spark.createDataFrame([("r", "1", "tests", False, True, "x"), ("r", "2", "tests", True, None, None), ("r", "9", "tests", True, None, None)], GATE)
+    runs = spark.createDataFrame([("r", "1", False), ("r", "2", False), ("r", "3", True)], "repo string, run_id string, analyzer_error boolean")
+    ran = spark.createDataFrame([("r", "1", 0, "tests", 5), ("r", "1", 1, "lint", 7)], "repo string, run_id string, pos int, engine string, duration_ms long")
+    parts = documents.report_parts(runs, g, f, ran, limit=600)
+    read = {r.run_id: r for r in reports.parse_reports(documents.joined(parts, "report")).collect()}
+    assert {k: (r.verdict, len(r.gates), len(r.findings), [x.engine for x in r.runs]) for k, r in read.items()} == {"1": ("fail", 1, f.where("run_id = '1'").count(), ["tests", "lint"]), "2": ("pass", 1, f.where("run_id = '2'").count(), []), "3": ("fail", 0, 0, [])}
+    assert sorted((x.file, x.span.start_line, x.message) for x in read["2"].findings if x.span.start_line is not None) == sorted(map(tuple, f.where("run_id = '2' and start_line is not null").select("file", "start_line", "message").collect()))
+    documents.write_parts(parts, f"file://{tmp_path}/out")
+    folder = tmp_path / "out" / "repo=r" / "run_id=1"
+    assert len(json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))["findings"]) == len(read["1"].findings)
