@@ -6,7 +6,7 @@ dictionary calibrates them, as it tells repetition from likeness. A logistic cur
 probability of label 1.
 
 The classifier is fitted on a sample of labelled rows of bounded size (`per_class` rows of each label, chosen by
-a hash of doc_id, `chars` characters of each); scores read whole texts. Rows whose label or id is null teach
+a hash of doc_id, `chars` characters of each, spread over the whole text); scores read whole texts. Rows whose label or id is null teach
 nothing; repeated labels count once, and of the texts of a repeated doc_id the smallest teaches. Null texts score as empty ones. Where one label is
 missing, every score is the share of label 1, or 0.5 without labels. Other columns play no part; an empty table
 gives an empty table."""
@@ -91,6 +91,13 @@ def _slices(texts: list[tuple[int, str]], size: int, each: int = 400) -> bytes:
     return b"".join(out)
 
 
+def spread(text: Column, chars: int, n: int = 8) -> Column:
+    """`n` slices of a longer text, evenly from its first to its last character, `chars` characters in all."""
+    each = chars // n
+    cuts = [F.substring(text, F.floor((F.length(text) - each) * i / (n - 1)).cast("int") + 1, F.lit(each)) for i in range(n)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat(*cuts))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, chars: int = 20_000, dictionary: int = 800_000) -> QualityModel:
     """A model from labelled documents outside fold 0."""
     known = labels.where("doc_id is not null and quality in (0, 1)").where(fold("doc_id") != 0).select("doc_id", "quality").distinct()
@@ -105,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, chars: int =
     # the sample is bounded: about per_class rows of either label
     sample = known.where(keep).withColumnRenamed("doc_id", "_id")
     met = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
-    rows = met.groupBy("doc_id", "quality").agg(F.min(F.substring(F.coalesce("text", F.lit("")), 1, chars)).alias("text")).collect()  # one row per sampled label
+    rows = met.groupBy("doc_id", "quality").agg(F.min(spread(F.coalesce("text", F.lit("")), chars)).alias("text")).collect()  # one row per sampled label
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode() + b"o"), r["text"]))
     part = {(q, h): [(r["doc_id"], r["text"]) for k, r in enumerate(x for x in rows if x["quality"] == q) if k % 2 == h] for q in (0, 1) for h in (0, 1)}
     if not (part[0, 0] and part[1, 0] and part[0, 1] and part[1, 1]):
