@@ -228,3 +228,15 @@ def test_equal_windows_pick_equal_symbols():
             i = int(np.flatnonzero(at == len(before))[0])
             seen.add((int(name[i]), int(start[i]) - len(before)))
         assert len(seen) == 1
+
+
+def test_quality_sample_spreads_over_the_text(spark):
+    from pyspark.sql import functions as F
+
+    from qualitylake.llm import quality
+
+    text = "".join(chr(0x4E00 + i) for i in range(1003))
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, "")], "doc_id long, text string")
+    got = {r[0]: r[1] for r in df.select("doc_id", quality.spread(F.col("text"), 80)).collect()}
+    assert got[2] == "short" and got[3] == ""
+    assert len(got[1]) == 80 and got[1][:10] == text[:10] and got[1][-10:] == text[-10:] and len(set(got[1])) == 80
