@@ -95,18 +95,13 @@ def novelty(words: tuple[str, ...] = ()) -> Novelty:
     return Novelty(words)
 
 
-def corpus_words(docs: DataFrame, sample: int = 2_000, most: int = 8_000) -> tuple[str, ...]:
-    """The words of about `sample` different texts, chosen by their hash, that stand in two of them or more: the
-    `most` most frequent, by frequency. Each text gives 16 slices of 512 characters from all over it; the bounds hold
-    for what the dictionary is made of, and every text is scanned against it."""
-    texts = docs.select("text").where(F.length("text") > 0)
-    every = max(1, texts.count() // sample)
-    step = F.greatest(F.lit(1), F.floor((F.length("text") - 512) / 15)).cast("int")
-    slices = F.concat_ws(" ", *[F.substring(F.col("text"), F.lit(1) + i * step, F.lit(512)) for i in range(16)])
-    h = F.xxhash64("text").alias("h")
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(h, F.when(F.length("text") <= 8192, F.col("text")).otherwise(slices).alias("text")).dropDuplicates(["h"])
-    words = some.select("h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z])([a-z]{4,24})(?![a-z])")))).alias("word"))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
+def corpus_words(docs: DataFrame, most: int = 8_000) -> tuple[str, ...]:
+    """The words that stand in two different texts of the corpus or more: the `most` that stand in most rows, by that
+    number. Every whole text is counted. Whether a word's texts differ is told by the least and the largest hash of
+    them, so only words with three numbers move, one row a word and task."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z])([a-z]{4,24})(?![a-z])")))
+    each = docs.where(F.length("text") > 0).select(F.xxhash64("text").alias("h"), F.explode(words).alias("word"))
+    top = each.groupBy("word").agg(F.count("*").alias("n"), F.min("h").alias("first"), F.max("h").alias("last")).where("first < last").orderBy(F.desc("n"), "word").limit(most)
     return tuple(r["word"] for r in top.collect())  # `most` words at most
 
 

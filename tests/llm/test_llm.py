@@ -311,6 +311,16 @@ def test_dictionary_words_stand_in_two_texts(spark):
 # ------------------------------------------------------------------ 8
 
 
+def test_corpus_words_come_from_all_texts(spark):
+    """Words of two texts among thousands, and of the middle of a long text, count; those of copies of one text don't."""
+    letters = "bcdfghjklm"
+    rare = ["rare" + "".join(letters[int(c)] for c in f"{i:02d}") for i in range(40)]
+    texts = [f"{n} {rare[n % 2500]}" if n % 2500 < 40 and n < 5000 else f"{n} plain" for n in range(9000)]
+    texts += ["x " * 40_000 + "hidden " + "y " * 40_000 + str(i) for i in range(2)] + ["copied once"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert secret_scan.corpus_words(docs) == ("plain", "hidden", *rare)
+
+
 def test_chi_square():
     assert abs(ann.chi_square_cdf(ann.chi_square_quantile(0.9, 16), 16) - 0.9) < 1e-9
     assert abs(ann.chi_square_quantile(0.95, 2) - 5.991464547) < 1e-6
