@@ -3,10 +3,14 @@
 Lines stand in parts: ordered ranges of one text, which any task may hold. A scan over the lines of a text has two
 levels, so no task needs the whole of it: each part is scanned by itself and sums up what it hands on, the sums are
 scanned in the order of the parts, and each part takes what the parts before it hand on. Texts that fit in one part
-send no sums. `read_lines` reads files in parts as Spark splits them, however large they are."""
+send no sums. `read_lines` reads files in parts as Spark splits them, however large they are.
+
+Texts that stand in a row need no scan: `text_lines` and `sections` cut them where they stand, without a shuffle, and
+what a section's lines share is read from its first line."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +31,7 @@ def read_lines(spark: SparkSession, path: str, sep: str | None = None, name: str
 def lines_of(df: DataFrame, text: str = "text", keys: list[str] | None = None, sep: str = "\r?\n") -> DataFrame:
     """keys, part, split (whether the text has several parts), pos and line of each text's lines, without their ends.
     A frame of `read_lines` is taken as it is."""
-    if {"part", "split", "pos", "line"} <= set(df.columns):
+    if has_lines(df):
         return df.select(*(keys or []), "part", "split", "pos", "line")
     keys = keys or [c for c in df.columns if c != text]
     cut = df.select(*keys, F.split(F.coalesce(F.col(text), F.lit("")), sep).alias("_lines"))
@@ -35,6 +39,26 @@ def lines_of(df: DataFrame, text: str = "text", keys: list[str] | None = None, s
     return each.select(*keys, F.floor(F.col("pos") / PART).alias("part"), "split", "pos", "line")
 
 
+def has_lines(df: DataFrame) -> bool:
+    """Whether a frame is one of `read_lines`, not of texts."""
+    return {"part", "split", "pos", "line"} <= set(df.columns)
+
+
+def text_lines(df: DataFrame, keys: list[str], text: str = "text", sep: str = "\r?\n") -> DataFrame:
+    """keys and `lines` (pos and line) of each text."""
+    return df.select(*keys, F.transform(F.split(F.coalesce(F.col(text), F.lit("")), sep), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))).alias("lines"))
+
+
+def sections(df: DataFrame, keys: list[str], starts: Callable[[Column], Column]) -> DataFrame:
+    """`lines` cut before each line that starts a section: a row each, and one of what stands before the first.
+
+    There is always one, so `explode_outer` gives the same rows; for `explode` Spark would work out the array again, and
+    all it is made of, to filter empty ones."""
+    at = F.filter(F.transform("lines", lambda x, i: F.when((i == 0) | starts(x["line"]), i + 1)), lambda i: i.isNotNull())
+    marked = df.select(*keys, "lines", at.alias("_at"))
+    return marked.select(*keys, F.explode_outer(F.transform("_at", lambda s, i: F.slice("lines", s, F.coalesce(F.get("_at", i + 1), F.size("lines") + 1) - s))).alias("lines"))
+
+
 def _handed(df: DataFrame, keys: list[str], last: dict[str, Column] | None = None, count: dict[str, Column] | None = None, most: dict[str, Column] | None = None) -> DataFrame:
     """Add, for each line, the last non-null value up to it, the count of lines that meet a condition, or the largest
     value, within `keys` and in the order of parts and of positions in them."""
