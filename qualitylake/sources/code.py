@@ -5,13 +5,14 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, scoring
-from .lines import carry, found, lines_of, running
+from .lines import carry, found, lines_of, sections, text_lines
 
 FUNCTION = "repo string, file string, symbol string, start_line int, end_line int, cc int"
 DECISIONS = r"\b(?:if|for|while|case|catch|elif)\b|&&|\|\||(?<!\?)\?(?![?.:])"
@@ -119,6 +120,14 @@ def python_functions(code: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
+_known_functions = lru_cache(maxsize=4096)(python_functions)
+
+
+def _python_functions(code: str) -> list[tuple[str, int, int, int]]:
+    """python_functions; a worker parses equal short files (copies, empty packages) once, 4,096 different ones at most."""
+    return _known_functions(code) if len(code) <= 8192 else python_functions(code)
+
+
 def python_imports(code: str) -> list[tuple[str, int]]:
     """(top module, line) of absolute imports outside try blocks that catch ImportError."""
     try:
@@ -156,7 +165,7 @@ def functions(files: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for repo, file, lang, code in zip(b.repo, b.path, b.lang, b.content):
-                for f in python_functions(code) if lang == "python" else brace_functions(code, lang):
+                for f in _python_functions(code) if lang == "python" else brace_functions(code, lang):
                     rows.append((repo, file, *f))
             yield pd.DataFrame(rows, columns=["repo", "file", "symbol", "start_line", "end_line", "cc"])
 
@@ -165,15 +174,17 @@ def functions(files: DataFrame) -> DataFrame:
 
 
 def shell_functions(files: DataFrame) -> DataFrame:
-    """Shell functions: a body runs to the next header; decisions are counted per line and summed."""
+    """Shell functions: a body runs to the next header, so each is a section; decisions are counted per line and summed."""
     keys = ["repo", "file"]
     header = r"^\s*(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\s*\)\s*\{?|^\s*function\s+([A-Za-z_][\w-]*)"
-    l = lines_of(files.select("repo", F.col("path").alias("file"), "content"), "content", keys)
-    l = running(l.withColumn("line", F.regexp_replace("line", r"(^|\s)#.*$", "")), keys, n=F.col("line").rlike(header)).where("n > 0")
-    name = F.when(F.col("line").rlike(header), F.concat(F.regexp_extract("line", header, 1), F.regexp_extract("line", header, 2)))
-    hits = F.regexp_count("line", F.lit(r"\b(if|elif|for|while|until)\b|&&|\|\||;;"))
-    g = l.groupBy(*keys, "n").agg(F.max(name).alias("symbol"), (F.min("pos") + 1).alias("start_line"), (F.max(F.when(F.trim("line") != "", F.col("pos"))) + 1).alias("end_line"), (F.sum(hits) + 1).cast("int").alias("cc"))
-    return g.select(*keys, "symbol", "start_line", "end_line", "cc")
+    is_header = lambda x: x.rlike(header)
+    l = text_lines(files.select("repo", F.col("path").alias("file"), "content"), keys, "content")
+    l = l.select(*keys, F.transform("lines", lambda x: F.struct(x["pos"].alias("pos"), F.regexp_replace(x["line"], r"(^|\s)#.*$", "").alias("line"))).alias("lines"))
+    f = sections(l, keys, is_header).withColumn("first", F.element_at("lines", 1)).where(is_header(F.col("first.line")))
+    name = F.concat(F.regexp_extract("first.line", header, 1), F.regexp_extract("first.line", header, 2))
+    last = F.element_at(F.filter("lines", lambda x: F.trim(x["line"]) != ""), -1)["pos"]
+    hits = F.aggregate("lines", F.lit(1), lambda n, x: n + F.regexp_count(x["line"], F.lit(r"\b(if|elif|for|while|until)\b|&&|\|\||;;")))
+    return f.select(*keys, name.alias("symbol"), (F.col("first.pos") + 1).alias("start_line"), (last + 1).alias("end_line"), hits.alias("cc"))
 
 
 def test_functions(files: DataFrame) -> DataFrame:
