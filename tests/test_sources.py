@@ -63,6 +63,13 @@ def test_llvm(spark):
     assert got == [("r", "rep", "s.rs", "a", 1.0), ("r", "rep", "s.rs", "b", 0.0)]
 
 
+def test_llvm_regions_of_any_length(spark):
+    """Regions are spans, not lists of their lines; records of one function meet."""
+    region = lambda low, high, n: [low, 1, high, 2, n, 0, 0, 0]
+    f = [{"name": "a", "count": 1, "filenames": ["s.rs"], "regions": [region(1, 4_000_000_000, 0), region(11, 20, 1), region(15, 1_000_000_010, 2)]}, {"name": "a", "count": 0, "filenames": ["s.rs"], "regions": [region(5, 5, 0)]}]
+    assert rows(coverage_reports.cov_llvm(report(spark, json.dumps({"data": [{"functions": f}]})))) == [("r", "rep", "s.rs", "a", 0.25)]
+
+
 def test_compiler_and_linter(spark):
     span = lambda line, primary: {"file_name": "src/lib.rs", "line_start": line, "column_start": 5, "line_end": line, "column_end": 9, "is_primary": primary}
     ok = {"reason": "compiler-message", "message": {"level": "error", "message": "no x", "code": {"code": "E0425"}, "spans": [span(1, False), span(4, True)]}}
