@@ -24,15 +24,20 @@ def own_paths(report_paths: DataFrame, files: DataFrame) -> DataFrame:
         parts = F.split(path, "/")
         return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")))
 
-    ends = p.select("repo", "report_path", suffixes("norm").alias("file"))
-    whole = ends.join(f, ["repo", "file"]).groupBy("repo", "report_path").agg(F.max_by("file", F.length("file")).alias("whole"))
-    rest = p.join(whole.select("repo", "report_path"), ["repo", "report_path"], "left_anti")
-    # files that end with the path, counted once per suffix; then files of the path's name, counted once per name
-    longer = f.select("repo", "file", suffixes("file").alias("norm")).where("norm <> file").groupBy("repo", "norm").agg(F.count("*").alias("n_longer"), F.min("file").alias("longer"))
-    named = f.groupBy("repo", paths.basename("file").alias("base")).agg(F.count("*").alias("n_named"), F.min("file").alias("named"))
-    met = rest.withColumn("base", paths.basename("norm")).join(longer, ["repo", "norm"], "left").join(named, ["repo", "base"], "left")
-    owner = F.when(F.col("n_longer") == 1, F.col("longer")).when(F.col("n_longer").isNull() & (F.col("n_named") == 1), F.col("named"))
-    return whole.select("repo", "report_path", F.col("whole").alias("file")).unionByName(met.select("repo", "report_path", owner.alias("file")).where(F.col("file").isNotNull()))
+    # of each suffix: whether it is a file, and how many files are longer or have it for a name, with the least of each
+    ends = f.select("repo", "file", suffixes("file").alias("end"))
+    whole, named = F.col("end") == F.col("file"), F.col("end") == paths.basename("file")
+    met = ends.groupBy("repo", "end").agg(F.max(whole).alias("whole"), F.count_if(~whole).alias("n_longer"), F.min(F.when(~whole, F.col("file"))).alias("longer"), F.count_if(named).alias("n_named"), F.min(F.when(named, F.col("file"))).alias("named"))
+    j = p.select("repo", "report_path", "norm", suffixes("norm").alias("end")).join(met, ["repo", "end"])
+    full, base = F.col("end") == F.col("norm"), F.col("end") == paths.basename("norm")
+    g = j.groupBy("repo", "report_path").agg(
+        F.max_by("end", F.when(F.col("whole"), F.length("end"))).alias("whole"),
+        F.max(F.when(full, F.col("n_longer"))).alias("n_longer"), F.max(F.when(full, F.col("longer"))).alias("longer"),
+        F.max(F.when(base, F.col("n_named"))).alias("n_named"), F.max(F.when(base, F.col("named"))).alias("named"),
+    )
+    n_longer = F.coalesce("n_longer", F.lit(0))
+    owner = F.when(F.col("whole").isNotNull(), F.col("whole")).when(n_longer == 1, F.col("longer")).when((n_longer == 0) & (F.col("n_named") == 1), F.col("named"))
+    return g.select("repo", "report_path", owner.alias("file")).where("file is not null")
 
 
 def function_coverage(functions: DataFrame, cov_lines: DataFrame, band: int = 512) -> DataFrame:
