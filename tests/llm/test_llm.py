@@ -321,6 +321,19 @@ def test_corpus_words_come_from_all_texts(spark):
     assert secret_scan.corpus_words(docs) == ("plain", "hidden", *rare)
 
 
+def test_redaction_knows_the_words_of_all_texts(spark):
+    """The pipeline's stage leaves values alone that stand in two texts among thousands, and marks one of a single text."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(5)
+    values = ["".join(r.choice(list("bcdfghjklmnpqrstvwxz"), 18)) for _ in range(13)]
+    plain = "quick zebra jumps extra boxes queen zero joins exact lazy jazz vexed kiwis while gloves might follow their dreams about paper candy"
+    texts = [f"{n} {plain} {values[n % 3000] if n % 3000 < 12 else ''}" for n in range(6000)] + [f"{plain} the password {v} is old" for v in values]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_stage(spark, docs, "").collect()}
+    assert {i: t for i, t in got.items() if t != texts[i]} == {6012: f"{plain} the password [SECRET] is old"}
+
+
 def test_chi_square():
     assert abs(ann.chi_square_cdf(ann.chi_square_quantile(0.9, 16), 16) - 0.9) < 1e-9
     assert abs(ann.chi_square_quantile(0.95, 2) - 5.991464547) < 1e-6
