@@ -3,8 +3,9 @@
 Pivots from a bounded sample cut the space into cells. A summary per cell (how many vectors, how far the farthest
 lies from the pivot) bounds every inner product: q.x is within |q| * radius of q.pivot. With the k-th best score
 of a bounded sample this gives each query a score that its k best reach at least, and so the cells it needs;
-only those are met. Cells are dealt in blocks of bounded size, queries travel in packed groups to the blocks of
-the cells that one of them needs, each block is solved by one matrix product, and the blocks' bests are merged.
+only those are met. Cells are dealt in blocks of bounded size, blocks in parts of up to eight. Queries travel in
+packed groups to the parts of the cells that one of them needs, over Spark's shuffle and never by broadcast; each
+block is solved by one matrix product, and the blocks' bests are merged.
 
 A query travels to the cells that it needs only, with the score that its results must reach. Where vectors fill the
 space evenly the bounds exclude little and every query meets every block; the result is exact all the same.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import matrix, pack_rows, ranked, unpack_rows, usable
+from .vectors import blocks_a_part, by_group, hash_sample, matrix, met, pack_rows, ranked, unpack_rows, usable
 
 RESULT = "query_id long, rank int, vec_id long, score long"
 
@@ -109,7 +110,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
             yield pd.DataFrame({"vec_id": b.vec_id, "v": pack_rows(np.floor(scale * matrix(b.embedding, dim)))})
 
     whole = materialize(rows.mapInPandas(quantized, "vec_id long, v binary"), "vectors")
-    seen = whole.orderBy(F.xxhash64("vec_id")).limit(sample).collect()  # `sample` rows at most
+    seen = hash_sample(whole, whole.count(), sample)  # `sample` rows at most
     seen_ids, seen_v = np.array([r["vec_id"] for r in seen]), unpack_rows([bytes(r["v"]) for r in seen], dim)
     pivots = choose_pivots(seen_v.astype(float), cells)
 
@@ -124,6 +125,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
     rows_of = {r["cell"]: (r["n"], r["far"]) for r in assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # a row per pivot
     summary = Summary(pivots, *(np.array([rows_of.get(c, (0, 0.0))[i] for c in range(len(pivots))]) for i in (0, 1)))
     n_blocks = np.maximum(1, -(-summary.counts // block))
+    a_part = blocks_a_part(int(n_blocks.sum()))
 
     def sampled(ids: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Each query's k-th best score in the sample."""
@@ -131,20 +133,22 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
         own[ids[:, None] == seen_ids[None, :]] = -np.inf
         return np.partition(own, -k, axis=1)[:, -k] if own.shape[1] > k else np.full(len(q), -np.inf)
 
-    per_cell = F.element_at(F.array(*[F.lit(int(x)) for x in n_blocks]), F.col("cell") + 1)
-    data = assigned.withColumn("block", F.pmod(F.xxhash64("vec_id"), per_cell).cast("int"))
+    def per_cell(counts: np.ndarray) -> Column:
+        return F.element_at(F.array(*[F.lit(int(x)) for x in counts]), F.col("cell") + 1)
+
+    data = assigned.withColumn("block", F.pmod(F.xxhash64("vec_id"), per_cell(n_blocks)).cast("int"))
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vec_id")
-        return pd.DataFrame({"cell": g.cell.iloc[:1], "block": g.block.iloc[:1], "ids": [g.vec_id.to_numpy().astype("<i8").tobytes()], "rows": [np.ascontiguousarray(unpack_rows(g.v.tolist(), dim)).tobytes() if g.v.str.len().max() > 2 * dim else b"".join(g.v)]})
+        return pd.DataFrame({"cell": g.cell.iloc[:1], "part": g.block.iloc[:1] // a_part, "ids": [g.vec_id.to_numpy().astype("<i8").tobytes()], "rows": [np.ascontiguousarray(unpack_rows(g.v.tolist(), dim)).tobytes() if g.v.str.len().max() > 2 * dim else b"".join(g.v)]})
 
-    blocks = data.groupBy("cell", "block").applyInPandas(pack, "cell int, block int, ids binary, rows binary")
+    blocks = data.groupBy("cell", "block").applyInPandas(pack, "cell int, part int, ids binary, rows binary")
     asked = assigned.where(is_query)
     share = asked.groupBy("cell").agg(F.count("*").alias("n")).select(F.col("cell").alias("c"), F.ceil(F.col("n") / queries).alias("groups"))
     grouped = asked.join(F.broadcast(share), F.col("cell") == F.col("c")).withColumn("group", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("groups")))  # a row per pivot
 
     def send(g: pd.DataFrame) -> pd.DataFrame:
-        """A group of queries for the blocks of each cell, to each only those that need it."""
+        """A group of queries for each cell, to each only those that need it."""
         ids, q = g.vec_id.to_numpy(), unpack_rows(g.v.tolist(), dim)
         floor = sampled(ids, q)
         needed = summary.needed(q, floor, k)
@@ -154,10 +158,11 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
         for c in np.flatnonzero(needed.any(axis=0)).tolist():
             at = needed[:, c]
             data = q[at].astype("<i8" if np.abs(q[at]).max(initial=0) >= 1 << 15 else "<i2").tobytes()
-            out.append(pd.DataFrame({"cell": c, "block": np.arange(n_blocks[c])}).assign(q_ids=ids[at].astype("<i8").tobytes(), q_rows=data, least=least[at].tobytes()))
-        return pd.concat(out, ignore_index=True)
+            out.append((c, ids[at].astype("<i8").tobytes(), data, least[at].tobytes()))
+        return pd.DataFrame(out, columns=["cell", "q_ids", "q_rows", "least"])
 
-    sent = grouped.groupBy("cell", "group").applyInPandas(send, "cell int, block int, q_ids binary, q_rows binary, least binary")
+    packed = by_group(grouped).groupBy("cell", "group").applyInPandas(send, "cell int, q_ids binary, q_rows binary, least binary")
+    sent = packed.withColumn("part", F.explode(F.sequence(F.lit(0), per_cell((n_blocks - 1) // a_part))))
 
     def read(data: bytes, n: int) -> np.ndarray:
         return np.frombuffer(data, "<i2" if len(data) == 2 * dim * n else "<i8").reshape(n, dim).astype(np.int64)
@@ -170,5 +175,5 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
                 i, j = top_pairs(scores, ids, q_ids, k, np.frombuffer(least))
                 yield pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[j], "score": scores[i, j]})
 
-    found = sent.join(blocks, ["cell", "block"]).mapInPandas(solve, "query_id long, vec_id long, score long")
+    found = met(sent, blocks, ["cell", "part"]).mapInPandas(solve, "query_id long, vec_id long, score long")
     return ranked(found, k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,6 +46,35 @@ def unpack_rows(packed: list[bytes], dim: int) -> np.ndarray:
     return np.array([np.frombuffer(p, "<i2" if len(p) == 2 * dim else "<i8").astype(np.int64) for p in packed]).reshape(-1, dim)
 
 
+def hash_sample(rows: DataFrame, n: int, size: int) -> list[Row]:
+    """The `size` of `n` rows whose ids hash lowest. Tasks order only rows below a hash that some four times as many lie
+    under, so what they send to the driver doesn't grow with their number."""
+    key = F.xxhash64("vec_id")
+    if n > 4 * size:
+        few = rows.where(key < F.lit(-(2**63) + 2**64 * 4 * size // n)).orderBy(key).limit(size).collect()
+        if len(few) == size:
+            return few
+    return rows.orderBy(key).limit(size).collect()
+
+
+def blocks_a_part(total: int) -> int:
+    """How many blocks stand under one key for queries to meet: one where all blocks are few, so that every task has
+    some, else up to eight, as queries travel once a key."""
+    return min(8, max(1, total // 64))
+
+
+def by_group(queries: DataFrame) -> DataFrame:
+    """Queries dealt by cell and group over all shuffle partitions: they are few bytes, which Spark would else put in one
+    task, whatever is made of them there."""
+    return queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell", "group")
+
+
+def met(sent: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Packed queries beside the blocks of their key. Spark takes what a grouped map or an explode makes for as large as
+    what it reads, and would broadcast all packed queries through the driver; so a sort-merge join is asked for."""
+    return sent.hint("merge").join(blocks, keys)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id; -inf scores are none."""
     if len(scores) > k:

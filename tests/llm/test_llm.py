@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from qualitylake.llm import ann, exact_topk, html_layouts, html_text, mixing, near_dup, packing, quality, secret_scan, token_counts, token_files
+from qualitylake.llm import ann, exact_topk, html_layouts, html_text, mixing, near_dup, packing, quality, secret_scan, token_counts, token_files, vectors
 from qualitylake.llm.common import tokenizer_path
 from qualitylake.llm.encoding import WordEncoder
 
@@ -281,6 +281,35 @@ def test_exact_topk_small_and_empty(spark):
     assert exact_topk.exact_topk(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_packed_queries_are_never_broadcast(spark):
+    """A few hundred queries are few bytes until they stand packed for every part, which Spark's estimate leaves out."""
+    rows, _ = vectors_of(spark, 3000)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_topk.exact_topk(df, F.col("vec_id") % 10 == 0, block=64)
+    assert len(got.collect()) == 1500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[cell#\d+, \w+#\d+\]", plan)
+    assert not re.search(r"BroadcastHashJoin \[cell#\d+, ", plan)
+
+
+def test_exact_topk_with_blocks_in_parts(spark):
+    rows, _ = vectors_of(spark, 300)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in exact_topk.exact_topk(df, F.col("vec_id") % 10 == 0, cells=3, sample=40, block=1, queries=4).orderBy("query_id", "rank").collect()]
+    v = np.floor(256 * np.array([x for _, x in rows])).astype(int)
+    assert vectors.blocks_a_part(300) > 1
+    assert got == [(q, k + 1, int(i), int(v[q] @ v[i])) for q in range(0, 300, 10) for k, i in enumerate([i for i in np.lexsort((range(300), -(v @ v[q]))) if i != q][:5])]
+
+
+def test_hash_sample_is_of_the_lowest_hashes(spark):
+    """And tasks send the driver few rows beyond it, however many there are."""
+    rows = spark.range(0, 20_000, 1, 16).select(F.col("id").alias("vec_id"))
+    want = [r["vec_id"] for r in rows.orderBy(F.xxhash64("vec_id")).limit(50).collect()]
+    assert [r["vec_id"] for r in vectors.hash_sample(rows, 20_000, 50)] == want
+    assert [r["vec_id"] for r in vectors.hash_sample(rows, 10**9, 50)] == want  # a filter that lets too few pass
+    assert len(vectors.hash_sample(rows.limit(30), 30, 50)) == 30
+
+
 PROSE = "Keep the password of each member of the staff in a safe place, and never send it by mail to people who ask. "
 
 
