@@ -6,7 +6,8 @@ with the candidates' centre, plus or minus edge length times the candidate's dis
 the centre is the origin). Candidates stand in blocks of near ones around a pivot, and only those whose bounds meet a
 window of scores that the anchor still looks for are scored; each such score bounds the children in its turn.
 
-Two passes send the packed groups to the blocks. The first finds each anchor's positives: its best rows of the same
+Two passes send the packed groups to the blocks, once for each part of up to eight blocks, over Spark's shuffle and never
+by broadcast. The first finds each anchor's positives: its best rows of the same
 label. The second finds, for each positive, the best rows of other labels that score between 80 and 100 percent of it.
 A bounded sample of the rows gives each search a score to reach before it starts; it does nothing else.
 Scores are whole numbers, exact as in `exact_topk`. Where vectors fill the space evenly, bounds exclude little and most
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 from .exact_topk import choose_pivots, products
-from .vectors import matrix, pack_rows, unpack_rows, usable
+from .vectors import blocks_a_part, by_group, hash_sample, matrix, met, pack_rows, unpack_rows, usable
 
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 _MOST, _LEAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
@@ -141,8 +142,8 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column | None =
             yield pd.DataFrame({"vec_id": b.vec_id, "label": b.label, "v": pack_rows(np.floor(scale * matrix(b.embedding, dim)))})
 
     whole = materialize(rows.mapInPandas(quantized, "vec_id long, label long, v binary"), "vectors")
-    seen = whole.orderBy(F.xxhash64("vec_id")).limit(sample).collect()  # `sample` rows at most
     n_rows = whole.count()
+    seen = hash_sample(whole, n_rows, sample)  # `sample` rows at most
     seen_ids, seen_labels = np.array([r["vec_id"] for r in seen]), np.array([r["label"] for r in seen])
     seen_rows = unpack_rows([bytes(r["v"]) for r in seen], dim)
     pivots = choose_pivots(seen_rows.astype(float), max(1, min(int(n_rows**0.5) // 16, sample // 4)))
@@ -157,14 +158,18 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column | None =
     placed = materialize(whole.mapInPandas(assign, "vec_id long, label long, v binary, cell int"), "cells")
     counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row per pivot
     n_blocks = [-(-counts.get(c, 0) // block) for c in range(len(pivots))]
-    every = [(c, b) for c, n in enumerate(n_blocks) for b in range(n)]
-    of_cell = F.element_at(F.array(*[F.lit(max(1, n)) for n in n_blocks]), F.col("cell") + 1)
+    a_part = blocks_a_part(sum(n_blocks))
+
+    def per_cell(numbers: list[int]) -> Column:
+        return F.element_at(F.array(*[F.lit(n) for n in numbers]), F.col("cell") + 1)
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vec_id")
-        return pd.DataFrame({"cell": g.cell.iloc[:1], "block": g.block.iloc[:1], "ids": [g.vec_id.to_numpy().astype("<i8").tobytes()], "labels": [g.label.to_numpy().astype("<i8").tobytes()], "rows": [unpack_rows(g.v.tolist(), dim).astype("<i8").tobytes() if g.v.str.len().max() > 2 * dim else b"".join(g.v)]})
+        return pd.DataFrame({"part": g.block.iloc[:1] // a_part, "ids": [g.vec_id.to_numpy().astype("<i8").tobytes()], "labels": [g.label.to_numpy().astype("<i8").tobytes()], "rows": [unpack_rows(g.v.tolist(), dim).astype("<i8").tobytes() if g.v.str.len().max() > 2 * dim else b"".join(g.v)]})
 
-    blocks = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_cell).cast("int")).groupBy("cell", "block").applyInPandas(pack, "cell int, block int, ids binary, labels binary, rows binary")
+    within = F.pmod(F.xxhash64("vec_id"), per_cell([max(1, n) for n in n_blocks])).cast("int")
+    numbered = placed.withColumn("block", per_cell([sum(n_blocks[:c]) for c in range(len(n_blocks))]) + within)
+    blocks = numbered.groupBy("block").applyInPandas(pack, "part int, ids binary, labels binary, rows binary")
 
     def read(data: bytes, n: int) -> np.ndarray:
         return np.frombuffer(data, "<i2" if len(data) == 2 * dim * n else "<i8").reshape(n, dim).astype(np.int64)
@@ -174,7 +179,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column | None =
         and, for each window, positive_id, low and high."""
 
         def send(g: pd.DataFrame) -> pd.DataFrame:
-            """A group, with its tree and what it looks for, for every block."""
+            """A group, with its tree and what it looks for."""
             once = g.drop_duplicates("vec_id")
             ids, labels, x = once.vec_id.to_numpy(), once.label.to_numpy(), unpack_rows(once.v.tolist(), dim)
             own = products(x, seen_rows)
@@ -185,12 +190,13 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column | None =
             tree = spanning_tree(x)
             wide = np.abs(x).max(initial=0) >= 1 << 15
             sent = {"ids": ids, "labels": labels, "order": tree.order, "parent": tree.parent, "which": which, "positive": g.positive_id.to_numpy(), "low": np.array(low, np.int64), "high": g.high.to_numpy()}
-            return pd.DataFrame(every, columns=["cell", "block"]).assign(**{f"a_{c}": v.astype("<i8").tobytes() for c, v in sent.items()}, a_rows=x.astype("<i8" if wide else "<i2").tobytes())
+            return pd.DataFrame({**{f"a_{c}": [v.astype("<i8").tobytes()] for c, v in sent.items()}, "a_rows": [x.astype("<i8" if wide else "<i2").tobytes()]})
 
         n = anchors.select("cell", "vec_id").distinct().groupBy("cell").agg(F.ceil(F.count("*") / group).alias("groups")).select(F.col("cell").alias("c"), "groups")
         dealt = anchors.join(F.broadcast(n), F.col("cell") == F.col("c")).withColumn("group", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("groups")))  # a row per pivot
         names = ("ids", "labels", "order", "parent", "which", "positive", "low", "high", "rows")
-        sent = dealt.groupBy("cell", "group").applyInPandas(send, "cell int, block int, " + ", ".join(f"a_{c} binary" for c in names))
+        packed = by_group(dealt).groupBy("cell", "group").applyInPandas(send, ", ".join(f"a_{c} binary" for c in names))
+        sent = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((sum(n_blocks) - 1) // a_part))))  # every block
 
         def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -207,7 +213,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column | None =
                         n = [len(at) for *_, at, _ in found]
                         yield pd.DataFrame({"anchor_id": np.repeat([a_ids[a] for a, *_ in found], n), "positive_id": np.repeat([positive[mine[a][w]] for a, w, *_ in found], n), "vec_id": held.ids[np.concatenate([f[2] for f in found])], "score": np.concatenate([f[3] for f in found])})
 
-        return sent.join(blocks, ["cell", "block"]).mapInPandas(solve, "anchor_id long, positive_id long, vec_id long, score long")
+        return met(sent, blocks, ["part"]).mapInPandas(solve, "anchor_id long, positive_id long, vec_id long, score long")
 
     asked = placed.where(is_anchor)
     best = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")

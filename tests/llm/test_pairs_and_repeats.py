@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from qualitylake.llm import alignment, hard_negatives, substring_dedup
+from qualitylake.llm import alignment, hard_negatives, substring_dedup, vectors
 from qualitylake.llm.encoding import _byte_letters
 
 # ------------------------------------------------------------------ 11
@@ -48,6 +49,35 @@ def test_hard_negatives_equal_brute_force(spark, seed, sizes):
     assert want and len(got) == len(want) and set(got) == want
 
 
+def test_hard_negatives_with_blocks_in_parts(spark):
+    rows = vectors_of(5, 300)
+    assert vectors.blocks_a_part(300) > 1
+    got = [tuple(r) for r in hard_negatives.hard_negatives(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, block=1, group=3, sample=40).collect()]
+    want = brute_negatives(rows, lambda i: i % 20 == 0)
+    assert want and len(got) == len(want) and set(got) == want
+
+
+def test_packed_anchors_are_never_broadcast(spark):
+    """Neither pass, however few bytes its anchors are before they stand packed for every part."""
+    df = spark.createDataFrame(vectors_of(6, 1000), VECTORS)
+    ran, write = [], hard_negatives.materialize
+
+    def kept(step, name):
+        if name == "positives":
+            step.collect()
+            ran.append(step)
+        return write(step, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(hard_negatives, "materialize", kept)
+        got = hard_negatives.hard_negatives(df, F.col("vec_id") % 10 == 0, block=64)
+    assert got.collect()
+    for pass_ in (*ran, got):
+        plan = pass_._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SortMergeJoin \[part#\d+\]", plan)
+        assert not re.search(r"BroadcastHashJoin \[(part#|cell#\d+, block#)", plan)
+
+
 def test_hard_negatives_odd_rows(spark):
     good = vectors_of(3, 60, dim=3)
     odd = [(None, [1.0, 0.0, 0.0], 1), (100, None, 1), (101, [1.0, None, 0.0], 1), (102, [float("nan"), 0.0, 0.0], 1), (103, [float("inf"), 0.0, 0.0], 2), (104, [1.0, 0.0, 0.0], None), (105, [], 1), (200, [0.5], 1), (7, good[7][1], 99), (300, [0.0, 0.0, 0.0], 2), (400, [-1.0, -1.0, -1.0], 0)]
