@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import blocks_a_part, by_group, hash_sample, matrix, met, pack_rows, ranked, unpack_rows, usable
+from .vectors import blocks_a_part, dealt, hash_sample, matrix, met, pack_rows, ranked, unpack_rows, usable
 
 RESULT = "query_id long, rank int, vec_id long, score long"
 
@@ -161,7 +161,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
             out.append((c, ids[at].astype("<i8").tobytes(), data, least[at].tobytes()))
         return pd.DataFrame(out, columns=["cell", "q_ids", "q_rows", "least"])
 
-    packed = by_group(grouped).groupBy("cell", "group").applyInPandas(send, "cell int, q_ids binary, q_rows binary, least binary")
+    packed = dealt(grouped, ["cell", "group"]).groupBy("cell", "group").applyInPandas(send, "cell int, q_ids binary, q_rows binary, least binary")
     sent = packed.withColumn("part", F.explode(F.sequence(F.lit(0), per_cell((n_blocks - 1) // a_part))))
 
     def read(data: bytes, n: int) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 from .exact_topk import choose_pivots, products
-from .vectors import blocks_a_part, by_group, hash_sample, matrix, met, pack_rows, unpack_rows, usable
+from .vectors import blocks_a_part, dealt, hash_sample, matrix, met, pack_rows, unpack_rows, usable
 
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 _MOST, _LEAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
@@ -193,9 +193,9 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column | None =
             return pd.DataFrame({**{f"a_{c}": [v.astype("<i8").tobytes()] for c, v in sent.items()}, "a_rows": [x.astype("<i8" if wide else "<i2").tobytes()]})
 
         n = anchors.select("cell", "vec_id").distinct().groupBy("cell").agg(F.ceil(F.count("*") / group).alias("groups")).select(F.col("cell").alias("c"), "groups")
-        dealt = anchors.join(F.broadcast(n), F.col("cell") == F.col("c")).withColumn("group", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("groups")))  # a row per pivot
+        grouped = anchors.join(F.broadcast(n), F.col("cell") == F.col("c")).withColumn("group", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("groups")))  # a row per pivot
         names = ("ids", "labels", "order", "parent", "which", "positive", "low", "high", "rows")
-        packed = by_group(dealt).groupBy("cell", "group").applyInPandas(send, ", ".join(f"a_{c} binary" for c in names))
+        packed = dealt(grouped, ["cell", "group"]).groupBy("cell", "group").applyInPandas(send, ", ".join(f"a_{c} binary" for c in names))
         sent = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((sum(n_blocks) - 1) // a_part))))  # every block
 
         def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

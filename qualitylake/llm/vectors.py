@@ -63,16 +63,16 @@ def blocks_a_part(total: int) -> int:
     return min(8, max(1, total // 64))
 
 
-def by_group(queries: DataFrame) -> DataFrame:
-    """Queries dealt by cell and group over all shuffle partitions: they are few bytes, which Spark would else put in one
-    task, whatever is made of them there."""
-    return queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell", "group")
+def dealt(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by keys over all shuffle partitions: they are few bytes for the work that is done on them, and Spark
+    would else put them in a few tasks."""
+    return packed.repartition(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def met(sent: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Packed queries beside the blocks of their key. Spark takes what a grouped map or an explode makes for as large as
     what it reads, and would broadcast all packed queries through the driver; so a sort-merge join is asked for."""
-    return sent.hint("merge").join(blocks, keys)
+    return dealt(sent, keys).hint("merge").join(dealt(blocks, keys), keys)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
